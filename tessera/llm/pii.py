@@ -181,27 +181,30 @@ def replace(text: str, found: list[tuple[int, int, str, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _struct(batches: Iterator[pd.Series], key: str) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        rows = []
-        for text in texts:
-            found = find(text, key)
-            counts = [sum(f[2] == k for f in found) for k in KINDS]
-            spans = ",".join(f"{k}:{a}:{b}" for a, b, k, _ in found)
-            rows.append((replace(text, found), *counts, spans))
-        yield pd.DataFrame(rows, columns=["text", *[f"n_{k}" for k in KINDS], "spans"])
+def _rows(texts: pd.Series, key: str) -> pd.DataFrame:
+    rows = []
+    for text in texts:
+        found = find(text, key)
+        counts = [sum(f[2] == k for f in found) for k in KINDS]
+        spans = ",".join(f"{k}:{a}:{b}" for a, b, k, _ in found)
+        rows.append((replace(text, found), *counts, spans))
+    return pd.DataFrame(rows, columns=["text", *[f"n_{k}" for k in KINDS], "spans"])
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with ``private``: a struct of the new text, the count of each kind, and spans in the old text.
+    """docs with ``_private``: a struct of the new text, the count of each kind, and spans in the old text.
 
     A null text gives an empty new one. The key is a parameter; a corpus keeps its links as long as it stays.
     """
     schema = "text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string"
-    udf = F.pandas_udf(lambda it: _struct(it, key), schema, F.PandasUDFType.SCALAR_ITER)
-    return docs.withColumn("private", udf(text_of()))
+
+    def private(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield _rows(texts, key)
+
+    return docs.withColumn("_private", F.pandas_udf(private, schema)(text_of()))
 
 
 def report(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text (the new one), counts by kind and spans of every row of docs."""
-    return pseudonymize(docs.select("doc_id", "text"), key).select("doc_id", "private.*")
+    return pseudonymize(docs.select("doc_id", "text"), key).select("doc_id", "_private.*")

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import holdout_col, labelled_sample, text_of
 
 WIDTH, FILTERS, EMBED, HALF = 5, 12, 6, 128
-#: Labelled texts that training may take, the bytes of each that one epoch looks at, and the line of label 1.
-SAMPLE, EPOCH_BYTES, EPOCHS, LINE = 3_000, 2_048, 8, 0.3
+#: Labelled texts that training may take, the bytes of a text that one step looks at, and the line of label 1.
+SAMPLE, STRETCH, STEPS, LINE = 3_000, 1_024, 600, 0.3
 
 
 def as_bytes(text: str) -> np.ndarray:
@@ -81,50 +81,42 @@ class ByteNet:
         back[best, np.arange(FILTERS)] += err * self.u[FILTERS:]
         back[chunks <= 0] = 0
         g["c"] = back.sum(axis=0)
-        for i in range(n):
-            lo = i * HALF
-            at = lo + y[lo : lo + 2 * HALF].argmax(axis=0)
-            for k in range(WIDTH):
-                byte = b[at + k]
-                g["f"][k] += self.e[byte].T * back[i]
-                np.add.at(g["e"], byte, back[i][:, None] * self.f[k].T)
+        at = np.stack([i * HALF + y[i * HALF : (i + 2) * HALF].argmax(axis=0) for i in range(n)])
+        seen = b[at[:, :, None] + np.arange(WIDTH)]  # (chunks, F, WIDTH): the bytes below each maximum
+        g["f"] = np.einsum("nf,nfke->kef", back, self.e[seen])
+        np.add.at(g["e"], seen, back[:, :, None, None] * self.f.transpose(2, 0, 1)[None])
         return g
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, batch: int = 32, seed: int = 7) -> ByteNet:
-    """Train by Adam; labels are weighed to balance. An epoch sees a random stretch of EPOCH_BYTES of each text."""
+def fit(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 16, seed: int = 7) -> ByteNet:
+    """Train by Adam on batches with as many texts of either label, each a random stretch of STRETCH bytes.
+
+    With one label only, or none, the score is that label's smoothed share for every text.
+    """
     net, rng, y = ByteNet(seed), np.random.default_rng(seed), np.array(labels, dtype=np.float64)
     if not 0 < y.sum() < len(y):
         net.u[:] = 0
         net.d[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
         return net
-    weight = np.where(y > 0, 0.5 * len(y) / y.sum(), 0.5 * len(y) / (len(y) - y.sum()))
     data = [as_bytes(t) for t in texts]
-    # An epoch takes as many texts of either label: all of the rarer one and as many of the other.
-    rare = np.flatnonzero(y == (0 if y.mean() > 0.5 else 1))
-    rest = np.setdiff1d(np.arange(len(y)), rare)
+    sides = [np.flatnonzero(y == 0), np.flatnonzero(y == 1)]
     names = ("e", "f", "c", "u", "d")
     m = {k: np.zeros_like(getattr(net, k), dtype=np.float64) for k in names}
     v = {k: np.zeros_like(m[k]) for k in names}
-    t = 0
-    weight[:] = 1
-    for epoch in range(epochs):
-        order = rng.permutation(np.concatenate([rare, rng.choice(rest, min(len(rest), len(rare)), replace=False)]))
-        rate = 0.01 * (1 - 0.8 * epoch / epochs)
-        for at in range(0, len(order), batch):
-            part = order[at : at + batch]
-            total = {k: np.zeros_like(m[k]) for k in names}
-            for i in part:
-                lo = int(rng.integers(0, max(1, len(data[i]) - EPOCH_BYTES + 1)))
-                g = net.gradients(data[i][lo : lo + EPOCH_BYTES], y[i], weight[i] / len(part))
-                for k in names:
-                    total[k] += g[k]
-            t += 1
+    for t in range(1, steps + 1):
+        total = {k: np.zeros_like(m[k]) for k in names}
+        for i in np.concatenate([rng.choice(side, batch // 2) for side in sides]):
+            lo = int(rng.integers(0, max(1, len(data[i]) - STRETCH + 1)))
+            g = net.gradients(data[i][lo : lo + STRETCH], y[i], 1 / batch)
             for k in names:
-                m[k] = 0.9 * m[k] + 0.1 * total[k]
-                v[k] = 0.999 * v[k] + 0.001 * total[k] ** 2
-                step = rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-                setattr(net, k, (getattr(net, k) - step).astype(np.float32))
+                total[k] += g[k]
+        for k in names:
+            m[k] = 0.9 * m[k] + 0.1 * total[k]
+            v[k] = 0.999 * v[k] + 0.001 * total[k] ** 2
+            step = 0.01 * (1 - 0.8 * t / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            setattr(net, k, (getattr(net, k) - step).astype(np.float32))
+    # Batches are balanced; the corpus is not.
+    net.d += np.float32(np.log(len(sides[1]) / len(sides[0])) / 2)
     return net
 
 

@@ -104,6 +104,17 @@ def judged(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     return ledger(docs).withColumns({"base_failed": failed, "kept": verdict(policy)})
 
 
+def kept_only(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The rows of docs that a policy keeps, with the columns of docs.
+
+    A filter moves below the projections that feed it and would repeat the measurements in its condition; a row
+    number beside the verdict, which the filter reads too, holds it above them.
+    """
+    whole = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    d = judged(whole, policy).withColumn("_row", F.monotonically_increasing_id())
+    return d.where(F.col("kept") & (F.col("_row") >= 0)).select("_doc.*")
+
+
 def ablation(led: DataFrame, policy: str = CURRENT) -> DataFrame:
     """Per rule of a policy: rows that fail it, that only it rejects, and that the policy keeps with and without it.
 

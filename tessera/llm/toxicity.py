@@ -18,7 +18,7 @@ from tessera.llm.common import holdout_col, labelled_sample, text_of
 
 GRAMS, BITS = (4, 5), 20
 #: Labelled texts that training may take, and the features it keeps.
-SAMPLE, FEATURES = 8_000, 20_000
+SAMPLE, FEATURES = 5_000, 2_000
 
 
 def grams(text: str) -> np.ndarray:
@@ -48,7 +48,7 @@ class NaiveBayesLinear:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[str], labels: list[int], features: int = FEATURES, rounds: int = 200, l2: float = 1e-4) -> NaiveBayesLinear:
+def fit(texts: list[str], labels: list[int], features: int = FEATURES, rounds: int = 100, l2: float = 1e-4) -> NaiveBayesLinear:
     """Fit on labelled texts. With one label only, or none, the score is the smoothed share of label 1."""
     y = np.array(labels, dtype=np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
