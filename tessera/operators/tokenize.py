@@ -35,6 +35,9 @@ class ClipTokenizer:
         self.symbols, self.names = byte_symbols(), {i: t for t, i in vocab.items()}
         self._word = lru_cache(1 << 16)(self._merge)
 
+    def __reduce__(self) -> tuple:
+        return type(self), (self.vocab, list(self.ranks), self.end)
+
     @classmethod
     def load(cls, vocab_path: str, merges_path: str) -> ClipTokenizer:
         vocab = json.loads(Path(vocab_path).read_text(encoding="utf-8"))

@@ -1,2 +1,432 @@
-"""Registered queries."""
-QUERIES = {}
+"""The registered queries: every operator over a view of the driver's tables.
+
+The 64 numbers of an embedding stand for model outputs of different shapes (logits, token rows, box tensors, pixel
+grids), so that each operator runs over a whole table and can be held against SQL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.config import Preprocess
+from tessera.functions import boxes as B
+from tessera.functions import diffusion
+from tessera.functions import vectors as V
+from tessera.operators import chat, onnx, tasks, tokenize, toy_onnx
+from tessera.sources import images
+
+LABELS = [f"class_{i}" for i in range(40)]
+YOLO_CLASSES, YOLO_BOXES = 4, 8
+SIGMA, SIGMA_AFTER, GUIDANCE = 2.0, 1.5, 7.5
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, label and e: the embedding as doubles."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", V.doubles("embedding").alias("e"))
+
+
+def flat(df: DataFrame, array: Column, digits: int | None = 5) -> DataFrame:
+    """A row for every element of an array: vec_id, pos, value."""
+    rows = df.select("vec_id", F.posexplode(array).alias("pos", "value"))
+    return rows if digits is None else rows.withColumn("value", F.round("value", digits))
+
+
+def label_column() -> Column:
+    return F.array(*map(F.lit, LABELS))
+
+
+def yolo_raw() -> Column:
+    """(8, 8) tensor of e: centres (e + 1) 50, sizes 20 + 40 |e|, scores at most 1 of 4 |e|."""
+    e = F.col("e")
+    return F.transform(
+        e, lambda x, i: F.when(i < 16, (x + 1) * 50).when(i < 32, 20 + 40 * F.abs(x)).otherwise(F.least(F.lit(1.0), 4 * F.abs(x)))
+    )
+
+
+def box_rows(df: DataFrame, boxes: Column) -> DataFrame:
+    rows = df.select("vec_id", F.inline(boxes))
+    return rows.select(
+        "vec_id", "box", "class_id", *[F.round(c, 5).alias(c) for c in ("x", "y", "width", "height", "score")]
+    )
+
+
+def decoded(threshold: float = 0.25) -> Column:
+    return B.decode(yolo_raw(), YOLO_CLASSES, YOLO_BOXES, threshold)
+
+
+@query
+def softmax_topk(spark, sf_dir):
+    df = vectors(spark, sf_dir).select("vec_id", F.posexplode(V.ranked(V.softmax("e"), None, 5)).alias("rank", "p"))
+    return df.select("vec_id", (F.col("rank") + 1).alias("rank"), "p.class_id", F.round("p.probability", 6).alias("probability"))
+
+
+@query
+def label_lookup(spark, sf_dir):
+    df = vectors(spark, sf_dir).select("vec_id", F.posexplode(V.ranked(V.softmax("e"), label_column(), 3)).alias("rank", "p"))
+    return df.select("vec_id", (F.col("rank") + 1).alias("rank"), "p.label")
+
+
+@query
+def argmax_label(spark, sf_dir):
+    return vectors(spark, sf_dir).select("vec_id", V.label_of(label_column(), V.argmax("e")).alias("predicted"))
+
+
+@query
+def cls_pool(spark, sf_dir):
+    return flat(vectors(spark, sf_dir), V.cls_pool("e", 16))
+
+
+@query
+def mean_pool(spark, sf_dir):
+    return flat(vectors(spark, sf_dir), V.mean_pool("e", 16))
+
+
+@query
+def l2_normalize(spark, sf_dir):
+    return flat(vectors(spark, sf_dir).withColumn("m", V.mean_pool("e", 16)), V.l2_normalize("m"))
+
+
+@query
+def transpose(spark, sf_dir):
+    return flat(vectors(spark, sf_dir), B.transpose(F.col("e"), 4, 16))
+
+
+@query
+def yolo_decode(spark, sf_dir):
+    return box_rows(vectors(spark, sf_dir), decoded())
+
+
+@query
+def iou_pairs(spark, sf_dir):
+    d = vectors(spark, sf_dir).select("vec_id", decoded().alias("b"))
+    pairs = F.flatten(F.transform("b", lambda x: F.transform(
+        F.filter("b", lambda y: y["box"] > x["box"]),
+        lambda y: F.struct(x["box"].alias("box_a"), y["box"].alias("box_b"), F.round(B.iou(x, y), 5).alias("iou")),
+    )))
+    return d.select("vec_id", F.inline(pairs))
+
+
+@query
+def nms(spark, sf_dir):
+    return box_rows(vectors(spark, sf_dir), B.suppress(decoded(), 0.45))
+
+
+@query
+def max_detections(spark, sf_dir):
+    return box_rows(vectors(spark, sf_dir), B.suppress(decoded(), 0.45, 2))
+
+
+@query
+def box_flatten(spark, sf_dir):
+    d = vectors(spark, sf_dir).select("vec_id", B.suppress(decoded(), 0.45, 2).alias("b"))
+    rows = d.select("vec_id", F.size("b").alias("n_boxes"), F.posexplode(B.flatten(F.col("b"))).alias("pos", "value"))
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 3))
+
+
+def class_ids() -> Column:
+    return V.pixel_argmax("e", 4, 4, 4)
+
+
+@query
+def seg_argmax(spark, sf_dir):
+    return flat(vectors(spark, sf_dir), class_ids(), None)
+
+
+@query
+def seg_resize_nearest(spark, sf_dir):
+    d = vectors(spark, sf_dir).withColumn("c", class_ids())
+    return flat(d, V.resize_nearest(F.col("c"), 4, 4, 8, 6), None)
+
+
+@query
+def seg_label_at(spark, sf_dir):
+    d = vectors(spark, sf_dir).withColumn("c", class_ids())
+    at = V.pixel_at(F.col("c"), 2, 1, 4, 4)
+    return d.select("vec_id", at.alias("class_id"), F.get(F.array(F.lit("road"), F.lit("sky"), F.lit("tree")), at).alias("name"))
+
+
+@query
+def seg_histogram(spark, sf_dir):
+    per = vectors(spark, sf_dir).select("vec_id", F.explode(class_ids()).alias("class_id")).groupBy("vec_id", "class_id")
+    return per.agg(F.count("*").alias("pixels")).withColumn("percent", F.round(100 * F.col("pixels") / 16, 4))
+
+
+@query
+def depth_minmax(spark, sf_dir):
+    return flat(vectors(spark, sf_dir).withColumn("d", V.depth_map("e", 8, 8)), F.col("d.values"))
+
+
+@query
+def depth_stats(spark, sf_dir):
+    d = vectors(spark, sf_dir).select("vec_id", V.depth_map("e", 8, 8).alias("d"))
+    v = F.array_sort("d.values")
+    return d.select(
+        "vec_id", F.round(V.total(F.col("d.values")) / 64, 5).alias("mean"), F.round(F.element_at(v, 33), 5).alias("median"),
+        F.round("d.min_depth", 5).alias("low"), F.round("d.max_depth", 5).alias("high"),
+    )
+
+
+@query
+def depth_preview(spark, sf_dir):
+    """The upper left corner in four shades."""
+    d = vectors(spark, sf_dir).select("vec_id", V.depth_map("e", 8, 8).alias("d"))
+    rows = d.select("vec_id", F.posexplode("d.values").alias("pos", "v")).where((F.col("pos") % 8 < 4) & (F.col("pos") < 32))
+    shade = F.greatest(F.lit(0), F.least(F.lit(3), F.floor(F.col("v") * 4))).cast("int")
+    return rows.select("vec_id", "pos", shade.alias("shade"))
+
+
+@query
+def depth_resize_bilinear(spark, sf_dir):
+    d = vectors(spark, sf_dir).withColumn("d", V.depth_map("e", 8, 8))
+    return flat(d, V.resize_bilinear(F.col("d.values"), 8, 8, 12, 12))
+
+
+TINY = Preprocess((4, 4))
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image: 4 x 4 BGRA pixels, floor((e + 1) 127.5) a byte."""
+    code = F.transform("e", lambda x: F.lpad(F.hex(F.floor((x + 1) * 127.5).cast("long")), 2, "0"))
+    data = F.unhex(F.array_join(code, ""))
+    return vectors(spark, sf_dir).withColumn("Image", images.from_pixels(F.lit(4), F.lit(4), data))
+
+
+@query
+def image_preprocess(spark, sf_dir):
+    """The tensor of a picture in its own size: channels in order, rescaled and normalised."""
+    d = onnx.with_tensor(pictures(spark, sf_dir), "Image", TINY)
+    return flat(d, F.col("PreprocessedTensor").cast("array<double>"), 4)
+
+
+@query
+def image_round_trip(spark, sf_dir):
+    """Pixels of a picture after a PNG file and back, summed by picture."""
+    d = pictures(spark, sf_dir).withColumn("file", images.encode("Image")).withColumn("back", images.decode("file.data"))
+    same = F.col("back.data") == F.col("Image.data")
+    return d.select("vec_id", "back.width", "back.height", "file.media_type", same.alias("same"))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text embedding per label: the mean of its vectors, by position. Ten rows of sums per task are shuffled."""
+    rows = vectors(spark, sf_dir).select("label", F.posexplode("e").alias("pos", "x"))
+    means = rows.groupBy("label", "pos").agg(F.avg("x").alias("x")).groupBy("label")
+    return means.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("t"))
+
+
+def zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, candidate, cosine and probability. The candidates, ten of them, travel as one array beside each image."""
+    table = candidates(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("label", "t"))).alias("texts"))
+    d = vectors(spark, sf_dir).withColumn("one", F.lit(1)).join(table.withColumn("one", F.lit(1)), "one")
+    d = d.withColumn("cos", F.transform("texts", lambda t: V.cosine(F.col("e"), t["t"])))
+    d = d.withColumn("p", V.softmax(F.transform("cos", lambda c: 100 * c)))
+    each = F.transform("texts", lambda t, i: F.struct(
+        t["label"].alias("candidate"), F.get("cos", i).alias("cos"), F.get("p", i).alias("p")
+    ))
+    return d.select("vec_id", F.inline(each))
+
+
+@query
+def zero_shot_scores(spark, sf_dir):
+    return zero_shot(spark, sf_dir).select("vec_id", "candidate", F.round("cos", 5).alias("cosine"),
+                                           F.round("p", 4).alias("probability"))
+
+
+@query
+def zero_shot_topk(spark, sf_dir):
+    order = Window.partitionBy("vec_id").orderBy(F.desc("p"), "candidate")
+    d = zero_shot(spark, sf_dir).select("vec_id", "candidate", "p").withColumn("rank", F.row_number().over(order))
+    return d.where("rank <= 3").select("vec_id", "rank", "candidate")
+
+
+def masks() -> Column:
+    return F.array(*[F.slice("e", 1 + 16 * i, 16) for i in range(3)])
+
+
+@query
+def best_mask(spark, sf_dir):
+    d = vectors(spark, sf_dir).withColumn("iou", F.slice("e", 49, 3)).withColumn("m", V.best_mask(masks(), F.col("iou")))
+    return flat(d, V.binarize(F.col("m")).cast("array<double>"), 1)
+
+
+@query
+def mask_foreground(spark, sf_dir):
+    d = vectors(spark, sf_dir).withColumn("m", masks())
+    rows = d.select("vec_id", F.posexplode("m").alias("mask", "v"))
+    return rows.select("vec_id", "mask", F.size(F.filter(V.binarize(F.col("v")), lambda x: x == 1)).alias("pixels"))
+
+
+@query
+def greedy_decode(spark, sf_dir):
+    """Ids from start 0 to the end marker 7, at most 6, by 8 x 8 next-token scores."""
+    row = lambda t: F.slice(F.col("e"), (t * 8 + 1).cast("int"), F.lit(8))
+    walk = F.aggregate(
+        F.sequence(F.lit(1), F.lit(6)), F.array(F.lit(0)),
+        lambda ids, _: F.when(F.element_at(ids, -1) == 7, ids).otherwise(F.concat(ids, F.array(V.argmax(row(F.element_at(ids, -1)))))),
+    )
+    d = vectors(spark, sf_dir).withColumn("ids", walk)
+    return d.select("vec_id", F.array_join(F.filter(F.slice("ids", 2, 6), lambda x: x != 7), " ").alias("tokens"))
+
+
+@query
+def chat_last_user(spark, sf_dir):
+    return chat.last_user(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query
+def chat_route(spark, sf_dir):
+    """Messages whose text starts with an even turn carry an image."""
+    parts = lambda kind, data, text: F.struct(kind.alias("media_type"), data.alias("data"), text.alias("text"))
+    none = F.lit(None)
+    words = parts(F.lit("text/plain"), none.cast("binary"), F.col("text"))
+    image = parts(F.lit("image/png"), F.lit("x").cast("binary"), none.cast("string"))
+    d = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    d = d.withColumn("contents", F.when(F.col("turn") % 4 == 0, F.array(image, words)).otherwise(F.array(words)))
+    return chat.route(d).select("conv_id", "question", "route")
+
+
+def toy_tokenizer() -> tokenize.ClipTokenizer:
+    symbols = tokenize.byte_symbols()
+    vocab = {s: i for i, s in enumerate([*symbols, *(s + "</w>" for s in symbols), "th", "the</w>", "an", "in"])}
+    return tokenize.ClipTokenizer(vocab, [("t", "h"), ("th", "e</w>"), ("a", "n"), ("i", "n")])
+
+
+def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text is not null")
+    return d.select("item_id", tokenize.encode("text", toy_tokenizer()).alias("ids"))
+
+
+@query
+def tokenize_clip(spark, sf_dir):
+    ends = F.size(F.filter("ids", lambda x: x == tokenize.EOT))
+    return tokenized(spark, sf_dir).select("item_id", F.size("ids").alias("length"), F.get("ids", F.lit(0)).alias("first"), ends.alias("ends"))
+
+
+@query
+def attention_mask(spark, sf_dir):
+    d = tokenized(spark, sf_dir).withColumn("mask", V.attention_mask(F.col("ids")))
+    used = F.aggregate("mask", F.lit(0), lambda a, x: a + x)
+    return d.select("item_id", (used == V.eos_position(F.col("mask")) + 1).alias("whole"), (F.size("mask")).alias("length"))
+
+
+@query
+def scheduler_sigmas(spark, sf_dir):
+    return diffusion.schedule(spark, 20).withColumn("sigma", F.round("sigma", 5))
+
+
+@query
+def euler_step(spark, sf_dir):
+    d = flat(vectors(spark, sf_dir), V.euler_step(F.slice("e", 1, 32), F.slice("e", 33, 32), SIGMA, SIGMA_AFTER))
+    return d.withColumn("value", F.col("value") + 0.0)  # no negative zero
+
+
+@query
+def scale_model_input(spark, sf_dir):
+    return flat(vectors(spark, sf_dir), V.scale_input(F.col("e"), SIGMA))
+
+
+@query
+def cfg_combine(spark, sf_dir):
+    return flat(vectors(spark, sf_dir), V.guided(F.col("e"), GUIDANCE))
+
+
+def pairwise(spark: SparkSession, sf_dir: str, block: int = 256) -> DataFrame:
+    """a, b, cosine of all pairs a < b: blocks of ids meet once each, so that no side is sent whole to anybody."""
+    d = vectors(spark, sf_dir).select("vec_id", "e", F.floor(F.col("vec_id") / block).alias("k"))
+    ks = F.lit(0)
+    n = d.agg(F.max("k").alias("n"))
+    d = d.withColumn("one", F.lit(1)).join(n.withColumn("one", F.lit(1)), "one").drop("one")
+    left = d.select(F.col("vec_id").alias("a"), F.col("e").alias("x"), "k", F.explode(F.sequence("k", "n")).alias("o"))
+    right = d.select(F.col("vec_id").alias("b"), F.col("e").alias("y"), F.explode(F.sequence(ks.cast("long"), "k")).alias("k"), F.col("k").alias("o"))
+    met = left.join(right, ["k", "o"]).where("a < b")
+    return met.select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("cosine"))
+
+
+@query
+def cosine_pairs(spark, sf_dir):
+    return pairwise(spark, sf_dir).withColumn("cosine", F.round("cosine", 4) + 0.0)
+
+
+@query
+def cosine_topk_neighbors(spark, sf_dir):
+    d = pairwise(spark, sf_dir)
+    both = d.union(d.select("b", "a", "cosine")).withColumn("cosine", F.round("cosine", 9))
+    order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    best = both.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+    return best.select("a", "rank", "b", F.round("cosine", 5).alias("cosine"))
+
+
+def scorer(out: list[int], batch: int | str = "batch") -> onnx.Scorer:
+    return onnx.Scorer(toy_onnx.reshaping([64], out, batch), (64,))
+
+
+def scored(spark: SparkSession, sf_dir: str, out: list[int], batch: int | str = "batch") -> DataFrame:
+    d = vectors(spark, sf_dir).withColumn("s", onnx.score(F.col("e").cast("array<float>"), scorer(out, batch)))
+    return d.withColumn("e", V.doubles("s.raw"))
+
+
+@query
+def onnx_score(spark, sf_dir):
+    d = scored(spark, sf_dir, [64], 1)
+    return d.select("vec_id", F.size("e").alias("n"), F.element_at("s.dims", -1).alias("width"), F.round(V.total(F.col("e")), 4).alias("total"))
+
+
+@query
+def onnx_classify(spark, sf_dir):
+    d = scored(spark, sf_dir, [64]).withColumn("p", V.ranked(V.softmax("e"), label_column(), 1))
+    return d.select("vec_id", V.top_label(F.col("p")).alias("predicted"))
+
+
+@query
+def onnx_embed(spark, sf_dir):
+    d = scored(spark, sf_dir, [4, 16]).withColumn("m", V.mean_pool("e", 16))
+    return flat(d, V.l2_normalize("m"))
+
+
+@query
+def onnx_detect(spark, sf_dir):
+    d = scored(spark, sf_dir, [8, 8])
+    return box_rows(d, B.suppress(decoded(), 0.45))
+
+
+@query
+def onnx_segment(spark, sf_dir):
+    return flat(scored(spark, sf_dir, [4, 4, 4]), class_ids(), None)
+
+
+@query
+def onnx_depth(spark, sf_dir):
+    return flat(scored(spark, sf_dir, [8, 8]).withColumn("d", V.depth_map("e", 8, 8)), F.col("d.values"))
+
+
+@query
+def task_classify(spark, sf_dir):
+    """The whole task on pictures: the tensor is the model's output, so the top class is the largest input."""
+    t = tasks.Task(toy_onnx.reshaping([3, 4, 4], [48]), TINY)
+    d = tasks.classify(pictures(spark, sf_dir), t, 1)
+    return d.select("vec_id", F.get("Predictions", F.lit(0))["class_id"].alias("class_id"), F.size("Probability").alias("n"))
+
+
+@query
+def task_segment(spark, sf_dir):
+    t = tasks.Task(toy_onnx.reshaping([3, 4, 4], [3, 4, 4]), TINY)
+    d = tasks.segment(pictures(spark, sf_dir), t)
+    return d.select("vec_id", "SegmentationMask_Width", "SegmentationMask_Height", F.size("SegmentationMask").alias("pixels"))
+
+
+@query
+def task_depth(spark, sf_dir):
+    t = tasks.Task(toy_onnx.reshaping([3, 4, 4], [12, 4]), TINY)
+    d = tasks.estimate_depth(pictures(spark, sf_dir), t)
+    v = F.col("DepthMap")
+    return d.select("vec_id", F.array_min(v).cast("double").alias("low"), F.array_max(v).cast("double").alias("high"), F.size(v).alias("pixels"))
