@@ -11,6 +11,7 @@ the same windows. Empty and null texts still hold the closing id and become a pi
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -21,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_table, text_of
+from tessera.operators.tokenize import byte_symbols
 
 WINDOW, OPEN, MIN_CUT, END_ID, MERGE = 2048, 64, 64, 1, 4096
-#: Words whose ids one Python worker remembers.
-REMEMBERED = 300_000
+#: Words whose ids one Python worker remembers, twice over: the latest ones and those before them.
+REMEMBERED = 600_000
 
 _tokenizers: dict[str, "WordIds"] = {}
 
@@ -33,7 +35,8 @@ class WordIds(dict):
     """Packed little-endian 32-bit ids of lower-case words, remembered up to a bound.
 
     The tokenizer lower-cases, and neither normalization nor merges reach over an ASCII space, so the ids of a text
-    are those of its words in order. Texts that hold a special token's string are encoded whole.
+    are those of its words in order. A word of letters alone is one piece before the merges, so that it can go to
+    the tokenizer's merges directly. Texts that hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -41,19 +44,34 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.before: dict[bytes, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
+    def _word(self, word: str) -> bytes:
+        low = word if word.isascii() else "".join(c.lower() for c in word)
+        if not low.isalpha() or not unicodedata.is_normalized("NFC", word):
+            return self._encode(word)
+        mapped = low if low.isascii() else low.encode("utf-8").decode("latin-1").translate(self.symbols)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(mapped)])
+
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > REMEMBERED:
+        ids = self.before.get(word)
+        if ids is None:
+            last = word[-1:]
+            text = word.decode("utf-8")
+            if last in b".," and text[:-1].isalpha():  # letters and one mark are pieces of their own
+                ids = self[word[:-1]] + self[last]
+            else:
+                ids = self._word(text)
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        if word[-1:] in b".," and word[:-1].isalpha():  # letters and one mark are pieces of their own
-            ids = self[word[:-1]] + self[word[-1:]]
-        else:
-            ids = self._encode(word.decode("utf-8"))
         self[word] = ids
         return ids
 
@@ -71,7 +89,7 @@ def word_ids(path: str) -> WordIds:
 
 
 class BestFit:
-    """Open windows by their gap. place() returns the windows that a piece of n ids has closed."""
+    """Open windows by their gap: the best fit for a piece, and the fullest when too many are open."""
 
     def __init__(self, window: int, n_open: int) -> None:
         self.window, self.n_open = window, n_open
