@@ -69,7 +69,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
     rows = (
-        docs.select("doc_id", text_of().alias("_t")).join(ids, "doc_id")
+        docs.select("doc_id", text_of().alias("_t")).join(F.broadcast(ids), "doc_id")  # at most ``bound`` rows
         .groupBy("doc_id").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"), F.first("_y").alias("_y"))
         .orderBy("doc_id").select("_t", "_y").collect()
     )
