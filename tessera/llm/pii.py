@@ -28,7 +28,8 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[
 IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])")
 DATE = re.compile(r"(?<![0-9])(?:([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![0-9])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")
+CARD = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")
+CARD_GROUPS = re.compile(r"(?<![0-9])[0-9]{4}([ -])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{6}\1[0-9]{4,5})(?![0-9])")
 PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])|\+[0-9](?:[ .-]?[0-9]){7,14}(?![0-9])")
 
 #: Days that dates are permuted among.
@@ -151,7 +152,7 @@ def email(m: re.Match, key: str) -> str | None:
 
 FORMATS: tuple[tuple[str, re.Pattern, Callable[[re.Match, str], str | None]], ...] = (
     ("email", EMAIL, email), ("iban", IBAN, iban), ("ip", IP, ip), ("date", DATE, date),
-    ("ssn", SSN, ssn), ("card", CARD, card), ("phone", PHONE, phone),
+    ("ssn", SSN, ssn), ("card", CARD, card), ("card", CARD_GROUPS, card), ("phone", PHONE, phone),
 )
 
 
