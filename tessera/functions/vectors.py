@@ -71,10 +71,11 @@ def mean_pool(v: str | Column, dim: int) -> Column:
     v = doubles(v)
     rows = F.floor(F.size(v) / dim).cast("int")
     steps = F.sequence(F.lit(0), rows - 1)
-    return F.transform(
+    means = F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),
         lambda d: F.aggregate(steps, F.lit(0.0), lambda a, r: a + F.get(v, r * dim + d)) / rows,
     )
+    return F.when(v.isNotNull(), means)
 
 
 def dot(a: Column, b: Column) -> Column:

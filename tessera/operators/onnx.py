@@ -115,7 +115,7 @@ def score(tensor: str | Column, scorer: Scorer) -> Column:
 
 
 def _pixels(row: dict, config: Preprocess) -> np.ndarray:
-    return kernels.preprocess(kernels.rgb_of(row["data"], row["height"], row["width"]), config)
+    return kernels.preprocess(kernels.rgb_of(row["data"], int(row["height"]), int(row["width"])), config)
 
 
 def preprocess(image: str | Column, config: Preprocess) -> Column:

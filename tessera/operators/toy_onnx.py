@@ -22,9 +22,9 @@ def _bytes(field: int, data: bytes | str) -> bytes:
     return _varint(field << 3 | 2) + _varint(len(data)) + data
 
 
-def _value(name: str, shape: list[int | str]) -> bytes:
+def _value(name: str, shape: list[int | str], kind: int = 1) -> bytes:
     dims = b"".join(_bytes(1, _bytes(2, d) if isinstance(d, str) else _number(1, d)) for d in shape)
-    return _bytes(1, name) + _bytes(2, _bytes(1, _number(1, 1) + _bytes(2, dims)))
+    return _bytes(1, name) + _bytes(2, _bytes(1, _number(1, kind) + _bytes(2, dims)))
 
 
 def _tensor(name: str, a: np.ndarray) -> bytes:
@@ -37,10 +37,12 @@ def node(op: str, inputs: list[str], outputs: list[str]) -> bytes:
     return b"".join(_bytes(1, i) for i in inputs) + b"".join(_bytes(2, o) for o in outputs) + _bytes(3, f"{op}_{outputs[0]}") + _bytes(4, op)
 
 
-def model(nodes: list[bytes], inputs: dict[str, list], outputs: dict[str, list], weights: dict[str, np.ndarray] | None = None) -> bytes:
+def model(nodes: list[bytes], inputs: dict[str, list], outputs: dict[str, list], weights: dict[str, np.ndarray] | None = None,
+          integers: tuple[str, ...] = ()) -> bytes:
+    """A model file of float inputs and outputs; the inputs named in integers hold whole numbers."""
     graph = b"".join(_bytes(1, n) for n in nodes) + _bytes(2, "toy")
     graph += b"".join(_bytes(5, _tensor(k, a)) for k, a in (weights or {}).items())
-    graph += b"".join(_bytes(11, _value(k, s)) for k, s in inputs.items())
+    graph += b"".join(_bytes(11, _value(k, s, 7 if k in integers else 1)) for k, s in inputs.items())
     graph += b"".join(_bytes(12, _value(k, s)) for k, s in outputs.items())
     return _number(1, 8) + _bytes(7, graph) + _bytes(8, _number(2, 13))
 

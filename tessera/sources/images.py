@@ -80,7 +80,7 @@ def encode(image: str | Column) -> Column:
                 if not r["data"]:
                     rows.append({"data": None, "media_type": None})
                     continue
-                p = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], -1)
+                p = np.frombuffer(r["data"], np.uint8).reshape(int(r["height"]), int(r["width"]), -1)
                 p = p[:, :, [2, 1, 0, 3]] if p.shape[2] == 4 else p[:, :, ::-1] if p.shape[2] == 3 else np.repeat(p, 3, axis=2)
                 rows.append({"data": png(p), "media_type": "image/png"})
             yield pd.DataFrame(rows)
