@@ -52,7 +52,10 @@ def measured(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     d = d.withColumn("_at", F.sort_array(F.filter(same, lambda p: p.isNotNull())))
     reach = F.transform("_at", lambda p, i: F.least(F.lit(w), F.coalesce(F.get("_at", i + 1) - p, F.lit(w))))
     total = F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)
-    d = d.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long")))
+    # A filter on what follows would move below these projections and repeat all of them in its condition; it does
+    # not move below an expression that depends on the row's place, so one is added that is always zero.
+    barrier = F.monotonically_increasing_id() * 0
+    d = d.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long")) + barrier)
     return d.drop("_text", "_words", "_lines", "_hash", "_seen", "_pairs", "_at")
 
 
@@ -105,14 +108,9 @@ def judged(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def kept_only(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows of docs that a policy keeps, with the columns of docs.
-
-    A filter moves below the projections that feed it and would repeat the measurements in its condition; a row
-    number beside the verdict, which the filter reads too, holds it above them.
-    """
+    """The rows of docs that a policy keeps, with the columns of docs as they are, whatever their names."""
     whole = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
-    d = judged(whole, policy).withColumn("_row", F.monotonically_increasing_id())
-    return d.where(F.col("kept") & (F.col("_row") >= 0)).select("_doc.*")
+    return judged(whole, policy).where("kept").select("_doc.*")
 
 
 def ablation(led: DataFrame, policy: str = CURRENT) -> DataFrame:
