@@ -1,8 +1,9 @@
 """Toxicity: a character n-gram linear classifier with features scaled by naive Bayes log-count ratios.
 
-A text is the set of its hashed byte 4- and 5-grams (ASCII lower case). Features are scaled by the log ratio of
-their smoothed counts in toxic and other texts, and a logistic regression is fitted on the scaled features. It is
-trained on a bounded sample of labelled texts; every text is scored whole.
+A text is the hashed byte 4- to 6-grams (ASCII lower case) that it holds, each with its density: occurrences over
+one and the text's thousands of bytes, 1 at most, since in long texts a gram met once says little. Features are
+scaled by the log ratio of their smoothed counts in toxic and other texts, and a logistic regression is fitted on the
+scaled features. It is trained on a bounded sample of labelled texts; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import holdout_col, labelled_sample, text_of
 
-GRAMS, BITS = (4, 5), 20
+GRAMS, BITS, PER = (4, 5, 6), 20, 1_000
 #: Labelled texts that training may take, and the features it keeps.
 SAMPLE, FEATURES = 5_000, 2_000
 
@@ -34,6 +35,14 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.array([], dtype=np.uint32)
 
 
+def densities(text: str, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a text (of those in used, if given) and their densities."""
+    g = grams(text)
+    size = 1 + len(g) / (len(GRAMS) * PER)
+    g, n = np.unique(g if used is None else g[used[g]], return_counts=True)
+    return g, np.minimum(1, n / size)
+
+
 class NaiveBayesLinear:
     """Weights of the scaled features, by hash, and the intercept."""
 
@@ -42,9 +51,8 @@ class NaiveBayesLinear:
         self.used = weights != 0
 
     def score(self, text: str) -> float:
-        g = grams(text)
-        g = np.unique(g[self.used[g]])
-        z = self.intercept + float(self.weights[g].sum(dtype=np.float64))
+        g, x = densities(text, self.used)
+        z = self.intercept + float(self.weights[g] @ x)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -56,22 +64,23 @@ def fit(texts: list[str], labels: list[int], features: int = FEATURES, rounds: i
     size = 1 << BITS
     if not 0 < y.sum() < len(y):
         return NaiveBayesLinear(np.zeros(size), prior)
-    sets = [np.unique(grams(t)).astype(np.int32) for t in texts]
-    one, zero = np.zeros(size), np.zeros(size)
-    for s, label in zip(sets, labels, strict=True):
-        (one if label else zero)[s] += 1
+    one, zero, texts_with = np.zeros(size), np.zeros(size), np.zeros(size, dtype=np.int32)
+    for text, label in zip(texts, labels, strict=True):
+        g, x = densities(text)
+        (one if label else zero)[g] += x
+        texts_with[g] += 1
     p, q = (one + 0.5) / (y.sum() + 1), (zero + 0.5) / (len(y) - y.sum() + 1)
     ratio = np.log(p / q)
     # What tells the labels apart and is not met once only: the ratio weighed by how often it is met.
-    worth = np.abs(p - q) * np.abs(ratio) * (one + zero >= 3)
+    worth = np.abs(p - q) * np.abs(ratio) * (texts_with >= 3)
     chosen = np.sort(np.argsort(-worth, kind="stable")[:features])
     chosen = chosen[worth[chosen] > 0]
-    slot = np.full(size, -1, dtype=np.int32)
-    slot[chosen] = np.arange(len(chosen))
-    rows = [slot[s][slot[s] >= 0] for s in sets]
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows)
-    x = ratio[chosen][col]
+    slot, used = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=bool)
+    slot[chosen], used[chosen] = np.arange(len(chosen)), True
+    rows = [densities(t, used) for t in texts]  # once more, so that the grams of all texts are never held together
+    row = np.repeat(np.arange(len(rows)), [len(g) for g, _ in rows])
+    col = slot[np.concatenate([g for g, _ in rows])]
+    x = ratio[chosen][col] * np.concatenate([d for _, d in rows])
     w, b = np.zeros(len(chosen)), prior
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
