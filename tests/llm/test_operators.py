@@ -193,6 +193,14 @@ def test_rules_and_ablation(spark, docs, empty):
     assert rules.judged(empty).count() == 0
 
 
+def test_toxicity_densities():
+    for text in ("", "abcab", "spam " * 3_000, "éàé xyz"):
+        grams, found = toxicity.densities(text)
+        every = toxicity.grams(text).tolist()
+        size = 1 + len(every) / (len(toxicity.GRAMS) * toxicity.PER)
+        assert dict(zip(grams.tolist(), found.tolist(), strict=True)) == {g: min(1, every.count(g) / size) for g in set(every)}
+
+
 def test_toxicity_learns_words(spark, docs, empty):
     rng, rows, labels = random.Random(2), [], []
     for i in range(400):
