@@ -27,6 +27,8 @@ from tessera.operators.tokenize import byte_symbols
 WINDOW, OPEN, MIN_CUT, END_ID, MERGE = 2048, 64, 64, 1, 4096
 #: Words whose ids one Python worker remembers, twice over: the latest ones and those before them.
 REMEMBERED = 300_000
+#: Longer words, in bytes, are not remembered.
+LONGEST = 128
 
 _tokenizers: dict[str, "WordIds"] = {}
 
@@ -69,6 +71,8 @@ class WordIds(dict):
                 ids = self[word[:-1]] + self[last]
             else:
                 ids = self._word(text)
+        if len(word) > LONGEST:
+            return ids
         if len(self) >= REMEMBERED:
             self.before = dict(self)
             self.clear()

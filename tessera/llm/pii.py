@@ -12,6 +12,7 @@ import datetime
 import hashlib
 import math
 import re
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,7 +24,8 @@ from tessera.llm.common import text_of
 KINDS = ("card", "ssn", "phone", "ip", "date", "iban", "email")
 ROUNDS, KEY = 10, "tessera"
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+#: A local part has at most 64 characters; of a longer run the last 64 count.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
 IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])")
 DATE = re.compile(r"(?<![0-9])(?:([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![0-9])")
@@ -167,11 +169,12 @@ def find(text: str, key: str = KEY) -> list[tuple[int, int, str, str]]:
         if ("@" not in text) if kind == "email" else (digit is None):
             continue
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _, _ in found):
+            before = bisect_left(found, (m.end(),)) - 1
+            if before >= 0 and found[before][1] > m.start():
                 continue
             if (value := new(m, key)) is not None:
-                found.append((m.start(), m.end(), kind, value))
-    return sorted(found)
+                insort(found, (m.start(), m.end(), kind, value))
+    return found
 
 
 def replace(text: str, found: list[tuple[int, int, str, str]]) -> str:

@@ -321,3 +321,21 @@ def test_pii_keeps_formats_and_links(spark, docs, empty):
     assert out[3]["text"] == out[4]["text"] == "" and out[5]["text"] == rows[4][1]
     assert (out[1]["n_card"], out[1]["n_date"], out[1]["n_ip"], out[1]["n_email"], out[1]["n_phone"], out[1]["n_ssn"], out[1]["n_iban"]) == (2, 2, 1, 1, 1, 1, 1)
     assert pii.report(docs).where("spans <> ''").count() == 0 and pii.report(empty).count() == 0
+
+
+def test_pii_in_very_long_texts():
+    many = " ".join(f"u{i}@example.com 10.0.{i % 250}.7" for i in range(3000))
+    found = pii.find(many)
+    assert [f[2] for f in found] == ["email", "ip"] * 3000 and found == sorted(found)
+    assert [f[:3] for f in pii.find("b" * 9000 + "@example.com 1")] == [(8936, 9012, "email")]
+    assert pii.find("a" * 50_000 + "@" + "b" * 50_000 + " 1") == []
+
+
+def test_long_words_are_not_remembered():
+    from tessera.llm.queries import default_tokenizer
+
+    words = packing.WordIds(default_tokenizer())
+    text = "short " + "Long" * 200 + " short"
+    ids = words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert words.text(text) == b"".join(i.to_bytes(4, "little") for i in ids)
+    assert max(map(len, words)) <= packing.LONGEST
