@@ -141,4 +141,15 @@ SQL = {
     "onnx_depth": DEPTH + "SELECT vec_id, i AS pos, round(v, 5) AS value FROM d",
     "task_classify": TENSOR + "SELECT vec_id, arg_min(pos, (-value, pos)) AS class_id, 1::INT AS n FROM t GROUP BY vec_id",
     "task_segment": """SELECT vec_id, 4::INT AS "SegmentationMask_Width", 4::INT AS "SegmentationMask_Height", 16::INT AS pixels FROM embeddings""",
+    "task_embed": TENSOR + "SELECT vec_id, 16::INT AS width, arg_min(pos, (-value, pos))::INT AS largest FROM t WHERE pos < 16 GROUP BY vec_id",
+    "task_detect": TENSOR + """, b AS (SELECT vec_id, pos % 8 AS box, max(value) AS score FROM t WHERE pos >= 32 GROUP BY ALL),
+        n AS (SELECT vec_id, count(*) FILTER (score > 0.5)::INT AS boxes FROM b GROUP BY vec_id)
+        SELECT vec_id, boxes, (6 * boxes)::INT AS numbers FROM n""",
+    "task_zero_shot": TENSOR + """SELECT vec_id, list_extract(['first', 'second', 'third'], arg_min(pos, (-value, pos))::INT + 1) AS predicted, 3::INT AS n
+        FROM t WHERE pos < 3 GROUP BY vec_id""",
+    "task_caption": "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'dog' ELSE 'a cat' END AS caption FROM embeddings",
+    "task_segment_prompts": TENSOR + "SELECT vec_id, count(*) FILTER (value > 0)::INT AS pixels, 0.75::DOUBLE AS iou FROM t WHERE pos BETWEEN 16 AND 31 GROUP BY vec_id",
+    "task_generate": "SELECT item_id, 16::INT AS width, 16::INT AS height, 1024::INT AS bytes FROM benchmark",
+    "event_windows": """SELECT strftime(time_bucket(INTERVAL 5 minutes, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n
+        FROM events WHERE ts IS NOT NULL GROUP BY ALL""",
 }

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from tessera.functions import diffusion
 from tessera.functions import vectors as V
 from tessera.operators import chat, onnx, tasks, tokenize, toy_onnx
 from tessera.sources import images
+from tessera.streaming import stream
 
 LABELS = [f"class_{i}" for i in range(40)]
 YOLO_CLASSES, YOLO_BOXES = 4, 8
@@ -430,3 +432,82 @@ def task_depth(spark, sf_dir):
     d = tasks.estimate_depth(pictures(spark, sf_dir), t)
     v = F.col("DepthMap")
     return d.select("vec_id", F.array_min(v).cast("double").alias("low"), F.array_max(v).cast("double").alias("high"), F.size(v).alias("pixels"))
+
+
+@query
+def task_embed(spark, sf_dir):
+    """Unit embeddings of the first 16 numbers: their width, and where each is largest."""
+    t = tasks.Task(toy_onnx.reshaping([3, 4, 4], [3, 16]), TINY)
+    d = tasks.embed(pictures(spark, sf_dir), t)
+    return d.select("vec_id", F.size("Embedding").alias("width"), V.argmax("Embedding").cast("int").alias("largest"))
+
+
+@query
+def task_detect(spark, sf_dir):
+    """Boxes above the score; no overlap is above 1, so that none is suppressed here (nms does that)."""
+    t = tasks.Task(toy_onnx.reshaping([3, 4, 4], [6, 8]), TINY)
+    d = tasks.detect(pictures(spark, sf_dir), t, iou=1.1)
+    return d.select("vec_id", F.col("DetectedObjects_Count").alias("boxes"), F.size("DetectedObjects_Boxes").alias("numbers"))
+
+
+@query
+def task_zero_shot(spark, sf_dir):
+    t = tasks.Task(toy_onnx.reshaping([3, 4, 4], [48]), TINY, labels=("first", "second", "third"))
+    d = tasks.zero_shot(pictures(spark, sf_dir), t, np.eye(48)[:3].tolist())
+    return d.select("vec_id", F.col("PredictedLabel").alias("predicted"), F.size("Predictions").alias("n"))
+
+
+@query
+def task_caption(spark, sf_dir):
+    """Captions, and answers where there is a question, by a decoder that knows one next word for every word."""
+    step = np.zeros((8, 8), np.float32)
+    for a, b in ((1, 3), (3, 4), (4, 2), (2, 5), (5, 2)):
+        step[a, b] = 1
+    decoder = toy_onnx.model(
+        [toy_onnx.node("Gather", ["w", "ids"], ["y"])], {"ids": [1, "n"]}, {"y": [1, "n", 8]}, {"w": step}, ("ids",)
+    )
+    words = tokenize.WordPieceTokenizer(["[PAD]", "[B]", "[E]", "a", "cat", "dog", "what", "##s"])
+    d = pictures(spark, sf_dir).withColumn("question", F.when(F.col("vec_id") % 2 == 0, "what"))
+    d = tasks.caption(d, tasks.Task(toy_onnx.reshaping([3, 4, 4], [48]), TINY), decoder, words, "question", 10, 1, 2)
+    return d.select("vec_id", F.col("Caption").alias("caption"))
+
+
+@query
+def task_segment_prompts(spark, sf_dir):
+    """The best of three masks for the prompt of each picture's middle."""
+    decoder = toy_onnx.model(
+        [toy_onnx.node("Identity", ["x"], ["masks"]), toy_onnx.node("Identity", ["c"], ["iou"])],
+        {"x": [1, 3, 4, 4]}, {"masks": [1, 3, 4, 4], "iou": [1, 3]}, {"c": np.array([[0.25, 0.75, 0.75]], np.float32)},
+    )
+    d = tasks.encode_images(pictures(spark, sf_dir), tasks.Task(toy_onnx.reshaping([3, 4, 4], [3, 4, 4]), TINY))
+    d = tasks.segment_prompts(d.withColumn("Prompt", tasks.center(F.col("Image"))), decoder)
+    pixels = F.size(F.filter("SegmentAnythingMask", lambda x: x > 0))
+    return d.select("vec_id", pixels.alias("pixels"), F.col("SegmentAnythingMask_IoU").cast("double").alias("iou"))
+
+
+@query
+def task_generate(spark, sf_dir):
+    """A picture for every text: the noise is passed on, and each number of the last step fills 8 x 8 pixels."""
+    text = toy_onnx.model(
+        [toy_onnx.node("Gather", ["w", "ids"], ["y"])], {"ids": [1, 77]}, {"y": [1, 77, 2]},
+        {"w": np.zeros((49408, 2), np.float32)}, ("ids",),
+    )
+    unet = toy_onnx.model([toy_onnx.node("Identity", ["x"], ["y"])], {"x": [2, 4, 2, 2]}, {"y": [2, 4, 2, 2]})
+    larger = np.kron(np.eye(2), np.ones((1, 8)))
+    grow = np.kron(np.eye(4, 3), np.kron(larger, larger)).astype(np.float32)
+    vae = toy_onnx.model(
+        [toy_onnx.node("Reshape", ["x", "flat"], ["f"]), toy_onnx.node("MatMul", ["f", "w"], ["g"]), toy_onnx.node("Reshape", ["g", "s"], ["y"])],
+        {"x": [1, 4, 2, 2]}, {"y": [1, 3, 16, 16]},
+        {"flat": np.array([1, 16]), "w": grow, "s": np.array([1, 3, 16, 16])},
+    )
+    d = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    d = tasks.generate(d, tasks.Generator(text, unet, vae, steps=3, size=(16, 16)), "text")
+    return d.select("item_id", "Image.width", "Image.height", F.length("Image.data").alias("bytes"))
+
+
+@query
+def event_windows(spark, sf_dir):
+    """The windowed counts of streams, over a table that is all there."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    d = stream.windowed_counts(events, "event_type")
+    return d.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
