@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import jaccard
 from tessera.llm.common import shared_table, text_of
 from tessera.llm.graph import component_roots
 
@@ -172,16 +173,30 @@ def close_pairs(prints: DataFrame, limit: int = LIMIT, chunk: int = CHUNK, n_piv
     return twos.union(tasks.mapInPandas(lambda it: _links(it, limit), schema))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT,
+    shingle: int = SHINGLE, similarity: float | None = None,
+) -> DataFrame:
     """One row per input row: id, ``fp`` (signed long), ``component_id`` (smallest id reachable over links).
 
-    Null and empty texts have fingerprint zero and link like any other. Repeated rows stay repeated. A null id
-    stays null and takes the smallest id of its component, or null if that has none.
+    Texts are linked within ``limit`` bits of their fingerprints, or, where a similarity is given, by the exact
+    Jaccard similarity of their shingles; fp is then a hash of the text. Null and empty texts have fingerprint zero
+    and link like any other. Repeated rows stay repeated. A null id stays null and takes the smallest id of its
+    component, or null if that has none.
     """
-    print_of = F.pandas_udf(lambda texts: texts.map(lambda t: np.uint64(fingerprint(t)).astype(np.int64)), T.LongType())
-    prints = shared_table(docs.select(F.col(id_col).alias("id"), print_of(text_of(text_col)).alias("fp")), "prints")
+    if similarity is None:
+        print_of = F.pandas_udf(
+            lambda texts: texts.map(lambda t: np.uint64(fingerprint(t, shingle)).astype(np.int64)), T.LongType()
+        )(text_of(text_col))
+    else:
+        print_of = jaccard.node_of(text_of(text_col))
+    prints = shared_table(docs.select(F.col(id_col).alias("id"), print_of.alias("fp")), "prints")
     classes = shared_table(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
-    roots = component_roots(close_pairs(classes, limit))
+    if similarity is None:
+        roots = component_roots(close_pairs(classes, limit))
+    else:
+        texts = docs.select(jaccard.node_of(text_of(text_col)).alias("node"), text_of(text_col).alias("text"))
+        roots = jaccard.similar_roots(texts, shingle, similarity)
     linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = shared_table(linked, "linked")
     best = (
@@ -193,11 +208,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The documents without near-copies: of each component the row with the smallest id stays.
 
     Equal rows of one id count once; rows without an id can't be told apart by it and all stay.
     """
-    found = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    found = near_duplicates(docs, shingle=shingle, similarity=similarity).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
