@@ -173,30 +173,13 @@ def close_pairs(prints: DataFrame, limit: int = LIMIT, chunk: int = CHUNK, n_piv
     return twos.union(tasks.mapInPandas(lambda it: _links(it, limit), schema))
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT,
-    shingle: int = SHINGLE, similarity: float | None = None,
-) -> DataFrame:
-    """One row per input row: id, ``fp`` (signed long), ``component_id`` (smallest id reachable over links).
-
-    Texts are linked within ``limit`` bits of their fingerprints, or, where a similarity is given, by the exact
-    Jaccard similarity of their shingles; fp is then a hash of the text. Null and empty texts have fingerprint zero
-    and link like any other. Repeated rows stay repeated. A null id stays null and takes the smallest id of its
-    component, or null if that has none.
-    """
-    if similarity is None:
-        print_of = F.pandas_udf(
-            lambda texts: texts.map(lambda t: np.uint64(fingerprint(t, shingle)).astype(np.int64)), T.LongType()
-        )(text_of(text_col))
-    else:
-        print_of = jaccard.node_of(text_of(text_col))
-    prints = shared_table(docs.select(F.col(id_col).alias("id"), print_of.alias("fp")), "prints")
+def _linked(prints: DataFrame, docs: DataFrame, text: Column, limit: int, shingle: int, similarity: float | None) -> DataFrame:
+    """``fp`` and ``component``, the least ``id`` of its component, for the distinct fp of prints (``id`` and ``fp``)."""
     classes = shared_table(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
     if similarity is None:
         roots = component_roots(close_pairs(classes, limit))
     else:
-        texts = docs.select(jaccard.node_of(text_of(text_col)).alias("node"), text_of(text_col).alias("text"))
-        roots = jaccard.similar_roots(texts, shingle, similarity)
+        roots = jaccard.similar_roots(docs.select(jaccard.node_of(text).alias("node"), text.alias("text")), shingle, similarity)
     linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = shared_table(linked, "linked")
     best = (
@@ -204,15 +187,45 @@ def near_duplicates(
         .groupBy("root").agg(F.min("first_id").alias("component"))
     )
     moved = linked.join(best, "root").select(F.col("node").alias("fp"), "component")
-    classes = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component_id"))
+    return classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component"))
+
+
+def _print_of(text: Column, shingle: int, similarity: float | None) -> Column:
+    if similarity is not None:
+        return jaccard.node_of(text)
+    return F.pandas_udf(lambda texts: texts.map(lambda t: np.uint64(fingerprint(t, shingle)).astype(np.int64)), T.LongType())(text)
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT,
+    shingle: int = SHINGLE, similarity: float | None = None,
+) -> DataFrame:
+    """One row per input row: id, ``fp`` (signed long), ``component_id`` (smallest id reachable over links).
+
+    Texts are linked within ``limit`` bits of their fingerprints, or, where a similarity is given, by the exact
+    Jaccard similarity of their shingles; fp is then a hash of the text. Null and empty texts have fingerprint zero
+    and link like any other. Repeated rows stay repeated. A null id stays null and takes the smallest id of its
+    component, or null if that has none.
+    """
+    text = text_of(text_col)
+    prints = shared_table(docs.select(F.col(id_col).alias("id"), _print_of(text, shingle, similarity).alias("fp")), "prints")
+    classes = _linked(prints, docs, text, limit, shingle, similarity).withColumnRenamed("component", "component_id")
     return prints.join(classes, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """The documents without near-copies: of each component the row with the smallest id stays.
+    """The documents without near-copies: of each component one row stays, that with the smallest id.
 
-    Equal rows of one id count once; rows without an id can't be told apart by it and all stay.
+    The survivor is a row, not an id: rows go by id, those without one last, then by a hash of the text. Of rows
+    that agree in both one stays.
     """
-    found = near_duplicates(docs, shingle=shingle, similarity=similarity).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    text = text_of()
+    key = F.struct(F.col("doc_id").isNull().alias("lost"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("hash"))
+    prints = shared_table(docs.select(key.alias("id"), _print_of(text, shingle, similarity).alias("fp")), "prints")
+    first = _linked(prints, docs, text, LIMIT, shingle, similarity).select("component.*").distinct()
+    # No null may stand in a join's key: a lost id is joined as zero beside its flag.
+    flat = lambda lost, doc_id, h: [lost.alias("_lost"), F.coalesce(doc_id, F.lit(0)).alias("_id"), h.alias("_hash")]
+    first = shared_table(first.select(*flat(F.col("lost"), F.col("id"), F.col("hash"))), "first")
+    rows = docs.select(*docs.columns, *flat(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(text)))
+    kept = rows.join(first, ["_lost", "_id", "_hash"], "left_semi").dropDuplicates(["_lost", "_id", "_hash"])
+    return kept.select(*docs.columns)

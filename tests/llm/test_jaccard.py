@@ -54,3 +54,13 @@ def test_near_copies_equal_brute_force(spark, chunk, monkeypatch):
     assert kept == brute_kept(rows)
     assert len(kept) < simhash.keep_first(docs).count()  # fingerprints within 3 bits leave edited copies in
     assert simhash.keep_first(docs.limit(0), 5, 0.8).count() == 0
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_one_row_of_each_group_stays(spark, similarity):
+    rng = random.Random(9)
+    a, b, c = (" ".join(words(rng, 80)) for _ in range(3))
+    rows = [(1, a), (None, a), (None, b), (None, b), (2, a), (2, c), (2, c), (3, c), (1, c), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(((r["doc_id"], r["text"] or "") for r in simhash.keep_first(docs, 5, similarity).collect()), key=str)
+    assert kept == sorted([(1, a), (1, c), (None, b), (None, "")], key=str)
