@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_table, text_of, words_of
+from tessera.llm.common import SPACES, shared_table, text_of, words_of
 
 WEIGHTS, SHARE_HALVES, MOST = (3, 1, 2), 3, 2
 #: The hash has 48 bits, refined 12 at a time.
@@ -63,15 +63,8 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return per.select("_key", "source_size", target.alias("target"))
 
 
-def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """Per source with words: whole copies, the hash where the rest of its budget ends, and what is left there.
-
-    rows holds _key, _hash and _size; goal comes from targets(). Returns _key, source_size, target, copies,
-    _hash_at, _left (words still wanted of that hash value) and _there (words that it has).
-    """
-    budget = F.floor("target").cast("long")
-    goal = goal.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
-    state = goal.select("_key", (budget - F.col("copies") * F.col("source_size")).alias("_left"))
+def _ends(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """_key, _bucket (the hash at which the budget _left of state ends), _left (words wanted of it) and _there."""
     part = rows.where("_size > 0")
     run = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     for done in range(STEP, BITS + 1, STEP):
@@ -87,6 +80,19 @@ def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
         ends = (F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_there"))
         state = sums.where(ends).select("_key", "_bucket", (F.col("_left") - F.col("_before")).alias("_left"), "_there")
         state = shared_table(state, "threshold")
+    return state
+
+
+def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """Per source with words: whole copies, the hash where the rest of its budget ends, and what is left there.
+
+    rows holds _key, _hash and _size; goal comes from targets(). Returns _key, source_size, target, copies,
+    _hash_at, _left (words still wanted of that hash value) and _there (words that it has).
+    """
+    budget = F.floor("target").cast("long")
+    goal = goal.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
+    state = goal.select("_key", (budget - F.col("copies") * F.col("source_size")).alias("_left"))
+    state = _ends(rows, state)
     return shared_table(goal.join(state.withColumnRenamed("_bucket", "_hash_at"), "_key", "left"), "mix")
 
 
@@ -119,17 +125,41 @@ def mix(docs: DataFrame) -> DataFrame:
     return taken(rows, mix_plan(rows)).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
+def head_of(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word (n from 1 to its number of words), as it is written."""
+    parts = F.split(F.translate(text, SPACES[1:], " " * 5), " ")
+    ends = F.filter(F.transform(parts, lambda p, i: F.when(p != "", i + 1)), lambda i: i.isNotNull())
+    return F.substring(text, F.lit(1), F.length(F.array_join(F.slice(parts, F.lit(1), F.element_at(ends, n)), " ")))
+
+
+def _ties(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """_key, _tie_at, _tie_left, _tie_there: the threshold among the rows that share their source's threshold hash.
+
+    Repeated and null ids share a hash. What mix() takes of such rows in proportion is given here to whole texts in
+    the order of their own hashes, so that one distinct text of a source at most is cut.
+    """
+    tied = rows.where("_size > 0").join(plan.select("_key", "_hash_at", "_left", "_there"), "_key").where("_hash = _hash_at")
+    part = F.floor(F.col("_size") * F.col("_left") / F.col("_there")).cast("long")
+    budget = shared_table(tied.groupBy("_key").agg(F.sum(part).alias("_left")), "tied")
+    ends = _ends(tied.select("_key", F.col("_tie").alias("_hash"), "_size"), budget)
+    return ends.select("_key", F.col("_bucket").alias("_tie_at"), F.col("_left").alias("_tie_left"), F.col("_there").alias("_tie_there"))
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix: a row per whole copy, and one with the first words where a part is taken."""
     columns = docs.columns
-    rows = sized(docs)
-    small = shared_table(rows.select("_key", "_hash", "_size"), "sizes")
-    d = taken(rows, mix_plan(small)).where("taken > 0")
-    n = F.floor(F.col("taken") / F.col("_size")).cast("int")
-    rest = (F.col("taken") - n * F.col("_size")).cast("int")
-    head = F.array_join(F.slice(words_of(text_of()), 1, rest), " ")
-    copies = F.concat(F.array_repeat("text", n), F.when(rest > 0, F.array(head)).otherwise(F.array().cast("array<string>")))
-    d = d.withColumn("_copy", F.explode(copies)).withColumn("text", F.col("_copy"))
+    rows = sized(docs).withColumn("_tie", F.shiftrightunsigned(F.xxhash64(text_of()), 64 - BITS))
+    small = shared_table(rows.select("_key", "_hash", "_size", "_tie"), "sizes")
+    plan = mix_plan(small)
+    d = taken(rows, plan.join(_ties(small, plan), "_key", "left").withColumn("_at", F.col("_hash_at")).withColumn("_n", F.col("copies")))
+    share = F.floor(F.col("_size") * F.col("_tie_left") / F.col("_tie_there")).cast("long")
+    more = F.when(F.col("_tie") < F.col("_tie_at"), F.col("_size")).when(F.col("_tie") == F.col("_tie_at"), share).otherwise(0)
+    tied = (F.col("_hash") == F.col("_at")) & (F.col("_size") > 0)
+    d = d.withColumn("_taken", F.when(tied, F.col("_size") * F.col("_n") + more).otherwise(F.col("taken"))).where("_taken > 0")
+    n = F.floor(F.col("_taken") / F.col("_size")).cast("int")
+    rest = (F.col("_taken") - n * F.col("_size")).cast("int")
+    head = F.when(rest > 0, F.array(head_of(text_of(), rest))).otherwise(F.array().cast("array<string>"))
+    d = d.withColumn("_copy", F.explode(F.concat(F.array_repeat("text", n), head))).withColumn("text", F.col("_copy"))
     if "n_chars" in columns:
         d = d.withColumn("n_chars", F.length("text").cast("long"))
     return d.select(*columns)
