@@ -151,7 +151,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = sized(docs).withColumn("_tie", F.shiftrightunsigned(F.xxhash64(text_of()), 64 - BITS))
     small = shared_table(rows.select("_key", "_hash", "_size", "_tie"), "sizes")
     plan = mix_plan(small)
-    d = taken(rows, plan.join(_ties(small, plan), "_key", "left").withColumn("_at", F.col("_hash_at")).withColumn("_n", F.col("copies")))
+    plan = plan.join(_ties(small, plan), "_key", "left").withColumns({"_at": F.col("_hash_at"), "_n": F.col("copies")})
+    d = taken(rows, F.broadcast(shared_table(plan, "plan")))  # one row per source
     share = F.floor(F.col("_size") * F.col("_tie_left") / F.col("_tie_there")).cast("long")
     more = F.when(F.col("_tie") < F.col("_tie_at"), F.col("_size")).when(F.col("_tie") == F.col("_tie_at"), share).otherwise(0)
     tied = (F.col("_hash") == F.col("_at")) & (F.col("_size") > 0)
