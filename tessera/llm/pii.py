@@ -27,6 +27,14 @@ ROUNDS, KEY = 10, "tessera"
 #: A local part has at most 64 characters; of a longer run the last 64 count.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
+#: Characters of a country's IBAN, for numbers with other words behind them.
+IBAN_LENGTHS = {c: int(n) for n, cs in (
+    line.split(":") for line in (
+        "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+        "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+        "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC 33:RU"
+    ).split()
+) for c in cs.split(",")}
 IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])")
 DATE = re.compile(r"(?<![0-9])(?:([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![0-9])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
@@ -126,10 +134,31 @@ def _iban_check(country: str, body: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
 
 
+def _iban_ok(s: str) -> bool:
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def ibans(text: str) -> Iterator[re.Match]:
+    """Matches of IBAN; where words that follow were taken for groups, without them.
+
+    A match that fails its check is cut to its country's length, or by its last group where the country has none here,
+    if that is valid. The search goes on behind what is valid, or behind the first four characters of what is not.
+    """
+    at = 0
+    while m := IBAN.search(text, at):
+        at = m.start() + 4
+        for end in [m.end(), *(m.start() + g.start() for g in reversed(list(re.finditer(" ", m[0]))))]:
+            s = text[m.start() : end].replace(" ", "")
+            if _iban_ok(s) and (end == m.end() or len(s) == IBAN_LENGTHS.get(s[:2], len(s)) and (s[:2] in IBAN_LENGTHS or " " not in text[end + 1 : m.end()])):
+                m, at = IBAN.fullmatch(text, m.start(), end), end
+                break
+        yield m
+
+
 def iban(m: re.Match, key: str) -> str | None:
     """Digits are permuted, letters stay, and the check digits are made to fit."""
     s = m[0].replace(" ", "")
-    if not 15 <= len(s) <= 34 or int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 != 1:
+    if not _iban_ok(s):
         return None
     digits = _digits(s[4:])
     if not digits:
@@ -168,7 +197,7 @@ def find(text: str, key: str = KEY) -> list[tuple[int, int, str, str]]:
     for kind, pattern, new in FORMATS:
         if ("@" not in text) if kind == "email" else (digit is None):
             continue
-        for m in pattern.finditer(text):
+        for m in ibans(text) if kind == "iban" else pattern.finditer(text):
             before = bisect_left(found, (m.end(),)) - 1
             if before >= 0 and found[before][1] > m.start():
                 continue
