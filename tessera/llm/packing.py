@@ -80,7 +80,8 @@ class WordIds(dict):
         return ids
 
     def text(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        low = text.lower()
+        if any(s in text or s in low for s in self.special):
             return self._encode(text)
         return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").lower().split()))
 
