@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import label_of, no_nan
+from tessera.functions.vectors import label_of, let, no_nan
 
 
 def transpose(v: Column, rows: int, cols: int) -> Column:
     """A row-major (rows, cols) matrix as (cols, rows)."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(rows * cols - 1)),
-        lambda p: F.get(v, ((p % rows) * cols + F.floor(p / rows)).cast("int")),
-    )
+    source = lambda p: ((p % rows) * cols + F.floor(p / rows)).cast("int")
+    return let(v, lambda v: F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda p: F.get(v, source(p))))
 
 
 def decode(raw: Column, classes: int, boxes: int, threshold: float, labels: Column | None = None) -> Column:
@@ -21,19 +19,19 @@ def decode(raw: Column, classes: int, boxes: int, threshold: float, labels: Colu
 
     Centres become corners, in model-input pixels. The first best class wins; ``box`` is the position in the tensor.
     """
-    at = lambda r, b: F.get(raw, r * boxes + b)
 
-    def one(b: Column) -> Column:
-        scores = no_nan(F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: at(c + 4, b)))
-        best = F.array_max(scores)
-        kind = (F.array_position(scores, best) - 1).cast("int")
-        w, h = at(F.lit(2), b), at(F.lit(3), b)
-        return F.struct(
-            (at(F.lit(0), b) - w / 2).alias("x"), (at(F.lit(1), b) - h / 2).alias("y"), w.alias("width"), h.alias("height"),
-            label_of(labels, kind).alias("label"), kind.alias("class_id"), best.alias("score"), b.alias("box"),
-        )
+    def one(raw: Column, b: Column) -> Column:
+        at = lambda r: F.get(raw, r * boxes + b)
+        scores = no_nan(F.transform(F.sequence(F.lit(4), F.lit(classes + 3)), at))
+        best = lambda s: let(F.array_max(s), lambda m: F.struct(m.alias("score"), (F.array_position(s, m) - 1).cast("int").alias("kind")))
+        return let(let(scores, best), lambda k: F.struct(
+            (at(F.lit(0)) - at(F.lit(2)) / 2).alias("x"), (at(F.lit(1)) - at(F.lit(3)) / 2).alias("y"),
+            at(F.lit(2)).alias("width"), at(F.lit(3)).alias("height"),
+            label_of(labels, k["kind"]).alias("label"), k["kind"].alias("class_id"), k["score"].alias("score"), b.alias("box"),
+        ))
 
-    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(boxes - 1)), one), lambda s: s["score"] > threshold)
+    every = lambda raw: F.transform(F.sequence(F.lit(0), F.lit(boxes - 1)), lambda b: one(raw, b))
+    return F.filter(let(raw, every), lambda s: s["score"] > threshold)
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -54,13 +52,10 @@ def by_score(boxes: Column) -> Column:
 
 def suppress(boxes: Column, threshold: float = 0.45, most: int | None = None) -> Column:
     """Greedy suppression within a class: a box goes if it overlaps a better kept one by the threshold or more."""
-    order = by_score(boxes)
-    kept = F.aggregate(
-        order, F.slice(order, 1, 0),
-        lambda acc, b: F.when(
-            F.exists(acc, lambda k: (k["class_id"] == b["class_id"]) & (iou(k, b) >= threshold)), acc
-        ).otherwise(F.concat(acc, F.array(b))),
-    )
+    rival = lambda acc, b: F.exists(acc, lambda k: (k["class_id"] == b["class_id"]) & (iou(k, b) >= threshold))
+    kept = let(by_score(boxes), lambda order: F.aggregate(
+        order, F.slice(order, 1, 0), lambda acc, b: F.when(rival(acc, b), acc).otherwise(F.concat(acc, F.array(b))),
+    ))
     return kept if most is None else F.slice(kept, 1, most)
 
 

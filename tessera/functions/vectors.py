@@ -6,6 +6,8 @@ infinity wherever a largest element is sought.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, however often body and its lambdas name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(v: str | Column) -> Column:
     return F.transform(_col(v), lambda x: x.cast("double"))
 
@@ -30,9 +37,8 @@ def total(v: Column) -> Column:
 
 def softmax(v: str | Column) -> Column:
     """Probabilities of logits, shifted by their maximum."""
-    v = doubles(v)
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / total(e))
+    shifted = lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    return let(let(doubles(v), shifted), lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def label_of(labels: Column | None, i: Column) -> Column:
@@ -53,8 +59,7 @@ def ranked(p: Column, labels: Column | None = None, k: int | None = None) -> Col
 
 def argmax(v: str | Column) -> Column:
     """Index of the largest element, the first of equals; NaN only if it is all there is."""
-    clean = no_nan(_col(v))
-    return (F.array_position(clean, F.array_max(clean)) - 1).cast("int")
+    return let(no_nan(_col(v)), lambda clean: (F.array_position(clean, F.array_max(clean)) - 1).cast("int"))
 
 
 def top_label(predictions: Column) -> Column:
@@ -68,14 +73,14 @@ def cls_pool(v: str | Column, dim: int) -> Column:
 
 def mean_pool(v: str | Column, dim: int) -> Column:
     """Mean over the rows of a (length / dim, dim) matrix, the first row included."""
-    v = doubles(v)
-    rows = F.floor(F.size(v) / dim).cast("int")
-    steps = F.sequence(F.lit(0), rows - 1)
-    means = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda d: F.aggregate(steps, F.lit(0.0), lambda a, r: a + F.get(v, r * dim + d)) / rows,
-    )
-    return F.when(v.isNotNull(), means)
+
+    def means(v: Column) -> Column:
+        rows = F.floor(F.size(v) / dim).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.slice(v, r * dim + 1, F.lit(dim)))
+        sums = F.aggregate(parts, F.array_repeat(F.lit(0.0), dim), lambda a, p: F.zip_with(a, p, lambda x, y: x + y))
+        return F.transform(sums, lambda x: x / rows)
+
+    return let(doubles(v), lambda v: F.when(F.size(v) >= dim, means(v)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -88,47 +93,39 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: str | Column) -> Column:
     """The vector over its length; a zero vector stays."""
-    v = _col(v)
-    n = norm(v)
-    return F.when(n > 0, F.transform(doubles(v), lambda x: x / n)).otherwise(doubles(v))
+    over = lambda v, n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return let(doubles(v), lambda v: let(norm(v), lambda n: over(v, n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, 0 where either vector is zero."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
+    return let(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0)))
 
 
 def clip_scores(image: Column, texts: list[list[float]], scale: float = 100.0) -> Column:
     """Softmax of scaled cosines of an image to candidate texts, which are few and given as literals."""
     rows = F.array(*[F.array(*[F.lit(float(x)) for x in t]) for t in texts])
-    return softmax(F.transform(rows, lambda t: cosine(image, t) * scale))
+    return softmax(let(doubles(image), lambda v: F.transform(rows, lambda t: cosine(v, t) * scale)))
 
 
 def pixel_argmax(v: str | Column, classes: int, height: int, width: int) -> Column:
     """Class of every pixel of a (classes, height, width) tensor, the lowest class of equals."""
-    v, n = _col(v), height * width
-    by_pixel = F.transform(
+    n = height * width
+    by_pixel = lambda v: F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda p: F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.get(v, c * n + p)),
+        lambda p: argmax(F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.get(v, c * n + p))),
     )
-    return F.transform(by_pixel, argmax)
+    return let(_col(v), by_pixel)
 
 
 def resize_nearest(v: Column, height: int, width: int, to_height: int, to_width: int) -> Column:
     """Nearest neighbour by whole-number scaling."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(to_height * to_width - 1)),
-        lambda p: F.get(
-            v,
-            (F.floor(F.floor(p / to_width) * height / to_height) * width + F.floor((p % to_width) * width / to_width)).cast("int"),
-        ),
-    )
+    source = lambda p: (F.floor(F.floor(p / to_width) * height / to_height) * width + F.floor((p % to_width) * width / to_width)).cast("int")
+    return let(v, lambda v: F.transform(F.sequence(F.lit(0), F.lit(to_height * to_width - 1)), lambda p: F.get(v, source(p))))
 
 
 def resize_bilinear(v: Column, height: int, width: int, to_height: int, to_width: int, edge: str = "reference") -> Column:
     """Bilinear with half-pixel centres; see config.Preprocess for edge."""
-    v = doubles(v)
 
     def axis(i: Column, size: int, to: int) -> tuple[Column, Column, Column]:
         at = (i + 0.5) * (size / to) - 0.5
@@ -136,13 +133,13 @@ def resize_bilinear(v: Column, height: int, width: int, to_height: int, to_width
         low = F.greatest(F.floor(at), F.lit(0)).cast("int")
         return low, F.least(low + 1, F.lit(size - 1)), at - F.floor(at)
 
-    def pixel(p: Column) -> Column:
+    def pixel(v: Column, p: Column) -> Column:
         y0, y1, fy = axis(F.floor(p / to_width), height, to_height)
         x0, x1, fx = axis(p % to_width, width, to_width)
         at = lambda y, x: F.get(v, y * width + x)
         return (at(y0, x0) * (1 - fx) + at(y0, x1) * fx) * (1 - fy) + (at(y1, x0) * (1 - fx) + at(y1, x1) * fx) * fy
 
-    return F.transform(F.sequence(F.lit(0), F.lit(to_height * to_width - 1)), pixel)
+    return let(doubles(v), lambda v: F.transform(F.sequence(F.lit(0), F.lit(to_height * to_width - 1)), lambda p: pixel(v, p)))
 
 
 def pixel_at(v: Column, x: int, y: int, width: int, height: int) -> Column:
@@ -155,13 +152,16 @@ def pixel_at(v: Column, x: int, y: int, width: int, height: int) -> Column:
 def depth_map(raw: str | Column, height: int, width: int) -> Column:
     """(values in 0..1, width, height, min_depth, max_depth) of the last height x width numbers of raw."""
     n = height * width
-    v = F.slice(doubles(raw), F.size(_col(raw)) - n + 1, F.lit(n))
-    low, high = F.array_min(v), F.array_max(v)
-    spread = F.when(high - low < 1e-8, F.lit(1.0)).otherwise(high - low)
-    return F.struct(
-        F.transform(v, lambda x: (x - low) / spread).alias("values"),
-        F.lit(width).alias("width"), F.lit(height).alias("height"), low.alias("min_depth"), high.alias("max_depth"),
-    )
+
+    def scaled(v: Column, low: Column, high: Column) -> Column:
+        spread = F.when(high - low < 1e-8, F.lit(1.0)).otherwise(high - low)
+        return F.struct(
+            let(spread, lambda s: F.transform(v, lambda x: (x - low) / s)).alias("values"),
+            F.lit(width).alias("width"), F.lit(height).alias("height"), low.alias("min_depth"), high.alias("max_depth"),
+        )
+
+    last = F.slice(doubles(raw), F.size(_col(raw)) - n + 1, F.lit(n))
+    return let(last, lambda v: let(F.struct(F.array_min(v).alias("a"), F.array_max(v).alias("b")), lambda x: scaled(v, x["a"], x["b"])))
 
 
 def binarize(v: Column, threshold: float = 0.0) -> Column:
@@ -194,5 +194,5 @@ def scale_input(sample: Column, sigma: float) -> Column:
 
 def guided(noise: Column, guidance: float) -> Column:
     """The unconditional half of a doubled batch, moved towards the conditional one."""
-    half = F.floor(F.size(noise) / 2).cast("int")
-    return F.zip_with(F.slice(noise, F.lit(1), half), F.slice(noise, half + 1, half), lambda u, c: u + guidance * (c - u))
+    halves = lambda v, n: F.zip_with(F.slice(v, F.lit(1), n), F.slice(v, n + 1, n), lambda u, c: u + guidance * (c - u))
+    return let(noise, lambda v: halves(v, F.floor(F.size(v) / 2).cast("int")))
