@@ -16,7 +16,7 @@ class Preprocess:
     repeats the border.
     """
 
-    size: tuple[int, int]
+    size: tuple[int, int] = (224, 224)
     mean: tuple[float, float, float] = IMAGENET[0]
     std: tuple[float, float, float] = IMAGENET[1]
     rescale: bool = True

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the scaled-linear schedule.
@@ -40,3 +40,26 @@ def to_pixels(tensor: np.ndarray) -> np.ndarray:
     """A (3, H, W) tensor in -1..1 as (H, W, 4) bytes, opaque."""
     rgb = (np.clip(tensor / 2 + 0.5, 0, 1) * 255).astype(np.uint8).transpose(1, 2, 0)
     return np.concatenate([rgb, np.full((*rgb.shape[:2], 1), 255, dtype=np.uint8)], axis=2)
+
+
+def vae_input(latent: Column) -> Column:
+    """What the decoder is fed: the latent over the scale."""
+    return F.transform(latent, lambda x: x / VAE_SCALE)
+
+
+def pixel_bytes(tensor: Column, height: int, width: int) -> Column:
+    """to_pixels as a column: the numbers 0..255 of a flat (3, H, W) tensor in -1..1, four a pixel, opaque."""
+    byte = lambda x: F.floor(F.least(F.greatest(x / 2 + 0.5, F.lit(0.0)), F.lit(1.0)) * 255).cast("int")
+    n = height * width
+    four = lambda p: F.array(*[byte(F.get(tensor, p + c * n)) for c in range(3)], F.lit(255))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), four))
+
+
+def doubled(negative: Column, prompt: Column) -> Column:
+    """The embeddings of both halves of a guided batch, the unconditional one first."""
+    return F.concat(negative, prompt)
+
+
+def unguided_ids(start: int, end: int, length: int) -> Column:
+    """The ids of a prompt without a vocabulary, as a column."""
+    return F.concat(F.array(F.lit(start)), F.array_repeat(F.lit(end), length - 1))

@@ -63,7 +63,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def detect(raw: np.ndarray, classes: int, boxes: int, score: float = 0.5, iou: float = 0.45, most: int | None = None) -> np.ndarray:
     """Rows of (x, y, width, height, class, score) kept from a (4 + classes, boxes) tensor, best first."""
-    m = np.asarray(raw).reshape(4 + classes, boxes)
+    m = np.asarray(raw, dtype=np.float64).reshape(4 + classes, boxes)
     scores = np.where(np.isnan(m[4:]), -np.inf, m[4:])
     kind, best = scores.argmax(axis=0), scores.max(axis=0)
     ids = np.flatnonzero(best > score)

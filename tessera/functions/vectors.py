@@ -67,16 +67,17 @@ def top_label(predictions: Column) -> Column:
     return F.coalesce(F.get(predictions, F.lit(0))["label"], F.lit(""))
 
 
-def cls_pool(v: str | Column, dim: int) -> Column:
-    return F.slice(_col(v), 1, dim)
+def cls_pool(v: str | Column, dim: int | Column) -> Column:
+    return F.slice(_col(v), F.lit(1), F.lit(dim))
 
 
-def mean_pool(v: str | Column, dim: int) -> Column:
+def mean_pool(v: str | Column, dim: int | Column) -> Column:
     """Mean over the rows of a (length / dim, dim) matrix, the first row included."""
+    dim = F.lit(dim)
 
     def means(v: Column) -> Column:
         rows = F.floor(F.size(v) / dim).cast("int")
-        parts = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.slice(v, r * dim + 1, F.lit(dim)))
+        parts = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.slice(v, r * dim + 1, dim))
         sums = F.aggregate(parts, F.array_repeat(F.lit(0.0), dim), lambda a, p: F.zip_with(a, p, lambda x, y: x + y))
         return F.transform(sums, lambda x: x / rows)
 

@@ -1,11 +1,22 @@
-"""Chat routing: what the last user message of a conversation asks for."""
+"""Chat over conversations: what the last user message asks for, and the answer to it.
+
+Rows are messages (conv_id, turn, role, contents), contents an array of parts (media_type, data, text).
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NO_IMAGE = "No image found in the conversation."
+from tessera.operators.onnx import Model
+from tessera.operators.tasks import Task, caption
+from tessera.operators.tokenize import WordPieceTokenizer
+from tessera.sources import images
+
+#: Fixed value: what a conversation without an image is told.
+NO_IMAGE = "No image found in the message. Please provide an image."
 
 
 def last_user(messages: DataFrame) -> DataFrame:
@@ -22,11 +33,35 @@ def route(messages: DataFrame) -> DataFrame:
     alone "caption", without one "none".
     """
     contents = F.col("contents")
-    images = F.filter(contents, lambda c: c["media_type"].startswith("image/"))
+    pictures = F.filter(contents, lambda c: c["media_type"].startswith("image/"))
     texts = F.filter(contents, lambda c: c["text"].isNotNull() & (F.trim(c["text"]) != ""))
     last = (
         messages.where(F.col("role") == "user").groupBy("conv_id").agg(F.max_by("contents", "turn").alias("contents"))
-        .select("conv_id", F.get(images, F.lit(0))["data"].alias("image"), F.get(texts, F.lit(0))["text"].alias("question"))
+        .select("conv_id", F.get(pictures, F.lit(0))["data"].alias("image"), F.get(texts, F.lit(0))["text"].alias("question"))
     )
     kind = F.when(F.col("image").isNull(), "none").when(F.col("question").isNull(), "caption").otherwise("answer")
     return last.withColumn("route", kind)
+
+
+@dataclass(frozen=True)
+class ChatAdapter:
+    """Captions and answers for conversations by an image encoder and a decoder."""
+
+    task: Task
+    decoder: bytes | Model
+    tokenizer: WordPieceTokenizer
+    length: int = 50
+    bos: int = 101
+    eos: int = 102
+    model_id: str = "captioning"
+
+    def reply(self, messages: DataFrame) -> DataFrame:
+        """conv_id, role, text: one assistant message for each conversation with a user message.
+
+        A message without an image is told so; an image that can't be decoded gets an empty text. One row holds the
+        whole reply, in a stream as well.
+        """
+        d = route(messages).withColumn(self.task.image, images.decode("image"))
+        d = caption(d, self.task, self.decoder, self.tokenizer, "question", self.length, self.bos, self.eos, "_reply")
+        text = F.when(F.col("route") == "none", NO_IMAGE).otherwise(F.col("_reply"))
+        return d.select("conv_id", F.lit("assistant").alias("role"), text.alias("text"))

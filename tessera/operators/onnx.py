@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast, SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,32 +17,76 @@ from tessera.config import Preprocess
 from tessera.functions import kernels
 from tessera.schema import SCORED
 
+CPU = "CPUExecutionProvider"
+#: A provider's name, or its name and options such as device_id.
+Provider = str | tuple[str, dict]
+
 _sessions: dict[tuple, object] = {}
+_shipped: dict[tuple[str, bytes], Model] = {}
 
 
-def read_model(path: str) -> bytes:
-    """A model file's bytes, on the driver. An empty path and a missing file are errors at once."""
+@dataclass(frozen=True)
+class Model:
+    """A model on its way to the workers: bytes in a broadcast, or a file (with its external data beside it) that
+    Spark has copied to every node. The key is taken once and names the worker's session."""
+
+    key: str
+    data: Broadcast | None = None
+    file: str = ""
+
+    def source(self) -> bytes | str:
+        return self.data.value if self.data is not None else SparkFiles.get(self.file)
+
+
+def checked(path: str) -> Path:
+    """An empty path and a missing file are errors at once."""
     if not path:
         raise ValueError("a model needs a path")
     if not Path(path).is_file():
         raise FileNotFoundError(path)
-    return Path(path).read_bytes()
+    return Path(path)
+
+
+def read_model(path: str) -> bytes:
+    """A model file's bytes, on the driver."""
+    return checked(path).read_bytes()
+
+
+def ship(spark: SparkSession, path: str, external_data: bool = False) -> Model:
+    """A model file, sent to every node once; with external data its whole folder goes along."""
+    file = checked(path)
+    spark.sparkContext.addFile(str(file.parent if external_data else file), recursive=external_data)
+    name = f"{file.parent.name}/{file.name}" if external_data else file.name
+    return Model(f"{file.resolve()}:{file.stat().st_mtime_ns}", file=name)
 
 
-def session(model: bytes, providers: tuple[str, ...] = ("CPUExecutionProvider",), fallback: bool = True):
+def shipped(model: bytes | Model) -> bytes | Model:
+    """The bytes of a model as a broadcast of the active session, one for all columns that use it."""
+    spark = SparkSession.getActiveSession()
+    if isinstance(model, Model) or spark is None:
+        return model
+    at = (spark.sparkContext.applicationId, model)
+    if at not in _shipped:
+        _shipped[at] = Model(hashlib.sha256(model).hexdigest(), spark.sparkContext.broadcast(model))
+    return _shipped[at]
+
+
+def session(model: bytes | Model, providers: tuple[Provider, ...] = (CPU,), fallback: bool = True):
     """The worker's session for a model; providers that are missing give way to the CPU if fallback is set."""
     import onnxruntime as ort
 
-    key = (hashlib.sha256(model).digest(), providers, fallback)
+    key = (model.key if isinstance(model, Model) else model, repr(providers), fallback)
     if key not in _sessions:
-        there = [p for p in providers if p in ort.get_available_providers()]
+        name = lambda p: p if isinstance(p, str) else p[0]
+        there = [p for p in providers if name(p) in ort.get_available_providers()]
         if len(there) < len(providers) and not fallback:
-            raise RuntimeError(f"no such execution provider: {sorted(set(providers) - set(there))}")
-        if fallback and "CPUExecutionProvider" not in there:
-            there.append("CPUExecutionProvider")
+            raise RuntimeError(f"no such execution provider: {[name(p) for p in providers if p not in there]}")
+        if fallback and CPU not in map(name, there):
+            there.append(CPU)
         options = ort.SessionOptions()
         options.intra_op_num_threads = options.inter_op_num_threads = 1
-        _sessions[key] = ort.InferenceSession(model, options, providers=there)
+        source = model.source() if isinstance(model, Model) else model
+        _sessions[key] = ort.InferenceSession(source, options, providers=there)
     return _sessions[key]
 
 
@@ -59,8 +104,8 @@ class ModelInfo:
         return bool(self.input_shapes and self.input_shapes[0]) and self.input_shapes[0][0] == -1
 
 
-def model_info(model: bytes) -> ModelInfo:
-    s = session(model)
+def model_info(model: bytes | Model, providers: tuple[Provider, ...] = (CPU,), fallback: bool = True) -> ModelInfo:
+    s = session(model, providers, fallback)
     shape = lambda x: tuple(d if isinstance(d, int) else -1 for d in x.shape)
     ins, outs = s.get_inputs(), s.get_outputs()
     return ModelInfo(
@@ -72,11 +117,11 @@ def model_info(model: bytes) -> ModelInfo:
 class Scorer:
     """A model with the shape of one input row; what every scoring column is made from."""
 
-    model: bytes
+    model: bytes | Model
     shape: tuple[int, ...]
     output: int = 0
     batch: int = 32
-    providers: tuple[str, ...] = ("CPUExecutionProvider",)
+    providers: tuple[Provider, ...] = (CPU,)
     fallback: bool = True
 
     def run(self, rows: list[np.ndarray]) -> list[np.ndarray]:
@@ -94,22 +139,27 @@ class Scorer:
         return out
 
 
-def _scored(values: list, scorer: Scorer, tensor) -> pd.DataFrame:
-    """Raw numbers and dimensions by row; null inputs give nulls."""
-    there = [i for i, v in enumerate(values) if v is not None]
-    raw: list = [None] * len(values)
-    dims: list = [None] * len(values)
-    for i, y in zip(there, scorer.run([tensor(values[i]) for i in there]), strict=True):
-        raw[i], dims[i] = y.ravel().astype(np.float32), list(map(int, y.shape))
-    return pd.DataFrame({"raw": raw, "dims": dims})
+def _raw(y: np.ndarray | None, row: object) -> dict:
+    """What the model returned for a row: its numbers and dimensions, nulls without an input."""
+    return {"raw": None, "dims": None} if y is None else {"raw": y.ravel().astype(np.float32), "dims": list(map(int, y.shape))}
+
+
+def _outputs(values: list, scorer: Scorer, tensor: Callable, make: Callable) -> Iterator[pd.DataFrame]:
+    """make(output or None, value) of every value. Tensors are built for one batch of the model at a time, and what is
+    made of it goes on at once, so that a worker never holds the tensors of a whole Arrow batch."""
+    for at in range(0, len(values), scorer.batch):
+        part = values[at : at + scorer.batch]
+        scored = iter(scorer.run([tensor(v) for v in part if v is not None]))
+        yield pd.DataFrame([make(next(scored) if v is not None else None, v) for v in part])
 
 
 def score(tensor: str | Column, scorer: Scorer) -> Column:
     """struct(raw, dims) of a column of flat tensors."""
+    sent = replace(scorer, model=shipped(scorer.model))
 
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield _scored(list(s), scorer, lambda v: np.asarray(v, dtype=np.float32))
+            yield from _outputs(list(s), sent, lambda v: np.asarray(v, dtype=np.float32), _raw)
 
     return F.pandas_udf(udf, SCORED)(tensor)
 
@@ -118,31 +168,35 @@ def _pixels(row: dict, config: Preprocess) -> np.ndarray:
     return kernels.preprocess(kernels.rgb_of(row["data"], int(row["height"]), int(row["width"])), config)
 
 
-def preprocess(image: str | Column, config: Preprocess) -> Column:
+def _pictures(pdf: pd.DataFrame) -> list[dict | None]:
+    """Image structs by row; null where there is no picture."""
+    return [r if r["data"] and r["height"] > 0 else None for r in pdf.to_dict("records")]
+
+
+def preprocess(image: str | Column, config: Preprocess, step: int = 32) -> Column:
     """Flat (3, H, W) tensor of an image struct, null for a null or undecodable image."""
 
     def udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for pdf in batches:
-            rows = pdf.to_dict("records")
-            yield pd.Series([_pixels(r, config).ravel() if r["data"] and r["height"] > 0 else None for r in rows])
+            rows = _pictures(pdf)
+            for at in range(0, len(rows), step):
+                yield pd.Series([_pixels(r, config).ravel() if r else None for r in rows[at : at + step]], dtype=object)
 
     return F.pandas_udf(udf, "array<float>")(image)
 
 
-def score_image(image: str | Column, config: Preprocess, scorer: Scorer) -> Column:
-    """struct(raw, dims) of an image struct; the tensor never leaves the worker."""
+def score_image(image: str | Column, config: Preprocess, scorer: Scorer, make: Callable = _raw, kind: str = SCORED) -> Column:
+    """make(output or None, image) of an image struct, as a struct of type kind; the raw numbers by default.
+
+    Neither tensor nor output leaves the worker unless make returns it.
+    """
+    sent = replace(scorer, model=shipped(scorer.model))
 
     def udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [r if r["data"] and r["height"] > 0 else None for r in pdf.to_dict("records")]
-            yield _scored(rows, scorer, lambda r: _pixels(r, config))
-
-    return F.pandas_udf(udf, SCORED)(image)
-
+            yield from _outputs(_pictures(pdf), sent, lambda r: _pixels(r, config), make)
 
-def with_batch(spark: SparkSession, rows: int) -> None:
-    """Rows of an Arrow batch: few for large pictures, so that a worker's memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return F.pandas_udf(udf, kind)(image)
 
 
 def with_scores(df: DataFrame, tensor: str, scorer: Scorer, output: str = "RawScores") -> DataFrame:
@@ -152,3 +206,8 @@ def with_scores(df: DataFrame, tensor: str, scorer: Scorer, output: str = "RawSc
 
 def with_tensor(df: DataFrame, image: str, config: Preprocess, output: str = "PreprocessedTensor") -> DataFrame:
     return df.withColumn(output, preprocess(image, config))
+
+
+def with_row_id(df: DataFrame, output: str = "RowId") -> DataFrame:
+    """df with an id for each row: unique and growing within a partition, not gapless."""
+    return df.withColumn(output, F.monotonically_increasing_id())

@@ -8,18 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import PRESETS, Preprocess
-from tessera.functions import boxes as B
 from tessera.functions import kernels
 from tessera.functions import vectors as V
+from tessera.functions.boxes import flatten
 from tessera.functions.diffusion import VAE_SCALE, gaussian, sigmas, to_pixels
-from tessera.operators.onnx import Scorer, model_info, score_image, session
+from tessera.operators.onnx import CPU, Model, Provider, Scorer, checked, model_info, score_image, session, ship, shipped
 from tessera.operators.tokenize import ClipTokenizer, WordPieceTokenizer, fallback_ids
 from tessera.schema import DEPTH, IMAGE, MASK, SAM_RESULT
 
@@ -28,138 +29,147 @@ from tessera.schema import DEPTH, IMAGE, MASK, SAM_RESULT
 class Task:
     """What all tasks share: the model, its preprocessing, the image column and the size of a batch."""
 
-    model: bytes
+    model: bytes | Model
     config: Preprocess
     image: str = "Image"
     batch: int = 32
     output: int = 0
-    providers: tuple[str, ...] = ("CPUExecutionProvider",)
+    providers: tuple[Provider, ...] = (CPU,)
+    fallback: bool = True
     labels: tuple[str, ...] = field(default=())
 
     def scorer(self) -> Scorer:
-        return Scorer(self.model, (3, *self.config.size), self.output, self.batch, self.providers)
+        return Scorer(self.model, (3, *self.config.size), self.output, self.batch, self.providers, self.fallback)
 
     def scores(self) -> Column:
         return score_image(F.col(self.image), self.config, self.scorer())
 
+    def made(self, make, kind: str) -> Column:
+        """make(output or None, image) in the worker that scored the image."""
+        return score_image(F.col(self.image), self.config, self.scorer(), make, kind)
+
     def label_column(self) -> Column | None:
         return F.array(*map(F.lit, self.labels)) if self.labels else None
 
 
-def classify(df: DataFrame, task: Task, top_k: int | None = None, apply_softmax: bool = True) -> DataFrame:
-    """Predictions (label, probability, class_id), PredictedLabel and Probability, most probable first."""
+def classify(df: DataFrame, task: Task, top_k: int | None = None, apply_softmax: bool = True,
+             label: str = "PredictedLabel", probability: str = "Probability", details: str = "Predictions") -> DataFrame:
+    """Columns details (label, probability, class_id), label and probability, most probable first."""
     raw = F.col("_scored.raw")
     p = V.softmax(raw) if apply_softmax else V.doubles(raw)
-    out = df.withColumn("_scored", task.scores()).withColumn("Predictions", V.ranked(p, task.label_column(), top_k))
-    return _labelled(out)
+    out = df.withColumn("_scored", task.scores()).withColumn(details, V.ranked(p, task.label_column(), top_k))
+    return _labelled(out, label, probability, details)
 
 
-def _labelled(df: DataFrame) -> DataFrame:
-    p = F.coalesce("Predictions", F.array().cast("array<struct<label:string,probability:double,class_id:int>>"))
-    df = df.withColumn("Predictions", p)
-    return df.withColumns({
-        "PredictedLabel": V.top_label(F.col("Predictions")),
-        "Probability": F.transform("Predictions", lambda x: x["probability"].cast("float")),
+def _labelled(df: DataFrame, label: str, probability: str, details: str) -> DataFrame:
+    p = F.coalesce(details, F.array().cast("array<struct<label:string,probability:double,class_id:int>>"))
+    return df.withColumn(details, p).withColumns({
+        label: V.top_label(F.col(details)),
+        probability: F.transform(details, lambda x: x["probability"].cast("float")),
     }).drop("_scored")
 
 
 def embed(df: DataFrame, task: Task, pooling: str = "cls", normalize: bool = True, output: str = "Embedding") -> DataFrame:
     """Embedding of the width of the model's last axis, pooled by the first row or by the mean."""
-    dim, raw = model_info(task.model).output_shapes[task.output][-1], F.col("_scored.raw")
+    declared = model_info(task.model, task.providers, task.fallback).output_shapes[task.output][-1]
+    dim, raw = F.lit(declared) if declared > 0 else F.element_at("_scored.dims", -1), F.col("_scored.raw")
     v = V.cls_pool(raw, dim) if pooling == "cls" else V.mean_pool(raw, dim)
     v = V.l2_normalize(v) if normalize else v
     empty = F.array().cast("array<float>")
     return df.withColumn("_scored", task.scores()).withColumn(output, F.coalesce(v.cast("array<float>"), empty)).drop("_scored")
 
 
-def detect(df: DataFrame, task: Task, score: float = 0.5, iou: float = 0.45, most: int | None = None,
-           output: str = "DetectedObjects") -> DataFrame:
-    """Detections, their six numbers each and their count. Up to 100 boxes are column work, more a kernel's."""
-    _, stride, n = model_info(task.model).output_shapes[task.output]
-    df = df.withColumn("_scored", task.scores())
-    if n <= 100:
-        found = B.suppress(B.decode(V.doubles("_scored.raw"), stride - 4, n, score, task.label_column()), iou, most)
-        df = df.withColumn("Detections", F.transform(found, lambda b: b.dropFields("box")))
-    else:
-        labels = task.labels
-
-        def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in batches:
-                rows = [kernels.detect(r, stride - 4, n, score, iou, most) if r is not None else [] for r in s]
-                yield pd.Series([[
-                    {"x": x, "y": y, "width": w, "height": h, "label": labels[int(c)] if c < len(labels) else str(int(c)),
-                     "class_id": int(c), "score": p} for x, y, w, h, c, p in r] for r in rows])
-
-        kind = "array<struct<x:double,y:double,width:double,height:double,label:string,class_id:int,score:double>>"
-        df = df.withColumn("Detections", F.pandas_udf(kept, kind)("_scored.raw"))
-    return df.withColumns({
-        f"{output}_Boxes": F.coalesce(B.flatten(F.col("Detections")), F.array().cast("array<float>")),
-        f"{output}_Count": F.coalesce(F.size("Detections"), F.lit(0)),
-    }).drop("_scored")
+BOXES = "array<struct<x:double,y:double,width:double,height:double,label:string,class_id:int,score:double>>"
 
 
-def _picture(df: DataFrame, task: Task, kind: str, make, resize: bool) -> Column:
-    def udf(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        for scored, sizes in batches:
-            rows = zip(scored["raw"], scored["dims"], sizes["height"], sizes["width"], strict=True)
-            yield pd.DataFrame([make(r, d, (int(h), int(w)) if resize else None) if r is not None else make(None, None, None) for r, d, h, w in rows])
+def detect(df: DataFrame, task: Task, score: float = 0.5, iou: float = 0.45, most: int | None = None,
+           output: str = "DetectedObjects", details: str = "Detections") -> DataFrame:
+    """Detections, their six numbers each and their count. The boxes are decoded and suppressed in the worker that
+    scored the image, whatever their number and whether the model declares it."""
+    labels = task.labels
+
+    def make(y: np.ndarray | None, image: dict | None) -> dict:
+        if y is None:
+            return {"found": []}
+        stride, n = y.shape[-2:]
+        return {"found": [
+            {"x": x, "y": top, "width": w, "height": h, "label": labels[int(c)] if c < len(labels) else str(int(c)),
+             "class_id": int(c), "score": p}
+            for x, top, w, h, c, p in kernels.detect(y, stride - 4, n, score, iou, most)
+        ]}
 
-    size = F.struct(F.col(f"{task.image}.height").alias("height"), F.col(f"{task.image}.width").alias("width"))
-    return F.pandas_udf(udf, kind)(task.scores(), size)
+    df = df.withColumn(details, task.made(make, f"struct<found:{BOXES}>")["found"])
+    return df.withColumns({f"{output}_Boxes": flatten(F.col(details)), f"{output}_Count": F.size(details)})
 
 
 def segment(df: DataFrame, task: Task, resize: bool = True, output: str = "SegmentationMask") -> DataFrame:
     """Class of every pixel, in the image's own size if resize is set."""
     labels = list(task.labels) or None
 
-    def make(raw, dims, size) -> dict:
-        if raw is None:
+    def make(y: np.ndarray | None, image: dict | None) -> dict:
+        if y is None:
             return {"class_ids": [], "width": 0, "height": 0, "labels": labels}
-        m = kernels.class_map(raw, *dims[-3:])
-        m = kernels.nearest(m, *size) if size and size != m.shape else m
+        m, size = kernels.class_map(y, *y.shape[-3:]), (int(image["height"]), int(image["width"]))
+        m = kernels.nearest(m, *size) if resize and size != m.shape else m
         return {"class_ids": m.ravel(), "width": m.shape[1], "height": m.shape[0], "labels": labels}
 
-    df = df.withColumn("_mask", _picture(df, task, MASK, make, resize))
+    df = df.withColumn("_mask", task.made(make, MASK))
     return df.withColumns({output: F.col("_mask.class_ids"), f"{output}_Width": F.col("_mask.width"),
                            f"{output}_Height": F.col("_mask.height")}).drop("_mask")
 
 
-def estimate_depth(df: DataFrame, task: Task, resize: bool = True, output: str = "DepthMap") -> DataFrame:
-    """Relative depth in 0..1, in the image's own size if resize is set, with the raw extremes in Depth."""
+def estimate_depth(df: DataFrame, task: Task, resize: bool = True, output: str = "DepthMap", details: str = "Depth") -> DataFrame:
+    """Relative depth in 0..1, in the image's own size if resize is set, with the raw extremes in details."""
+    edge = task.config.edge
 
-    def make(raw, dims, size) -> dict:
-        if raw is None:
+    def make(y: np.ndarray | None, image: dict | None) -> dict:
+        if y is None:
             return {"values": [], "width": 0, "height": 0, "min_depth": None, "max_depth": None}
-        d, low, high = kernels.depth(raw, *(dims[1:3] if len(dims) == 3 else dims[2:4]))
-        d = kernels.bilinear(d, *size, task.config.edge) if size and size != d.shape else d
+        d, low, high = kernels.depth(y.ravel(), *(y.shape[1:3] if y.ndim == 3 else y.shape[2:4]))
+        size = (int(image["height"]), int(image["width"]))
+        d = kernels.bilinear(d, *size, edge) if resize and size != d.shape else d
         return {"values": d.ravel(), "width": d.shape[1], "height": d.shape[0], "min_depth": low, "max_depth": high}
 
-    df = df.withColumn("Depth", _picture(df, task, DEPTH, make, resize))
-    return df.withColumns({output: F.col("Depth.values"), f"{output}_Width": F.col("Depth.width"),
-                           f"{output}_Height": F.col("Depth.height")})
+    df = df.withColumn(details, task.made(make, DEPTH))
+    return df.withColumns({output: F.col(f"{details}.values"), f"{output}_Width": F.col(f"{details}.width"),
+                           f"{output}_Height": F.col(f"{details}.height")})
+
+
+def encode_text(text: str | Column, model: bytes | Model, tokenizer: ClipTokenizer, dim: int,
+                providers: tuple[Provider, ...] = (CPU,), fallback: bool = True) -> Column:
+    """Unit embedding of a text column: the model's row at the end marker, or its pooled output; null for a null."""
+    sent = shipped(model)
 
+    def one(text: str) -> np.ndarray:
+        s, ids = session(sent, providers, fallback), np.array([tokenizer.encode(text)], dtype=np.int64)
+        y = s.run(None, dict(zip((i.name for i in s.get_inputs()), (ids, (ids != 0).astype(np.int64)), strict=False)))[0]
+        v = (y[0, int(np.flatnonzero(ids[0])[-1])] if y.ndim == 3 else y[0])[:dim].astype(np.float64)
+        return v / n if (n := np.linalg.norm(v)) > 0 else v
+
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([None if t is None else one(t) for t in s], dtype=object)
+
+    return F.pandas_udf(udf, "array<double>")(text)
 
-def text_embeddings(model: bytes, tokenizer: ClipTokenizer, texts: list[str], dim: int) -> list[list[float]]:
-    """Unit embeddings of candidate labels, computed once on the driver: the row at the end marker, or the pooled one."""
-    s, out = session(model), []
-    for text in texts:
-        ids = np.array([tokenizer.encode(text)], dtype=np.int64)
-        feed = dict(zip((i.name for i in s.get_inputs()), (ids, (ids != 0).astype(np.int64)), strict=False))
-        y = s.run(None, feed)[0]
-        v = y[0, int(np.flatnonzero(ids[0])[-1])] if y.ndim == 3 else y[0]
-        v = v[:dim].astype(np.float64)
-        out.append((v / n if (n := np.linalg.norm(v)) > 0 else v).tolist())
-    return out
 
+def text_embeddings(spark: SparkSession, model: bytes | Model, tokenizer: ClipTokenizer, texts: list[str], dim: int,
+                    providers: tuple[Provider, ...] = (CPU,), fallback: bool = True) -> list[list[float]]:
+    """Unit embeddings of candidate labels, once for all images: a few hundred numbers for each label that is named."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = rows.select("i", encode_text("text", model, tokenizer, dim, providers, fallback).alias("v")).orderBy("i").collect()
+    return [r["v"] for r in found]
 
-def zero_shot(df: DataFrame, task: Task, texts: list[list[float]], top_k: int | None = None) -> DataFrame:
+
+def zero_shot(df: DataFrame, task: Task, texts: list[list[float]], top_k: int | None = None, label: str = "PredictedLabel",
+              probability: str = "Probability", details: str = "Predictions") -> DataFrame:
     """Predictions over candidate labels by scaled cosine to their text embeddings."""
     if not task.labels or len(task.labels) != len(texts):
         raise ValueError("every candidate label needs a text embedding")
     v = V.l2_normalize(F.slice(F.col("_scored.raw"), 1, len(texts[0])))
     out = df.withColumn("_scored", task.scores()).withColumn("_v", v)
-    out = out.withColumn("Predictions", F.when(F.col("_v").isNotNull(), V.ranked(V.clip_scores(F.col("_v"), texts), task.label_column(), top_k)))
-    return _labelled(out).drop("_v")
+    out = out.withColumn(details, F.when(F.col("_v").isNotNull(), V.ranked(V.clip_scores(F.col("_v"), texts), task.label_column(), top_k)))
+    return _labelled(out, label, probability, details).drop("_v")
 
 
 def greedy(step, prefix: list[int], eos: int, length: int) -> list[int]:
@@ -174,12 +184,13 @@ def greedy(step, prefix: list[int], eos: int, length: int) -> list[int]:
     return ids[len(prefix) :]
 
 
-def caption(df: DataFrame, task: Task, decoder: bytes, tokenizer: WordPieceTokenizer, question: str | None = None,
+def caption(df: DataFrame, task: Task, decoder: bytes | Model, tokenizer: WordPieceTokenizer, question: str | None = None,
             length: int = 50, bos: int = 101, eos: int = 102, output: str = "Caption") -> DataFrame:
     """A caption of every image, or an answer where question names a text column that isn't null."""
+    sent, providers, fallback = shipped(decoder), task.providers, task.fallback
 
     def udf(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.Series]:
-        s = session(decoder, task.providers)
+        s = session(sent, providers, fallback)
         names = [i.name for i in s.get_inputs()]
         for scored, asked in batches:
             out = []
@@ -226,16 +237,23 @@ def encode_images(df: DataFrame, task: Task, output: str = "Encoding") -> DataFr
     return df.withColumn(output, task.scores())
 
 
-def segment_prompts(df: DataFrame, decoder: bytes, encoding: str = "Encoding", prompt: str = "Prompt", image: str = "Image",
-                    threshold: float = 0.0, output: str = "SegmentAnythingMask") -> DataFrame:
-    """Masks of a prompt column over encodings: all of them in Segments, the best one flat.
+def with_prompts(df: DataFrame, *prompts: Column, output: str = "Prompt", place: str = "PromptIndex") -> DataFrame:
+    """A row for each image and prompt: several prompts, by their place, meet one encoding."""
+    return df.select("*", F.posexplode(F.array(*prompts)).alias(place, output))
+
+
+def segment_prompts(df: DataFrame, decoder: bytes | Model, encoding: str = "Encoding", prompt: str = "Prompt", image: str = "Image",
+                    threshold: float = 0.0, output: str = "SegmentAnythingMask", details: str = "Segments",
+                    providers: tuple[Provider, ...] = (CPU,), fallback: bool = True) -> DataFrame:
+    """Masks of a prompt column over encodings: all of them in details, the best one flat.
 
     The decoder takes encoding, coordinates, labels, previous mask, whether there is one, and the original size, as
     far as it has inputs, and returns masks and predicted IoUs.
     """
+    sent = shipped(decoder)
 
     def udf(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        s = session(decoder)
+        s = session(sent, providers, fallback)
         names = [i.name for i in s.get_inputs()]
         for scored, asked, heights, widths in batches:
             rows = []
@@ -253,12 +271,12 @@ def segment_prompts(df: DataFrame, decoder: bytes, encoding: str = "Encoding", p
             yield pd.DataFrame(rows)
 
     found = F.pandas_udf(udf, SAM_RESULT)(encoding, prompt, F.col(f"{image}.height"), F.col(f"{image}.width"))
-    df = df.withColumn("Segments", found)
-    best = V.argmax("Segments.iou")
+    df = df.withColumn(details, found)
+    best = V.argmax(f"{details}.iou")
     return df.withColumns({
-        output: F.coalesce(F.get("Segments.masks", best), F.array().cast("array<float>")),
-        f"{output}_Width": F.col("Segments.width"), f"{output}_Height": F.col("Segments.height"),
-        f"{output}_IoU": F.get("Segments.iou", best),
+        output: F.coalesce(F.get(f"{details}.masks", best), F.array().cast("array<float>")),
+        f"{output}_Width": F.col(f"{details}.width"), f"{output}_Height": F.col(f"{details}.height"),
+        f"{output}_IoU": F.get(f"{details}.iou", best),
     })
 
 
@@ -266,19 +284,24 @@ def segment_prompts(df: DataFrame, decoder: bytes, encoding: str = "Encoding", p
 class Generator:
     """Text to image: text encoder, noise predictor and decoder, with steps, guidance and size."""
 
-    text_encoder: bytes
-    unet: bytes
-    vae: bytes
+    text_encoder: bytes | Model
+    unet: bytes | Model
+    vae: bytes | Model
     tokenizer: ClipTokenizer | None = None
     steps: int = 20
     guidance: float = 7.5
     size: tuple[int, int] = (512, 512)
     seed: int = 0
     negative: str = ""
+    providers: tuple[Provider, ...] = (CPU,)
+    fallback: bool = True
+
+    def _session(self, model: bytes | Model):
+        return session(model, self.providers, self.fallback)
 
     def embedding(self, prompt: str) -> np.ndarray:
         ids = self.tokenizer.encode(prompt) if self.tokenizer else fallback_ids()
-        s = session(self.text_encoder)
+        s = self._session(self.text_encoder)
         return s.run(None, {s.get_inputs()[0].name: np.array([ids], dtype=np.int64)})[0]
 
     def generate(self, prompt: str, seed: int | None = None) -> np.ndarray:
@@ -287,24 +310,25 @@ class Generator:
         times, levels = sigmas(self.steps)
         h, w = self.size
         x = gaussian((1, 4, h // 8, w // 8), self.seed if seed is None else seed, levels[0])
-        s = session(self.unet)
+        s = self._session(self.unet)
         names = [i.name for i in s.get_inputs()]
         for i, t in enumerate(times):
             scaled = np.repeat(x / np.float32(np.sqrt(levels[i] ** 2 + 1)), 2, axis=0)
             u, c = np.split(s.run(None, dict(zip(names, (scaled, np.array([t], np.int64), text), strict=False)))[0], 2)
             x = (x + np.float32(levels[i + 1] - levels[i]) * (u + np.float32(self.guidance) * (c - u))).astype(np.float32)
-        v = session(self.vae)
+        v = self._session(self.vae)
         return to_pixels(v.run(None, {v.get_inputs()[0].name: x / np.float32(VAE_SCALE)})[0][0])
 
 
 def generate(df: DataFrame, generator: Generator, prompt: str = "Prompt", output: str = "Image") -> DataFrame:
     """An image struct (BGRA bytes) for every prompt; rows share nothing, so any order gives the same pictures."""
+    sent = replace(generator, **{k: shipped(getattr(generator, k)) for k in ("text_encoder", "unet", "vae")})
 
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             rows = []
             for text in s:
-                p = generator.generate(text or "")
+                p = sent.generate(text or "")
                 rows.append({"origin": "", "height": p.shape[0], "width": p.shape[1], "nChannels": 4, "mode": 24,
                              "data": np.ascontiguousarray(p[:, :, [2, 1, 0, 3]]).tobytes()})
             yield pd.DataFrame(rows)
@@ -312,7 +336,15 @@ def generate(df: DataFrame, generator: Generator, prompt: str = "Prompt", output
     return df.withColumn(output, F.pandas_udf(udf, IMAGE)(prompt))
 
 
-def task(model: bytes, preset: str, **more: object) -> Task:
+def diffusion_models(spark: SparkSession, folder: str, external_data: bool = True) -> dict[str, Model]:
+    """The models of a diffusion folder (text_encoder, unet, vae_decoder, each a model.onnx), every file checked first."""
+    paths = {k: str(Path(folder) / d / "model.onnx") for k, d in (("text_encoder", "text_encoder"), ("unet", "unet"), ("vae", "vae_decoder"))}
+    for path in paths.values():
+        checked(path)
+    return {k: ship(spark, path, external_data) for k, path in paths.items()}
+
+
+def task(model: bytes | Model, preset: str, **more: object) -> Task:
     """A task with a named preset's preprocessing."""
     size = more.pop("size", None)
     config = PRESETS[preset]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the layout: start and end ids, length.
 SOT, EOT, LENGTH = 49406, 49407, 77
+#: Longer words are merged anew each time.
+REMEMBERED = 64
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -45,23 +48,41 @@ class ClipTokenizer:
         return cls(vocab, [tuple(x.split()) for x in lines if x.strip() and not x.startswith("#version")])
 
     def _merge(self, word: str) -> tuple[int, ...]:
+        """Pairs merge by rank, the leftmost of equals first; a heap over linked parts, so that long runs stay cheap."""
         parts = [self.symbols[b] for b in word.encode("utf-8", "replace")]
         parts[-1] += self.end
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(self.vocab[p] for p in parts if p in self.vocab)
-
-    def ids(self, text: str) -> list[int]:
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        rank = lambda i: self.ranks.get((parts[i], parts[after[i]])) if after[i] < n else None
+        heap = [(r, i) for i in range(n) if (r := rank(i)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if parts[i] is None or rank(i) != r:
+                continue  # one of the two has been merged since
+            j = after[i]
+            parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (r := rank(k)) is not None:
+                    heapq.heappush(heap, (r, k))
+        return tuple(self.vocab[p] for p in parts if p is not None and p in self.vocab)
+
+    def ids(self, text: str, most: int | None = None) -> list[int]:
+        """Ids of a text; of its words only as many are merged as give ``most`` ids."""
         if text is None:
             raise ValueError("a text is needed")
-        return [i for w in WORDS.findall(text.lower()) for i in self._word(w)]
+        out: list[int] = []
+        for m in WORDS.finditer(text.lower()):
+            out += self._word(m[0]) if len(m[0]) <= REMEMBERED else self._merge(m[0])
+            if most is not None and len(out) >= most:
+                return out[:most]
+        return out
 
     def encode(self, text: str, length: int = LENGTH) -> list[int]:
         """Start, at most length - 2 ids, end, then zeros."""
-        ids = [SOT, *self.ids(text)[: length - 2], EOT]
+        ids = [SOT, *self.ids(text, length - 2), EOT]
         return ids + [0] * (length - len(ids))
 
     def decode(self, ids: list[int]) -> str:
@@ -105,11 +126,11 @@ class WordPieceTokenizer:
 
 
 def encode(text: str | Column, tokenizer: ClipTokenizer, length: int = LENGTH) -> Column:
-    """Ids of a text column in the fixed layout; a null text is an error, as a text is required."""
+    """Ids of a text column in the fixed layout, null for a null text."""
 
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: tokenizer.encode(t, length), na_action=None)
+            yield pd.Series([None if t is None else tokenizer.encode(t, length) for t in s], dtype=object)
 
     return F.pandas_udf(udf, "array<int>")(text)
 
@@ -117,7 +138,7 @@ def encode(text: str | Column, tokenizer: ClipTokenizer, length: int = LENGTH) -
 def decode(ids: str | Column, tokenizer: ClipTokenizer) -> Column:
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(tokenizer.decode)
+            yield pd.Series([None if t is None else tokenizer.decode(t) for t in s], dtype=object)
 
     return F.pandas_udf(udf, "string")(ids)
 

@@ -47,7 +47,7 @@ SEG = f"WITH {E}, {ROWS}, c AS (SELECT vec_id, (i % 16)::INT AS pos, arg_min(i /
 DEPTH = f"""WITH {E}, {ROWS}, t AS (SELECT *, min(x) OVER (PARTITION BY vec_id) AS low, max(x) OVER (PARTITION BY vec_id) AS high FROM r),
 d AS (SELECT vec_id, i, low, high, (x - low) / CASE WHEN high - low < 1e-8 THEN 1.0 ELSE high - low END AS v FROM t)
 """
-EMBED = f"WITH {E}, {ROWS}, {POOL}, q AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM m GROUP BY vec_id) SELECT vec_id, pos, round(CASE WHEN n > 0 THEN v / n ELSE v END, 5) AS value FROM m JOIN q USING (vec_id)"
+EMBED = f"WITH {E}, {ROWS}, {POOL}, q AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM m GROUP BY vec_id) SELECT vec_id, pos, round(CASE WHEN n > 0 THEN v / n ELSE v END, 5) + 0.0 AS value FROM m JOIN q USING (vec_id)"
 ZERO = f"""WITH {E}, {ROWS},
 t AS (SELECT label AS candidate, i, avg(x) AS x FROM r GROUP BY ALL),
 c AS (SELECT r.vec_id, candidate, sum(r.x * t.x) / (sqrt(sum(r.x * r.x)) * sqrt(sum(t.x * t.x))) AS cosine
@@ -70,7 +70,7 @@ w AS (SELECT o, greatest(floor(src), 0)::INT AS low, least(greatest(floor(src),
 z AS (SELECT vec_id, list(v ORDER BY i) AS v FROM d GROUP BY vec_id)
 SELECT vec_id, y.o * 12 + x.o AS pos,
   round((v[y.low * 8 + x.low + 1] * (1 - x.f) + v[y.low * 8 + x.high + 1] * x.f) * (1 - y.f)
-      + (v[y.high * 8 + x.low + 1] * (1 - x.f) + v[y.high * 8 + x.high + 1] * x.f) * y.f, 5) AS value
+      + (v[y.high * 8 + x.low + 1] * (1 - x.f) + v[y.high * 8 + x.high + 1] * x.f) * y.f, 5) + 0.0 AS value
 FROM z, w y, w x
 """
 DECODE = f"""WITH RECURSIVE {E}, {ROWS},
@@ -80,35 +80,58 @@ walk AS (SELECT vec_id, 0 AS n, 0::BIGINT AS token, ''::VARCHAR AS tokens FROM e
          FROM walk w JOIN best b ON b.vec_id = w.vec_id AND b.token = w.token WHERE n < 6 AND w.token <> 7)
 SELECT vec_id, arg_max(tokens, n) AS tokens FROM walk GROUP BY vec_id
 """
+#: 8 x 8 pixels from 4 x 4, as a table of places and weights by axis.
+RESIZED = f"""WITH {BYTES},
+g AS (SELECT o, (o + 0.5::DOUBLE) * 0.5::DOUBLE - 0.5::DOUBLE AS src FROM (SELECT unnest(range(8))::INT AS o)),
+w AS (SELECT o, greatest(floor(src), 0)::INT AS low, least(greatest(floor(src), 0)::INT + 1, 3) AS high, src - floor(src) AS f FROM g),
+z AS (SELECT vec_id, ch, list(v ORDER BY pixel) AS v FROM px WHERE ch < 3 GROUP BY vec_id, ch)
+SELECT vec_id, ((2 - ch) * 64 + y.o * 8 + x.o)::INT AS pos, round(
+  (v[y.low * 4 + x.low + 1] * (1 - x.f) + v[y.low * 4 + x.high + 1] * x.f) * (1 - y.f)
+  + (v[y.high * 4 + x.low + 1] * (1 - x.f) + v[y.high * 4 + x.high + 1] * x.f) * y.f, 5) + 0.0 AS value
+FROM z, w y, w x
+"""
+#: Words, as bytes: a token is a number between blanks, the last byte of a word 256 more, merges from 512 by rank.
+TOKENS = """words AS (SELECT {id} AS id, text IS NULL AS lost,
+    regexp_extract_all(lower(text), '''s|''t|''re|''ve|''m|''ll|''d|\\p{{L}}+|\\p{{N}}|[^\\s\\p{{L}}\\p{{N}}]+') AS words FROM {table}),
+t AS (SELECT id, lost, list_transform(words, lambda w: array_to_string(list_transform(range(octet_length(encode(w))),
+    lambda i: ' ' || (('0x' || hex(encode(w))[2 * i + 1 : 2 * i + 2])::INT + CASE WHEN i + 1 = octet_length(encode(w)) THEN 256 ELSE 0 END) || ' '), '')) AS words FROM words),
+m AS (SELECT id, lost, replace(replace(replace(replace(array_to_string(words, '|'), ' 116  104 ', ' 512 '), ' 512  357 ', ' 513 '), ' 97  110 ', ' 514 '), ' 105  110 ', ' 515 ') AS line FROM t),
+seq AS (SELECT id, lost, list_filter(string_split_regex(line, '[ |]+'), lambda x: x <> '')[:75] AS part FROM m),
+ids AS (SELECT id, CASE WHEN NOT lost THEN ['49406'] || part || ['49407'] || list_transform(range(75 - len(part)), lambda i: '0') END AS ids FROM seq)
+"""
+DOCS = TOKENS.format(id="doc_id", table="documents")
 LAST = "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id"
 
 SQL = {
     "softmax_topk": SOFT + "SELECT vec_id, rank, i AS class_id, round(p, 6) AS probability FROM p WHERE rank <= 5",
     "label_lookup": SOFT + f"SELECT vec_id, rank, {NAME} AS label FROM p WHERE rank <= 3",
     "argmax_label": SOFT + f"SELECT vec_id, {NAME} AS predicted FROM p WHERE rank = 1",
-    "cls_pool": f"WITH {E}, {ROWS} SELECT vec_id, i AS pos, round(x, 5) AS value FROM r WHERE i < 16",
-    "mean_pool": f"WITH {E}, {ROWS}, {POOL} SELECT vec_id, pos, round(v, 5) AS value FROM m",
+    "cls_pool": f"WITH {E}, {ROWS} SELECT vec_id, i AS pos, round(x, 5) + 0.0 AS value FROM r WHERE i < 16",
+    "mean_pool": f"WITH {E}, {ROWS}, {POOL} SELECT vec_id, pos, round(v, 5) + 0.0 AS value FROM m",
     "l2_normalize": EMBED,
-    "transpose": f"WITH {E}, {ROWS} SELECT vec_id, ((i % 16) * 4 + i // 16)::INT AS pos, round(x, 5) AS value FROM r",
+    "transpose": f"WITH {E}, {ROWS} SELECT vec_id, ((i % 16) * 4 + i // 16)::INT AS pos, round(x, 5) + 0.0 AS value FROM r",
     "yolo_decode": f"WITH {YOLO} SELECT {BOX} FROM d",
     "iou_pairs": f"WITH {YOLO} SELECT a.vec_id, a.box AS box_a, c.box AS box_b, round({IOU}, 5) AS iou FROM d a JOIN d c ON a.vec_id = c.vec_id AND a.box < c.box",
     "nms": NMS,
     "max_detections": NMS + " WHERE place <= 2",
     "box_flatten": f"""WITH RECURSIVE {YOLO}, {KEPT}, f AS (SELECT vec_id, place, count(*) OVER (PARTITION BY vec_id)::INT AS n_boxes,
         [x, y, width, height, class_id, score] AS six FROM n WHERE place <= 2)
-        SELECT vec_id, n_boxes, ((place - 1) * 6 + k)::INT AS pos, round(six[k + 1]::FLOAT::DOUBLE, 3) AS value FROM f, (SELECT unnest(range(6)) AS k)""",
+        SELECT vec_id, n_boxes, ((place - 1) * 6 + k)::INT AS pos, round(six[k + 1]::FLOAT::DOUBLE, 3) + 0.0 AS value FROM f, (SELECT unnest(range(6)) AS k)""",
     "seg_argmax": SEG + " SELECT vec_id, pos, value FROM c",
     "seg_resize_nearest": SEG + """ SELECT vec_id, (y * 6 + x)::INT AS pos, value FROM c, (SELECT unnest(range(8)) AS y), (SELECT unnest(range(6)) AS x)
         WHERE pos = (y * 4 // 8) * 4 + x * 4 // 6""",
     "seg_label_at": SEG + " SELECT vec_id, value AS class_id, ['road', 'sky', 'tree'][value + 1] AS name FROM c WHERE pos = 6",
     "seg_histogram": SEG + " SELECT vec_id, value AS class_id, count(*) AS pixels, round(100 * count(*) / 16, 4) AS percent FROM c GROUP BY vec_id, value",
-    "depth_minmax": DEPTH + "SELECT vec_id, i AS pos, round(v, 5) AS value FROM d",
+    "depth_minmax": DEPTH + "SELECT vec_id, i AS pos, round(v, 5) + 0.0 AS value FROM d",
     "depth_stats": DEPTH + """SELECT vec_id, round(avg(v), 5) AS mean, round(list_extract(list_sort(list(v)), 33), 5) AS median,
         round(any_value(low), 5) AS low, round(any_value(high), 5) AS high FROM d GROUP BY vec_id""",
     "depth_preview": DEPTH + "SELECT vec_id, i AS pos, greatest(0, least(3, floor(v * 4)))::INT AS shade FROM d WHERE i % 8 < 4 AND i < 32",
     "depth_resize_bilinear": BILINEAR,
-    "image_preprocess": TENSOR + "SELECT vec_id, pos, round(value, 4) AS value FROM t",
-    "image_round_trip": "SELECT vec_id, 4::INT AS width, 4::INT AS height, 'image/png' AS media_type, true AS same FROM embeddings",
+    "image_preprocess": TENSOR + "SELECT vec_id, pos, round(value, 4) + 0.0 AS value FROM t",
+    "image_resize_preprocess": RESIZED,
+    "image_round_trip": f"""WITH {BYTES} SELECT vec_id, 4::INT AS width, 4::INT AS height, 'image/png' AS media_type,
+        string_agg(printf('%02X', v::INT), '' ORDER BY pixel, ch) AS pixels, 'image/bmp' AS other_type,
+        string_agg(printf('%02X', v::INT), '' ORDER BY pixel, ch) FILTER (ch < 3) AS other_pixels FROM px GROUP BY vec_id""",
     "zero_shot_scores": ZERO + "SELECT vec_id, candidate, round(cosine, 5) AS cosine, round(p, 4) AS probability FROM p",
     "zero_shot_topk": ZERO + """SELECT vec_id, rank::INT AS rank, candidate FROM (SELECT vec_id, candidate,
         row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, candidate) AS rank FROM p) WHERE rank <= 3""",
@@ -119,16 +142,26 @@ SQL = {
     "chat_last_user": LAST,
     "chat_route": f"""SELECT conv_id, CASE WHEN trim(text) <> '' THEN text END AS question,
         CASE WHEN turn % 4 <> 0 THEN 'none' WHEN trim(text) <> '' THEN 'answer' ELSE 'caption' END AS route FROM ({LAST})""",
-    "tokenize_clip": "SELECT item_id, 77::INT AS length, 49406::INT AS first, 1::INT AS ends FROM benchmark WHERE text IS NOT NULL",
-    "attention_mask": "SELECT item_id, true AS whole, 77::INT AS length FROM benchmark WHERE text IS NOT NULL",
+    "tokenize_clip": f"WITH {DOCS} SELECT id AS doc_id, array_to_string(ids, ' ') AS ids FROM ids",
+    "attention_mask": f"""WITH {DOCS} SELECT id AS doc_id, array_to_string(list_transform(ids, lambda x: CASE WHEN x = '0' THEN '0' ELSE '1' END), '') AS mask,
+        coalesce(list_max(list_transform(ids, lambda x, i: CASE WHEN x <> '0' THEN i - 1 ELSE 0 END)), 0)::INT AS last FROM ids""",
+    "text_encode": f"""WITH {DOCS}, c AS (SELECT id, list_transform(['513', '514', '515'], lambda k: len(list_filter(ids, lambda x: x = k))) || [77] AS c FROM ids WHERE ids IS NOT NULL)
+        SELECT id AS doc_id, pos, round(c[pos + 1] / sqrt(list_inner_product(c::DOUBLE[], c::DOUBLE[])), 4) + 0.0 AS value FROM c, (SELECT unnest(range(4))::INT AS pos)""",
+    "score_table": f"WITH {E}, {ROWS} SELECT vec_id, label, i AS pos, round(x, 4) + 0.0 AS value FROM r WHERE i < 4",
+    "depth_at": DEPTH + "SELECT vec_id, round(v, 5) AS depth FROM d WHERE i = 2 * 8 + 5",
+    "vae_scale": f"WITH {E}, {ROWS} SELECT vec_id, i AS pos, round(x / 0.18215::DOUBLE, 4) + 0.0 AS value FROM r",
+    "pixel_bytes": f"""WITH {E}, {ROWS}, b AS (SELECT vec_id, i, floor(least(greatest(4 * x / 2 + 0.5::DOUBLE, 0), 1) * 255)::INT AS v FROM r WHERE i < 48)
+        SELECT vec_id, ((i % 16) * 4 + i // 16)::INT AS pos, v AS value FROM b
+        UNION ALL SELECT vec_id, p * 4 + 3, 255 FROM embeddings, (SELECT unnest(range(16))::INT AS p)""",
+    "guided_batch": f"WITH {E}, {ROWS} SELECT vec_id, i + 4 AS pos, round(x, 5) + 0.0 AS value FROM r WHERE i < 4 UNION ALL SELECT vec_id, i, 0.0::DOUBLE FROM r WHERE i < 4",
     "scheduler_sigmas": """WITH i AS (SELECT unnest(range(1000))::INT AS i),
         b AS (SELECT i, sqrt(0.00085::DOUBLE) + i / 999 * (sqrt(0.012::DOUBLE) - sqrt(0.00085::DOUBLE)) AS r FROM i),
         a AS (SELECT i, exp(sum(ln(1 - r * r)) OVER (ORDER BY i)) AS a FROM b)
         SELECT s::INT AS step, i AS t, round(sqrt((1 - a) / a), 5) AS sigma FROM (SELECT unnest(range(20)) AS s) JOIN a ON i = 999 - s * 50""",
     "euler_step": f"""WITH {E}, {ROWS} SELECT x.vec_id, x.i AS pos, round(x.x - 0.5::DOUBLE * n.x, 5) + 0.0 AS value
         FROM r x JOIN r n ON x.vec_id = n.vec_id AND n.i = x.i + 32""",
-    "scale_model_input": f"WITH {E}, {ROWS} SELECT vec_id, i AS pos, round(x / sqrt(5.0::DOUBLE), 5) AS value FROM r",
-    "cfg_combine": f"""WITH {E}, {ROWS} SELECT u.vec_id, u.i AS pos, round(u.x + 7.5::DOUBLE * (c.x - u.x), 5) AS value
+    "scale_model_input": f"WITH {E}, {ROWS} SELECT vec_id, i AS pos, round(x / sqrt(5.0::DOUBLE), 5) + 0.0 AS value FROM r",
+    "cfg_combine": f"""WITH {E}, {ROWS} SELECT u.vec_id, u.i AS pos, round(u.x + 7.5::DOUBLE * (c.x - u.x), 5) + 0.0 AS value
         FROM r u JOIN r c ON u.vec_id = c.vec_id AND c.i = u.i + 32""",
     "cosine_pairs": COS + "SELECT a, b, round(cosine, 4) + 0.0 AS cosine FROM c",
     "cosine_topk_neighbors": COS + """, t AS (SELECT a, b, round(cosine, 9) AS cosine FROM c UNION ALL SELECT b, a, round(cosine, 9) FROM c)
@@ -138,18 +171,32 @@ SQL = {
     "onnx_embed": EMBED,
     "onnx_detect": NMS,
     "onnx_segment": SEG + " SELECT vec_id, pos, value FROM c",
-    "onnx_depth": DEPTH + "SELECT vec_id, i AS pos, round(v, 5) AS value FROM d",
-    "task_classify": TENSOR + "SELECT vec_id, arg_min(pos, (-value, pos)) AS class_id, 1::INT AS n FROM t GROUP BY vec_id",
-    "task_segment": """SELECT vec_id, 4::INT AS "SegmentationMask_Width", 4::INT AS "SegmentationMask_Height", 16::INT AS pixels FROM embeddings""",
-    "task_embed": TENSOR + "SELECT vec_id, 16::INT AS width, arg_min(pos, (-value, pos))::INT AS largest FROM t WHERE pos < 16 GROUP BY vec_id",
-    "task_detect": TENSOR + """, b AS (SELECT vec_id, pos % 8 AS box, max(value) AS score FROM t WHERE pos >= 32 GROUP BY ALL),
-        n AS (SELECT vec_id, count(*) FILTER (score > 0.5)::INT AS boxes FROM b GROUP BY vec_id)
-        SELECT vec_id, boxes, (6 * boxes)::INT AS numbers FROM n""",
+    "onnx_depth": DEPTH + "SELECT vec_id, i AS pos, round(v, 5) + 0.0 AS value FROM d",
+    "task_classify": TENSOR + """, s AS (SELECT vec_id, pos, exp(value - max(value) OVER (PARTITION BY vec_id)) AS w FROM t),
+        p AS (SELECT vec_id, pos, w / sum(w) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, pos) AS n FROM s)
+        SELECT vec_id, (n - 1)::INT AS rank, pos AS class_id, round(p, 4) AS probability FROM p WHERE n <= 2""",
+    "task_segment": TENSOR + """, c AS (SELECT vec_id, pos % 4 AS cell, arg_min(pos // 4, (-value, pos)) AS best FROM t GROUP BY ALL)
+        SELECT vec_id, 4::INT AS "SegmentationMask_Width", 4::INT AS "SegmentationMask_Height", (y * 4 + x)::INT AS pos, best::INT AS class_id
+        FROM c, (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x) WHERE cell = (y // 2) * 2 + x // 2""",
+    "task_depth": TENSOR + """, d AS (SELECT *, min(value) OVER (PARTITION BY vec_id) AS low, max(value) OVER (PARTITION BY vec_id) AS high FROM t)
+        SELECT vec_id, round(low, 3) AS low, ((pos // 4 - 1) // 3 * 4 + pos % 4)::INT AS pos,
+               floor(200 * (value - low) / CASE WHEN high - low < 1e-8 THEN 1 ELSE high - low END + 0.37::DOUBLE)::INT AS value FROM d WHERE pos // 4 % 3 = 1""",
+    "task_embed": TENSOR + """, n AS (SELECT vec_id, sqrt(sum(value * value)) AS n FROM t WHERE pos < 16 GROUP BY vec_id)
+        SELECT t.vec_id, pos, round(CASE WHEN n > 0 THEN value / n ELSE value END, 3) + 0.0 AS value FROM t JOIN n ON t.vec_id = n.vec_id WHERE pos < 16""",
+    "task_detect": TENSOR.replace("WITH ", "WITH RECURSIVE ", 1) + f""", q AS (SELECT vec_id, pos % 8 AS box, list(value ORDER BY pos) AS v FROM t GROUP BY ALL),
+        d AS (SELECT vec_id, box, CASE WHEN v[6] > v[5] THEN 1 ELSE 0 END AS class_id, v[1] - v[3] / 2 AS x, v[2] - v[4] / 2 AS y, v[3] AS width, v[4] AS height,
+              greatest(v[5], v[6]) AS score FROM q WHERE greatest(v[5], v[6]) > 0.5), {KEPT}, f AS (SELECT *, count(*) OVER (PARTITION BY vec_id)::INT AS boxes FROM n)
+        SELECT vec_id, boxes, ((place - 1) * 6 + k)::INT AS pos, round(([x, y, width, height, class_id, score])[k + 1], 3) + 0.0 AS value FROM f, (SELECT unnest(range(6)) AS k)""",
     "task_zero_shot": TENSOR + """SELECT vec_id, list_extract(['first', 'second', 'third'], arg_min(pos, (-value, pos))::INT + 1) AS predicted, 3::INT AS n
         FROM t WHERE pos < 3 GROUP BY vec_id""",
-    "task_caption": "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'dog' ELSE 'a cat' END AS caption FROM embeddings",
-    "task_segment_prompts": TENSOR + "SELECT vec_id, count(*) FILTER (value > 0)::INT AS pixels, 0.75::DOUBLE AS iou FROM t WHERE pos BETWEEN 16 AND 31 GROUP BY vec_id",
-    "task_generate": "SELECT item_id, 16::INT AS width, 16::INT AS height, 1024::INT AS bytes FROM benchmark",
+    "task_caption": TENSOR + """SELECT vec_id, CASE WHEN vec_id % 2 <> 0 THEN 'a ' ELSE '' END || CASE WHEN value >= 0 THEN 'cat' ELSE 'dog' END AS caption FROM t WHERE pos = 0""",
+    "chat_reply": f"""SELECT conv_id, 'assistant' AS role, CASE WHEN turn % 4 <> 0 THEN 'No image found in the message. Please provide an image.'
+        ELSE CASE WHEN turn % 8 = 0 THEN 'a ' ELSE '' END || CASE WHEN conv_id * 37 % 256 / 255 >= 0.485 THEN 'cat' ELSE 'dog' END END AS text FROM ({LAST})""",
+    "task_segment_prompts": TENSOR + """SELECT vec_id, k::INT AS prompt, count(*) FILTER (value > k)::INT AS pixels, 0.75::DOUBLE AS iou
+        FROM t, (SELECT unnest(range(3)) AS k) WHERE pos BETWEEN 16 AND 31 GROUP BY ALL""",
+    "task_generate": f"""WITH {TOKENS.format(id='item_id', table='benchmark')}
+        SELECT id AS item_id, 16::INT AS width, 16::INT AS height, true AS plain,
+               array_to_string(list_transform(['515', '514', '513'], lambda k: CASE WHEN list_contains(ids, k) THEN 'BF' ELSE '7F' END), '') || 'FF' AS first FROM ids""",
     "event_windows": """SELECT strftime(time_bucket(INTERVAL 5 minutes, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n
         FROM events WHERE ts IS NOT NULL GROUP BY ALL""",
 }

@@ -6,9 +6,10 @@ grids), so that each operator runs over a whole table and can be held against SQ
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flat(df: DataFrame, array: Column, digits: int | None = 5) -> DataFrame:
     """A row for every element of an array: vec_id, pos, value."""
     rows = df.select("vec_id", F.posexplode(array).alias("pos", "value"))
-    return rows if digits is None else rows.withColumn("value", F.round("value", digits))
+    return rows if digits is None else rows.withColumn("value", F.round("value", digits) + 0.0)  # no negative zero
 
 
 def label_column() -> Column:
@@ -211,12 +212,24 @@ def image_preprocess(spark, sf_dir):
     return flat(d, F.col("PreprocessedTensor").cast("array<double>"), 4)
 
 
+@query
+def image_resize_preprocess(spark, sf_dir):
+    """The tensor of a picture stretched to 8 x 8, neither rescaled nor normalised, so that every number is exact."""
+    d = onnx.with_tensor(pictures(spark, sf_dir), "Image", Preprocess((8, 8), rescale=False, normalize=False))
+    return flat(d, F.col("PreprocessedTensor").cast("array<double>"))
+
+
 @query
 def image_round_trip(spark, sf_dir):
-    """Pixels of a picture after a PNG file and back, summed by picture."""
+    """The pixels of a picture after a PNG file and back, and after a BMP file, which has no alpha."""
     d = pictures(spark, sf_dir).withColumn("file", images.encode("Image")).withColumn("back", images.decode("file.data"))
-    same = F.col("back.data") == F.col("Image.data")
-    return d.select("vec_id", "back.width", "back.height", "file.media_type", same.alias("same"))
+    d = d.withColumn("bmp", images.encode("Image", "image/bmp")).withColumn("rgb", images.decode("bmp.data"))
+    return d.select("vec_id", "back.width", "back.height", "file.media_type", F.hex("back.data").alias("pixels"),
+                    F.col("bmp.media_type").alias("other_type"), F.hex("rgb.data").alias("other_pixels"))
+
+
+#: What a table of candidate labels may hold, since it goes into the plan as numbers.
+MOST_CANDIDATES = 1_000
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,14 +240,16 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, candidate, cosine and probability. The candidates, ten of them, travel as one array beside each image."""
-    table = candidates(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("label", "t"))).alias("texts"))
-    d = vectors(spark, sf_dir).withColumn("one", F.lit(1)).join(table.withColumn("one", F.lit(1)), "one")
-    d = d.withColumn("cos", F.transform("texts", lambda t: V.cosine(F.col("e"), t["t"])))
+    """vec_id, candidate, cosine and probability. The candidates are a bounded list and part of the plan."""
+    table = candidates(spark, sf_dir).orderBy("label").limit(MOST_CANDIDATES + 1).collect()
+    if len(table) > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidate labels")
+    texts = F.array(*[F.array(*map(F.lit, r["t"])) for r in table])
+    names = F.array(*[F.lit(r["label"]) for r in table])
+    cosines = V.let(F.col("e"), lambda e: F.transform(texts, lambda t: V.cosine(e, t)))
+    d = vectors(spark, sf_dir).withColumn("cos", cosines)
     d = d.withColumn("p", V.softmax(F.transform("cos", lambda c: 100 * c)))
-    each = F.transform("texts", lambda t, i: F.struct(
-        t["label"].alias("candidate"), F.get("cos", i).alias("cos"), F.get("p", i).alias("p")
-    ))
+    each = F.transform("cos", lambda c, i: F.struct(F.get(names, i).alias("candidate"), c.alias("cos"), F.get("p", i).alias("p")))
     return d.select("vec_id", F.inline(each))
 
 
@@ -271,13 +286,13 @@ def mask_foreground(spark, sf_dir):
 @query
 def greedy_decode(spark, sf_dir):
     """Ids from start 0 to the end marker 7, at most 6, by 8 x 8 next-token scores."""
-    row = lambda t: F.slice(F.col("e"), (t * 8 + 1).cast("int"), F.lit(8))
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.lit(6)), F.array(F.lit(0)),
-        lambda ids, _: F.when(F.element_at(ids, -1) == 7, ids).otherwise(F.concat(ids, F.array(V.argmax(row(F.element_at(ids, -1)))))),
-    )
-    d = vectors(spark, sf_dir).withColumn("ids", walk)
-    return d.select("vec_id", F.array_join(F.filter(F.slice("ids", 2, 6), lambda x: x != 7), " ").alias("tokens"))
+
+    def walk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            tables = [np.asarray(e, dtype=np.float64).reshape(8, 8) for e in s]
+            yield pd.Series([" ".join(map(str, tasks.greedy(lambda ids, t=t: t[ids[-1]], [0], 7, 6))) for t in tables], dtype=object)
+
+    return vectors(spark, sf_dir).select("vec_id", F.pandas_udf(walk, "string")("e").alias("tokens"))
 
 
 @query
@@ -304,21 +319,40 @@ def toy_tokenizer() -> tokenize.ClipTokenizer:
 
 
 def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text is not null")
-    return d.select("item_id", tokenize.encode("text", toy_tokenizer()).alias("ids"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", tokenize.encode("text", toy_tokenizer()).alias("ids"))
 
 
 @query
 def tokenize_clip(spark, sf_dir):
-    ends = F.size(F.filter("ids", lambda x: x == tokenize.EOT))
-    return tokenized(spark, sf_dir).select("item_id", F.size("ids").alias("length"), F.get("ids", F.lit(0)).alias("first"), ends.alias("ends"))
+    """All 77 ids of every document; null for a null text."""
+    return tokenized(spark, sf_dir).select("doc_id", F.array_join("ids", " ").alias("ids"))
 
 
 @query
 def attention_mask(spark, sf_dir):
     d = tokenized(spark, sf_dir).withColumn("mask", V.attention_mask(F.col("ids")))
-    used = F.aggregate("mask", F.lit(0), lambda a, x: a + x)
-    return d.select("item_id", (used == V.eos_position(F.col("mask")) + 1).alias("whole"), (F.size("mask")).alias("length"))
+    return d.select("doc_id", F.array_join("mask", "").alias("mask"), V.eos_position(F.col("mask")).alias("last"))
+
+
+def text_model() -> bytes:
+    """One number for each of the tokens "the", "an" and "in", and a fourth that is 1 for any token, summed up over a text."""
+    w = np.zeros((49408, 4), np.float32)
+    w[[513, 514, 515], [0, 1, 2]] = 1
+    w[:, 3] = 1
+    return toy_onnx.model(
+        [toy_onnx.node("Gather", ["w", "ids"], ["t"]), toy_onnx.node("ReduceSum", ["t", "axis"], ["r"]), toy_onnx.node("Reshape", ["r", "s"], ["y"])],
+        {"ids": [1, 77]}, {"y": [1, 4]}, {"w": w, "axis": np.array([1]), "s": np.array([1, 4])}, ("ids",),
+    )
+
+
+@query
+def text_encode(spark, sf_dir):
+    """Unit embeddings of all texts by a model that counts three tokens."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    v = tasks.encode_text("text", text_model(), toy_tokenizer(), 4)
+    d = d.select("doc_id", F.posexplode(v).alias("pos", "value"))
+    return d.withColumn("value", F.round("value", 4))
 
 
 @query
@@ -329,7 +363,7 @@ def scheduler_sigmas(spark, sf_dir):
 @query
 def euler_step(spark, sf_dir):
     d = flat(vectors(spark, sf_dir), V.euler_step(F.slice("e", 1, 32), F.slice("e", 33, 32), SIGMA, SIGMA_AFTER))
-    return d.withColumn("value", F.col("value") + 0.0)  # no negative zero
+    return d
 
 
 @query
@@ -343,15 +377,14 @@ def cfg_combine(spark, sf_dir):
 
 
 def pairwise(spark: SparkSession, sf_dir: str, block: int = 256) -> DataFrame:
-    """a, b, cosine of all pairs a < b: blocks of ids meet once each, so that no side is sent whole to anybody."""
-    d = vectors(spark, sf_dir).select("vec_id", "e", F.floor(F.col("vec_id") / block).alias("k"))
-    ks = F.lit(0)
-    n = d.agg(F.max("k").alias("n"))
-    d = d.withColumn("one", F.lit(1)).join(n.withColumn("one", F.lit(1)), "one").drop("one")
-    left = d.select(F.col("vec_id").alias("a"), F.col("e").alias("x"), "k", F.explode(F.sequence("k", "n")).alias("o"))
-    right = d.select(F.col("vec_id").alias("b"), F.col("e").alias("y"), F.explode(F.sequence(ks.cast("long"), "k")).alias("k"), F.col("k").alias("o"))
-    met = left.join(right, ["k", "o"]).where("a < b")
-    return met.select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("cosine"))
+    """a, b, cosine of all pairs a < b: blocks of a hash of the ids meet once each, so that no side is sent whole to anybody."""
+    d = vectors(spark, sf_dir).select("vec_id", "e")
+    blocks = F.lit(max(1, -(-d.count() // block)))
+    d = d.withColumn("k", F.pmod(F.xxhash64("vec_id"), blocks))
+    left = d.select(F.col("vec_id").alias("x"), F.col("e").alias("u"), "k", F.explode(F.sequence("k", blocks - 1)).alias("o"))
+    right = d.select(F.col("vec_id").alias("y"), F.col("e").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), "k")).alias("k"), F.col("k").alias("o"))
+    met = left.join(right, ["k", "o"]).where("k < o or x < y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), V.cosine(F.col("u"), F.col("v")).alias("cosine"))
 
 
 @query
@@ -362,7 +395,8 @@ def cosine_pairs(spark, sf_dir):
 @query
 def cosine_topk_neighbors(spark, sf_dir):
     d = pairwise(spark, sf_dir)
-    both = d.union(d.select("b", "a", "cosine")).withColumn("cosine", F.round("cosine", 9))
+    ends = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.round("cosine", 9).alias("cosine"))
+    both = d.select(F.inline(F.array(ends("a", "b"), ends("b", "a"))))
     order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     best = both.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
     return best.select("a", "rank", "b", F.round("cosine", 5).alias("cosine"))
@@ -411,43 +445,77 @@ def onnx_depth(spark, sf_dir):
     return flat(scored(spark, sf_dir, [8, 8]).withColumn("d", V.depth_map("e", 8, 8)), F.col("d.values"))
 
 
+@query
+def score_table(spark, sf_dir):
+    """The scoring table operation: raw scores beside the other columns, and a row id."""
+    d = vectors(spark, sf_dir).withColumn("t", F.col("e").cast("array<float>"))
+    d = onnx.with_row_id(onnx.with_scores(d, "t", scorer([64])))
+    return d.select("vec_id", "label", F.posexplode(F.slice("RawScores", 1, 4)).alias("pos", "value")).withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
+@query
+def depth_at(spark, sf_dir):
+    d = vectors(spark, sf_dir).withColumn("d", V.depth_map("e", 8, 8))
+    return d.select("vec_id", F.round(V.pixel_at(F.col("d.values"), 5, 2, 8, 8), 5).alias("depth"))
+
+
+@query
+def vae_scale(spark, sf_dir):
+    return flat(vectors(spark, sf_dir), diffusion.vae_input(F.col("e")), 4)
+
+
+@query
+def pixel_bytes(spark, sf_dir):
+    """4 x 4 pixels of the first 48 numbers."""
+    return flat(vectors(spark, sf_dir), diffusion.pixel_bytes(F.transform("e", lambda x: 4 * x), 4, 4), None)
+
+
+@query
+def guided_batch(spark, sf_dir):
+    """An embedding behind that of no prompt, and the ids that stand for a prompt without a vocabulary."""
+    both = diffusion.doubled(F.transform(F.slice("e", 1, 4), lambda x: x * 0), F.slice("e", 1, 4))
+    ids = diffusion.unguided_ids(tokenize.SOT, tokenize.EOT, tokenize.LENGTH)
+    return flat(vectors(spark, sf_dir).withColumn("ids", ids).where(F.col("ids") == F.array(*map(F.lit, tokenize.fallback_ids()))), both)
+
+
 @query
 def task_classify(spark, sf_dir):
     """The whole task on pictures: the tensor is the model's output, so the top class is the largest input."""
     t = tasks.Task(toy_onnx.reshaping([3, 4, 4], [48]), TINY)
-    d = tasks.classify(pictures(spark, sf_dir), t, 1)
-    return d.select("vec_id", F.get("Predictions", F.lit(0))["class_id"].alias("class_id"), F.size("Probability").alias("n"))
+    d = tasks.classify(pictures(spark, sf_dir), t, 2).select("vec_id", F.posexplode("Predictions").alias("rank", "p"))
+    return d.select("vec_id", "rank", "p.class_id", F.round("p.probability", 4).alias("probability"))
 
 
 @query
 def task_segment(spark, sf_dir):
-    t = tasks.Task(toy_onnx.reshaping([3, 4, 4], [3, 4, 4]), TINY)
+    t = tasks.Task(toy_onnx.reshaping([3, 4, 4], [12, 2, 2]), TINY)
     d = tasks.segment(pictures(spark, sf_dir), t)
-    return d.select("vec_id", "SegmentationMask_Width", "SegmentationMask_Height", F.size("SegmentationMask").alias("pixels"))
+    return d.select("vec_id", "SegmentationMask_Width", "SegmentationMask_Height", F.posexplode("SegmentationMask").alias("pos", "class_id"))
 
 
 @query
 def task_depth(spark, sf_dir):
+    """Depths of 12 x 4, brought back to the picture's 4 x 4, in steps of a 200th that no simple fraction stands at."""
     t = tasks.Task(toy_onnx.reshaping([3, 4, 4], [12, 4]), TINY)
     d = tasks.estimate_depth(pictures(spark, sf_dir), t)
-    v = F.col("DepthMap")
-    return d.select("vec_id", F.array_min(v).cast("double").alias("low"), F.array_max(v).cast("double").alias("high"), F.size(v).alias("pixels"))
+    d = d.select("vec_id", F.round(F.col("Depth.min_depth").cast("double"), 3).alias("low"), F.posexplode("DepthMap").alias("pos", "value"))
+    return d.withColumn("value", F.floor(200 * F.col("value") + 0.37).cast("int"))
 
 
 @query
 def task_embed(spark, sf_dir):
-    """Unit embeddings of the first 16 numbers: their width, and where each is largest."""
+    """Unit embeddings of the first 16 numbers."""
     t = tasks.Task(toy_onnx.reshaping([3, 4, 4], [3, 16]), TINY)
-    d = tasks.embed(pictures(spark, sf_dir), t)
-    return d.select("vec_id", F.size("Embedding").alias("width"), V.argmax("Embedding").cast("int").alias("largest"))
+    return flat(tasks.embed(pictures(spark, sf_dir), t), F.col("Embedding").cast("array<double>"), 3)
 
 
 @query
 def task_detect(spark, sf_dir):
-    """Boxes above the score; no overlap is above 1, so that none is suppressed here (nms does that)."""
+    """Eight boxes of two classes, suppressed."""
     t = tasks.Task(toy_onnx.reshaping([3, 4, 4], [6, 8]), TINY)
-    d = tasks.detect(pictures(spark, sf_dir), t, iou=1.1)
-    return d.select("vec_id", F.col("DetectedObjects_Count").alias("boxes"), F.size("DetectedObjects_Boxes").alias("numbers"))
+    d = tasks.detect(pictures(spark, sf_dir), t)
+    rows = d.select("vec_id", F.col("DetectedObjects_Count").alias("boxes"), F.posexplode("DetectedObjects_Boxes").alias("pos", "value"))
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 3) + 0.0)
 
 
 @query
@@ -457,52 +525,92 @@ def task_zero_shot(spark, sf_dir):
     return d.select("vec_id", F.col("PredictedLabel").alias("predicted"), F.size("Predictions").alias("n"))
 
 
-@query
-def task_caption(spark, sf_dir):
-    """Captions, and answers where there is a question, by a decoder that knows one next word for every word."""
-    step = np.zeros((8, 8), np.float32)
-    for a, b in ((1, 3), (3, 4), (4, 2), (2, 5), (5, 2)):
+def captioner() -> tuple[bytes, tokenize.WordPieceTokenizer]:
+    """A decoder that says "a cat" or "a dog", or that word alone for a question, as the first number it sees is positive or not."""
+    step, sees = np.zeros((8, 8), np.float32), np.zeros((48, 8), np.float32)
+    for a, b in ((1, 3), (3, 4), (3, 5), (4, 2), (2, 4), (2, 5), (5, 2)):
         step[a, b] = 1
+    sees[0, 4], sees[0, 5] = 0.1, -0.1
     decoder = toy_onnx.model(
-        [toy_onnx.node("Gather", ["w", "ids"], ["y"])], {"ids": [1, "n"]}, {"y": [1, "n", 8]}, {"w": step}, ("ids",)
-    )
-    words = tokenize.WordPieceTokenizer(["[PAD]", "[B]", "[E]", "a", "cat", "dog", "what", "##s"])
+        [toy_onnx.node("Gather", ["w", "ids"], ["g"]), toy_onnx.node("MatMul", ["x", "m"], ["b"]), toy_onnx.node("Add", ["g", "b"], ["y"])],
+        {"ids": [1, "n"], "x": [1, 48]}, {"y": [1, "n", 8]}, {"w": step, "m": sees}, ("ids",),
+    )
+    return decoder, tokenize.WordPieceTokenizer(["[PAD]", "[B]", "[E]", "a", "cat", "dog", "what", "##s"])
+
+
+@query
+def task_caption(spark, sf_dir):
+    """Captions, and one word where there is a question: what is said after the first is the end marker."""
+    decoder, words = captioner()
     d = pictures(spark, sf_dir).withColumn("question", F.when(F.col("vec_id") % 2 == 0, "what"))
     d = tasks.caption(d, tasks.Task(toy_onnx.reshaping([3, 4, 4], [48]), TINY), decoder, words, "question", 10, 1, 2)
     return d.select("vec_id", F.col("Caption").alias("caption"))
 
 
 @query
-def task_segment_prompts(spark, sf_dir):
-    """The best of three masks for the prompt of each picture's middle."""
-    decoder = toy_onnx.model(
-        [toy_onnx.node("Identity", ["x"], ["masks"]), toy_onnx.node("Identity", ["c"], ["iou"])],
-        {"x": [1, 3, 4, 4]}, {"masks": [1, 3, 4, 4], "iou": [1, 3]}, {"c": np.array([[0.25, 0.75, 0.75]], np.float32)},
+def chat_reply(spark, sf_dir):
+    """Replies to conversations whose every fourth turn shows a picture of one shade."""
+    shade = F.lpad(F.hex((F.col("conv_id") * 37) % 256), 2, "0")
+    d = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    d = d.withColumn("file", images.encode(images.from_pixels(F.lit(4), F.lit(4), F.unhex(F.repeat(shade, 64)))))
+    parts = lambda kind, data, text: F.struct(kind.alias("media_type"), data.alias("data"), text.alias("text"))
+    words = parts(F.lit("text/plain"), F.lit(None).cast("binary"), F.when(F.col("turn") % 8 != 0, F.lit("what")))
+    image = parts(F.col("file.media_type"), F.col("file.data"), F.lit(None).cast("string"))
+    d = d.withColumn("contents", F.when(F.col("turn") % 4 == 0, F.array(image, words)).otherwise(F.array(words)))
+    decoder, tokens = captioner()
+    return chat.ChatAdapter(tasks.Task(toy_onnx.reshaping([3, 4, 4], [48]), TINY), decoder, tokens, 10, 1, 2).reply(d)
+
+
+def segmenter() -> bytes:
+    """Three masks, moved by the prompt's first coordinate, with fixed qualities."""
+    return toy_onnx.model(
+        [toy_onnx.node("Gather", ["p", "zero"], ["q"]), toy_onnx.node("Reshape", ["q", "flat"], ["f"]), toy_onnx.node("Gather", ["f", "zero"], ["a"]),
+         toy_onnx.node("Sub", ["x", "a"], ["masks"]), toy_onnx.node("Identity", ["c"], ["iou"])],
+        {"x": [1, 3, 4, 4], "p": [1, "n", 2]}, {"masks": [1, 3, 4, 4], "iou": [1, 3]},
+        {"c": np.array([[0.25, 0.75, 0.75]], np.float32), "zero": np.array(0), "flat": np.array([-1])},
     )
-    d = tasks.encode_images(pictures(spark, sf_dir), tasks.Task(toy_onnx.reshaping([3, 4, 4], [3, 4, 4]), TINY))
-    d = tasks.segment_prompts(d.withColumn("Prompt", tasks.center(F.col("Image"))), decoder)
-    pixels = F.size(F.filter("SegmentAnythingMask", lambda x: x > 0))
-    return d.select("vec_id", pixels.alias("pixels"), F.col("SegmentAnythingMask_IoU").cast("double").alias("iou"))
 
 
 @query
-def task_generate(spark, sf_dir):
-    """A picture for every text: the noise is passed on, and each number of the last step fills 8 x 8 pixels."""
-    text = toy_onnx.model(
-        [toy_onnx.node("Gather", ["w", "ids"], ["y"])], {"ids": [1, 77]}, {"y": [1, 77, 2]},
-        {"w": np.zeros((49408, 2), np.float32)}, ("ids",),
+def task_segment_prompts(spark, sf_dir):
+    """The best of three masks for several prompts of one encoding: a point each at x = 0 and 1, and the picture's middle."""
+    d = tasks.encode_images(pictures(spark, sf_dir), tasks.Task(toy_onnx.reshaping([3, 4, 4], [3, 4, 4]), TINY))
+    d = tasks.with_prompts(d, tasks.point(0, 1), tasks.point(1, 3), tasks.center(F.col("Image")))
+    d = tasks.segment_prompts(d, segmenter())
+    pixels = F.size(F.filter("SegmentAnythingMask", lambda x: x > 0))
+    return d.select("vec_id", F.col("PromptIndex").alias("prompt"), pixels.alias("pixels"), F.col("SegmentAnythingMask_IoU").cast("double").alias("iou"))
+
+
+def painter() -> tasks.Generator:
+    """Red, green and blue for the tokens "the", "an" and "in". One step over the first noise level removes the noise."""
+    noise = diffusion.sigmas(1)[1][0]
+    text = toy_onnx.model([toy_onnx.node("Gather", ["w", "ids"], ["y"])], {"ids": [1, 77]}, {"y": [1, 77, 4]},
+                          {"w": np.eye(49408, 4, -513, np.float32)}, ("ids",))
+    unet = toy_onnx.model(
+        [toy_onnx.node("ReduceSum", ["e", "axis"], ["r"]), toy_onnx.node("Min", ["r", "one"], ["m"]), toy_onnx.node("Reshape", ["m", "s"], ["c"]),
+         toy_onnx.node("Mul", ["x", "k"], ["n"]), toy_onnx.node("Add", ["n", "c"], ["y"])],
+        {"x": [2, 4, 2, 2], "t": [1], "e": [2, 77, 4]}, {"y": [2, 4, 2, 2]},
+        {"axis": np.array([1]), "one": np.array([1], np.float32), "s": np.array([2, 4, 1, 1]), "k": np.array([np.sqrt(noise**2 + 1) / noise], np.float32)},
+        ("t",),
     )
-    unet = toy_onnx.model([toy_onnx.node("Identity", ["x"], ["y"])], {"x": [2, 4, 2, 2]}, {"y": [2, 4, 2, 2]})
-    larger = np.kron(np.eye(2), np.ones((1, 8)))
-    grow = np.kron(np.eye(4, 3), np.kron(larger, larger)).astype(np.float32)
+    grow = np.kron(np.eye(2), np.ones((1, 8)))
+    shade = -0.5 * diffusion.VAE_SCALE / (GUIDANCE * noise)
     vae = toy_onnx.model(
         [toy_onnx.node("Reshape", ["x", "flat"], ["f"]), toy_onnx.node("MatMul", ["f", "w"], ["g"]), toy_onnx.node("Reshape", ["g", "s"], ["y"])],
         {"x": [1, 4, 2, 2]}, {"y": [1, 3, 16, 16]},
-        {"flat": np.array([1, 16]), "w": grow, "s": np.array([1, 3, 16, 16])},
+        {"flat": np.array([1, 16]), "w": (shade * np.kron(np.eye(4, 3), np.kron(grow, grow))).astype(np.float32), "s": np.array([1, 3, 16, 16])},
     )
+    return tasks.Generator(text, unet, vae, toy_tokenizer(), 1, GUIDANCE, (16, 16))
+
+
+@query
+def task_generate(spark, sf_dir):
+    """A picture for every text: its size, its first pixel (blue, green, red, alpha), and whether all are alike."""
     d = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    d = tasks.generate(d, tasks.Generator(text, unet, vae, steps=3, size=(16, 16)), "text")
-    return d.select("item_id", "Image.width", "Image.height", F.length("Image.data").alias("bytes"))
+    d = tasks.generate(d, painter(), "text")
+    pixels = F.hex("Image.data")
+    first = F.substring(pixels, 1, 8)
+    return d.select("item_id", "Image.width", "Image.height", first.alias("first"), (pixels == F.repeat(first, 256)).alias("plain"))
 
 
 @query

@@ -1,4 +1,4 @@
-"""Image sources and sinks: folders through Spark's own source, PNG bytes, raw pixels, label lists."""
+"""Image sources and sinks: folders through Spark's own source, PNG and BMP bytes, raw pixels, label lists."""
 
 from __future__ import annotations
 
@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from tessera.schema import ENCODED, IMAGE
 
 
-def read_images(spark: SparkSession, *paths: str, drop_invalid: bool = True) -> DataFrame:
-    """Image: the pictures of folders or globs, decoded in the JVM; several paths are one table."""
+def read_images(spark: SparkSession, *paths: str, drop_invalid: bool = True, limit: int | None = None) -> DataFrame:
+    """Image: the pictures of folders or globs, decoded in the JVM; several paths are one table, of limit rows at most."""
     found = spark.read.format("image").option("dropInvalid", str(drop_invalid).lower()).load(list(paths))
-    return found.select(F.col("image").alias("Image"))
+    found = found.select(F.col("image").alias("Image"))
+    return found if limit is None else found.limit(limit)
 
 
 def read_labels(spark: SparkSession, path: str) -> list[str]:
@@ -40,38 +41,82 @@ def png(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
+def bmp(rgb: np.ndarray) -> bytes:
+    """(H, W, 3 or 4) bytes as a BMP file of 24 bits a pixel; alpha is left out."""
+    h, w = rgb.shape[:2]
+    rows = np.zeros((h, (3 * w + 3) // 4 * 4), np.uint8)
+    rows[:, : 3 * w] = rgb[::-1, :, 2::-1].reshape(h, 3 * w)
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, w, h, 1, 24, 0, rows.size, 0, 0, 0, 0) + rows.tobytes()
+
+
+def unbmp(data: bytes) -> np.ndarray:
+    """(H, W, 3) bytes of an uncompressed BMP file of 24 or 32 bits a pixel."""
+    start, _, w, h, _, bits, packed = struct.unpack("<IIiiHHI", data[10:34])
+    if bits not in (24, 32) or packed not in (0, 3) or w < 1 or h == 0:
+        raise ValueError("only uncompressed BMP files of 24 or 32 bits")
+    width = (w * bits + 31) // 32 * 4
+    rows = np.frombuffer(data, np.uint8, abs(h) * width, start).reshape(abs(h), width)[:, : w * bits // 8]
+    rgb = rows.reshape(abs(h), w, bits // 8)[:, :, 2::-1]
+    return rgb[::-1] if h > 0 else rgb
+
+
+def _unfiltered(lines: np.ndarray, size: int) -> np.ndarray:
+    """Lines of (filter, bytes) as bytes; size is the number of bytes of a pixel.
+
+    A byte needs its left, upper and upper left neighbours, so that the pixels of one diagonal can be done at once.
+    """
+    h, w = lines.shape[0], (lines.shape[1] - 1) // size
+    kind, raw = lines[:, 0], lines[:, 1:].reshape(h, w, size).astype(np.int16)
+    if kind.max(initial=0) > 4:
+        raise ValueError("no such filter")
+    if not kind.any():
+        return raw.astype(np.uint8)
+    out = np.zeros((h + 1, w + 1, size), np.int16)  # one line and one column of zeros before the first
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x, k = d - y, kind[y][:, None]
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        p = a + b - c
+        pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
+        paeth = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        guess = np.select([k == 1, k == 2, k == 3, k == 4], [a, b, (a + b) // 2, paeth], 0)
+        out[y + 1, x + 1] = (raw[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def unpng(data: bytes) -> np.ndarray:
-    """(H, W, C) bytes of a PNG file of 8-bit grey, RGB or RGBA pixels without interlacing."""
+    """(H, W, C) bytes of a PNG file without interlacing: grey, RGB (palettes too) or either with alpha; of 16 bits
+    the upper 8 are taken, and fewer than 8 are stretched."""
     if not data:
         raise ValueError("no bytes to decode")
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG file")
-    at, body, head = 8, b"", b""
-    while at < len(data):
+    at, parts = 8, {b"IHDR": b"", b"IDAT": b"", b"PLTE": b""}
+    while at + 8 <= len(data):
         n, kind = struct.unpack(">I4s", data[at : at + 8])
-        part = data[at + 8 : at + 8 + n]
-        head, body, at = part if kind == b"IHDR" else head, body + part if kind == b"IDAT" else body, at + 12 + n
-    w, h, depth, color, _, _, interlace = struct.unpack(">IIBBBBB", head)
-    if depth != 8 or color not in (0, 2, 6) or interlace:
-        raise ValueError("only plain 8-bit PNG files")
-    c = {0: 1, 2: 3, 6: 4}[color]
-    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * c)
-    out = np.zeros((h, w * c), np.uint8)
-    for y in range(h):
-        kind, line, up = lines[y, 0], lines[y, 1:], out[y - 1] if y else np.zeros(w * c, np.uint8)
-        if kind in (0, 2):
-            out[y] = line + (up if kind else 0)
-            continue
-        for x in range(w * c):
-            a, b, d = int(out[y, x - c]) if x >= c else 0, int(up[x]), int(up[x - c]) if x >= c else 0
-            p = a + b - d
-            nearest = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - d), 2, d))[2]
-            out[y, x] = (int(line[x]) + (a if kind == 1 else (a + b) // 2 if kind == 3 else nearest)) & 255
-    return out.reshape(h, w, c)
-
-
-def encode(image: str | Column) -> Column:
-    """struct(data, media_type): an image struct as a PNG file."""
+        if kind in parts:
+            parts[kind] += data[at + 8 : at + 8 + n]
+        at += 12 + n
+    w, h, depth, color, _, _, interlace = struct.unpack(">IIBBBBB", parts[b"IHDR"])
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color)
+    if channels is None or interlace or w < 1 or h < 1:
+        raise ValueError("only PNG files without interlacing")
+    line = (w * channels * depth + 7) // 8
+    lines = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8)[: h * (1 + line)].reshape(h, 1 + line)
+    out = _unfiltered(lines, max(1, channels * depth // 8)).reshape(h, line)
+    if depth < 8:
+        bits = np.unpackbits(out, axis=1)[:, : w * depth].reshape(h, w, depth)
+        out = (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8)
+        out = out if color == 3 else out * np.uint8(255 // ((1 << depth) - 1))
+    out = (out.reshape(h, -1)[:, ::2] if depth == 16 else out).reshape(h, w, channels)
+    if color == 3:
+        return np.frombuffer(parts[b"PLTE"], np.uint8).reshape(-1, 3)[out[:, :, 0]]
+    return out if channels != 2 else out[:, :, [0, 0, 0, 1]]
+
+
+def encode(image: str | Column, media_type: str = "image/png") -> Column:
+    """struct(data, media_type): an image struct as a file. BMP is written where it is asked for, else PNG."""
+    write, kind = (bmp, "image/bmp") if media_type.lower() == "image/bmp" else (png, "image/png")
 
     def udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -82,23 +127,31 @@ def encode(image: str | Column) -> Column:
                     continue
                 p = np.frombuffer(r["data"], np.uint8).reshape(int(r["height"]), int(r["width"]), -1)
                 p = p[:, :, [2, 1, 0, 3]] if p.shape[2] == 4 else p[:, :, ::-1] if p.shape[2] == 3 else np.repeat(p, 3, axis=2)
-                rows.append({"data": png(p), "media_type": "image/png"})
+                rows.append({"data": write(p), "media_type": kind})
             yield pd.DataFrame(rows)
 
     return F.pandas_udf(udf, ENCODED)(image)
 
 
+def pixels_of(data: bytes) -> np.ndarray | None:
+    """The pixels of a PNG or BMP file, null for bytes that can't be decoded."""
+    try:
+        return unbmp(data) if data[:2] == b"BM" else unpng(data)
+    except (ValueError, IndexError, struct.error, zlib.error):
+        return None
+
+
 def decode(data: str | Column) -> Column:
-    """An image struct of the bytes of a PNG file; null for a null."""
+    """An image struct of the bytes of a PNG or BMP file; null for a null and for what can't be decoded."""
 
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             rows = []
             for b in s:
-                if b is None:
+                p = None if b is None else pixels_of(bytes(b))
+                if p is None:
                     rows.append(dict.fromkeys(("origin", "height", "width", "nChannels", "mode", "data")))
                     continue
-                p = unpng(bytes(b))
                 c = p.shape[2]
                 q = p if c == 1 else p[:, :, ::-1] if c == 3 else p[:, :, [2, 1, 0, 3]]
                 rows.append({"origin": "", "height": p.shape[0], "width": p.shape[1], "nChannels": c,

@@ -10,15 +10,18 @@ from tessera.plans.oracle import SQL
 from tessera.plans.queries import QUERIES
 
 SF = Path("/root/testdata/sf0.001")
-NAMES = ["softmax_topk", "nms", "seg_histogram", "depth_stats", "zero_shot_topk", "greedy_decode", "chat_route", "cosine_topk_neighbors",
-         "task_embed", "task_detect", "task_zero_shot", "task_caption", "task_segment_prompts", "task_generate", "event_windows"]
+#: One of each kind; the driver compares them all.
+NAMES = ["softmax_topk", "nms", "seg_histogram", "depth_stats", "zero_shot_topk", "greedy_decode", "chat_route", "chat_reply", "cosine_topk_neighbors",
+         "image_round_trip", "image_resize_preprocess", "tokenize_clip", "attention_mask", "text_encode", "pixel_bytes", "guided_batch", "vae_scale",
+         "task_classify", "task_segment", "task_depth", "task_embed", "task_detect", "task_zero_shot", "task_caption", "task_segment_prompts",
+         "task_generate", "event_windows"]
 
 
 @pytest.mark.skipif(not SF.exists(), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "conversations", "benchmark", "events"):
+    for t in ("embeddings", "conversations", "benchmark", "events", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(SQL[name]).df()
     got = QUERIES[name](spark, str(SF)).toPandas()[list(want.columns)]
