@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import shared_table, text_of
+from tessera.llm.common import shared_table, skew_join
 from tessera.llm.graph import component_roots
 
 SHINGLE, SIMILARITY, SEED, BANDS, ROWS, SLACK, CHUNK = 5, 0.8, 42, 32, 4, 0.2, 256
@@ -113,11 +113,12 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     """
     need = shared_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "need")
     texts = shared_table(texts.join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts"))
-    right = texts.withColumnRenamed("text", "text_b").join(hubs, F.col("node") == F.col("b")).select(
+    hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts"), F.count("*").alias("_n"))
+    hubs = shared_table(hubs, "hubs")
+    right = texts.withColumnRenamed("text", "text_b").join(hubs.drop("_n"), F.col("node") == F.col("b")).select(
         "b", "text_b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
     )
-    left = pairs.join(hubs, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
+    left = skew_join(pairs, hubs, ["b"], pairs.count()).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
     left = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b")
     return shared_table(both.mapInPandas(lambda it: _verified(it, size, similarity), PAIR), "links")
@@ -135,18 +136,20 @@ def similar_roots(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.substring("sig", 1 + width * t, width)) for t in range(BANDS)])
     keyed = nodes.select("node", "size", F.posexplode(keys).alias("t", "key"))
-    blocks = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-    members = shared_table(keyed.join(shared_table(blocks, "blocks"), ["t", "key"]), "members")
+    blocks = keyed.groupBy("t", "key").agg(F.count("*").alias("_n"), F.min("node").alias("hub")).where("_n > 1")
+    total = nodes.count()
+    members = shared_table(skew_join(keyed, shared_table(blocks, "blocks"), ["t", "key"], total), "members")
     stars = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     stars = shared_table(stars, "stars")
     links = verified(stars, docs, size, similarity)
     roots = shared_table(component_roots(links), "roots")
-    placed = members.drop("n", "hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = members.drop("hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_blocks = (
         placed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
-        .where("x <> y").select("t", "key", F.ceil(F.col("n") / chunk).cast("int").alias("c"))
+        .where("x <> y").select("t", "key", F.ceil(F.col("n") / chunk).cast("int").alias("c"), F.col("n").alias("_n"))
     )
-    member = placed.join(shared_table(open_blocks, "open"), ["t", "key"]).join(nodes.select("node", "sig"), "node")
+    member = skew_join(shared_table(placed, "placed"), shared_table(open_blocks, "open"), ["t", "key"], total)
+    member = member.join(nodes.select("node", "sig"), "node")
     tasks = (
         member.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))

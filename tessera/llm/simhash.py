@@ -7,8 +7,9 @@ of that row, so a pair is discarded by its largest coordinate difference and onl
 Pairs meet in blocks: the 64 bits are cut into 6 pieces, and two fingerprints within 3 bits agree on at least 3 of
 them, so that each of the 20 choices of 3 pieces is a blocking key and no link is lost. A block of two rows is
 settled while it is counted. A larger block is cut into chunks by a hash, and every pair of chunks is a task row of
-its own, so that the largest block (one third of the corpus, say) is spread over many tasks. A chunk pair returns a
-spanning forest of its links, never all pairs.
+its own, so that the largest block (one third of the corpus, say) is spread over many tasks. In a chunk pair the
+fingerprints are sorted by their distance to the first pivot; only those whose distances differ by ``limit`` at most
+are looked at together, and a pair returns a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import jaccard
-from tessera.llm.common import shared_table, text_of
+from tessera.llm.common import shared_table, skew_join, text_of
 from tessera.llm.graph import component_roots
 
-SHINGLE, SEED, LIMIT, PIVOTS, PIECES, CHUNK = 3, 42, 3, 16, 6, 256
+SHINGLE, SEED, LIMIT, PIVOTS, PIECES, CHUNK = 3, 42, 3, 16, 6, 2048
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -83,20 +84,28 @@ def _forest(fp: np.ndarray, rows: np.ndarray, side: np.ndarray, limit: int) -> t
     right = np.flatnonzero(side != side.min())
     within = len(right) == 0
     right = left if within else right
-    found_a, found_b = [], []
-    step = max(1, (1 << 20) // len(right))
-    for at in range(0, len(left), step):
-        part = left[at : at + step]
-        alive = np.ones((len(part), len(right)), dtype=bool)
-        for p in range(rows.shape[1]):  # the largest coordinate difference decides
-            alive &= np.abs(rows[part, p][:, None] - rows[right, p][None, :]) <= limit
-        i, j = np.nonzero(alive)
-        i, j = part[i], right[j]
-        if within:
-            i, j = i[i < j], j[i < j]
-        close = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= limit
-        found_a.append(i[close])
-        found_b.append(j[close])
+    right = right[np.argsort(rows[right, 0], kind="stable")]
+    first, dense = rows[right, 0], min(4, rows.shape[1])
+    found_a, found_b = [np.array([], dtype=int)], [np.array([], dtype=int)]
+    for value in np.unique(rows[left, 0]):
+        mine = left[rows[left, 0] == value]
+        near = right[np.searchsorted(first, value - limit) : np.searchsorted(first, value + limit, "right")]
+        step = max(1, (1 << 20) // max(1, len(near)))
+        for at in range(0, len(mine), step):
+            part = mine[at : at + step]
+            alive = np.ones((len(part), len(near)), dtype=bool)
+            for p in range(1, dense):
+                alive &= np.abs(rows[part, p][:, None] - rows[near, p][None, :]) <= limit
+            i, j = np.nonzero(alive)
+            i, j = part[i], near[j]
+            if within:
+                i, j = i[i < j], j[i < j]
+            # The largest coordinate difference decides, and what is left is compared bit by bit.
+            kept = np.abs(rows[i, dense:] - rows[j, dense:]).max(axis=1, initial=0) <= limit
+            i, j = i[kept], j[kept]
+            close = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= limit
+            found_a.append(i[close])
+            found_b.append(j[close])
     a, b = np.concatenate(found_a), np.concatenate(found_b)
     label = np.arange(len(fp))
     while len(a):
@@ -162,8 +171,9 @@ def close_pairs(prints: DataFrame, limit: int = LIMIT, chunk: int = CHUNK, n_piv
         blocks.where("n = 2").where(F.array_max(apart) <= limit)
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit).select("a", "b")
     )
-    large = blocks.where("n > 2").select("t", "key", F.ceil(F.col("n") / chunk).cast("int").alias("c"))
-    member = keyed.join(large, ["t", "key"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
+    large = blocks.where("n > 2").select("t", "key", F.ceil(F.col("n") / chunk).cast("int").alias("c"), F.col("n").alias("_n"))
+    member = skew_join(keyed, large, ["t", "key"], prints.count())
+    member = member.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
     tasks = (
         member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
         .select("t", "key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "fp", "row")
@@ -174,20 +184,23 @@ def close_pairs(prints: DataFrame, limit: int = LIMIT, chunk: int = CHUNK, n_piv
 
 
 def _linked(prints: DataFrame, docs: DataFrame, text: Column, limit: int, shingle: int, similarity: float | None) -> DataFrame:
-    """``fp`` and ``component``, the least ``id`` of its component, for the distinct fp of prints (``id`` and ``fp``)."""
-    classes = shared_table(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
+    """``fp``, ``component``, the least ``id`` of its component, and ``_n``, its rows, for the distinct fp of prints
+    (``id`` and ``fp``)."""
+    classes = prints.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("_n"))
+    classes = shared_table(classes, "classes")
     if similarity is None:
-        roots = component_roots(close_pairs(classes, limit))
+        roots = component_roots(close_pairs(classes.select("fp"), limit))
     else:
         roots = jaccard.similar_roots(docs.select(jaccard.node_of(text).alias("node"), text.alias("text")), shingle, similarity)
     linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = shared_table(linked, "linked")
     best = (
         linked.join(classes, linked["node"] == classes["fp"])
-        .groupBy("root").agg(F.min("first_id").alias("component"))
+        .groupBy("root").agg(F.min("first_id").alias("component"), F.count("*").alias("_n"))
     )
-    moved = linked.join(best, "root").select(F.col("node").alias("fp"), "component")
-    return classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component"))
+    moved = skew_join(linked, shared_table(best, "best"), ["root"], linked.count()).select(F.col("node").alias("fp"), "component")
+    found = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component"), "_n")
+    return shared_table(found, "components")
 
 
 def _print_of(text: Column, shingle: int, similarity: float | None) -> Column:
@@ -210,14 +223,14 @@ def near_duplicates(
     text = text_of(text_col)
     prints = shared_table(docs.select(F.col(id_col).alias("id"), _print_of(text, shingle, similarity).alias("fp")), "prints")
     classes = _linked(prints, docs, text, limit, shingle, similarity).withColumnRenamed("component", "component_id")
-    return prints.join(classes, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    return skew_join(prints, classes, ["fp"], prints.count()).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The documents without near-copies: of each component one row stays, that with the smallest id.
 
     The survivor is a row, not an id: rows go by id, those without one last, then by a hash of the text. Of rows
-    that agree in both one stays.
+    that agree in both one stays; they are told apart before the shuffle, in which every text takes part once.
     """
     text = text_of()
     key = F.struct(F.col("doc_id").isNull().alias("lost"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("hash"))
@@ -226,6 +239,7 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None
     # No null may stand in a join's key: a lost id is joined as zero beside its flag.
     flat = lambda lost, doc_id, h: [lost.alias("_lost"), F.coalesce(doc_id, F.lit(0)).alias("_id"), h.alias("_hash")]
     first = shared_table(first.select(*flat(F.col("lost"), F.col("id"), F.col("hash"))), "first")
-    rows = docs.select(*docs.columns, *flat(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(text)))
-    kept = rows.join(first, ["_lost", "_id", "_hash"], "left_semi").dropDuplicates(["_lost", "_id", "_hash"])
-    return kept.select(*docs.columns)
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")
+    rows = docs.select(whole, *flat(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(text)))
+    keys = ["_lost", "_id", "_hash"]
+    return rows.dropDuplicates(keys).join(first, keys, "left_semi").select("_doc.*")
