@@ -26,6 +26,16 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs in one struct, so that an operator's own columns can't clash with them."""
+    return F.struct(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns])
+
+
+def field_of(row: str, name: str) -> Column:
+    """A field of whole_row()."""
+    return F.col(row)[name]
+
+
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order, as an array."""
     return F.array_remove(F.split(F.translate(text, SPACES[1:], " " * 5), " "), "")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, shared_table, text_of, words_of
+from tessera.llm.common import SPACES, field_of, shared_table, text_of, whole_row, words_of
 
 WEIGHTS, SHARE_HALVES, MOST = (3, 1, 2), 3, 2
 #: The hash has 48 bits, refined 12 at a time.
@@ -25,11 +25,12 @@ def hash_of(doc_id: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with _size (words of the text), _key (source in sorting order, null last) and _hash."""
-    return docs.withColumns({
+    """_doc (the row), _size (words of the text), _key (source in sorting order, null last), _hash and _tie of docs."""
+    return docs.select(whole_row(docs).alias("_doc"), docs["doc_id"], docs["text"], docs["source"]).withColumns({
         "_size": F.size(words_of(text_of())).cast("long"),
         "_key": F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))),
         "_hash": hash_of(F.col("doc_id")),
+        "_tie": F.shiftrightunsigned(F.xxhash64(text_of()), 64 - BITS),
     })
 
 
@@ -146,9 +147,11 @@ def _ties(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix: a row per whole copy, and one with the first words where a part is taken."""
-    columns = docs.columns
-    rows = sized(docs).withColumn("_tie", F.shiftrightunsigned(F.xxhash64(text_of()), 64 - BITS))
+    """The documents of the mix: a row per whole copy, and one with the first words where a part is taken.
+
+    All columns of docs stay as they are, whatever their names, but for the text of what is cut and its n_chars.
+    """
+    rows = sized(docs)
     small = shared_table(rows.select("_key", "_hash", "_size", "_tie"), "sizes")
     plan = mix_plan(small)
     plan = plan.join(_ties(small, plan), "_key", "left").withColumns({"_at": F.col("_hash_at"), "_n": F.col("copies")})
@@ -160,7 +163,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     n = F.floor(F.col("_taken") / F.col("_size")).cast("int")
     rest = (F.col("_taken") - n * F.col("_size")).cast("int")
     head = F.when(rest > 0, F.array(head_of(text_of(), rest))).otherwise(F.array().cast("array<string>"))
-    d = d.withColumn("_copy", F.explode(F.concat(F.array_repeat("text", n), head))).withColumn("text", F.col("_copy"))
-    if "n_chars" in columns:
-        d = d.withColumn("n_chars", F.length("text").cast("long"))
-    return d.select(*columns)
+    d = d.select("_doc", F.explode(F.concat(F.array_repeat("text", n), head)).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return d.select(*[new[c].alias(c) if c in new else field_of("_doc", c).alias(c) for c in docs.columns])

@@ -26,7 +26,7 @@ from tessera.operators.tokenize import byte_symbols
 
 WINDOW, OPEN, MIN_CUT, END_ID, MERGE = 2048, 64, 64, 1, 4096
 #: Words whose ids one Python worker remembers, twice over: the latest ones and those before them.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Longer words, in bytes, are not remembered.
 LONGEST = 128
 

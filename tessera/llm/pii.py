@@ -3,29 +3,38 @@
 Numbers are found by their format and validated (Luhn digit, octets up to 255, days that exist); each is then
 permuted, under a key, among the values of its own format: a card number becomes another valid one, a date another
 day. The permutation depends on the value alone, so equal values get equal pseudonyms in every document, whatever
-separators they are written with.
+separators they are written with: a phone's country code is read from its digits, not from what parts them.
+
+The key comes from ``spark.tessera.pii.key``. Without one, an application makes a random key of its own: values stay
+linked within it, and nobody else can take the pseudonyms back.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
+import secrets
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_of
+from tessera.llm.common import field_of, text_of, whole_row
 
 KINDS = ("card", "ssn", "phone", "ip", "date", "iban", "email")
-ROUNDS, KEY = 10, "tessera"
-
-#: A local part has at most 64 characters; of a longer run the last 64 count.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+ROUNDS, KEY_SETTING = 10, "spark.tessera.pii.key"
+#: Letters and digits of a local part are permuted so many at a time.
+PIECE = 64
+
+#: An email from its mark on; the local part, of any length, is read backwards from there.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+EMAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+WHOLE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
 #: Characters of a country's IBAN, for numbers with other words behind them.
 IBAN_LENGTHS = {c: int(n) for n, cs in (
@@ -36,14 +45,35 @@ IBAN_LENGTHS = {c: int(n) for n, cs in (
     ).split()
 ) for c in cs.split(",")}
 IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])")
+IP6 = re.compile(r"(?<![0-9A-Za-z:])(?=[0-9A-Fa-f]*:)[0-9A-Fa-f:]{2,39}(?![0-9A-Za-z:])")
 DATE = re.compile(r"(?<![0-9])(?:([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![0-9])")
+SHORT_DATE = re.compile(r"(?<![0-9/])([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})(?![0-9/])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+#: Nine digits, and seven to fifteen, that a word before them tells what they are.
+BARE_SSN = re.compile(r"(?i:\b(?:ssn|social security)\b[^0-9\n]{0,20})((?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4})(?![0-9])")
+BARE_PHONE = re.compile(r"(?i:\b(?:tel|telephone|phone|mobile|fax|call)\b[^0-9+\n]{0,12})([0-9]{7,15})(?![0-9])")
 CARD = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")
 CARD_GROUPS = re.compile(r"(?<![0-9])[0-9]{4}([ -])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{6}\1[0-9]{4,5})(?![0-9])")
-PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])|\+[0-9](?:[ .-]?[0-9]){7,14}(?![0-9])")
+PHONE = re.compile(
+    r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"
+    r"|\+[0-9](?:[ .-]?[0-9]){7,14}(?![0-9])|(?<![0-9A-Za-z+.,-])0[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,4}(?![0-9])"
+)
+#: Country codes of one and of two digits; all others have three.
+CODES_1, CODES_2 = "1 7".split(), (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+
+#: First days of the spans of years that dates are permuted within, and the day after the last.
+SPANS = [datetime.date(y, 1, 1).toordinal() for y in (1, 1900, 2100)] + [datetime.date.max.toordinal() + 1]
+
 
-#: Days that dates are permuted among.
-FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+def key_of(spark: SparkSession) -> str:
+    """The key that the session names, else one made at random for this application."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named if named else _own_key
+
+
+_own_key = secrets.token_hex(32)
 
 
 def permute(x: int, size: int, key: str, tweak: str) -> int:
@@ -87,22 +117,24 @@ def card(m: re.Match, key: str) -> str | None:
 
 
 def phone(m: re.Match, key: str) -> str | None:
-    """The country code stays; at least 8 and at most 15 digits in all."""
+    """The country code behind a plus stays; 7 to 15 digits in all."""
     digits = _digits(m[0])
-    if not 8 <= len(digits) <= 15:
+    if not 7 <= len(digits) <= 15:
         return None
-    code = re.match(r"\+[0-9]{1,3}(?=[ .(-])", m[0])
-    keep = len(code[0]) - 1 if code else 0
+    keep = 0
+    if m[0][0] == "+":
+        keep = 1 if digits[:1] in CODES_1 else 2 if digits[:2] in CODES_2 else 3
     return _refill(m[0], digits[:keep] + _number(digits[keep:], key, "phone"))
 
 
 def ssn(m: re.Match, key: str) -> str | None:
     """Permuted among valid numbers: area 001-665, 667-899, group 01-99, serial 0001-9999."""
-    area, group, serial = (int(p) for p in m[0].split("-"))
+    digits = _digits(m[0])
+    area, group, serial = int(digits[:3]), int(digits[3:5]), int(digits[5:])
     x = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
     x, serial = divmod(permute(x, 898 * 99 * 9999, key, "ssn"), 9999)
     area, group = divmod(x, 99)
-    return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
+    return _refill(m[0], f"{area + 1 + (area >= 665):03d}{group + 1:02d}{serial + 1:04d}")
 
 
 def ip(m: re.Match, key: str) -> str | None:
@@ -113,6 +145,36 @@ def ip(m: re.Match, key: str) -> str | None:
     return ".".join(str(b) for b in x.to_bytes(4, "big"))
 
 
+def ip6(m: re.Match, key: str) -> str | None:
+    """The last 64 bits are permuted and the network stays; the address is written in its shortest form."""
+    try:
+        x = int(ipaddress.IPv6Address(m[0]))
+    except ValueError:
+        return None
+    low = x & (1 << 64) - 1
+    return str(ipaddress.IPv6Address(x - low + permute(low, 1 << 64, key, "ip6"))) if low > 1 else None
+
+
+def _other_day(day: int, key: str) -> datetime.date:
+    """Another day of the same span of years."""
+    first, end = next((a, b) for a, b in zip(SPANS, SPANS[1:], strict=False) if a <= day < b)
+    return datetime.date.fromordinal(first + permute(day - first, end - first, key, f"date{first}"))
+
+
+def short_date(m: re.Match, key: str) -> str | None:
+    """Two-digit years are permuted among the days of one century; day before month if both orders exist."""
+    for i, (d, mo) in enumerate(((m[1], m[2]), (m[2], m[1]))):
+        try:
+            day = datetime.date(2000 + int(m[3]), int(mo), int(d)).toordinal()
+        except ValueError:
+            continue
+        first = datetime.date(2000, 1, 1).toordinal()
+        new = datetime.date.fromordinal(first + permute(day - first, datetime.date(2100, 1, 1).toordinal() - first, key, "short"))
+        a, b = (new.day, new.month) if i == 0 else (new.month, new.day)
+        return f"{a:0{len(m[1])}d}/{b:0{len(m[2])}d}/{new.year % 100:02d}"
+    return None
+
+
 def date(m: re.Match, key: str) -> str | None:
     """Year first, or day and month first (the order that gives a day that exists; day before month if both do)."""
     orders = [(m[1], m[3], m[4])] if m[1] else [(m[8], m[7], m[5]), (m[8], m[5], m[7])]
@@ -121,12 +183,11 @@ def date(m: re.Match, key: str) -> str | None:
             day = datetime.date(int(y), int(mo), int(d)).toordinal()
         except ValueError:
             continue
-        if FIRST <= day <= LAST:
-            new = datetime.date.fromordinal(FIRST + permute(day - FIRST, LAST - FIRST + 1, key, "date"))
-            if m[1]:
-                return f"{new.year:04d}{m[2]}{new.month:02d}{m[2]}{new.day:02d}"
-            a, b = (new.day, new.month) if i == 0 else (new.month, new.day)
-            return f"{a:0{len(m[5])}d}{m[6]}{b:0{len(m[7])}d}{m[6]}{new.year:04d}"
+        new = _other_day(day, key)
+        if m[1]:
+            return f"{new.year:04d}{m[2]}{new.month:02d}{m[2]}{new.day:02d}"
+        a, b = (new.day, new.month) if i == 0 else (new.month, new.day)
+        return f"{a:0{len(m[5])}d}{m[6]}{b:0{len(m[7])}d}{m[6]}{new.year:04d}"
     return None
 
 
@@ -169,35 +230,62 @@ def iban(m: re.Match, key: str) -> str | None:
 
 
 def email(m: re.Match, key: str) -> str | None:
-    """Letters and digits of the local part are permuted among themselves, lower case; marks and domain stay."""
+    """Letters and digits of the local part are permuted among themselves, lower case; marks and domain stay.
+
+    Of a longer local part every 64 of them are permuted for themselves.
+    """
     local, _, domain = m[0].rpartition("@")
     body = "".join(c for c in local if c.isalnum()).lower()
     if not body:
         return None
-    x, out = permute(int(body, 36), 36 ** len(body), key, f"email{len(body)}"), ""
-    for _ in body:
-        x, c = divmod(x, 36)
-        out = "0123456789abcdefghijklmnopqrstuvwxyz"[c] + out
-    return f"{_refill(local, out)}@{domain}"
-
-
-FORMATS: tuple[tuple[str, re.Pattern, Callable[[re.Match, str], str | None]], ...] = (
-    ("email", EMAIL, email), ("iban", IBAN, iban), ("ip", IP, ip), ("date", DATE, date),
-    ("ssn", SSN, ssn), ("card", CARD, card), ("card", CARD_GROUPS, card), ("phone", PHONE, phone),
+    out = []
+    for at in range(0, len(body), PIECE):
+        part = body[at : at + PIECE]
+        x, new = permute(int(part, 36), 36 ** len(part), key, f"email{len(body)}:{at}"), []
+        for _ in part:
+            x, c = divmod(x, 36)
+            new.append("0123456789abcdefghijklmnopqrstuvwxyz"[c])
+        out += reversed(new)
+    return f"{_refill(local, ''.join(out))}@{domain}"
+
+
+def emails(text: str) -> Iterator[re.Match]:
+    """Local parts can't hold the mark, so that reading backwards from each one takes linear time in all."""
+    end = 0
+    for m in EMAIL.finditer(text):
+        head = text[end : m.start()]
+        start = m.start() - len(head) + len(head.rstrip(LOCAL))
+        end = m.end()
+        if start < m.start():
+            yield WHOLE_EMAIL.fullmatch(text, start, end)
+
+
+def _group(pattern: re.Pattern) -> Callable[[str], Iterator[re.Match]]:
+    """Matches of a pattern's first group alone, without the word that goes before."""
+    whole = re.compile("[0-9]+")
+    return lambda text: (whole.fullmatch(text, *m.span(1)) for m in pattern.finditer(text))
+
+
+FORMATS: tuple[tuple[str, Callable[[str], Iterator[re.Match]], Callable[[re.Match, str], str | None]], ...] = (
+    ("email", emails, email), ("iban", ibans, iban), ("ip", IP.finditer, ip), ("ip", IP6.finditer, ip6), ("date", DATE.finditer, date),
+    ("date", SHORT_DATE.finditer, short_date), ("ssn", SSN.finditer, ssn), ("ssn", _group(BARE_SSN), ssn), ("card", CARD.finditer, card),
+    ("card", CARD_GROUPS.finditer, card), ("phone", PHONE.finditer, phone), ("phone", _group(BARE_PHONE), phone),
 )
 
 
-def find(text: str, key: str = KEY) -> list[tuple[int, int, str, str]]:
+def find(text: str, key: str | None = None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of every private value, in order and without overlaps.
 
-    Formats are tried in a fixed order, emails first; a span belongs to the first that validates it.
+    Formats are tried in a fixed order, emails first; a span belongs to the first that validates it. Without a key,
+    that of this process.
     """
+    key = _own_key if key is None else key
     found: list[tuple[int, int, str, str]] = []
     digit = re.search(r"[0-9]", text)
-    for kind, pattern, new in FORMATS:
+    for kind, matches, new in FORMATS:
         if ("@" not in text) if kind == "email" else (digit is None):
             continue
-        for m in ibans(text) if kind == "iban" else pattern.finditer(text):
+        for m in matches(text):
             before = bisect_left(found, (m.end(),)) - 1
             if before >= 0 and found[before][1] > m.start():
                 continue
@@ -224,20 +312,29 @@ def _rows(texts: pd.Series, key: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", *[f"n_{k}" for k in KINDS], "spans"])
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with ``_private``: a struct of the new text, the count of each kind, and spans in the old text.
-
-    A null text gives an empty new one. The key is a parameter; a corpus keeps its links as long as it stays.
-    """
+def private_of(text: Column, key: str) -> Column:
+    """A struct of the new text, the count of each kind, and spans in the old text; of a null text an empty one."""
     schema = "text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string"
 
     def private(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield _rows(texts, key)
 
-    return docs.withColumn("_private", F.pandas_udf(private, schema)(text_of()))
+    return F.pandas_udf(private, schema)(text_of(text))
+
+
+def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """docs with pseudonyms in ``text``, and the new length in ``n_chars`` where there is one; all other columns,
+    whatever their names, as they are. A null text stays null."""
+    key = key_of(docs.sparkSession) if key is None else key
+    columns = docs.columns
+    whole = docs.select(whole_row(docs).alias("row"), docs["text"].alias("old"))
+    whole = whole.withColumn("text", F.when(F.col("old").isNotNull(), private_of(F.col("old"), key)["text"]))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNotNull(), F.length("text").cast("long"))}
+    return whole.select(*[new[c].alias(c) if c in new else field_of("row", c).alias(c) for c in columns])
 
 
-def report(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text (the new one), counts by kind and spans of every row of docs."""
-    return pseudonymize(docs.select("doc_id", "text"), key).select("doc_id", "_private.*")
+def report(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, text (the new one, empty for a null), counts by kind and spans of every row of docs."""
+    key = key_of(docs.sparkSession) if key is None else key
+    return docs.select("doc_id", private_of(docs["text"], key).alias("private")).select("doc_id", "private.*")

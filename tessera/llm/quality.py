@@ -2,7 +2,7 @@
 
 Bytes are embedded and met by learned filters five bytes wide. A text is covered, whole, by chunks that overlap by
 half; each filter is max-pooled over a chunk, and the chunk maxima are combined, by their mean and their largest,
-into one probability by a logistic layer. Trained on a bounded sample of labelled texts.
+into one probability by a logistic layer. Trained on a bounded sample of labelled texts, each taken whole, as in scoring.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import holdout_col, labelled_sample, text_of
 
 WIDTH, FILTERS, EMBED, HALF = 5, 12, 6, 128
-#: Labelled texts that training may take, the bytes of a text that one step looks at, and the line of label 1.
-SAMPLE, STRETCH, STEPS, LINE = 3_000, 1_024, 600, 0.3
+#: Positions that one slice of a long text holds: whole half chunks, so that memory stays bounded.
+SLICE = 512 * HALF
+#: Labelled texts that training may take, its steps, and the line of label 1.
+SAMPLE, STEPS, LINE = 3_000, 600, 0.3
 
 
 def as_bytes(text: str) -> np.ndarray:
@@ -47,31 +49,40 @@ class ByteNet:
         return out
 
     def pooled(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Chunk maxima (chunks, F) after a rectifier, and the positions they are at."""
-        y = self.maps(b)
-        starts = np.arange(0, len(y), HALF)
-        top = np.maximum.reduceat(y, starts, axis=0)
-        chunk = np.maximum(top[:-1], top[1:]) if len(top) > 1 else top
-        return np.maximum(chunk, 0), y
+        """Chunk maxima (chunks, F) after a rectifier, and the positions they are at, slice by slice."""
+        tops, places = [], []
+        for lo in range(0, len(b) - WIDTH + 1, SLICE):
+            y = self.maps(b[lo : lo + SLICE + WIDTH - 1])
+            halves = -(-len(y) // HALF)
+            if len(y) < halves * HALF:
+                y = np.concatenate([y, np.full((halves * HALF - len(y), FILTERS), -np.inf, dtype=y.dtype)])
+            y = y.reshape(halves, HALF, FILTERS)
+            at = y.argmax(axis=1)
+            tops.append(np.take_along_axis(y, at[:, None], axis=1)[:, 0])
+            places.append(lo + HALF * np.arange(halves)[:, None] + at)
+        top, place = np.concatenate(tops), np.concatenate(places)
+        if len(top) > 1:
+            later = top[1:] > top[:-1]
+            top, place = np.where(later, top[1:], top[:-1]), np.where(later, place[1:], place[:-1])
+        return np.maximum(top, 0), place
+
+    def maxima(self, b: np.ndarray) -> np.ndarray:
+        """The chunk maxima alone."""
+        tops = []
+        for lo in range(0, len(b) - WIDTH + 1, SLICE):
+            y = self.maps(b[lo : lo + SLICE + WIDTH - 1])
+            tops.append(np.maximum.reduceat(y, np.arange(0, len(y), HALF), axis=0))
+        top = np.concatenate(tops)
+        return np.maximum(np.maximum(top[:-1], top[1:]) if len(top) > 1 else top, 0)
 
     def logit(self, chunks: np.ndarray) -> float:
         return float(np.concatenate([chunks.mean(axis=0), chunks.max(axis=0)]) @ self.u + self.d[0])
 
     def score(self, text: str) -> float:
-        b, size = as_bytes(text), HALF * 512
-        if len(b) <= size + WIDTH:
-            chunks, _ = self.pooled(b)
-        else:  # a long text in slices of whole half chunks, so that memory stays bounded
-            tops = []
-            for at in range(0, len(b) - WIDTH + 1, size):
-                y = self.maps(b[at : at + size + WIDTH - 1])
-                tops.append(np.maximum.reduceat(y, np.arange(0, len(y), HALF), axis=0))
-            top = np.concatenate(tops)
-            chunks = np.maximum(np.maximum(top[:-1], top[1:]), 0)
-        return float(1 / (1 + np.exp(-np.clip(self.logit(chunks), -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.logit(self.maxima(as_bytes(text))), -30, 30))))
 
     def gradients(self, b: np.ndarray, label: float, weight: float) -> dict[str, np.ndarray]:
-        chunks, y = self.pooled(b)
+        chunks, at = self.pooled(b)
         n = len(chunks)
         best = chunks.argmax(axis=0)
         z = np.concatenate([chunks.mean(axis=0), chunks.max(axis=0)])
@@ -81,7 +92,6 @@ class ByteNet:
         back[best, np.arange(FILTERS)] += err * self.u[FILTERS:]
         back[chunks <= 0] = 0
         g["c"] = back.sum(axis=0)
-        at = np.stack([i * HALF + y[i * HALF : (i + 2) * HALF].argmax(axis=0) for i in range(n)])
         seen = b[at[:, :, None] + np.arange(WIDTH)]  # (chunks, F, WIDTH): the bytes below each maximum
         g["f"] = np.einsum("nf,nfke->kef", back, self.e[seen])
         np.add.at(g["e"], seen, back[:, :, None, None] * self.f.transpose(2, 0, 1)[None])
@@ -89,7 +99,7 @@ class ByteNet:
 
 
 def fit(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 16, seed: int = 7) -> ByteNet:
-    """Train by Adam on batches with as many texts of either label, each a random stretch of STRETCH bytes.
+    """Train by Adam on batches with as many whole texts of either label.
 
     With one label only, or none, the score is that label's smoothed share for every text.
     """
@@ -106,8 +116,7 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 16
     for t in range(1, steps + 1):
         total = {k: np.zeros_like(m[k]) for k in names}
         for i in np.concatenate([rng.choice(side, batch // 2) for side in sides]):
-            lo = int(rng.integers(0, max(1, len(data[i]) - STRETCH + 1)))
-            g = net.gradients(data[i][lo : lo + STRETCH], y[i], 1 / batch)
+            g = net.gradients(data[i], y[i], 1 / batch)
             for k in names:
                 total[k] += g[k]
         for k in names:
@@ -121,7 +130,10 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 16
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs. Null and empty texts are scored as zero bytes."""
+    """doc_id, held_out, score, predicted of every row of docs. Null and empty texts are scored as zero bytes.
+
+    Repeated rows are scored each; of columns only doc_id and text are looked at.
+    """
     net = fit(*labelled_sample(docs, labels, "quality", sample))
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

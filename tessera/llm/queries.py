@@ -61,17 +61,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per policy and rule, from one stored ledger: rows that fail the rule, that only it rejects, and what is kept."""
+    led = rules.stored(read(spark, sf_dir, "documents"))
+    parts = [rules.ablation(led, p).select(F.lit(p).alias("policy"), "*") for p in rules.POLICIES]
+    return parts[0].unionByName(parts[1])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_secrets, op3_simhash, op4_quality_rules, op5_toxicity,
-        op6_topk, op7_quality, op8_url_filter, op9_mixing, op10_pii,
+        op6_topk, op7_quality, op8_url_filter, op9_mixing, op10_pii, rules_ablation,
     )
 }
 
 _WS = r"[\x20\x09-\x0D]+"
 
-OP4_SQL = rf"""
+LEDGER_SQL = rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> '') AS words,
              list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '{_WS}', '', 'g') <> '') AS lines FROM t),
@@ -85,14 +92,24 @@ m AS (SELECT w.r, doc_id, len(words)::BIGINT AS n_words,
              (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
              coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-             len(list_filter(words, lambda x: regexp_matches(x, '^[^a-z]*[A-Z][^a-z]*!!$')))::BIGINT AS n_caps
+             len(list_filter(words, lambda x: NOT regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z][^A-Z]*[A-Z]')))::BIGINT AS n_caps,
+             (length(text) - length(regexp_replace(text, '[0-9.,;:''"()-]', '', 'g')))::BIGINT AS n_marks
       FROM w LEFT JOIN covered c ON w.r = c.r),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
              (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
               + CASE WHEN 100 * n_symbols > 30 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_caps > 30 * n_words THEN 8 ELSE 0 END
               + CASE WHEN 10 * n_dup_lines > n_words THEN 16 ELSE 0 END
-              + CASE WHEN word_chars > 40 * n_words THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits & 47 = 0 AS kept, fail_bits FROM b
+              + CASE WHEN word_chars > 40 * n_words THEN 32 ELSE 0 END + CASE WHEN 100 * n_marks > 70 * word_chars THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM m)
+"""
+OP4_SQL = LEDGER_SQL + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits & 111 = 0 AS kept, fail_bits FROM b
+"""
+
+ABLATION_SQL = LEDGER_SQL + """, p AS (SELECT * FROM (VALUES ('v1', 127), ('v2', 111)) p(policy, mask)),
+u AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('many_symbols', 4), ('capitals', 8), ('duplicate_lines', 16),
+      ('long_words', 32), ('mostly_marks', 64)) u(rule, bit)),
+x AS (SELECT policy, rule, bit, fail_bits & mask AS bits FROM b, p, u WHERE mask & bit <> 0)
+SELECT policy, rule, count(*) FILTER (bits & bit <> 0) AS failed, count(*) FILTER (bits = bit) AS failed_alone,
+       count(*) FILTER (bits = 0) AS kept, count(*) FILTER (bits IN (0, bit)) AS kept_without FROM x GROUP BY policy, rule
 """
 
 OP8_SQL = r"""
@@ -107,7 +124,9 @@ v AS (SELECT page_id, host, path,
              WHEN ends_with(dotted, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM r)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN regexp_matches(host, '(^|[^A-Za-z0-9])(casino|free[^A-Za-z0-9]+bets|cheap[^A-Za-z0-9]+pills|viagra|poker|xxx|porn)($|[^A-Za-z0-9])')
+            WHEN regexp_matches(host, '(^|[^A-Za-z0-9])(casino|poker|roulette|jackpot|viagra|cialis|porn|xxx|escort|warez|keygen|'
+              || '(free|cheap|best|buy|online|discount|live|instant|no|easy|fast|win|top|order)[^A-Za-z0-9]+(bets|betting|slots|pills|pharmacy|meds|loans|'
+              || 'payday|credit|dating|cams|essays|replica|watches|followers|crack|serial|lottery))($|[^A-Za-z0-9])')
             THEN 'block' ELSE 'allow' END AS verdict
 FROM v
 """
@@ -137,4 +156,4 @@ SELECT doc_id, size, source_size, target,
 FROM t
 """
 
-ORACLES = {"op4_quality_rules": OP4_SQL, "op8_url_filter": OP8_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op4_quality_rules": OP4_SQL, "rules_ablation": ABLATION_SQL, "op8_url_filter": OP8_SQL, "op9_mixing": OP9_SQL}

@@ -1,9 +1,9 @@
 """Quality rules as a ledger of bits.
 
-Every rule is evaluated once per document. The ledger holds the measurements and one long whose bit i is set where
-rule i fails. Policies are versioned masks over that long, and ablations (what a policy would keep without one of
-its rules) come from bitwise counts over the ledger, without a second look at a text. All of it is column
-expressions on Spark's own functions.
+Every rule is evaluated once per document. The ledger, a table that can be stored, holds the measurements and one long
+whose bit i is set where rule i fails. Policies are versioned masks over that long, and ablations (what a policy would
+keep without one of its rules) come from bitwise counts over the ledger, without a second look at a text. All of it is
+column expressions on Spark's own functions.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_of, words_of
+from tessera.llm.common import shared_table, text_of, whole_row, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -22,7 +22,8 @@ SYMBOLS = "#*$%&|<>"
 def measured(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_caps and n_marks (all long).
 
-    A null text is empty and measures zero throughout. Windows of words are compared by 64-bit hashes.
+    n_caps are words of two and more capitals without small letters, n_marks digits and punctuation (both of ASCII). A
+    null text is empty and measures zero throughout. Windows of words are compared by 64-bit hashes.
     """
     text, words, w = F.col("_text"), F.col("_words"), window
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -33,7 +34,7 @@ def measured(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         "word_chars": F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_caps": F.size(F.filter("_words", lambda x: x.rlike("^[^a-z]*[A-Z][^a-z]*!!$"))).cast("long"),
+        "n_caps": F.size(F.filter("_words", lambda x: ~x.rlike("[a-z]") & x.rlike("[A-Z][^A-Z]*[A-Z]"))).cast("long"),
         "n_marks": F.length(F.translate("_text", "0123456789.,;:'\"()- \t\n\x0b\x0c\r", "")).cast("long"),
         "_hash": F.transform("_words", lambda x: F.xxhash64(x)),
     })
@@ -74,15 +75,16 @@ def rules() -> list[Rule]:
         Rule("few_words", n < 20),
         Rule("repeated_words", 100 * F.col("n_repeat_words") > 30 * n),
         Rule("many_symbols", 100 * F.col("n_symbols") > 30 * n),
-        Rule("shouting", 100 * F.col("n_caps") > 30 * n),
+        Rule("capitals", 100 * F.col("n_caps") > 30 * n),
         Rule("duplicate_lines", 10 * F.col("n_dup_lines") > n),
         Rule("long_words", F.col("word_chars") > 40 * n),
+        Rule("mostly_marks", 100 * F.col("n_marks") > 70 * F.col("word_chars")),
     ]
 
 
 BASE = 0b000011
 #: Versioned policies: the bits that a document must not have. Version 2 leaves out duplicate lines.
-POLICIES = {"v1": 0b111111, "v2": 0b101111}
+POLICIES = {"v1": 0b1111111, "v2": 0b1101111}
 CURRENT = "v2"
 
 
@@ -96,6 +98,14 @@ def ledger(docs: DataFrame) -> DataFrame:
     return d.withColumn("fail_bits", total)
 
 
+MEASUREMENTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_caps", "n_marks")
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of docs as a table in the shared folder: doc_id, all measurements and fail_bits, a row per row."""
+    return shared_table(ledger(docs.select("doc_id", "text")).select("doc_id", *MEASUREMENTS, "fail_bits"), "ledger")
+
+
 def verdict(policy: str = CURRENT, bits: str = "fail_bits") -> Column:
     """True where a policy keeps the document; the base rules hold in every version."""
     return F.col(bits).bitwiseAND(F.lit(POLICIES[policy] | BASE).cast("long")) == 0
@@ -109,7 +119,7 @@ def judged(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 def kept_only(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of docs that a policy keeps, with the columns of docs as they are, whatever their names."""
-    whole = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    whole = docs.select("text", whole_row(docs).alias("_doc"))
     return judged(whole, policy).where("kept").select("_doc.*")
 
 

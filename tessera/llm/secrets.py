@@ -1,32 +1,42 @@
 """Secret scans by grammar inference.
 
 Three fixed rules find and label credentials. From a bounded sample of them a probabilistic automaton is inferred
-for each label: a prefix tree of the credentials' symbol classes, whose states are merged while their outgoing
-frequencies are statistically compatible (Hoeffding bounds, the ALERGIA test). Every other candidate string of the
-corpus is then scored by its likelihood per symbol under each automaton, and those that look as likely as the
-labelled ones are reported beside the rules' own finds.
+for each label: a prefix tree of the credentials, whose states are merged while their outgoing frequencies are
+statistically compatible (Hoeffding bounds, the ALERGIA test). Letters keep their case, so that literal prefixes and
+the case of an alphabet are part of what is learned. A further automaton is inferred from a sample of the corpus's
+other words. Every candidate string of the corpus is then scored by its likelihood under each automaton, and reported
+where a format explains it better than the other words do, by more than the odds against a credential.
+
+Texts are read twice, once for the samples and once to score them; no credential is written to a table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_table, text_of
+from tessera.llm.common import text_of
 
 KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Labelled credentials of a kind that an automaton is inferred from, and the merge test's significance.
-SAMPLE, ALPHA = 300, 0.05
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+#: Strings of a kind that an automaton is inferred from, the longest one among them, the merge test's significance.
+SAMPLE, LONGEST, ALPHA = 300, 256, 0.05
+#: Other words that stand for the corpus, and the logarithm of the odds against a string being a credential.
+WORDS, ODDS = 1_000, math.log(1e6)
+#: Symbols of a candidate and its end: what an automaton has not seen is one of these.
+SYMBOLS = 68
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -42,24 +52,40 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(found)
 
 
-def candidates(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """Runs of 20 and more credential symbols, with a letter and a digit, that no fixed rule has found."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
-            if not any(m.start() < e and b < m.end() for b, _, e, _ in taken):
-                out.append((m.start(), m.end(), s))
-    return out
-
+def runs(text: str, taken: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, string) of the runs of 6 and more credential symbols outside of what the fixed rules have found.
 
-def symbols(value: str) -> str:
-    """Symbol classes: a digit, a letter up to f or beyond it (either case), others as they are."""
-    return "".join("0" if c.isdigit() else "a" if c in "abcdefABCDEF" else "g" if c.isalpha() else c for c in value)
+    A run that holds a find gives the parts before and after it. Marks at either end belong to the text around.
+    """
+    at, n = 0, len(taken)
+    for m in RUN.finditer(text):
+        start, end = m.span()
+        while at < n and taken[at][2] <= start:
+            at += 1
+        parts, k = [], at
+        while k < n and taken[k][0] < end:
+            parts.append((start, taken[k][0]))
+            start = max(start, taken[k][2])
+            k += 1
+        for a, b in [*parts, (start, end)]:
+            s = text[a:b]
+            a += len(s) - len(s.lstrip(".=-/+"))
+            s = s.strip(".=-/+")
+            if len(s) >= 6:
+                yield a, a + len(s), s
+
+
+def is_candidate(s: str) -> bool:
+    """Runs with a digit and a letter are candidates; others are words or numbers, as every text is full of."""
+    return not s.isalpha() and DIGIT.search(s) is not None and LETTER.search(s) is not None
 
 
 class Automaton:
-    """A probabilistic automaton: transition and end counts per state, as learned from labelled strings."""
+    """A probabilistic automaton: transition and end counts per state, as learned from labelled strings.
+
+    One more observation, spread over all symbols, smooths every state: an unseen symbol costs, and the walk goes on
+    from the start.
+    """
 
     def __init__(self, strings: list[str], alpha: float = ALPHA) -> None:
         self.next: list[dict[str, int]] = [{}]
@@ -78,8 +104,8 @@ class Automaton:
             self.ends[at] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_states()
-        scores = sorted(self.score(s) for s in strings)
-        #: Scores of the labelled strings themselves put the line: all but the lowest hundredth pass.
+        scores = sorted(self.score(s) / (len(s) + 1) for s in strings)
+        #: Scores a symbol of the labelled strings themselves put the line: all but the lowest hundredth pass.
         self.line = scores[len(scores) // 100] - 1e-9 if scores else math.inf
 
     def _total(self, q: int) -> int:
@@ -137,25 +163,45 @@ class Automaton:
                 known.add(state)
 
     def score(self, s: str) -> float:
-        """Log-likelihood per symbol, the end included; minus infinity for a string that the automaton can't make."""
+        """Log-likelihood of a string, its end included."""
         at, total = 0, 0.0
         for c in s:
-            n = self.seen[at].get(c, 0)
-            if not n:
-                return -math.inf
-            total += math.log(n / self._total(at))
-            at = self.next[at][c]
-        if not self.ends[at]:
-            return -math.inf
-        return (total + math.log(self.ends[at] / self._total(at))) / (len(s) + 1)
+            n = self._total(at) + 1
+            total += math.log((self.seen[at].get(c, 0) + 1 / SYMBOLS) / n)
+            at = self.next[at].get(c, 0)
+        return total + math.log((self.ends[at] + 1 / SYMBOLS) / (self._total(at) + 1))
 
     def accepts(self, s: str) -> bool:
-        return self.score(s) >= self.line
+        """Whether a string is as likely, by symbol, as the labelled ones."""
+        return self.score(s) >= self.line * (len(s) + 1)
+
+
+def cases(s: str) -> list[str]:
+    """A string, and in the other case if all its letters are of one: formats of one case are written in either."""
+    return [s] if s != s.lower() and s != s.upper() else [s, s.swapcase()]
+
+
+class Formats:
+    """The automata of the kinds and that of other words."""
+
+    def __init__(self, labelled: dict[str, list[str]], words: list[str]) -> None:
+        self.kinds = {k: Automaton(v) for k, v in labelled.items() if v}
+        self.words = Automaton(words)
+
+    def best(self, s: str) -> tuple[str, float] | None:
+        """The most likely format of a candidate and its log odds; None where none passes."""
+        against, best = self.words.score(s) + ODDS, None
+        for c in cases(s):
+            for kind, a in self.kinds.items():
+                score = a.score(c)
+                if score >= a.line * (len(c) + 1) and score > against and (best is None or score - against > best[1]):
+                    best = kind, score - against
+        return best
 
 
 SCAN_SCHEMA = (
-    "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, "
-    "found array<struct<start:int,rank:int,end:int,value:string>>, maybe array<struct<start:int,end:int,value:string>>"
+    "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
+    "grammar array<struct<start:int,end:int,format:string,score:double>>"
 )
 
 
@@ -163,58 +209,80 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[rank]}:{start}:{end}" for start, rank, end in sorted(spans))
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class Smallest:
+    """The strings of the smallest hashes of a stream, up to a bound: each once, or each place of it once."""
+
+    def __init__(self, bound: int) -> None:
+        self.bound, self.heap, self.there = bound, [], set()
+
+    def add(self, s: str, place: int = 0) -> None:
+        h = crc32(s.encode(), place)
+        if len(self.heap) == self.bound and h >= -self.heap[0][0] or (h, s) in self.there:
+            return
+        self.there.add((h, s))
+        heapq.heappush(self.heap, (-h, s))
+        if len(self.heap) > self.bound:
+            h, s = heapq.heappop(self.heap)
+            self.there.discard((-h, s))
+
+
+def _samples(batches: Iterator[pd.DataFrame], sample: int, words: int) -> Iterator[pd.DataFrame]:
+    """Of one partition, the strings of the smallest hashes of each kind, and other words."""
+    found = [Smallest(sample) for _ in range(3)] + [Smallest(words)]
     for pdf in batches:
-        rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            found = base_spans(text)
-            n = [sum(f[1] == rank for f in found) for rank in range(3)]
-            digest = hashlib.sha256(joined([(a, r, e) for a, r, e, _ in found]).encode()).hexdigest()
-            rows.append((
-                None if pd.isna(doc_id) else int(doc_id), *n, digest,
-                [{"start": a, "rank": r, "end": e, "value": v} for a, r, e, v in found],
-                [{"start": a, "end": e, "value": v} for a, e, v in candidates(text, found)],
-            ))
-        names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "found", "maybe"]
-        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-
-def learn(scanned: DataFrame, sample: int = SAMPLE) -> dict[str, Automaton]:
-    """An automaton per kind, from at most ``sample`` distinct labelled credentials of that kind."""
-    values = scanned.select(F.explode("found").alias("f")).select("f.rank", "f.value").distinct()
-    learned = {}
-    for rank, kind in enumerate(KINDS[:3]):
-        rows = values.where(F.col("rank") == rank).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
-        if rows:
-            learned[kind] = Automaton([symbols(r["value"]) for r in rows])
-    return learned
-
-
-def scan_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row per document (null text: empty): counts of the rules' finds, their digest, all spans, and per
-    grammar find its value and best format (``grammar``: array of start, end, format, score).
-
-    A corpus without credentials has no automata and adds no spans; repeated rows are scanned each.
+        for text in pdf["text"]:
+            base = base_spans(text)
+            for _, rank, _, value in base:
+                if len(value) <= LONGEST:
+                    found[rank].add(value)
+            place = crc32(text.encode("utf-8", "replace"))
+            for a, _, s in runs(text, base):
+                if len(s) <= LONGEST:
+                    found[3].add(s, place ^ a)
+    rows = [(rank, -h, s) for rank, f in enumerate(found) for h, s in f.heap]
+    yield pd.DataFrame(rows, columns=["rank", "hash", "value"])
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> Formats:
+    """Automata from at most ``sample`` distinct labelled credentials of each kind and ``words`` other words of docs
+    (``text``), as often as they occur, those of the smallest hashes; strings over 256 symbols don't take part. All
+    texts are looked at."""
+    found = docs.mapInPandas(lambda it: _samples(it, sample, words), "rank int, hash long, value string").distinct()
+    rows = []
+    for rank in range(4):
+        part = found.where(F.col("rank") == rank).orderBy("hash", "value").limit(sample if rank < 3 else words)
+        rows.append(part)
+    values: dict[int, list[str]] = {}
+    for r in rows[0].union(rows[1]).union(rows[2]).union(rows[3]).collect():
+        values.setdefault(r["rank"], []).append(r["value"])
+    return Formats({KINDS[r]: sorted(values.get(r, [])) for r in range(3)}, sorted(values.get(3, [])))
+
+
+def scan_secrets(docs: DataFrame, sample: int = SAMPLE, formats: Formats | None = None) -> DataFrame:
+    """One row per document (null text: empty): counts of the rules' finds, their digest, all spans, and the grammar
+    finds (``grammar``: array of start, end, format, score: the log odds that it is a credential).
+
+    Formats are learned from docs unless they are given. A corpus without credentials has no automata and adds no
+    spans; repeated rows are scanned each. Columns other than doc_id and text are not looked at.
     """
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    scanned = shared_table(scanned.mapInPandas(_scan, SCAN_SCHEMA), "secrets")
-    automata = learn(scanned, sample)
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs["text"]).alias("text"))
+    formats = learn(texts.select("text"), sample) if formats is None else formats
 
-    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            spans, more = [], []
-            for found, maybe in zip(pdf["found"], pdf["maybe"], strict=True):
-                added = []
-                for m in maybe:
-                    s = symbols(m["value"])
-                    scores = {k: a.score(s) for k, a in automata.items() if a.accepts(s)}
-                    if scores:
-                        best = max(scores, key=scores.__getitem__)
-                        added.append({"start": m["start"], "end": m["end"], "format": best, "score": scores[best]})
-                base = [(f["start"], f["rank"], f["end"]) for f in found]
-                spans.append(joined(base + [(a["start"], 3, a["end"]) for a in added]))
-                more.append(added)
-            yield pdf.drop(columns=["found", "maybe"]).assign(spans=spans, grammar=more)
-
-    schema = SCAN_SCHEMA.split(", found")[0] + ", spans string, grammar array<struct<start:int,end:int,format:string,score:double>>"
-    return scanned.mapInPandas(report, schema)
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                found = base_spans(text)
+                base, added = [(a, r, e) for a, r, e, _ in found], []
+                if formats.kinds:
+                    for a, e, s in runs(text, found):
+                        if is_candidate(s) and (best := formats.best(s)):
+                            added.append({"start": a, "end": e, "format": best[0], "score": best[1]})
+                rows.append((
+                    None if pd.isna(doc_id) else int(doc_id), *(sum(f[1] == rank for f in found) for rank in range(3)),
+                    hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + [(x["start"], 3, x["end"]) for x in added]), added,
+                ))
+            names = [c.split()[0] for c in SCAN_SCHEMA.split(", ")]
+            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+
+    return texts.mapInPandas(scan, SCAN_SCHEMA)

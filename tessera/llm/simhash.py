@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import jaccard
-from tessera.llm.common import shared_table, skew_join, text_of
+from tessera.llm.common import shared_table, skew_join, text_of, whole_row
 from tessera.llm.graph import component_roots
 
 SHINGLE, SEED, LIMIT, PIVOTS, PIECES, CHUNK = 3, 42, 3, 16, 6, 2048
@@ -239,7 +239,6 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None
     # No null may stand in a join's key: a lost id is joined as zero beside its flag.
     flat = lambda lost, doc_id, h: [lost.alias("_lost"), F.coalesce(doc_id, F.lit(0)).alias("_id"), h.alias("_hash")]
     first = shared_table(first.select(*flat(F.col("lost"), F.col("id"), F.col("hash"))), "first")
-    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")
-    rows = docs.select(whole, *flat(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(text)))
+    rows = docs.select(whole_row(docs).alias("_doc"), *flat(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(text)))
     keys = ["_lost", "_id", "_hash"]
     return rows.dropDuplicates(keys).join(first, keys, "left_semi").select("_doc.*")

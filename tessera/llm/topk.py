@@ -1,9 +1,11 @@
 """Exact top-k search by inner product over KD-trees, one per shard.
 
-Vectors are dealt to shards of bounded size. A shard's tree splits at medians and keeps the tight bounding box of
-every node; the largest inner product that a box allows bounds all of its vectors. Queries go in blocks. Every block
-first searches one shard, and the kth score found there travels with it to the others, where a box whose bound is
-below it is never opened. Within a tree the box with the highest bound is opened first.
+Vectors are dealt to cells, the leaves of a coarse KD-tree over a bounded sample, and each cell to shards of bounded
+size. A shard's tree splits at medians and keeps the tight bounding box of every node; the largest inner product that
+a box allows bounds all of its vectors. Queries go in blocks, cell by cell. Every block first searches one shard of
+its own cell, and the kth score found there is each query's floor. Before any tree is sent to it, a block's queries
+are held against the tight boxes of all cells (a bounded table), and go on to those cells only whose bound reaches
+their floor, 32 blocks at a time to each shard. Within a tree the box with the highest bound is opened first.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_table
+from tessera.llm.common import shared_table, skew_join
 
 K, SHARD, BLOCK, LEAF = 5, 4096, 512, 64
+#: Vectors of the sample that cells are cut from, cells at most, and blocks that visit a shard together.
+SAMPLE, CELLS, TOGETHER = 40_000, 1024, 32
 
 
 def _dump(**arrays: np.ndarray) -> bytes:
@@ -102,15 +106,61 @@ def search_tree(
     return out
 
 
+def cut_cells(sample: np.ndarray, cells: int) -> list[tuple[int, float, int]]:
+    """A KD-tree of at most ``cells`` leaves over a sample: (axis, value, left child) per node, axis -1 and the leaf's
+    number for leaves. A row goes left if its component is below the value; the right child is the next node."""
+    nodes, parts, leaves = [(-1, 0.0, 0)], [np.arange(len(sample))], 1
+    queue = [(-len(sample), 0)]
+    while queue and leaves < cells:
+        _, at = heapq.heappop(queue)
+        rows = sample[parts[at]]
+        if len(rows) < 2:
+            continue
+        axis = int((rows.max(axis=0) - rows.min(axis=0)).argmax())
+        value = float(np.median(rows[:, axis]))
+        below = rows[:, axis] < value
+        if not below.any():
+            value = float(np.nextafter(value, np.inf))
+            below = rows[:, axis] < value
+        if not below.any() or below.all():
+            continue
+        nodes[at], left = (axis, value, len(nodes)), len(nodes)
+        for part in (parts[at][below], parts[at][~below]):
+            nodes.append((-1, 0.0, 0))
+            parts.append(part)
+            heapq.heappush(queue, (-len(part), len(nodes) - 1))
+        parts[at], leaves = np.array([], dtype=int), leaves + 1
+        assert left + 2 == len(nodes)
+    leaf = iter(range(leaves))
+    return [n if n[0] >= 0 else (-1, 0.0, next(leaf)) for n in nodes]
+
+
+def cell_of(nodes: list[tuple[int, float, int]], vecs: np.ndarray) -> np.ndarray:
+    """The leaf that each row falls into, level by level for all rows at once."""
+    axis, value, child = (np.array(x) for x in zip(*nodes, strict=True))
+    at = np.zeros(len(vecs), dtype=np.int64)
+    inner = np.flatnonzero(axis[at] >= 0)
+    while len(inner):
+        n = at[inner]
+        at[inner] = child[n] + (vecs[inner, axis[n]] >= value[n])
+        inner = inner[axis[at[inner]] >= 0]
+    return child[at]
+
+
+def _vecs(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack(pdf["vec"].to_list()).astype(np.float64)
+
+
 def _plant(pdf: pd.DataFrame) -> pd.DataFrame:
-    tree = build_tree(pdf["vec_id"].to_numpy(), np.stack(pdf["vec"].to_list()).astype(np.float64))
-    return pd.DataFrame({"dim": [pdf["dim"].iat[0]], "shard": [pdf["shard"].iat[0]], "tree": [_dump(**tree)]})
+    tree = build_tree(pdf["vec_id"].to_numpy(), _vecs(pdf))
+    at = {k: [pdf[k].iat[0]] for k in ("dim", "cell", "shard")}
+    return pd.DataFrame(at | {"low": [tree["lo"][0]], "high": [tree["hi"][0]], "tree": [_dump(**tree)]})
 
 
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("vec_id")
-    payload = _dump(ids=pdf["vec_id"].to_numpy(), vecs=np.stack(pdf["vec"].to_list()).astype(np.float64))
-    return pd.DataFrame({"dim": [pdf["dim"].iat[0]], "block": [pdf["block"].iat[0]], "queries": [payload]})
+    at = {k: [pdf[k].iat[0]] for k in ("dim", "cell", "block")}
+    return pd.DataFrame(at | {"queries": [_dump(ids=pdf["vec_id"].to_numpy(), vecs=_vecs(pdf))]})
 
 
 def top_k(vectors: DataFrame, query_mod: int = 50, k: int = K, shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
@@ -128,57 +178,95 @@ def top_k(vectors: DataFrame, query_mod: int = 50, k: int = K, shard_rows: int =
         F.transform(x, lambda v: F.floor(256 * v.cast("double"))).alias("vec"),
     )
     rows = shared_table(rows.dropDuplicates(["vec_id", "vec"]), "vectors")
-    asks = F.pmod("vec_id", F.lit(query_mod)) == 0
-    counts = shared_table(
-        rows.groupBy("dim").agg(
-            F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"),
-            F.greatest(F.ceil(F.count_if(asks) / block_rows), F.lit(1)).cast("int").alias("blocks"),
-        ), "counts",
-    )
-    dealt = rows.join(counts, "dim")
+    spark = rows.sparkSession
+    # The coarse trees: SAMPLE vectors at most reach the driver, those of the smallest id hashes, for each length of
+    # vectors its share; a length that has none is one cell.
     h = F.xxhash64("vec_id")
+    taken: dict[int, list] = {}
+    for r in rows.orderBy(h, "vec_id").limit(SAMPLE).select("dim", "vec").collect():
+        taken.setdefault(r["dim"], []).append(r["vec"])
+    # Cells of a quarter of a shard, as far as they go; the cells of a larger table hold many shards each.
+    share = rows.count() / max(1, sum(map(len, taken.values())))
+    least = max(1, shard_rows // 4)
+    n_cells = {d: int(min(max(1, CELLS // len(taken)), 1 + len(v) * share // least)) for d, v in taken.items()}
+    coarse = spark.sparkContext.broadcast({d: cut_cells(np.array(v, dtype=np.float64), n_cells[d]) for d, v in taken.items()})
+
+    def cells(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for dims, vecs in batches:
+            out, dims = np.zeros(len(dims), dtype=np.int32), dims.to_numpy()
+            for d in np.unique(dims):
+                if d in coarse.value:
+                    here = np.flatnonzero(dims == d)
+                    out[here] = cell_of(coarse.value[d], np.stack(vecs.iloc[here].to_list()).astype(np.float64))
+            yield pd.Series(out)
+
+    asks = F.pmod("vec_id", F.lit(query_mod)) == 0
+    placed = rows.withColumn("cell", F.pandas_udf(cells, "int")("dim", "vec"))
+    placed = shared_table(placed, "placed")
+    counts = placed.groupBy("dim", "cell").agg(
+        F.count("*").alias("_n"), F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"),
+        F.greatest(F.ceil(F.count_if(asks) / block_rows), F.lit(1)).cast("int").alias("blocks"),
+    )
+    dealt = skew_join(placed, shared_table(counts, "counts"), ["dim", "cell"], placed.count())
     trees = shared_table(
         dealt.withColumn("shard", F.pmod(h, F.col("shards")).cast("int"))
-        .groupBy("dim", "shard").applyInPandas(_plant, "dim int, shard int, tree binary"), "trees",
+        .groupBy("dim", "cell", "shard").applyInPandas(_plant, "dim int, cell int, shard int, low array<double>, high array<double>, tree binary"), "trees",
     )
     blocks = shared_table(
         dealt.where(asks).withColumn("block", F.pmod(h, F.col("blocks")).cast("int"))
-        .groupBy("dim", "block").applyInPandas(_block, "dim int, block int, queries binary"), "queries",
-    )
-    # The pilot: a block's first shard among those that hold rows.
-    shards = trees.groupBy("dim").agg(F.sort_array(F.collect_set("shard")).alias("all"))
-    blocks = blocks.join(shards, "dim").withColumn(
-        "pilot", F.get("all", F.pmod(F.col("block"), F.size("all")))
+        .groupBy("dim", "cell", "block").applyInPandas(_block, "dim int, cell int, block int, queries binary"), "queries",
     )
-    found = "query_id long, vec_id long, score long"
+    # Tight boxes of the cells, and the shards that hold rows of each: CELLS rows, or one for each length of vectors.
+    edges = trees.select("dim", "cell", F.posexplode(F.arrays_zip("low", "high")).alias("pos", "x"))
+    edges = edges.groupBy("dim", "cell", "pos").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high")).groupBy("dim", "cell")
+    edges = edges.agg(F.sort_array(F.collect_list(F.struct("pos", "low", "high"))).alias("box"))
+    boxes: dict[int, tuple] = {}
+    for r in edges.orderBy("dim", "cell").collect():
+        at, low, high = boxes.setdefault(r["dim"], ([], [], []))
+        at.append(r["cell"])
+        low.append([x["low"] for x in r["box"]])
+        high.append([x["high"] for x in r["box"]])
+    boxed = spark.sparkContext.broadcast({d: tuple(map(np.array, b)) for d, b in boxes.items()})
+    shards = shared_table(trees.groupBy("dim", "cell").agg(F.sort_array(F.collect_list("shard")).alias("all")), "shards")
 
-    def pilot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def floors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A block's floors by its pilot shard, and the queries that go on to each cell."""
         for pdf in batches:
-            floors = []
-            for t, q in zip(pdf["tree"], pdf["queries"], strict=True):
+            for dim, cell, block, t, q in zip(pdf["dim"], pdf["cell"], pdf["block"], pdf["tree"], pdf["queries"], strict=True):
                 q = _load(q)
-                hits = search_tree(_load(t), q["ids"], q["vecs"], np.full(len(q["ids"]), -np.inf), k)
                 scores: dict[int, list[int]] = {}
-                for query, _, s in hits:
+                for query, _, s in search_tree(_load(t), q["ids"], q["vecs"], np.full(len(q["ids"]), -np.inf), k):
                     scores.setdefault(query, []).append(s)
-                floor = [min(s) if len(s := scores.get(i, [])) == k else -np.inf for i in q["ids"].tolist()]
-                floors.append(_dump(floor=np.array(floor, dtype=np.float64)))
-            yield pdf[["dim", "block"]].assign(floors=floors)
+                floor = np.array([min(s) if len(s := scores.get(i, [])) == k else -np.inf for i in q["ids"].tolist()], dtype=np.float64)
+                to, low, high = boxed.value[dim]
+                reach = np.maximum(q["vecs"], 0) @ high.T + np.minimum(q["vecs"], 0) @ low.T >= floor[:, None]
+                out = []
+                for c in np.flatnonzero(reach.any(axis=0)):
+                    some = reach[:, c]
+                    payload = _dump(ids=q["ids"][some], vecs=q["vecs"][some], floor=floor[some])
+                    out.append((dim, int(to[c]), (int(cell) * 31 + int(block)) % (1 << 30), int(some.sum()), payload))
+                yield pd.DataFrame(out, columns=["dim", "cell", "block", "n", "queries"])
 
-    first = blocks.join(trees, (blocks["pilot"] == trees["shard"]) & (blocks["dim"] == trees["dim"])).select(
-        blocks["dim"], "block", "tree", "queries"
+    pilots = blocks.join(shards, ["dim", "cell"]).withColumn("shard", F.get("all", F.pmod(F.col("block"), F.size("all")))).drop("all")
+    first = pilots.join(trees.select("dim", "cell", "shard", "tree"), ["dim", "cell", "shard"])
+    visits = shared_table(
+        first.select("dim", "cell", "block", "tree", "queries").mapInPandas(floors, "dim int, cell int, block int, n int, queries binary"), "visits"
     )
-    floors = shared_table(first.mapInPandas(pilot, "dim int, block int, floors binary"), "floors")
+    # Visits of one cell, as many as half fill a group of blocks, travel as one row to each of its shards.
+    groups = visits.groupBy("dim", "cell").agg(F.ceil(F.sum("n") / (TOGETHER * block_rows)).cast("int").alias("g"), F.count("*").alias("_n"))
+    grouped = skew_join(visits, shared_table(groups, "groups"), ["dim", "cell"], visits.count())
+    grouped = grouped.groupBy("dim", "cell", F.pmod(F.xxhash64("block"), F.col("g")).alias("group")).agg(F.collect_list("queries").alias("queries"))
+    grouped = grouped.join(shards, ["dim", "cell"]).withColumn("shard", F.explode("all")).drop("all")
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t, q, f in zip(pdf["tree"], pdf["queries"], pdf["floors"], strict=True):
-                q = _load(q)
-                hits = search_tree(_load(t), q["ids"], q["vecs"], _load(f)["floor"], k)
-                yield pd.DataFrame(hits, columns=["query_id", "vec_id", "score"])
+            for t, group in zip(pdf["tree"], pdf["queries"], strict=True):
+                tree = _load(t)
+                for q in map(_load, group):
+                    yield pd.DataFrame(search_tree(tree, q["ids"], q["vecs"], q["floor"], k), columns=["query_id", "vec_id", "score"])
 
-    visits = blocks.join(floors, ["dim", "block"]).withColumn("shard", F.explode("all")).drop("all", "pilot")
-    hits = visits.join(trees, ["dim", "shard"]).select("tree", "queries", "floors").mapInPandas(rest, found)
+    met = grouped.join(trees.select("dim", "cell", "shard", "tree"), ["dim", "cell", "shard"]).select("tree", "queries")
+    hits = met.mapInPandas(rest, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

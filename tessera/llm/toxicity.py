@@ -1,7 +1,8 @@
 """Toxicity: a character n-gram linear classifier with features scaled by naive Bayes log-count ratios.
 
-A text is the hashed byte 4- to 6-grams (ASCII lower case) that it holds, each with its density: occurrences over
-one and the text's thousands of bytes, 1 at most, since in long texts a gram met once says little. Features are
+A text is the hashed 4- to 6-grams of characters (code points, lower case) that it holds, each with its density:
+occurrences over one and the text's thousands of characters, 1 at most, since in long texts a gram met once says
+little. Features are
 scaled by the log ratio of their smoothed counts in toxic and other texts, and a logistic regression is fitted on the
 scaled features. It is trained on a bounded sample of labelled texts; every text is scored whole.
 """
@@ -24,7 +25,7 @@ SAMPLE, FEATURES = 5_000, 2_000
 
 def grams(text: str) -> np.ndarray:
     """Hashes of all n-grams of the whole text, repeats included."""
-    b = np.frombuffer(b" " + text.encode("utf-8", "replace").lower() + b" ", dtype=np.uint8)
+    b = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32)
     out = []
     for n in GRAMS:
         if len(b) >= n:
@@ -98,7 +99,10 @@ def fit(texts: list[str], labels: list[int], features: int = FEATURES, rounds: i
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs. Null and empty texts get the score of no n-grams."""
+    """doc_id, held_out, score, predicted of every row of docs. Null and empty texts get the score of no n-grams.
+
+    Repeated rows are scored each; of columns only doc_id and text are looked at.
+    """
     model = fit(*labelled_sample(docs, labels, "toxic", sample))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 5 MB, whatever the corpus

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_table
+from tessera.llm.common import shared_table, skew_join
 
 #: What parts tokens.
 GAP = "[^A-Za-z0-9]+"
@@ -52,11 +52,14 @@ BASE_RULES = [
     path_rule("block", "example.com", "/de/"),
     path_rule("allow", "org", "/fr/"),
 ]
-#: The method's own, for URLs that no rule above fits.
-WORD_RULES = [
-    word_rule("block", "casino"), word_rule("block", "free", "bets"), word_rule("block", "cheap", "pills"),
-    word_rule("block", "viagra"), word_rule("block", "poker"), word_rule("block", "xxx"), word_rule("block", "porn"),
-]
+#: The method's own, for URLs that no rule above fits: words that tell what a host sells, and pairs of a word that
+#: praises or prices with one that needs it to tell.
+WORDS = "casino poker roulette jackpot viagra cialis porn xxx escort warez keygen".split()
+PRAISE = "free cheap best buy online discount live instant no easy fast win top order".split()
+WARES = "bets betting slots pills pharmacy meds loans payday credit dating cams essays replica watches followers crack serial lottery".split()
+WORD_RULES = [word_rule("block", w) for w in WORDS] + [word_rule("block", a, b) for a in PRAISE for b in WARES]
+#: Rules that a broadcast may hold; more meet the tokens by a shuffle.
+MOST_RULES = 100_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -67,40 +70,66 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(url, found, 1), upper, upper.lower()), F.regexp_extract(url, found, 2)
 
 
-def rule_index(spark: SparkSession, tokens: DataFrame, rules: list[UrlRule]) -> DataFrame:
-    """token, rule, verdict, rank, pattern: each rule under its literal with the fewest URLs.
+RULE_SCHEMA = "rule string, verdict string, rank int, pattern string, literals array<string>"
+
+
+def rule_table(spark: SparkSession, rules: list[UrlRule]) -> DataFrame:
+    return spark.createDataFrame([(r.name, r.verdict, r.rank, r.pattern, list(r.literals)) for r in rules], RULE_SCHEMA)
+
+
+def read_rules(listed: DataFrame) -> DataFrame:
+    """Rules of a table of verdict, host, path and words: a row gives a host-and-path rule, or where host is null a
+    rule for the words, which blanks part. The table may come from any source and be of any length."""
+    quoted = F.regexp_replace(F.concat("host", F.coalesce("path", F.lit("/"))), r"([^A-Za-z0-9/_-])", r"\\$1")
+    name = F.concat("host", F.coalesce("path", F.lit("/")))
+    before_last = F.regexp_extract(name, "^(.*)/", 1)
+    parts = F.array_remove(F.split(F.trim("words"), " +"), "")
+    of_words = F.concat(F.lit(r"^(?:[^/]*[^A-Za-z0-9/])?"), F.array_join(parts, "[^A-Za-z0-9/]+"), F.lit("(?:[^A-Za-z0-9]|$)"))
+    by_host = F.col("host").isNotNull()
+    return listed.where(by_host | (F.size(parts) > 0)).select(
+        F.when(by_host, name).otherwise(F.array_join(parts, "-")).alias("rule"), "verdict",
+        F.when(by_host, F.length(name)).otherwise(0).alias("rank"),
+        F.when(by_host, F.concat(F.lit(r"^(?:[^/]*\.)?"), quoted)).otherwise(of_words).alias("pattern"),
+        F.when(by_host, F.array_remove(F.split(before_last, GAP), "")).otherwise(parts).alias("literals"),
+    )
+
+
+def rule_index(tokens: DataFrame, table: DataFrame) -> DataFrame:
+    """token, rule, verdict, rank, pattern: each rule of table under its literal with the fewest URLs.
 
     tokens holds a row per URL and distinct token.
     """
-    table = spark.createDataFrame(
-        [(r.name, r.verdict, r.rank, r.pattern, list(r.literals)) for r in rules],
-        "rule string, verdict string, rank int, pattern string, literals array<string>",
-    )
     wanted = table.select("rule", "verdict", "rank", "pattern", F.explode("literals").alias("token"))
-    counts = tokens.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    # Tokens are counted before they meet the rules, so that a frequent one is no single task.
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).join(wanted.select("token").distinct(), "token", "left_semi")
     rarest = Window.partitionBy("rank", "rule").orderBy(F.coalesce("n", F.lit(0).cast("long")), "token")
     placed = wanted.join(counts, "token", "left").withColumn("o", F.row_number().over(rarest))
     return placed.where("o = 1").select("token", "rule", "verdict", "rank", "pattern")
 
 
-def judge(pages: DataFrame, rules: list[UrlRule] | None = None, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: list[UrlRule] | DataFrame | None = None, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages.
 
     rule names the longest fitting host-and-path rule, null without one; verdict is that rule's, else a word
-    rule's, else the default. Null URLs and those without ``://`` have empty host and path, and fit no rule.
+    rule's, else the default. Null URLs and those without ``://`` have empty host and path, and fit no rule. Rules
+    are a list, or a table as of read_rules(). Repeated rows are judged each, by one look at their host and path;
+    columns of pages beside page_id and url are not looked at.
     """
     rules = BASE_RULES + WORD_RULES if rules is None else rules
-    host, path = host_and_path(F.col("url"))
+    table = rules if isinstance(rules, DataFrame) else rule_table(pages.sparkSession, rules)
+    host, path = host_and_path(pages["url"])
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    places = shared_table(rows.select("host", "path").distinct(), "places")
+    places = shared_table(rows.groupBy("host", "path").agg(F.count("*").alias("_n")), "places")
     whole = F.concat("host", "path")
     tokens = places.select("host", "path", F.explode(F.array_distinct(F.split(whole, GAP))).alias("token"))
-    index = shared_table(rule_index(pages.sparkSession, tokens, rules), "rules")
+    index = shared_table(rule_index(tokens, table), "rules")
+    index = F.broadcast(index) if index.count() <= MOST_RULES else index
     fits = tokens.join(index, "token").where(F.regexp_like(whole, F.col("pattern")))
     best = fits.groupBy("host", "path").agg(
         F.max_by(F.struct("rule", "verdict", "rank"), F.struct("rank", F.col("rule"))).alias("best")
     )
-    found = rows.join(best, ["host", "path"], "left")
+    judged = shared_table(places.join(best, ["host", "path"], "left"), "judged")
+    found = skew_join(rows, judged, ["host", "path"], pages.count())
     return found.select(
         "page_id", "host", "path",
         F.when(F.col("best.rank") > 0, F.col("best.rule")).alias("rule"),

@@ -22,3 +22,12 @@ def test_heads(spark):
     text = "  one\n\ntwo\t three é\x0bfour "
     for n, want in ((1, "  one"), (2, "  one\n\ntwo"), (3, "  one\n\ntwo\t three"), (4, "  one\n\ntwo\t three é"), (5, text[:-1])):
         assert spark.range(1).select(mixing.head_of(mixing.F.lit(text), mixing.F.lit(n))).first()[0] == want
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    rows = [(i, f"w{i} x y z", "ab"[i % 2], 8, f"c{i}", i, i, f"k{i}", f"t{i}") for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, copies string, _size long, _hash long, _key string, target string")
+    want = {r[0]: r[4:] for r in rows}
+    out = mixing.mixed_documents(d).collect()
+    assert out and all(tuple(r)[4:] == want[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in out)
+    assert mixing.mix(d).count() == 30

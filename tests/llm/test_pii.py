@@ -1,5 +1,7 @@
 """Private values beside other words."""
 
+import random
+
 import pytest
 
 from tessera.llm import pii
@@ -19,3 +21,123 @@ def test_iban_before_a_word(number, after):
 def test_two_ibans_in_a_row(second, before):
     text = f"{before}BE68 5390 0754 7034 {second} EUR"
     assert [text[a:b] for a, b, k, _ in pii.find(text) if k == "iban"] == ["BE68 5390 0754 7034", second]
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        x = int(d) * (1 + i % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def planted(rng):
+    """(text, kind, value as it counts for links) of a value whose format is known by how it is made."""
+    kind = rng.choice(["card", "ssn", "ip", "ip6", "date", "email", "phone", "iban"])
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    if kind == "card":
+        body = rng.choice("3456") + digits(14)
+        number = next(body + c for c in "0123456789" if luhn(body + c))
+        sep = rng.choice(["", " ", "-"])
+        return sep.join(number[i : i + 4] for i in range(0, 16, 4)), "card", number
+    if kind == "ssn":
+        parts = [str(rng.randrange(1, 600)).zfill(3), str(rng.randrange(1, 100)).zfill(2), str(rng.randrange(1, 10_000)).zfill(4)]
+        return rng.choice(["{}-{}-{}", "SSN: {}{}{}"]).format(*parts), "ssn", "".join(parts)
+    if kind == "ip":
+        text = ".".join(str(rng.randrange(256)) for _ in range(4))
+        return text, "ip", text
+    if kind == "ip6":
+        text = "2001:db8:" + ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(6))
+        return text, "ip", text
+    if kind == "date":
+        y, m, d = rng.randrange(1000, 3000), rng.randrange(1, 13), rng.randrange(13, 29)
+        return rng.choice([f"{y}-{m:02d}-{d:02d}", f"{d:02d}/{m:02d}/{y}", f"{d}.{m}.{y}"]), "date", (y, m, d)
+    if kind == "email":
+        local = "".join(rng.choice("abcxyz019") for _ in range(rng.choice([3, 12, 90])))
+        return f"{local}@mail.example.org", "email", local
+    if kind == "phone":
+        code, rest = rng.choice(["1", "44", "351"]), digits(9)
+        return rng.choice([f"+{code} {rest}", f"+{code}{rest}", f"+{code}-{rest[:3]}-{rest[3:6]}-{rest[6:]}"]), "phone", code + rest
+    body = digits(18)
+    check = 98 - int(body + "131400") % 97  # D is 13, E is 14
+    return f"DE{check:02d}{body}", "iban", body
+
+
+def test_planted_values_are_found_and_linked(spark):
+    """Every planted value and nothing else is replaced, by another valid one of its format, equal values alike."""
+    rng = random.Random(11)
+    decoys = ["v1.2.3", "300.1.2.3", "4111111111111112", "12:30", "2023-02-30", "1/2", "n0t@nowhere", "500 000", "std::map", "3.14159", "000-12-3456"]
+    rows, want, links = [], {}, {}
+    for i in range(400):
+        parts, spans, at = [], [], 0
+        for _ in range(rng.randrange(1, 12)):
+            what = rng.random()
+            if what < 0.35:
+                text, kind, value = planted(rng)
+                start = at + len(text) - len(text.lstrip("SN: "))
+                spans.append((start, at + len(text), kind, value))
+            else:
+                text = rng.choice(decoys) if what < 0.55 else rng.choice(["word", "né", "und.", "\n", "(so)"])
+            parts.append(text)
+            at += len(text) + len(" | ")
+        rows.append((i, " | ".join(parts)))
+        want[i] = spans
+    rows += [(1000, None), (1001, ""), (1002, rows[0][1]), (None, rows[1][1])]
+    d = spark.createDataFrame([(*r, "s", 1, "k") for r in rows], "doc_id long, text string, spans string, n_card int, private string").repartition(3)
+    got = pii.report(d, "some key").collect()
+    assert len(got) == len(rows)
+    by_id = {r["doc_id"]: r for r in got}
+    for i, spans in want.items():
+        r, old = by_id[i], rows[i][1]
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, b, k, _ in spans)
+        shift, at = 0, 0
+        for a, b, kind, value in spans:
+            assert r["text"][at + shift : a + shift] == old[at:a]
+            follows = old[b : b + 3]
+            end = r["text"].index(follows, a + shift) if follows else len(r["text"])
+            new = r["text"][a + shift : end]
+            assert new != old[a:b]
+            if kind == "card":
+                assert luhn("".join(c for c in new if c.isdigit()))
+            bare = "".join(c for c in new if c.isalnum()) if kind != "date" else tuple(sorted(map(int, new.replace("/", "-").replace(".", "-").split("-"))))
+            assert links.setdefault((kind, value), bare) == bare
+            shift, at = end - b, b
+    assert by_id[1002]["text"] == by_id[0]["text"] and by_id[1000]["text"] == by_id[1001]["text"] == ""
+    other = {r["doc_id"]: r["text"] for r in pii.report(d, "other key").collect()}
+    assert any(other[i] != by_id[i]["text"] for i in want)
+
+
+@pytest.mark.parametrize("a,b", [("+1 0175557713", "+10175557713"), ("+44 20 7946 0958", "+442079460958"), ("+351-912-345-678", "+351912345678"), ("+7 (495) 123-4567", "+74951234567")])
+def test_phones_link_without_separators(a, b):
+    x, y = (pii.replace(t, pii.find(t, "k")) for t in (a, b))
+    assert "".join(c for c in x if c.isdigit()) == "".join(c for c in y if c.isdigit()) and x != a
+
+
+@pytest.mark.parametrize("text", ["born 1850-03-04", "in 2150-01-01", "on 31/12/99", "call 5551234567", "020 7946 0958", "555 123 4567", "ssn 123456789", "at 2001:db8::8a2e:370:7334"])
+def test_less_common_formats(text):
+    assert len(pii.find(text, "k")) == 1
+
+
+def test_dates_keep_their_span_of_years():
+    for year in (1, 1850, 1900, 2099, 2100, 9999):
+        new = int(pii.replace(t := f"{year:04d}-06-15", pii.find(t, "k"))[:4])
+        assert next(i for i, e in enumerate((1900, 2100, 10_000)) if year < e) == next(i for i, e in enumerate((1900, 2100, 10_000)) if new < e)
+
+
+def test_key_comes_from_the_session(spark):
+    d = spark.createDataFrame([(1, "4111111111111111")], "doc_id long, text string")
+    own = pii.report(d).first()["text"]
+    spark.conf.set(pii.KEY_SETTING, "named")
+    try:
+        assert pii.report(d).first()["text"] == pii.report(d, "named").first()["text"] != own
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_other_columns_stay_as_they_are(spark):
+    rows = [(1, "mail jo@example.com", "p", "r", 5, "a.b"), (2, None, "q", "s", None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _private string, row string, n_chars long, `a.b` string")
+    d = d.withColumnRenamed("row", "old")
+    out = {r["doc_id"]: r for r in pii.pseudonymize(d, "k").collect()}
+    assert out[1]["_private"] == "p" and out[1]["old"] == "r" and out[1]["a.b"] == "a.b" and out[1]["text"] != rows[0][1]
+    assert out[1]["n_chars"] == len(out[1]["text"]) and out[2]["text"] is None and out[2]["n_chars"] is None and out[2]["_private"] == "q"
