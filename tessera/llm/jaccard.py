@@ -4,11 +4,13 @@ Texts whose word shingles agree to four fifths differ in 10 of 64 fingerprint bi
 and no blocking key is shared by all pairs at that radius. Candidates are therefore texts that share one of 32 keys,
 each made of 4 minima of hash permutations: a pair of similarity 0.8 misses all of them once in 20 million times. A
 candidate pair whose 128 minima agree to less than ``similarity - SLACK`` is discarded (5.6 standard deviations), and
-every other one is verified by its shingles themselves.
+every other one is verified by its shingles, in the second round by their 64-bit hashes.
 
-A first round verifies the texts of a block against its smallest node, natively as a star. Only blocks that this
-leaves in more than one component go on to a second round, which looks at all their pairs between components, chunk
-by chunk, so that a large block of near-copies costs no quadratic work.
+A first round verifies the texts of a block as a star, against the node that has most others in all its blocks
+together: the text that edited copies were made from has the keys that they have in common, while two copies may be
+too far apart. Only blocks that this leaves in more than one component go on to a second round, which looks at their
+pairs between components, chunk by chunk, where the texts' sets of hashes meet: pairs that turn out not to be similar
+never become rows, and those that are become a spanning forest.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from pyspark.sql import types as T
 from tessera.llm.common import shared_table, skew_join
 from tessera.llm.graph import component_roots
 
-SHINGLE, SIMILARITY, SEED, BANDS, ROWS, SLACK, CHUNK = 5, 0.8, 42, 32, 4, 0.2, 256
+SHINGLE, SIMILARITY, SEED, BANDS, ROWS, SLACK, CHUNK = 5, 0.8, 42, 32, 4, 0.2, 512
+#: Bytes of shingle hashes in a chunk, about.
+CHUNK_BYTES = 32 << 20
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 _MULTIPLY, _ADD = _FACTORS[0] * np.uint64(2) + np.uint64(1), _FACTORS[1]
 
@@ -46,14 +50,19 @@ def similar(a: set[bytes], b: set[bytes], similarity: float = SIMILARITY) -> boo
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
+def hashes(text: str, size: int = SHINGLE) -> np.ndarray:
+    """The 64-bit hashes of the distinct shingles."""
+    found = shingles(text, size)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), dtype=np.uint64, count=len(found))
+
+
 def minima(text: str, size: int = SHINGLE) -> tuple[int, bytes]:
     """The number of distinct shingles, and the 32 bits each of their least hashes under each permutation."""
-    found = shingles(text, size)
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), dtype=np.uint64, count=len(found))
+    h = hashes(text, size)
     least = np.full(BANDS * ROWS, np.uint64((1 << 64) - 1))
     for at in range(0, len(h), 2048):
         np.minimum(least, (h[None, at : at + 2048] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1), out=least)
-    return len(found), (least >> np.uint64(16)).astype("<u4").tobytes()
+    return len(h), (least >> np.uint64(16)).astype("<u4").tobytes()
 
 
 def node_of(text: Column) -> Column:
@@ -62,11 +71,22 @@ def node_of(text: Column) -> Column:
 
 
 def _crossing(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Pairs of one chunk, or between two, of different roots, with enough equal minima, in the first key they share."""
+    """A forest of the links of one chunk, or between two, between nodes of different roots, of those pairs that have
+    enough equal minima and share no earlier key."""
     sig = np.frombuffer(b"".join(pdf["sig"]), dtype="<u4").reshape(len(pdf), BANDS * ROWS)
     node, root, size = (pdf[c].to_numpy() for c in ("node", "root", "size"))
+    sets = [frozenset(np.frombuffer(x, "<u8").tolist()) for x in pdf["set"]]
     chunk, t, within = pdf["chunk"].to_numpy(), pdf["t"].iat[0], pdf["i"].iat[0] == pdf["j"].iat[0]
-    out = [(np.array([], np.int64), np.array([], np.int64))]
+    first: dict[int, int] = {}
+    up = [first.setdefault(r, i) for i, r in enumerate(root.tolist())]
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    out = []
     for x in range(len(pdf)):
         other = (node > node[x]) if within else (chunk > chunk[x])
         y = np.flatnonzero(other & (root != root[x]))
@@ -75,9 +95,12 @@ def _crossing(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
             continue
         same = sig[y] == sig[x]
         keys = same.reshape(len(y), BANDS, ROWS).all(axis=2)
-        y = y[(same.mean(axis=1) >= similarity - SLACK) & (keys.argmax(axis=1) == t)]
-        out.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])))
-    return pd.DataFrame({"a": np.concatenate([o[1] for o in out]), "b": np.concatenate([o[0] for o in out])})
+        for k in y[(same.mean(axis=1) >= similarity - SLACK) & (keys.argmax(axis=1) == t)].tolist():
+            a, b = top(x), top(k)
+            if a != b and similar(sets[x], sets[k], similarity):
+                up[max(a, b)] = min(a, b)
+                out.append((max(node[x], node[k]), min(node[x], node[k])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _crossings(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
@@ -136,26 +159,36 @@ def similar_roots(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.substring("sig", 1 + width * t, width)) for t in range(BANDS)])
     keyed = nodes.select("node", "size", F.posexplode(keys).alias("t", "key"))
-    blocks = keyed.groupBy("t", "key").agg(F.count("*").alias("_n"), F.min("node").alias("hub")).where("_n > 1")
+    blocks = keyed.groupBy("t", "key").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("n", F.col("_n"))
     total = nodes.count()
     members = shared_table(skew_join(keyed, shared_table(blocks, "blocks"), ["t", "key"], total), "members")
-    stars = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    near = members.groupBy("node").agg(F.sum("n").alias("near"))
+    hubs = members.join(near, "node").groupBy("t", "key").agg(
+        F.max_by("node", F.struct("near", -F.col("node"))).alias("hub"), F.count("*").alias("_n")
+    )
+    members = shared_table(skew_join(members.drop("n"), shared_table(hubs, "centres"), ["t", "key"], total), "members")
+    stars = members.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     stars = shared_table(stars, "stars")
     links = verified(stars, docs, size, similarity)
     roots = shared_table(component_roots(links), "roots")
     placed = members.drop("hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    wide = F.greatest(F.col("n") / chunk, F.col("bytes") / CHUNK_BYTES)
     open_blocks = (
-        placed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
-        .where("x <> y").select("t", "key", F.ceil(F.col("n") / chunk).cast("int").alias("c"), F.col("n").alias("_n"))
+        placed.groupBy("t", "key")
+        .agg(F.count("*").alias("n"), F.sum(8 * F.col("size")).alias("bytes"), F.min("root").alias("x"), F.max("root").alias("y"))
+        .where("x <> y").select("t", "key", F.ceil(wide).cast("int").alias("c"), F.col("n").alias("_n"))
     )
     member = skew_join(shared_table(placed, "placed"), shared_table(open_blocks, "open"), ["t", "key"], total)
-    member = member.join(nodes.select("node", "sig"), "node")
+    member = shared_table(member, "open-members")
+    hashed = F.pandas_udf(lambda texts: texts.map(lambda t: hashes(t, size).astype("<u8").tobytes()), "binary")
+    sets = docs.join(member.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = shared_table(sets.select("node", hashed("text").alias("set")), "sets")
+    member = member.join(nodes.select("node", "sig").join(sets, "node"), "node")
     tasks = (
         member.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-        .select("t", "key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "node", "root", "size", "sig")
+        .select("t", "key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "node", "root", "size", "sig", "set")
         .repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
     )
-    rest = tasks.mapInPandas(lambda it: _crossings(it, similarity), PAIR).join(stars, ["a", "b"], "left_anti")
-    more = verified(shared_table(rest, "rest"), docs, size, similarity)
+    more = shared_table(tasks.mapInPandas(lambda it: _crossings(it, similarity), PAIR), "more")
     return component_roots(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
