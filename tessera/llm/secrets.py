@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import text_of
@@ -247,13 +247,15 @@ def learn(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> Formats:
     """Automata from at most ``sample`` distinct labelled credentials of each kind and ``words`` other words of docs
     (``text``), as often as they occur, those of the smallest hashes; strings over 256 symbols don't take part. All
     texts are looked at."""
-    found = docs.mapInPandas(lambda it: _samples(it, sample, words), "rank int, hash long, value string").distinct()
-    rows = []
-    for rank in range(4):
-        part = found.where(F.col("rank") == rank).orderBy("hash", "value").limit(sample if rank < 3 else words)
-        rows.append(part)
+    found = docs.mapInPandas(lambda it: _samples(it, sample, words), "rank int, hash long, value string")
+    # One pass over the texts; the partitions' samples are merged in two steps, so that no task gets all of them.
+    bound = F.when(F.col("rank") < 3, sample).otherwise(words)
+    merged = found.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(512)))
+    for keys in (["rank", "part"], ["rank"]):
+        place = F.dense_rank().over(Window.partitionBy(*keys).orderBy("hash", "value"))
+        merged = merged.withColumn("place", place).where(F.col("place") <= bound).select("rank", "hash", "value", *keys[1:]).distinct()
     values: dict[int, list[str]] = {}
-    for r in rows[0].union(rows[1]).union(rows[2]).union(rows[3]).collect():
+    for r in merged.collect():
         values.setdefault(r["rank"], []).append(r["value"])
     return Formats({KINDS[r]: sorted(values.get(r, [])) for r in range(3)}, sorted(values.get(3, [])))
 
