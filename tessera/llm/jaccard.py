@@ -9,13 +9,14 @@ every other one is verified by its shingles, in the second round by their 64-bit
 A first round verifies the texts of a block as a star, against the node that has most others in all its blocks
 together: the text that edited copies were made from has the keys that they have in common, while two copies may be
 too far apart. Only blocks that this leaves in more than one component go on to a second round, which looks at their
-pairs between components, chunk by chunk, where the texts' sets of hashes meet: pairs that turn out not to be similar
-never become rows, and those that are become a spanning forest.
+pairs between components, chunk by chunk. The minima alone show there which texts have a partner at all; only those
+are met by their sets of hashes. Pairs that turn out not to be similar never become rows, and those that are become a
+spanning forest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,15 +71,36 @@ def node_of(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _crossing(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """A forest of the links of one chunk, or between two, between nodes of different roots, of those pairs that have
-    enough equal minima and share no earlier key."""
+def _partners(pdf: pd.DataFrame, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each place in one chunk, or in two: the later places of other roots, of a size that allows the similarity,
+    that have enough equal minima and share no earlier key."""
     sig = np.frombuffer(b"".join(pdf["sig"]), dtype="<u4").reshape(len(pdf), BANDS * ROWS)
     node, root, size = (pdf[c].to_numpy() for c in ("node", "root", "size"))
-    sets = [frozenset(np.frombuffer(x, "<u8").tolist()) for x in pdf["set"]]
     chunk, t, within = pdf["chunk"].to_numpy(), pdf["t"].iat[0], pdf["i"].iat[0] == pdf["j"].iat[0]
-    first: dict[int, int] = {}
-    up = [first.setdefault(r, i) for i, r in enumerate(root.tolist())]
+    for x in range(len(pdf)):
+        other = (node > node[x]) if within else (chunk > chunk[x])
+        y = np.flatnonzero(other & (root != root[x]))
+        y = y[np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x]) - 1e-9]
+        if len(y):
+            same = sig[y] == sig[x]
+            keys = same.reshape(len(y), BANDS, ROWS).all(axis=2)
+            yield x, y[(same.mean(axis=1) >= similarity - SLACK) & (keys.argmax(axis=1) == t)]
+
+
+def _paired(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """The rows of one chunk, or of two, that have a partner to be compared with."""
+    used = np.zeros(len(pdf), dtype=bool)
+    for x, y in _partners(pdf, similarity):
+        used[y] = True
+        used[x] |= len(y) > 0
+    return pdf.loc[used, list(PLACE)]
+
+
+def _crossing(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """A forest of the links of one chunk, or between two, between nodes of different roots."""
+    node, first = pdf["node"].to_numpy(), {}
+    sets = [frozenset(np.frombuffer(x, "<u8").tolist()) for x in pdf["set"]]
+    up = [first.setdefault(r, i) for i, r in enumerate(pdf["root"].tolist())]
 
     def top(i: int) -> int:
         while up[i] != i:
@@ -87,15 +109,8 @@ def _crossing(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
         return i
 
     out = []
-    for x in range(len(pdf)):
-        other = (node > node[x]) if within else (chunk > chunk[x])
-        y = np.flatnonzero(other & (root != root[x]))
-        y = y[np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x]) - 1e-9]
-        if not len(y):
-            continue
-        same = sig[y] == sig[x]
-        keys = same.reshape(len(y), BANDS, ROWS).all(axis=2)
-        for k in y[(same.mean(axis=1) >= similarity - SLACK) & (keys.argmax(axis=1) == t)].tolist():
+    for x, y in _partners(pdf, similarity):
+        for k in y.tolist():
             a, b = top(x), top(k)
             if a != b and similar(sets[x], sets[k], similarity):
                 up[max(a, b)] = min(a, b)
@@ -103,17 +118,17 @@ def _crossing(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _crossings(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+def _by_task(batches: Iterator[pd.DataFrame], each: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by task key; a key may go on in the next batch."""
     held: pd.DataFrame | None = None
     for pdf in batches:
-        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        pdf = (pdf if held is None else pd.concat([held, pdf])).reset_index(drop=True)
         groups = [g for _, g in pdf.groupby(["t", "key", "i", "j"], sort=False)]
         held = groups.pop() if groups else None
         for g in groups:
-            yield _crossing(g, similarity)
+            yield each(g)
     if held is not None:
-        yield _crossing(held, similarity)
+        yield each(held)
 
 
 def _verified(batches: Iterator[pd.DataFrame], size: int, similarity: float) -> Iterator[pd.DataFrame]:
@@ -126,16 +141,24 @@ def _verified(batches: Iterator[pd.DataFrame], size: int, similarity: float) ->
         yield pdf.loc[close, ["a", "b"]]
 
 
+PLACE = {"t": "int", "key": "long", "i": "int", "j": "int", "chunk": "int", "node": "long", "root": "long", "size": "long"}
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each of the nodes with its text, once.
+
+    Copies of a text become one row before the shuffle, so that many of them are no single task.
+    """
+    need = shared_table(nodes.select("node").distinct(), "need")
+    return shared_table(docs.groupBy("node").agg(F.first("text").alias("text")).join(need, "node", "left_semi"), "texts")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar; texts holds node and text.
+    """The pairs (a, b) of nodes whose texts are similar; texts holds each node and its text.
 
     The text of a node with many pairs is dealt to as many tasks as its pairs need.
     """
-    need = shared_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "need")
-    texts = shared_table(texts.join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts"), F.count("*").alias("_n"))
     hubs = shared_table(hubs, "hubs")
     right = texts.withColumnRenamed("text", "text_b").join(hubs.drop("_n"), F.col("node") == F.col("b")).select(
@@ -164,14 +187,18 @@ def similar_roots(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     members = shared_table(skew_join(keyed, shared_table(blocks, "blocks"), ["t", "key"], total), "members")
     near = members.groupBy("node").agg(F.sum("n").alias("near"))
     hubs = members.join(near, "node").groupBy("t", "key").agg(
-        F.max_by("node", F.struct("near", -F.col("node"))).alias("hub"), F.count("*").alias("_n")
+        F.max_by(F.struct("node", "size"), F.struct("near", -F.col("node"))).alias("h"), F.count("*").alias("_n")
     )
-    members = shared_table(skew_join(members.drop("n"), shared_table(hubs, "centres"), ["t", "key"], total), "members")
-    stars = members.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    hubs = shared_table(hubs.select("t", "key", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), "_n"), "centres")
+    members = shared_table(skew_join(members.drop("n"), hubs, ["t", "key"], total), "members")
+    # Sets whose sizes are too far apart can't reach the similarity.
+    alike = F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size") - 1e-9
+    stars = members.where("node <> hub").where(alike).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     stars = shared_table(stars, "stars")
-    links = verified(stars, docs, size, similarity)
+    texts = texts_of(members, docs)
+    links = verified(stars, texts, size, similarity)
     roots = shared_table(component_roots(links), "roots")
-    placed = members.drop("hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = members.drop("hub", "hub_size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     wide = F.greatest(F.col("n") / chunk, F.col("bytes") / CHUNK_BYTES)
     open_blocks = (
         placed.groupBy("t", "key")
@@ -179,16 +206,21 @@ def similar_roots(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
         .where("x <> y").select("t", "key", F.ceil(wide).cast("int").alias("c"), F.col("n").alias("_n"))
     )
     member = skew_join(shared_table(placed, "placed"), shared_table(open_blocks, "open"), ["t", "key"], total)
-    member = shared_table(member, "open-members")
-    hashed = F.pandas_udf(lambda texts: texts.map(lambda t: hashes(t, size).astype("<u8").tobytes()), "binary")
-    sets = docs.join(member.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = shared_table(sets.select("node", hashed("text").alias("set")), "sets")
-    member = member.join(nodes.select("node", "sig").join(sets, "node"), "node")
+    member = member.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    key = ["t", "key", "i", "j"]
     tasks = (
-        member.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-        .select("t", "key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "node", "root", "size", "sig", "set")
-        .repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
+        member.join(nodes.select("node", "sig"), "node").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+        .withColumns({"i": F.least("chunk", "o"), "j": F.greatest("chunk", "o")}).select(*PLACE, "sig")
+        .repartition(*key).sortWithinPartitions(*key)
     )
-    more = shared_table(tasks.mapInPandas(lambda it: _crossings(it, similarity), PAIR), "more")
+    # Minima alone show which rows have a partner at all; only those are met by their sets of hashes.
+    place = ", ".join(f"{name} {kind}" for name, kind in PLACE.items())
+    paired = tasks.mapInPandas(lambda it: _by_task(it, lambda g: _paired(g, similarity)), place)
+    paired = shared_table(paired, "paired")
+    hashed = F.pandas_udf(lambda texts: texts.map(lambda t: hashes(t, size).astype("<u8").tobytes()), "binary")
+    sets = texts.join(paired.select("node").distinct(), "node", "left_semi")
+    sets = shared_table(sets.select("node", hashed("text").alias("set")), "sets")
+    tasks = paired.join(nodes.select("node", "sig").join(sets, "node"), "node").repartition(*key).sortWithinPartitions(*key)
+    more = tasks.mapInPandas(lambda it: _by_task(it, lambda g: _crossing(g, similarity)), PAIR)
+    more = shared_table(more, "more")
     return component_roots(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
