@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, pii, quality, rules, secrets, simhash, topk, toxicity, urls
+from tessera.llm import infill, mixing, packing, pii, quality, rules, secrets, simhash, topk, toxicity, urls, whitening
 from tessera.llm.common import read
 
 
@@ -61,6 +61,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+    made = infill.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"), fields)
+    return made.select("doc.doc_id", *fields)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(read(spark, sf_dir, "embeddings"))
+
+
 def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per policy and rule, from one stored ledger: rows that fail the rule, that only it rejects, and what is kept."""
     led = rules.stored(read(spark, sf_dir, "documents"))
@@ -72,7 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_secrets, op3_simhash, op4_quality_rules, op5_toxicity,
-        op6_topk, op7_quality, op8_url_filter, op9_mixing, op10_pii, rules_ablation,
+        op6_topk, op7_quality, op8_url_filter, op9_mixing, op10_pii, op11_infill,
+        op13_whitening, rules_ablation,
     )
 }
 
@@ -156,4 +167,22 @@ SELECT doc_id, size, source_size, target,
 FROM t
 """
 
-ORACLES = {"op4_quality_rules": OP4_SQL, "rules_ablation": ABLATION_SQL, "op8_url_filter": OP8_SQL, "op9_mixing": OP9_SQL}
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+             ('0x' || substr(s, 1, 8))::BIGINT AS h1, ('0x' || substr(s, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(s, 17, 8))::BIGINT AS h3, ('0x' || substr(s, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(units)::BIGINT AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+             greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(list_slice(units, 1, a), '') AS pre, array_to_string(list_slice(units, a + 1, b), '') AS mid,
+             array_to_string(list_slice(units, b + 1, n), '') AS suf FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
+                          ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END AS output FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM o
+"""
+
+ORACLES = {"op11_infill": OP11_SQL, "op4_quality_rules": OP4_SQL, "rules_ablation": ABLATION_SQL, "op8_url_filter": OP8_SQL, "op9_mixing": OP9_SQL}
