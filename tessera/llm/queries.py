@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import infill, mixing, packing, pii, quality, rules, secrets, simhash, topk, toxicity, urls, whitening
+from tessera.llm import infill, mixing, packing, partenum, pii, quality, rules, secrets, simhash, topk, toxicity, urls, whitening
 from tessera.llm.common import read
 
 
@@ -67,6 +67,10 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc.doc_id", *fields)
 
 
+def op12_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.linked_sets(read(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components_of(read(spark, sf_dir, "embeddings"))
 
@@ -83,7 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_packing, op2_secrets, op3_simhash, op4_quality_rules, op5_toxicity,
         op6_topk, op7_quality, op8_url_filter, op9_mixing, op10_pii, op11_infill,
-        op13_whitening, rules_ablation,
+        op12_partenum, op13_whitening, rules_ablation,
     )
 }
 
