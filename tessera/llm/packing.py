@@ -11,6 +11,7 @@ the same windows. Empty and null texts still hold the closing id and become a pi
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -29,6 +30,8 @@ WINDOW, OPEN, MIN_CUT, END_ID, MERGE = 2048, 64, 64, 1, 4096
 REMEMBERED = 100_000
 #: Longer words, in bytes, are not remembered.
 LONGEST = 128
+#: Marks that compose with a letter before them.
+MARK = re.compile("[\u0300-\u036f]")
 
 _tokenizers: dict[str, "WordIds"] = {}
 
@@ -55,9 +58,15 @@ class WordIds(dict):
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
-    def _word(self, word: str) -> bytes:
+    @staticmethod
+    def _letters(word: str) -> str | None:
+        """The lower case of a word that is letters alone, in lower case too: some capitals become letter and mark."""
         low = word if word.isascii() else "".join(c.lower() for c in word)
-        if not low.isalpha() or not unicodedata.is_normalized("NFC", word):
+        return low if low.isalpha() and unicodedata.is_normalized("NFC", word) else None
+
+    def _word(self, word: str) -> bytes:
+        low = self._letters(word)
+        if low is None:
             return self._encode(word)
         mapped = low if low.isascii() else low.encode("utf-8").decode("latin-1").translate(self.symbols)
         return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(mapped)])
@@ -67,7 +76,7 @@ class WordIds(dict):
         if ids is None:
             last = word[-1:]
             text = word.decode("utf-8")
-            if last in b".," and text[:-1].isalpha():  # letters and one mark are pieces of their own
+            if last in b".," and self._letters(text[:-1]) is not None:  # letters and one mark are pieces of their own
                 ids = self[word[:-1]] + self[last]
             else:
                 ids = self._word(text)
@@ -83,7 +92,11 @@ class WordIds(dict):
         low = text.lower()
         if any(s in text or s in low for s in self.special):
             return self._encode(text)
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").lower().split()))
+        raw = text.encode("utf-8", "replace")
+        # Some marks compose with the small letter alone; the tokenizer composes before it lower-cases.
+        if text.isascii() or not MARK.search(text):
+            raw = raw.lower()
+        return b"".join(map(self.__getitem__, raw.split()))
 
 
 def word_ids(path: str) -> WordIds:

@@ -1,5 +1,7 @@
 """Packing's ids against the tokenizer's."""
 
+import random
+
 import pytest
 
 from tessera.llm import packing
@@ -10,3 +12,20 @@ from tessera.llm.queries import default_tokenizer
 def test_special_strings_in_other_case(text):
     words = packing.WordIds(default_tokenizer())
     assert words.text(text) == words._encode(text)
+
+
+@pytest.mark.parametrize("text", ["İKİ, DERSLERİ.", "MERSİNLİ, VE TÜRKİYE'NİN GENELİ.", "İ. İ, Aİ. ẞ. ǰ, ΐ."])
+def test_capitals_that_become_letter_and_mark(text):
+    words = packing.WordIds(default_tokenizer())
+    assert words.text(text) == words._encode(text)
+
+
+def test_hard_characters_have_the_tokenizers_ids():
+    """Words of all characters whose lower or upper case is longer, of marks that combine, and of plain letters."""
+    rng = random.Random(3)
+    hard = [chr(c) for c in range(0x80, 0x1F000) if not 0xD800 <= c < 0xE000 and (len(chr(c).lower()) > 1 or len(chr(c).upper()) > 1 or not chr(c).lower().isalpha() and chr(c).isalpha())]
+    hard += [chr(c) for c in range(0x300, 0x345)] + list("İıſKÅΣσς가각ᄀ") + ["가", "é"]
+    words = packing.WordIds(default_tokenizer())
+    for _ in range(8000):
+        word = "".join(rng.choice(hard if rng.random() < 0.4 else "abXYZé") for _ in range(rng.randrange(1, 6))) + rng.choice(["", ",", ".", "..", "'s"])
+        assert words.text(word) == words._encode(word), ascii(word)
