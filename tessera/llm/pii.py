@@ -36,7 +36,7 @@ LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 EMAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 WHOLE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
-#: Characters of a country's IBAN, for numbers with other words behind them.
+#: Characters of a country's IBAN, for numbers with other words behind them.
 IBAN_LENGTHS = {c: int(n) for n, cs in (
     line.split(":") for line in (
         "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
@@ -63,8 +63,9 @@ CODES_1, CODES_2 = "1 7".split(), (
     "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
 ).split()
 
-#: First days of the spans of years that dates are permuted within, and the day after the last.
-SPANS = [datetime.date(y, 1, 1).toordinal() for y in (1, 1900, 2100)] + [datetime.date.max.toordinal() + 1]
+#: First days of the spans of years that dates are permuted within, and the day after the last. A year of two digits is
+#: one of 2000 to 2099, a span of its own, so that it links with the same day written with four.
+SPANS = [datetime.date(y, 1, 1).toordinal() for y in (1, 1900, 2000, 2100)] + [datetime.date.max.toordinal() + 1]
 
 
 def key_of(spark: SparkSession) -> str:
@@ -77,12 +78,16 @@ _own_key = secrets.token_hex(32)
 
 
 def permute(x: int, size: int, key: str, tweak: str) -> int:
-    """A keyed permutation of 0..size-1: a Feistel network over the next square, walked until it is inside."""
+    """A keyed permutation of 0..size-1: a Feistel network over the next square, walked until it is inside.
+
+    A round's digest is 64 bits longer than half a value, so that it reaches every digit, and evenly.
+    """
     half = math.isqrt(size - 1) + 1
+    width = (half.bit_length() + 7) // 8 + 8
     while True:
         a, b = divmod(x, half)
         for i in range(ROUNDS):
-            digest = hashlib.blake2b(f"{tweak}:{size}:{i}:{b}".encode(), key=key.encode()[:64], digest_size=16).digest()
+            digest = hashlib.blake2b(f"{tweak}:{size}:{i}:{b}".encode(), key=key.encode()[:64], digest_size=width).digest()
             a, b = b, (a + int.from_bytes(digest, "big")) % half
         x = a * half + b
         if x < size:
@@ -162,14 +167,13 @@ def _other_day(day: int, key: str) -> datetime.date:
 
 
 def short_date(m: re.Match, key: str) -> str | None:
-    """Two-digit years are permuted among the days of one century; day before month if both orders exist."""
+    """Two-digit years are those of 2000 to 2099; day before month if both orders exist."""
     for i, (d, mo) in enumerate(((m[1], m[2]), (m[2], m[1]))):
         try:
             day = datetime.date(2000 + int(m[3]), int(mo), int(d)).toordinal()
         except ValueError:
             continue
-        first = datetime.date(2000, 1, 1).toordinal()
-        new = datetime.date.fromordinal(first + permute(day - first, datetime.date(2100, 1, 1).toordinal() - first, key, "short"))
+        new = _other_day(day, key)
         a, b = (new.day, new.month) if i == 0 else (new.month, new.day)
         return f"{a:0{len(m[1])}d}/{b:0{len(m[2])}d}/{new.year % 100:02d}"
     return None
