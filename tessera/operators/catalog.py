@@ -69,9 +69,10 @@ def _caption(df: DataFrame, task: tasks.Task, more: dict) -> DataFrame:
 def _segment_anything(df: DataFrame, task: tasks.Task, more: dict) -> DataFrame:
     """The prompt of each picture's middle."""
     decoder = ship(df.sparkSession, more.pop("decoder"))
-    d = tasks.encode_images(df, task, "_encoding").withColumn("_prompt", tasks.center(df[task.image]))
+    encoding, prompt = tasks.spare(df, "_encoding"), tasks.spare(df, "_prompt")
+    d = tasks.encode_images(df, task, encoding).withColumn(prompt, tasks.center(df[task.image]))
     more = {"providers": task.providers, "fallback": task.fallback} | more
-    return tasks.segment_prompts(d, decoder, "_encoding", "_prompt", task.image, **more).drop("_encoding", "_prompt")
+    return tasks.segment_prompts(d, decoder, encoding, prompt, task.image, **more).drop(encoding, prompt)
 
 
 _RUN = {

@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast, SparkFiles
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,15 +27,19 @@ _shipped: dict[tuple[str, bytes], Model] = {}
 
 @dataclass(frozen=True)
 class Model:
-    """A model on its way to the workers: bytes in a broadcast, or a file (with its external data beside it) that
-    Spark has copied to every node. The key is taken once and names the worker's session."""
+    """A model on its way to the workers, in broadcasts: its bytes, and those of the files that it keeps weights in, by
+    the names that it calls them. The key is a digest of all of them and names the worker's session, so that models
+    whose files have one name are different models."""
 
     key: str
-    data: Broadcast | None = None
-    file: str = ""
+    data: Broadcast
+    external: Broadcast | None = None
 
-    def source(self) -> bytes | str:
-        return self.data.value if self.data is not None else SparkFiles.get(self.file)
+    def source(self) -> bytes:
+        return self.data.value
+
+    def files(self) -> dict[str, bytes]:
+        return self.external.value if self.external is not None else {}
 
 
 def checked(path: str) -> Path:
@@ -53,11 +57,20 @@ def read_model(path: str) -> bytes:
 
 
 def ship(spark: SparkSession, path: str, external_data: bool = False) -> Model:
-    """A model file, sent to every node once; with external data its whole folder goes along."""
+    """A model file, sent to every node once; with external data the other files of its folder go along.
+
+    Nothing is written to a node's disk but Spark's own broadcasts, and no name of a file matters.
+    """
     file = checked(path)
-    spark.sparkContext.addFile(str(file.parent if external_data else file), recursive=external_data)
-    name = f"{file.parent.name}/{file.name}" if external_data else file.name
-    return Model(f"{file.resolve()}:{file.stat().st_mtime_ns}", file=name)
+    data, beside = file.read_bytes(), {}
+    if external_data:
+        others = sorted(f for f in file.parent.rglob("*") if f.is_file() and f.suffix != ".onnx")
+        beside = {f.relative_to(file.parent).as_posix(): f.read_bytes() for f in others}
+    digest = hashlib.sha256(data)
+    for name, content in beside.items():
+        digest.update(f"{name}:{len(content)}:".encode() + content)
+    sent = spark.sparkContext.broadcast
+    return Model(digest.hexdigest(), sent(data), sent(beside) if beside else None)
 
 
 def shipped(model: bytes | Model) -> bytes | Model:
@@ -85,8 +98,10 @@ def session(model: bytes | Model, providers: tuple[Provider, ...] = (CPU,), fall
             there.append(CPU)
         options = ort.SessionOptions()
         options.intra_op_num_threads = options.inter_op_num_threads = 1
-        source = model.source() if isinstance(model, Model) else model
-        _sessions[key] = ort.InferenceSession(source, options, providers=there)
+        files = model.files() if isinstance(model, Model) else {}
+        if files:
+            options.add_external_initializers_from_files_in_memory(list(files), list(files.values()), list(map(len, files.values())))
+        _sessions[key] = ort.InferenceSession(model.source() if isinstance(model, Model) else model, options, providers=there)
     return _sessions[key]
 
 

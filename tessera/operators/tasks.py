@@ -52,12 +52,21 @@ class Task:
         return F.array(*map(F.lit, self.labels)) if self.labels else None
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def classify(df: DataFrame, task: Task, top_k: int | None = None, apply_softmax: bool = True,
              label: str = "PredictedLabel", probability: str = "Probability", details: str = "Predictions") -> DataFrame:
     """Columns details (label, probability, class_id), label and probability, most probable first."""
-    raw = F.col("_scored.raw")
+    scored = spare(df, "_scored")
+    raw = F.col(scored)["raw"]
     p = V.softmax(raw) if apply_softmax else V.doubles(raw)
-    out = df.withColumn("_scored", task.scores()).withColumn(details, V.ranked(p, task.label_column(), top_k))
+    out = df.withColumn(scored, task.scores()).withColumn(details, V.ranked(p, task.label_column(), top_k)).drop(scored)
     return _labelled(out, label, probability, details)
 
 
@@ -66,17 +75,18 @@ def _labelled(df: DataFrame, label: str, probability: str, details: str) -> Data
     return df.withColumn(details, p).withColumns({
         label: V.top_label(F.col(details)),
         probability: F.transform(details, lambda x: x["probability"].cast("float")),
-    }).drop("_scored")
+    })
 
 
 def embed(df: DataFrame, task: Task, pooling: str = "cls", normalize: bool = True, output: str = "Embedding") -> DataFrame:
     """Embedding of the width of the model's last axis, pooled by the first row or by the mean."""
     declared = model_info(task.model, task.providers, task.fallback).output_shapes[task.output][-1]
-    dim, raw = F.lit(declared) if declared > 0 else F.element_at("_scored.dims", -1), F.col("_scored.raw")
+    scored = spare(df, "_scored")
+    dim, raw = F.lit(declared) if declared > 0 else F.element_at(F.col(scored)["dims"], -1), F.col(scored)["raw"]
     v = V.cls_pool(raw, dim) if pooling == "cls" else V.mean_pool(raw, dim)
     v = V.l2_normalize(v) if normalize else v
     empty = F.array().cast("array<float>")
-    return df.withColumn("_scored", task.scores()).withColumn(output, F.coalesce(v.cast("array<float>"), empty)).drop("_scored")
+    return df.withColumn(scored, task.scores()).withColumn(output, F.coalesce(v.cast("array<float>"), empty)).drop(scored)
 
 
 BOXES = "array<struct<x:double,y:double,width:double,height:double,label:string,class_id:int,score:double>>"
@@ -113,9 +123,9 @@ def segment(df: DataFrame, task: Task, resize: bool = True, output: str = "Segme
         m = kernels.nearest(m, *size) if resize and size != m.shape else m
         return {"class_ids": m.ravel(), "width": m.shape[1], "height": m.shape[0], "labels": labels}
 
-    df = df.withColumn("_mask", task.made(make, MASK))
-    return df.withColumns({output: F.col("_mask.class_ids"), f"{output}_Width": F.col("_mask.width"),
-                           f"{output}_Height": F.col("_mask.height")}).drop("_mask")
+    mask = spare(df, "_mask")
+    parts = {output: "class_ids", f"{output}_Width": "width", f"{output}_Height": "height"}
+    return df.withColumn(mask, task.made(make, MASK)).withColumns({k: F.col(mask)[v] for k, v in parts.items()}).drop(mask)
 
 
 def estimate_depth(df: DataFrame, task: Task, resize: bool = True, output: str = "DepthMap", details: str = "Depth") -> DataFrame:
@@ -166,10 +176,11 @@ def zero_shot(df: DataFrame, task: Task, texts: list[list[float]], top_k: int |
     """Predictions over candidate labels by scaled cosine to their text embeddings."""
     if not task.labels or len(task.labels) != len(texts):
         raise ValueError("every candidate label needs a text embedding")
-    v = V.l2_normalize(F.slice(F.col("_scored.raw"), 1, len(texts[0])))
-    out = df.withColumn("_scored", task.scores()).withColumn("_v", v)
-    out = out.withColumn(details, F.when(F.col("_v").isNotNull(), V.ranked(V.clip_scores(F.col("_v"), texts), task.label_column(), top_k)))
-    return _labelled(out, label, probability, details).drop("_v")
+    name = spare(df, "_v")
+    v = F.col(name)
+    out = df.withColumn(name, V.l2_normalize(F.slice(task.scores()["raw"], 1, len(texts[0]))))
+    out = out.withColumn(details, F.when(v.isNotNull(), V.ranked(V.clip_scores(v, texts), task.label_column(), top_k)))
+    return _labelled(out.drop(name), label, probability, details)
 
 
 def greedy(step, prefix: list[int], eos: int, length: int) -> list[int]:
