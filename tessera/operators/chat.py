@@ -14,6 +14,7 @@ from tessera.operators.onnx import Model
 from tessera.operators.tasks import Task, caption
 from tessera.operators.tokenize import WordPieceTokenizer
 from tessera.sources import images
+from tessera.streaming.chat import last_messages
 
 #: Fixed value: what a conversation without an image is told.
 NO_IMAGE = "No image found in the message. Please provide an image."
@@ -26,23 +27,28 @@ def last_user(messages: DataFrame) -> DataFrame:
     return last.select("conv_id", "m.turn", "m.text")
 
 
-def route(messages: DataFrame) -> DataFrame:
-    """conv_id, image, question and route of conversations whose messages hold contents (media_type, data, text).
-
-    The first image part and the first text that isn't blank count; with both the route is "answer", with an image
-    alone "caption", without one "none".
-    """
+def asked(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, image and question of every user message (contents: media_type, data, text): its first image
+    part and its first text that isn't blank. Row by row, so that a stream can be asked as well."""
     contents = F.col("contents")
     pictures = F.filter(contents, lambda c: c["media_type"].startswith("image/"))
     texts = F.filter(contents, lambda c: c["text"].isNotNull() & (F.trim(c["text"]) != ""))
-    last = (
-        messages.where(F.col("role") == "user").groupBy("conv_id").agg(F.max_by("contents", "turn").alias("contents"))
-        .select("conv_id", F.get(pictures, F.lit(0))["data"].alias("image"), F.get(texts, F.lit(0))["text"].alias("question"))
-    )
+    parts = F.get(pictures, F.lit(0))["data"].alias("image"), F.get(texts, F.lit(0))["text"].alias("question")
+    return messages.where(F.col("role") == "user").select("conv_id", F.col("turn").cast("long").alias("turn"), *parts)
+
+
+def with_route(last: DataFrame) -> DataFrame:
+    """With image and question the route is "answer", with an image alone "caption", without one "none"."""
     kind = F.when(F.col("image").isNull(), "none").when(F.col("question").isNull(), "caption").otherwise("answer")
     return last.withColumn("route", kind)
 
 
+def route(messages: DataFrame) -> DataFrame:
+    """conv_id, image, question and route of the last user message of each conversation."""
+    last = asked(messages).groupBy("conv_id").agg(F.max_by(F.struct("image", "question"), "turn").alias("m"))
+    return with_route(last.select("conv_id", "m.image", "m.question"))
+
+
 @dataclass(frozen=True)
 class ChatAdapter:
     """Captions and answers for conversations by an image encoder and a decoder."""
@@ -55,13 +61,21 @@ class ChatAdapter:
     eos: int = 102
     model_id: str = "captioning"
 
-    def reply(self, messages: DataFrame) -> DataFrame:
-        """conv_id, role, text: one assistant message for each conversation with a user message.
+    def answered(self, routed: DataFrame, *keep: str) -> DataFrame:
+        """conv_id, the columns to keep, role and text of rows with image, question and route.
 
-        A message without an image is told so; an image that can't be decoded gets an empty text. One row holds the
-        whole reply, in a stream as well.
+        A message without an image is told so; an image that can't be decoded gets an empty text.
         """
-        d = route(messages).withColumn(self.task.image, images.decode("image"))
+        d = routed.withColumn(self.task.image, images.decode("image"))
         d = caption(d, self.task, self.decoder, self.tokenizer, "question", self.length, self.bos, self.eos, "_reply")
         text = F.when(F.col("route") == "none", NO_IMAGE).otherwise(F.col("_reply"))
-        return d.select("conv_id", F.lit("assistant").alias("role"), text.alias("text"))
+        return d.select("conv_id", *keep, F.lit("assistant").alias("role"), text.alias("text"))
+
+    def reply(self, messages: DataFrame) -> DataFrame:
+        """conv_id, role, text: one assistant message for each conversation with a user message. One row holds the
+        whole reply."""
+        return self.answered(route(messages))
+
+    def reply_stream(self, messages: DataFrame, quiet: int | None = None, settle: bool = False) -> DataFrame:
+        """conv_id, turn, role, text over a stream of messages; see tessera.streaming.chat.last_messages."""
+        return self.answered(with_route(last_messages(asked(messages), quiet, settle)), "turn")
