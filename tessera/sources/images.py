@@ -1,4 +1,4 @@
-"""Image sources and sinks: folders through Spark's own source, PNG and BMP bytes, raw pixels, label lists."""
+"""Image sources and sinks: folders through Spark's own source, bytes of four formats, raw pixels, label lists."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.schema import ENCODED, IMAGE
+from tessera.sources.gif import gif, ungif
+from tessera.sources.jpeg import jpeg, unjpeg
 
 
 def read_images(spark: SparkSession, *paths: str, drop_invalid: bool = True, limit: int | None = None) -> DataFrame:
@@ -114,9 +116,15 @@ def unpng(data: bytes) -> np.ndarray:
     return out if channels != 2 else out[:, :, [0, 0, 0, 1]]
 
 
-def encode(image: str | Column, media_type: str = "image/png") -> Column:
-    """struct(data, media_type): an image struct as a file. BMP is written where it is asked for, else PNG."""
-    write, kind = (bmp, "image/bmp") if media_type.lower() == "image/bmp" else (png, "image/png")
+def encode(image: str | Column, media_type: str = "image/png", quality: int = 90) -> Column:
+    """struct(data, media_type): an image struct as a file. JPEG (of a quality of 1 to 100), GIF and BMP are written
+    where they are asked for, else PNG."""
+    if not 1 <= quality <= 100:
+        raise ValueError("a quality is a number of 1 to 100")
+    asked = media_type.lower()
+    kinds = {"image/bmp": bmp, "image/gif": gif, "image/jpeg": lambda p: jpeg(p, quality)}
+    kind = "image/jpeg" if asked == "image/jpg" else asked if asked in kinds else "image/png"
+    write = kinds.get(kind, png)
 
     def udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -133,16 +141,19 @@ def encode(image: str | Column, media_type: str = "image/png") -> Column:
     return F.pandas_udf(udf, ENCODED)(image)
 
 
+READERS = {b"BM": unbmp, b"\xff\xd8": unjpeg, b"GIF8": ungif}
+
+
 def pixels_of(data: bytes) -> np.ndarray | None:
-    """The pixels of a PNG or BMP file, null for bytes that can't be decoded."""
+    """The pixels of a PNG, JPEG, GIF or BMP file, null for bytes that can't be decoded."""
     try:
-        return unbmp(data) if data[:2] == b"BM" else unpng(data)
-    except (ValueError, IndexError, struct.error, zlib.error):
+        return next((read for head, read in READERS.items() if data.startswith(head)), unpng)(data)
+    except (ValueError, IndexError, KeyError, TypeError, struct.error, zlib.error):
         return None
 
 
 def decode(data: str | Column) -> Column:
-    """An image struct of the bytes of a PNG or BMP file; null for a null and for what can't be decoded."""
+    """An image struct of the bytes of a PNG, JPEG, GIF or BMP file; null for a null and for what can't be decoded."""
 
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
