@@ -61,6 +61,34 @@ def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, inside / np.where(union > 0, union, 1), 0)
 
 
+def suppressed(xywh: np.ndarray, kind: np.ndarray, order: np.ndarray, iou: float, most: int | None = None) -> list[int]:
+    """Boxes kept of those in order, best first: a box goes if a kept one of its class overlaps it by iou or more.
+
+    Boxes lie in cells as large as the largest box of their class, by their corners: what overlaps a box is in its cell
+    or in one of the eight around it, and only those kept there are compared. Many boxes far apart take linear time.
+    Where cells say nothing (an overlap of none would do, or a corner isn't a number) all boxes share one.
+    """
+    size = np.maximum(np.abs(xywh[:, 2:]).max(axis=1), 1e-12)
+    largest = np.zeros(int(kind[order].max()) + 1 if len(order) else 1)
+    np.maximum.at(largest, kind[order], size[order])
+    with np.errstate(invalid="ignore", over="ignore"):
+        cell = np.floor(xywh[:, :2] / np.maximum(largest, 1e-12)[np.minimum(kind, len(largest) - 1)][:, None])
+    flat = iou <= 0 or not (np.abs(cell[order]) < 2**40).all() or not np.isfinite(size[order]).all()
+    cell = np.zeros((len(xywh), 2), dtype=np.int64) if flat else np.where(np.isfinite(cell), cell, 0).astype(np.int64)
+    around = [(0, 0)] if flat else [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    kept: list[int] = []
+    there: dict[tuple[int, int, int], list[int]] = {}
+    for i in order.tolist():
+        k, x, y = int(kind[i]), int(cell[i, 0]), int(cell[i, 1])
+        rivals = [r for dx, dy in around if (found := there.get((k, x + dx, y + dy))) for r in found]
+        if not rivals or overlap(xywh[i], xywh[rivals]).max() < iou:
+            kept.append(i)
+            there.setdefault((k, x, y), []).append(i)
+            if len(kept) == most:
+                break
+    return kept
+
+
 def detect(raw: np.ndarray, classes: int, boxes: int, score: float = 0.5, iou: float = 0.45, most: int | None = None) -> np.ndarray:
     """Rows of (x, y, width, height, class, score) kept from a (4 + classes, boxes) tensor, best first."""
     m = np.asarray(raw, dtype=np.float64).reshape(4 + classes, boxes)
@@ -69,12 +97,7 @@ def detect(raw: np.ndarray, classes: int, boxes: int, score: float = 0.5, iou: f
     ids = np.flatnonzero(best > score)
     ids = ids[np.lexsort((ids, kind[ids], -best[ids]))]
     xywh = np.stack([m[0] - m[2] / 2, m[1] - m[3] / 2, m[2], m[3]], axis=1)
-    kept: list[int] = []
-    for i in ids:
-        rivals = [k for k in kept if kind[k] == kind[i]]
-        if not rivals or overlap(xywh[i], xywh[rivals]).max() < iou:
-            kept.append(i)
-    kept = kept[:most]
+    kept = suppressed(xywh, kind, ids, iou, most) if most != 0 else []
     return np.column_stack([xywh[kept], kind[kept], best[kept]]) if kept else np.zeros((0, 6))
 
 

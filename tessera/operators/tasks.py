@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import PRESETS, Preprocess
-from tessera.functions import kernels
+from tessera.functions import kernels, runs
 from tessera.functions import vectors as V
 from tessera.functions.boxes import flatten
 from tessera.functions.diffusion import VAE_SCALE, gaussian, sigmas, to_pixels
@@ -112,6 +112,27 @@ def detect(df: DataFrame, task: Task, score: float = 0.5, iou: float = 0.45, mos
     return df.withColumns({f"{output}_Boxes": flatten(F.col(details)), f"{output}_Count": F.size(details)})
 
 
+def segment_runs(df: DataFrame, task: Task, resize: bool = True, output: str = "SegmentationRuns") -> DataFrame:
+    """Runs (class_id, length) of the mask, in the image's own size if resize is set; see tessera.functions.runs.
+
+    The mask is resized by its runs, and no pixel of it leaves the worker.
+    """
+
+    def make(y: np.ndarray | None, image: dict | None) -> dict:
+        if y is None:
+            return {"runs": [], "width": 0, "height": 0}
+        m, size = kernels.class_map(y, *y.shape[-3:]), (int(image["height"]), int(image["width"]))
+        found, (height, width) = runs.runs_of(m), size if resize else m.shape
+        if (height, width) != m.shape:
+            found = runs.resized(*found, *m.shape, height, width)
+        return {"runs": [{"class_id": int(c), "length": int(n)} for c, n in zip(*found, strict=True)], "width": width, "height": height}
+
+    mask = spare(df, "_mask")
+    parts = {output: "runs", f"{output}_Width": "width", f"{output}_Height": "height"}
+    made = task.made(make, f"struct<runs:{runs.RUNS},width:int,height:int>")
+    return df.withColumn(mask, made).withColumns({k: F.col(mask)[v] for k, v in parts.items()}).drop(mask)
+
+
 def segment(df: DataFrame, task: Task, resize: bool = True, output: str = "SegmentationMask") -> DataFrame:
     """Class of every pixel, in the image's own size if resize is set."""
     labels = list(task.labels) or None
@@ -195,24 +216,73 @@ def greedy(step, prefix: list[int], eos: int, length: int) -> list[int]:
     return ids[len(prefix) :]
 
 
+def greedy_together(step, prefixes: list[list[int]], eos: int, length: int, pad: int = 0) -> list[list[int]]:
+    """What greedy() gives for each prefix, all rows together: step(ids, last, rows) is called once for all that go on.
+
+    ids are the prefixes so far, filled up on the right, last the place of each one's last id, and rows which of the
+    prefixes they are; it returns the scores of the ids that may come next. A row that ends is left out from then on.
+    The model must not look ahead of a place, so that what fills up can't matter.
+    """
+    ids, going = [list(p) for p in prefixes], list(range(len(prefixes)))
+    for _ in range(length):
+        if not going:
+            break
+        width = max(len(ids[r]) for r in going)
+        x = np.full((len(going), width), pad, dtype=np.int64)
+        for i, r in enumerate(going):
+            x[i, : len(ids[r])] = ids[r]
+        scores = np.asarray(step(x, np.array([len(ids[r]) - 1 for r in going]), going), dtype=np.float64)
+        best = np.where(np.isnan(scores), -np.inf, scores).argmax(axis=1)
+        for r, b in zip(going, best.tolist(), strict=True):
+            if b != eos:
+                ids[r].append(b)
+        going = [r for r, b in zip(going, best.tolist(), strict=True) if b != eos]
+    return [i[len(p) :] for i, p in zip(ids, prefixes, strict=True)]
+
+
+def _decoded(s, seen: list[np.ndarray], prefixes: list[list[int]], eos: int, length: int, batch: int) -> list[list[int]]:
+    """Ids behind each prefix by a decoder of (ids, encoding): in batches where both have a dynamic first axis and rows
+    have encodings of one shape, else row by row."""
+    inputs = s.get_inputs()
+    names, together = [i.name for i in inputs], all(not isinstance(i.shape[0], int) for i in inputs)
+    run = lambda ids, what: s.run(None, dict(zip(names, (ids, what), strict=False)))[0]
+    out: list[list[int]] = [[] for _ in seen]
+    groups: dict[tuple, list[int]] = {}
+    for r, e in enumerate(seen):
+        groups.setdefault(e.shape[1:] if together and e.shape[0] == 1 else (r, "alone"), []).append(r)
+    for shape, rows in groups.items():
+        for at in range(0, len(rows), batch):
+            part = rows[at : at + batch]
+            if shape[-1:] == ("alone",):
+                step = lambda ids, r=part[0]: run(np.array([ids], dtype=np.int64), seen[r])[0, -1]
+                out[part[0]] = greedy(step, prefixes[part[0]], eos, length)
+                continue
+            stacked = np.concatenate([seen[r] for r in part])
+            step = lambda ids, last, going, stacked=stacked: run(ids, stacked[going])[np.arange(len(going)), last]
+            for r, found in zip(part, greedy_together(step, [prefixes[r] for r in part], eos, length), strict=True):
+                out[r] = found
+    return out
+
+
 def caption(df: DataFrame, task: Task, decoder: bytes | Model, tokenizer: WordPieceTokenizer, question: str | None = None,
             length: int = 50, bos: int = 101, eos: int = 102, output: str = "Caption") -> DataFrame:
-    """A caption of every image, or an answer where question names a text column that isn't null."""
-    sent, providers, fallback = shipped(decoder), task.providers, task.fallback
+    """A caption of every image, or an answer where question names a text column that isn't null.
+
+    Rows are decoded together, as many as the task's batch: a decoder call for each id that the longest of them has.
+    """
+    sent, providers, fallback, batch = shipped(decoder), task.providers, task.fallback, task.batch
 
     def udf(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.Series]:
         s = session(sent, providers, fallback)
-        names = [i.name for i in s.get_inputs()]
         for scored, asked in batches:
-            out = []
-            for raw, dims, q in zip(scored["raw"], scored["dims"], asked, strict=True):
-                if raw is None:
-                    out.append("")
-                    continue
-                seen = np.asarray(raw, dtype=np.float32).reshape(dims)
-                prefix = [bos] if q is None else tokenizer.question(q, length, bos, eos)
-                step = lambda ids, seen=seen: s.run(None, dict(zip(names, (np.array([ids], dtype=np.int64), seen), strict=False)))[0][0, -1]
-                out.append(tokenizer.decode(greedy(step, prefix, eos, length)))
+            out, raws, dims = [""] * len(asked), scored["raw"].to_list(), scored["dims"].to_list()
+            there = [r for r, raw in enumerate(raws) if raw is not None]
+            for at in range(0, len(there), batch):
+                rows = there[at : at + batch]
+                seen = [np.asarray(raws[r], dtype=np.float32).reshape(dims[r]) for r in rows]
+                prefixes = [[bos] if q is None else tokenizer.question(q, length, bos, eos) for q in (asked.iloc[r] for r in rows)]
+                for r, ids in zip(rows, _decoded(s, seen, prefixes, eos, length, batch), strict=True):
+                    out[r] = tokenizer.decode(ids)
             yield pd.Series(out, dtype=object)
 
     asked = F.col(question) if question else F.lit(None).cast("string")

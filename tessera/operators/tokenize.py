@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import pandas as pd
@@ -92,30 +92,95 @@ class ClipTokenizer:
         return bytes(back.get(c, 32) for c in text).decode("utf-8", "replace").strip()
 
 
+class _Pieces:
+    """A trie of pieces whose failure links cut a word in one pass, longest match first, in time linear in its length.
+
+    Where a node has no way on, its longest matches so far are certain: ``done`` are those pieces' ids, and ``fail`` is
+    the node of what is left behind them, which begins anew inside the word. Both are worked out once, for each node
+    from those above it: at a node that is a piece itself nothing but that piece is certain; at any other the certain
+    pieces are those of the node above, and then those that turn up while the last letter looks for a way.
+    """
+
+    def __init__(self, vocab: dict[str, int]) -> None:
+        self.ways: list[dict[str, int]] = [{}, {}]  # the word's beginning, and its inside
+        self.inside = 1
+        self.ids: list[int | None] = [None, None]
+        for piece, i in vocab.items():
+            within = piece.startswith("##") and len(piece) > 2
+            self._add(0, piece, i)
+            if within:
+                self._add(1, piece[2:], i)
+        self.done: list[tuple[int, ...]] = [()] * len(self.ways)
+        self.fail: list[int | None] = [None] * len(self.ways)
+        level = [(c, 0, at) for c, at in self.ways[0].items()] + [(c, 1, at) for c, at in self.ways[1].items()]
+        while level:
+            below = []
+            for letter, above, at in level:
+                if self.ids[at] is not None:
+                    self.done[at], self.fail[at] = (self.ids[at],), self.inside
+                else:
+                    certain, z = self.done[above], self.fail[above]
+                    while z is not None and letter not in self.ways[z]:
+                        certain, z = certain + self.done[z], self.fail[z]
+                    if z is not None:
+                        self.done[at], self.fail[at] = certain, self.ways[z][letter]
+                below += [(c, at, n) for c, n in self.ways[at].items()]
+            level = below
+
+    def _add(self, at: int, letters: str, i: int) -> None:
+        for c in letters:
+            if c not in self.ways[at]:
+                self.ways[at][c] = len(self.ways)
+                self.ways.append({})
+                self.ids.append(None)
+            at = self.ways[at][c]
+        self.ids[at] = i
+
+    def pieces(self, word: str) -> list[int] | None:
+        """The ids of a word's pieces, None if it can't be cut."""
+        out, at = [], 0
+        for c in word:
+            while c not in self.ways[at]:
+                if self.fail[at] is None:
+                    return None
+                out += self.done[at]
+                at = self.fail[at]
+            at = self.ways[at][c]
+        while at != self.inside:
+            if self.fail[at] is None:
+                return None
+            out += self.done[at]
+            at = self.fail[at]
+        return out
+
+
 class WordPieceTokenizer:
     """Longest-match-first pieces of white-space and punctuation words."""
 
     SPLIT = regex.compile(r"[\p{P}\p{S}]|[^\s\p{P}\p{S}]+")
 
-    def __init__(self, vocab: list[str], lower: bool = True, unknown: str = "[UNK]") -> None:
+    def __init__(self, vocab: list[str], lower: bool = True, unknown: str = "[UNK]", longest: int | None = None) -> None:
+        """A word of more than ``longest`` characters is unknown, if that is given."""
         self.vocab, self.names, self.lower, self.unknown = {t: i for i, t in enumerate(vocab)}, vocab, lower, unknown
+        self.longest = longest
 
     @classmethod
-    def load(cls, path: str, lower: bool = True) -> WordPieceTokenizer:
-        return cls(Path(path).read_text(encoding="utf-8").splitlines(), lower)
+    def load(cls, path: str, lower: bool = True, longest: int | None = None) -> WordPieceTokenizer:
+        return cls(Path(path).read_text(encoding="utf-8").splitlines(), lower, longest=longest)
+
+    @cached_property
+    def _trie(self) -> _Pieces:
+        return _Pieces(self.vocab)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_trie"}
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for word in self.SPLIT.findall(text.lower() if self.lower else text):
-            pieces, at = [], 0
-            while at < len(word):
-                end = next((e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in self.vocab), None)
-                if end is None:
-                    pieces = [self.vocab.get(self.unknown, 0)]
-                    break
-                pieces.append(self.vocab[("##" if at else "") + word[at:end]])
-                at = end
-            out += pieces
+        unknown = self.vocab.get(self.unknown, 0)
+        for m in self.SPLIT.finditer(text.lower() if self.lower else text):
+            pieces = self._trie.pieces(m[0]) if self.longest is None or m.end() - m.start() <= self.longest else None
+            out += [unknown] if pieces is None else pieces
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -135,6 +200,16 @@ def encode(text: str | Column, tokenizer: ClipTokenizer, length: int = LENGTH) -
     return F.pandas_udf(udf, "array<int>")(text)
 
 
+def pieces(text: str | Column, tokenizer: WordPieceTokenizer) -> Column:
+    """Ids of all pieces of a whole text column, null for a null text."""
+
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([None if t is None else tokenizer.encode(t) for t in s], dtype=object)
+
+    return F.pandas_udf(udf, "array<int>")(text)
+
+
 def decode(ids: str | Column, tokenizer: ClipTokenizer) -> Column:
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.plans.queries import HEADS, INSIDE
+
 E = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
 ROWS = "r AS (SELECT vec_id, label, unnest(range(64))::INT AS i, unnest(e) AS x FROM e)"
 
@@ -101,6 +103,19 @@ ids AS (SELECT id, CASE WHEN NOT lost THEN ['49406'] || part || ['49407'] || lis
 """
 DOCS = TOKENS.format(id="doc_id", table="documents")
 LAST = "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id"
+REPLY = f"""SELECT conv_id, 'assistant' AS role, CASE WHEN turn % 4 <> 0 THEN 'No image found in the message. Please provide an image.'
+        ELSE CASE WHEN turn % 8 = 0 THEN 'a ' ELSE '' END || CASE WHEN conv_id * 37 % 256 / 255 >= 0.485 THEN 'cat' ELSE 'dog' END END AS text FROM ({LAST})"""
+
+_longest_first = lambda pieces: "|".join(sorted(pieces, key=len, reverse=True))
+#: Alternatives in the order of their length are the longest match first.
+WORDPIECE = f"""WITH w AS (SELECT doc_id, text IS NULL AS lost, regexp_extract_all(lower(text), '[\\p{{P}}\\p{{S}}]|[^\\s\\p{{P}}\\p{{S}}]+') AS words FROM documents),
+t AS (SELECT doc_id, lost, list_transform(words, lambda w: {{'h': regexp_extract(w, '^(?:{_longest_first(HEADS[1:])})'), 'w': w}}) AS ws FROM w),
+u AS (SELECT doc_id, lost, list_transform(ws, lambda s: {{'h': s.h, 'r': regexp_extract_all(substr(s.w, len(s.h) + 1), '(?s:{_longest_first(INSIDE)}|.)')}}) AS ws FROM t),
+v AS (SELECT doc_id, lost, flatten(list_transform(ws, lambda s: CASE WHEN s.h = '' OR len(list_filter(s.r, lambda x: NOT list_contains({INSIDE}, x))) > 0 THEN [0]
+      ELSE [list_position({HEADS}, s.h) - 1] || list_transform(s.r, lambda x: list_position({INSIDE}, x) + {len(HEADS) - 1}) END)) AS ids FROM u)
+SELECT doc_id, CASE WHEN NOT lost THEN len(ids) END::INT AS pieces, CASE WHEN NOT lost THEN len(list_filter(ids, lambda i: i = 0)) END::INT AS unknown,
+       CASE WHEN NOT lost THEN md5(array_to_string(ids::VARCHAR[], ' ')) END AS ids FROM v
+"""
 
 SQL = {
     "softmax_topk": SOFT + "SELECT vec_id, rank, i AS class_id, round(p, 6) AS probability FROM p WHERE rank <= 5",
@@ -140,6 +155,22 @@ SQL = {
     "mask_foreground": f"WITH {E}, {ROWS} SELECT vec_id, (i // 16)::INT AS mask, count(*) FILTER (x > 0)::INT AS pixels FROM r WHERE i < 48 GROUP BY ALL",
     "greedy_decode": DECODE,
     "chat_last_user": LAST,
+    "wordpiece": WORDPIECE,
+    "image_formats": f"""WITH {BYTES} SELECT vec_id, 'image/gif' AS media_type,
+        string_agg(printf('%02X', v::INT), '' ORDER BY pixel, ch) FILTER (ch < 3) AS pixels, 'image/jpeg' AS other_type,
+        4::INT AS width, 4::INT AS height, true AS near FROM px GROUP BY vec_id""",
+    "seg_runs": SEG + """, m AS (SELECT vec_id, list(value ORDER BY pos) AS m FROM c GROUP BY vec_id)
+        SELECT vec_id, array_to_string(list_transform(range(48), lambda p: m[(p // 6 * 4 // 8 * 4 + p % 6 * 4 // 6 + 1)::INT]), '') AS pixels,
+               len(list_filter(m, lambda x: x <> 0))::BIGINT AS foreground, m[7] AS class_id FROM m""",
+    "nms_together": f"""WITH RECURSIVE {YOLO}, o AS (SELECT vec_id // 16 AS picture, *, row_number() OVER (PARTITION BY vec_id // 16 ORDER BY score DESC, class_id, vec_id, box) AS rk FROM d),
+        bad AS (SELECT c.picture, a.rk AS by_rk, c.rk FROM o a JOIN o c ON a.picture = c.picture AND a.class_id = c.class_id AND a.rk < c.rk WHERE {IOU} >= 0.45),
+        walk AS (SELECT picture, 0::BIGINT AS rk, []::BIGINT[] AS kept FROM (SELECT DISTINCT picture FROM o)
+                 UNION ALL
+                 SELECT w.picture, w.rk + 1, CASE WHEN EXISTS (SELECT 1 FROM bad WHERE bad.picture = w.picture AND bad.rk = w.rk + 1
+                        AND list_contains(w.kept, bad.by_rk)) THEN w.kept ELSE list_append(w.kept, w.rk + 1) END
+                 FROM walk w WHERE w.rk < (SELECT max(rk) FROM o WHERE o.picture = w.picture))
+        SELECT o.picture, vec_id, box, class_id, round(score, 5) AS score FROM o
+        JOIN (SELECT picture, unnest(arg_max(kept, rk)) AS rk FROM walk GROUP BY picture) k ON k.picture = o.picture AND k.rk = o.rk""",
     "chat_route": f"""SELECT conv_id, CASE WHEN trim(text) <> '' THEN text END AS question,
         CASE WHEN turn % 4 <> 0 THEN 'none' WHEN trim(text) <> '' THEN 'answer' ELSE 'caption' END AS route FROM ({LAST})""",
     "tokenize_clip": f"WITH {DOCS} SELECT id AS doc_id, array_to_string(ids, ' ') AS ids FROM ids",
@@ -190,8 +221,8 @@ SQL = {
     "task_zero_shot": TENSOR + """SELECT vec_id, list_extract(['first', 'second', 'third'], arg_min(pos, (-value, pos))::INT + 1) AS predicted, 3::INT AS n
         FROM t WHERE pos < 3 GROUP BY vec_id""",
     "task_caption": TENSOR + """SELECT vec_id, CASE WHEN vec_id % 2 <> 0 THEN 'a ' ELSE '' END || CASE WHEN value >= 0 THEN 'cat' ELSE 'dog' END AS caption FROM t WHERE pos = 0""",
-    "chat_reply": f"""SELECT conv_id, 'assistant' AS role, CASE WHEN turn % 4 <> 0 THEN 'No image found in the message. Please provide an image.'
-        ELSE CASE WHEN turn % 8 = 0 THEN 'a ' ELSE '' END || CASE WHEN conv_id * 37 % 256 / 255 >= 0.485 THEN 'cat' ELSE 'dog' END END AS text FROM ({LAST})""",
+    "chat_stream": REPLY,
+    "chat_reply": REPLY,
     "task_segment_prompts": TENSOR + """SELECT vec_id, k::INT AS prompt, count(*) FILTER (value > k)::INT AS pixels, 0.75::DOUBLE AS iou
         FROM t, (SELECT unnest(range(3)) AS k) WHERE pos BETWEEN 16 AND 31 GROUP BY ALL""",
     "task_generate": f"""WITH {TOKENS.format(id='item_id', table='benchmark')}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Preprocess
 from tessera.functions import boxes as B
-from tessera.functions import diffusion
+from tessera.functions import diffusion, kernels, runs
 from tessera.functions import vectors as V
 from tessera.operators import chat, onnx, tasks, tokenize, toy_onnx
 from tessera.sources import images
@@ -161,8 +161,34 @@ def seg_label_at(spark, sf_dir):
 
 @query
 def seg_histogram(spark, sf_dir):
-    per = vectors(spark, sf_dir).select("vec_id", F.explode(class_ids()).alias("class_id")).groupBy("vec_id", "class_id")
-    return per.agg(F.count("*").alias("pixels")).withColumn("percent", F.round(100 * F.col("pixels") / 16, 4))
+    """Pixels of every class by the mask's runs: a row comes out for each class, none for a pixel, and nothing is shuffled."""
+    d = vectors(spark, sf_dir).select("vec_id", F.inline(runs.histogram(runs.encode(class_ids()))))
+    return d.withColumn("percent", F.round("percent", 4))
+
+
+@query
+def seg_runs(spark, sf_dir):
+    """A mask's runs in another size, as pixels again, its pixels that aren't background, and one pixel's class."""
+    d = vectors(spark, sf_dir).select("vec_id", runs.encode(class_ids()).alias("r"))
+    big = runs.resize_nearest(F.col("r"), F.lit(4), F.lit(4), F.lit(8), F.lit(6))
+    return d.select("vec_id", F.array_join(runs.decode(big), "").alias("pixels"), runs.foreground(F.col("r")).alias("foreground"),
+                    runs.class_at(F.col("r"), 2, 1, 4, 4).alias("class_id"))
+
+
+@query
+def nms_together(spark, sf_dir):
+    """Suppression by grid: the boxes of 16 vectors are one picture of 128, so that a class has many."""
+
+    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["vec_id", "box"], ignore_index=True)
+        xywh, kind, score = pdf[["x", "y", "width", "height"]].to_numpy(), pdf["class_id"].to_numpy(), pdf["score"].to_numpy()
+        found = kernels.suppressed(xywh, kind, np.lexsort((np.arange(len(pdf)), kind, -score)), 0.45)
+        return pdf.loc[found, ["picture", "vec_id", "box", "class_id", "score"]]
+
+    rows = vectors(spark, sf_dir).select("vec_id", F.floor(F.col("vec_id") / 16).alias("picture"), F.inline(decoded()))
+    rows = rows.select("picture", "vec_id", "box", "class_id", "x", "y", "width", "height", "score")
+    found = rows.groupBy("picture").applyInPandas(kept, "picture long, vec_id long, box int, class_id int, score double")
+    return found.withColumn("score", F.round("score", 5))
 
 
 @query
@@ -228,6 +254,17 @@ def image_round_trip(spark, sf_dir):
                     F.col("bmp.media_type").alias("other_type"), F.hex("rgb.data").alias("other_pixels"))
 
 
+@query
+def image_formats(spark, sf_dir):
+    """The pixels of a picture after a GIF file and back, and how far a JPEG file's are away: 3 a channel at most."""
+    d = pictures(spark, sf_dir).withColumn("gif", images.encode("Image", "image/gif")).withColumn("a", images.decode("gif.data"))
+    d = d.withColumn("jpeg", images.encode("Image", "image/jpeg", 100)).withColumn("b", images.decode("jpeg.data"))
+    byte = lambda c, i: F.conv(F.substring(F.hex(c), 2 * i + 1, 2), 16, 10).cast("int")
+    apart = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: F.abs(byte("a.data", i) - byte("b.data", i)))
+    return d.select("vec_id", "gif.media_type", F.hex("a.data").alias("pixels"), F.col("jpeg.media_type").alias("other_type"),
+                    F.col("b.width").alias("width"), F.col("b.height").alias("height"), (F.array_max(apart) <= 3).alias("near"))
+
+
 #: What a table of candidate labels may hold, since it goes into the plan as numbers.
 MOST_CANDIDATES = 1_000
 
@@ -335,6 +372,20 @@ def attention_mask(spark, sf_dir):
     return d.select("doc_id", F.array_join("mask", "").alias("mask"), V.eos_position(F.col("mask")).alias("last"))
 
 
+#: Pieces at the beginning of words and inside them, of few letters, so that every word of the documents has several.
+HEADS = ["[UNK]", *"etaoinshrdlucmwfgypbvk", "th", "an", "er", "ed", "ti", "thin", "ander", "the"]
+INSIDE = [*"etaoinshrdlucmwfgypbvk", "he", "nd", "er", "ion", "tion", "ing", "thion", "re", "ndth"]
+
+
+@query
+def wordpiece(spark, sf_dir):
+    """Pieces of every word of all documents, longest first: how many, how many words can't be cut, and all ids."""
+    words = tokenize.WordPieceTokenizer([*HEADS, *("##" + p for p in INSIDE)])
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tokenize.pieces("text", words).alias("ids"))
+    unknown = F.size(F.filter("ids", lambda i: i == 0))
+    return d.select("doc_id", F.size("ids").alias("pieces"), unknown.alias("unknown"), F.md5(F.array_join("ids", " ").cast("binary")).alias("ids"))
+
+
 def text_model() -> bytes:
     """One number for each of the tokens "the", "an" and "in", and a fourth that is 1 for any token, summed up over a text."""
     w = np.zeros((49408, 4), np.float32)
@@ -532,8 +583,9 @@ def captioner() -> tuple[bytes, tokenize.WordPieceTokenizer]:
         step[a, b] = 1
     sees[0, 4], sees[0, 5] = 0.1, -0.1
     decoder = toy_onnx.model(
-        [toy_onnx.node("Gather", ["w", "ids"], ["g"]), toy_onnx.node("MatMul", ["x", "m"], ["b"]), toy_onnx.node("Add", ["g", "b"], ["y"])],
-        {"ids": [1, "n"], "x": [1, 48]}, {"y": [1, "n", 8]}, {"w": step, "m": sees}, ("ids",),
+        [toy_onnx.node("Gather", ["w", "ids"], ["g"]), toy_onnx.node("MatMul", ["x", "m"], ["b"]), toy_onnx.node("Reshape", ["b", "s"], ["c"]),
+         toy_onnx.node("Add", ["g", "c"], ["y"])],
+        {"ids": ["batch", "n"], "x": ["batch", 48]}, {"y": ["batch", "n", 8]}, {"w": step, "m": sees, "s": np.array([0, 1, 8])}, ("ids",),
     )
     return decoder, tokenize.WordPieceTokenizer(["[PAD]", "[B]", "[E]", "a", "cat", "dog", "what", "##s"])
 
@@ -547,18 +599,37 @@ def task_caption(spark, sf_dir):
     return d.select("vec_id", F.col("Caption").alias("caption"))
 
 
-@query
-def chat_reply(spark, sf_dir):
-    """Replies to conversations whose every fourth turn shows a picture of one shade."""
+def messages_of(d: DataFrame) -> DataFrame:
+    """Messages of which every fourth turn shows a picture of one shade."""
     shade = F.lpad(F.hex((F.col("conv_id") * 37) % 256), 2, "0")
-    d = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     d = d.withColumn("file", images.encode(images.from_pixels(F.lit(4), F.lit(4), F.unhex(F.repeat(shade, 64)))))
     parts = lambda kind, data, text: F.struct(kind.alias("media_type"), data.alias("data"), text.alias("text"))
     words = parts(F.lit("text/plain"), F.lit(None).cast("binary"), F.when(F.col("turn") % 8 != 0, F.lit("what")))
     image = parts(F.col("file.media_type"), F.col("file.data"), F.lit(None).cast("string"))
-    d = d.withColumn("contents", F.when(F.col("turn") % 4 == 0, F.array(image, words)).otherwise(F.array(words)))
+    return d.withColumn("contents", F.when(F.col("turn") % 4 == 0, F.array(image, words)).otherwise(F.array(words)))
+
+
+def adapter() -> chat.ChatAdapter:
     decoder, tokens = captioner()
-    return chat.ChatAdapter(tasks.Task(toy_onnx.reshaping([3, 4, 4], [48]), TINY), decoder, tokens, 10, 1, 2).reply(d)
+    return chat.ChatAdapter(tasks.Task(toy_onnx.reshaping([3, 4, 4], [48]), TINY), decoder, tokens, 10, 1, 2)
+
+
+@query
+def chat_reply(spark, sf_dir):
+    """Replies to the last user message of each conversation."""
+    return adapter().reply(messages_of(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+@query
+def chat_stream(spark, sf_dir):
+    """The same replies by a stream: the messages arrive in an order of their own, some files at a time, and of a
+    conversation's replies the one to the latest turn counts."""
+    arrived, out, done = (stream.shared_folder(spark, f"chat-{x}") for x in ("messages", "replies", "checkpoint"))
+    d = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    d.repartition(6, F.xxhash64("conv_id", "turn")).write.parquet(arrived)
+    come = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 2).parquet(arrived)
+    stream.run_available(come, lambda s: adapter().reply_stream(messages_of(s)), out, done)
+    return spark.read.parquet(out).groupBy("conv_id", "role").agg(F.max_by("text", "turn").alias("text"))
 
 
 def segmenter() -> bytes:
