@@ -335,24 +335,28 @@ def segment_prompts(df: DataFrame, decoder: bytes | Model, encoding: str = "Enco
 
     def udf(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         s = session(sent, providers, fallback)
-        names = [i.name for i in s.get_inputs()]
         for scored, asked, heights, widths in batches:
-            rows = []
-            for raw, dims, pts, lab, prev, h, w in zip(scored["raw"], scored["dims"], asked["points"], asked["labels"], asked["previous_mask"], heights, widths, strict=True):
-                if raw is None or pts is None:
-                    rows.append({"masks": [], "iou": [], "width": 0, "height": 0})
-                    continue
-                xy = np.array([[[p["x"], p["y"]] for p in pts]], dtype=np.float32)
-                old = np.zeros((1, 1, 256, 256), np.float32) if prev is None else np.asarray(prev, np.float32).reshape(1, 1, 256, 256)
-                feeds = (np.asarray(raw, np.float32).reshape(dims), xy, np.array([lab], np.float32), old,
-                         np.array([prev is not None], np.float32), np.array([h, w], np.int64))
-                masks, iou = s.run(None, dict(zip(names, feeds, strict=False)))[:2]
-                m = (masks.reshape(masks.shape[-3], -1) > threshold).astype(np.float32)
-                rows.append({"masks": list(m), "iou": iou.ravel(), "width": masks.shape[-1], "height": masks.shape[-2]})
-            yield pd.DataFrame(rows)
+            rows = zip(scored["raw"], scored["dims"], asked.to_dict("records"), heights, widths, strict=True)
+            yield pd.DataFrame([_masks(s, None if raw is None else np.asarray(raw, np.float32).reshape(dims), p, h, w, threshold) for raw, dims, p, h, w in rows])
 
     found = F.pandas_udf(udf, SAM_RESULT)(encoding, prompt, F.col(f"{image}.height"), F.col(f"{image}.width"))
-    df = df.withColumn(details, found)
+    return _with_best(df.withColumn(details, found), output, details)
+
+
+def _masks(s, seen: np.ndarray | None, prompt: dict, height: int, width: int, threshold: float) -> dict:
+    """What a decoder says to one prompt about an encoding."""
+    pts, prev = prompt["points"], prompt["previous_mask"]
+    if seen is None or pts is None:
+        return {"masks": [], "iou": [], "width": 0, "height": 0}
+    xy = np.array([[[p["x"], p["y"]] for p in pts]], dtype=np.float32)
+    old = np.zeros((1, 1, 256, 256), np.float32) if prev is None else np.asarray(prev, np.float32).reshape(1, 1, 256, 256)
+    feeds = (seen, xy, np.array([prompt["labels"]], np.float32), old, np.array([prev is not None], np.float32), np.array([height, width], np.int64))
+    masks, iou = s.run(None, dict(zip((i.name for i in s.get_inputs()), feeds, strict=False)))[:2]
+    m = (masks.reshape(masks.shape[-3], -1) > threshold).astype(np.float32)
+    return {"masks": list(m), "iou": iou.ravel(), "width": masks.shape[-1], "height": masks.shape[-2]}
+
+
+def _with_best(df: DataFrame, output: str, details: str) -> DataFrame:
     best = V.argmax(f"{details}.iou")
     return df.withColumns({
         output: F.coalesce(F.get(f"{details}.masks", best), F.array().cast("array<float>")),
@@ -361,6 +365,44 @@ def segment_prompts(df: DataFrame, decoder: bytes | Model, encoding: str = "Enco
     })
 
 
+def sent_encodings(encodings: DataFrame, prompts: DataFrame, key: str, together: int) -> tuple[DataFrame, DataFrame]:
+    """Encodings and prompts by key and salt: an encoding goes out once for every ``together`` prompts of its image,
+    and not at all without one. An image that has very many prompts is so no single group."""
+    counts = prompts.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count("*") / together).cast("int").alias("_salts"))
+    dealt = encodings.join(counts, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    asked = prompts.join(counts, key, "left").withColumn("_salt", F.pmod(F.xxhash64("_prompt_id"), F.coalesce("_salts", F.lit(1))).cast("int"))
+    return dealt, asked.drop("_salts")
+
+
+def segment_table(encodings: DataFrame, prompts: DataFrame, decoder: bytes | Model, key: str, prompt_id: str, encoding: str = "Encoding",
+                  prompt: str = "Prompt", image: str = "Image", threshold: float = 0.0, together: int = 256, output: str = "SegmentAnythingMask",
+                  details: str = "Segments", providers: tuple[Provider, ...] = (CPU,), fallback: bool = True) -> DataFrame:
+    """key, prompt_id and masks of a table of prompts (key, prompt_id, prompt) about encoded images (key, encoding, image).
+
+    Keys of images and ids of prompts are unique. Both sides are grouped by the key, so that an encoding, some megabytes,
+    is met by all its prompts where it is sent to; see sent_encodings. A prompt for no image has no mask.
+    """
+    sent = shipped(decoder)
+    size = lambda side: F.col(f"{image}.{side}").alias(side)
+    pictures = encodings.select(F.col(key).cast("string").alias("key"), F.col(encoding).alias("seen"), size("height"), size("width"))
+    asked = prompts.select(F.col(key).cast("string").alias("key"), F.col(prompt_id).cast("string").alias("_prompt_id"), F.col(prompt).alias("asked"))
+    dealt, asked = sent_encodings(pictures, asked, "key", together)
+
+    def answer(pictures: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        s, seen, size = session(sent, providers, fallback), None, (0, 0)
+        if len(pictures) and pictures["seen"].iat[0] is not None and pictures["seen"].iat[0]["raw"] is not None:
+            one = pictures.iloc[0]
+            seen, size = np.asarray(one["seen"]["raw"], np.float32).reshape(one["seen"]["dims"]), (one["height"], one["width"])
+        rows = [_masks(s, seen, {"points": None, "previous_mask": None} if p is None else p, *size, threshold) for p in asked["asked"]]
+        return pd.DataFrame({"key": asked["key"].to_list(), "_prompt_id": asked["_prompt_id"].to_list(), details: rows})
+
+    by = ["key", "_salt"]
+    found = dealt.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(answer, f"key string, _prompt_id string, `{details}` {SAM_RESULT}")
+    kinds = dict(prompts.dtypes)
+    found = found.select(F.col("key").cast(kinds[key]).alias(key), F.col("_prompt_id").cast(kinds[prompt_id]).alias(prompt_id), details)
+    return _with_best(found, output, details)
+
+
 @dataclass(frozen=True)
 class Generator:
     """Text to image: text encoder, noise predictor and decoder, with steps, guidance and size."""

@@ -223,6 +223,9 @@ SQL = {
     "task_caption": TENSOR + """SELECT vec_id, CASE WHEN vec_id % 2 <> 0 THEN 'a ' ELSE '' END || CASE WHEN value >= 0 THEN 'cat' ELSE 'dog' END AS caption FROM t WHERE pos = 0""",
     "chat_stream": REPLY,
     "chat_reply": REPLY,
+    "segment_prompt_table": TENSOR + """, n AS (SELECT vec_id, list(value) AS v FROM t WHERE pos BETWEEN 16 AND 31 GROUP BY vec_id)
+        SELECT event_id, user_id AS vec_id, coalesce(len(list_filter(v, lambda x: x > event_id % 3)), 0)::INT AS pixels,
+               CASE WHEN v IS NOT NULL THEN 0.75::DOUBLE END AS iou FROM events LEFT JOIN n ON n.vec_id = user_id""",
     "task_segment_prompts": TENSOR + """SELECT vec_id, k::INT AS prompt, count(*) FILTER (value > k)::INT AS pixels, 0.75::DOUBLE AS iou
         FROM t, (SELECT unnest(range(3)) AS k) WHERE pos BETWEEN 16 AND 31 GROUP BY ALL""",
     "task_generate": f"""WITH {TOKENS.format(id='item_id', table='benchmark')}

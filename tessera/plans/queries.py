@@ -17,7 +17,7 @@ from tessera.config import Preprocess
 from tessera.functions import boxes as B
 from tessera.functions import diffusion, kernels, runs
 from tessera.functions import vectors as V
-from tessera.operators import chat, onnx, tasks, tokenize, toy_onnx
+from tessera.operators import chat, neighbours, onnx, tasks, tokenize, toy_onnx
 from tessera.sources import images
 from tessera.streaming import stream
 
@@ -445,12 +445,8 @@ def cosine_pairs(spark, sf_dir):
 
 @query
 def cosine_topk_neighbors(spark, sf_dir):
-    d = pairwise(spark, sf_dir)
-    ends = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.round("cosine", 9).alias("cosine"))
-    both = d.select(F.inline(F.array(ends("a", "b"), ends("b", "a"))))
-    order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    best = both.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
-    return best.select("a", "rank", "b", F.round("cosine", 5).alias("cosine"))
+    """The three nearest others of every vector: no pair leaves a task that isn't among the best of a block."""
+    return neighbours.nearest(vectors(spark, sf_dir)).withColumn("cosine", F.round("cosine", 5))
 
 
 def scorer(out: list[int], batch: int | str = "batch") -> onnx.Scorer:
@@ -652,6 +648,18 @@ def task_segment_prompts(spark, sf_dir):
     return d.select("vec_id", F.col("PromptIndex").alias("prompt"), pixels.alias("pixels"), F.col("SegmentAnythingMask_IoU").cast("double").alias("iou"))
 
 
+@query
+def segment_prompt_table(spark, sf_dir):
+    """A table of prompts: every event asks about the picture of its user, at x = 0, 1 or 2; there may be no such picture."""
+    d = tasks.encode_images(pictures(spark, sf_dir), tasks.Task(toy_onnx.reshaping([3, 4, 4], [3, 4, 4]), TINY))
+    at = F.struct((F.col("event_id") % 3).cast("float").alias("x"), F.lit(1.0).cast("float").alias("y"))
+    prompt = F.struct(F.array(at).alias("points"), F.array(F.lit(1.0).cast("float")).alias("labels"), F.lit(None).cast("array<float>").alias("previous_mask"))
+    asked = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("vec_id"), prompt.alias("Prompt"))
+    d = tasks.segment_table(d.select("vec_id", "Encoding", "Image"), asked, segmenter(), "vec_id", "event_id")
+    pixels = F.size(F.filter("SegmentAnythingMask", lambda x: x > 0))
+    return d.select("event_id", "vec_id", pixels.alias("pixels"), F.col("SegmentAnythingMask_IoU").cast("double").alias("iou"))
+
+
 def painter() -> tasks.Generator:
     """Red, green and blue for the tokens "the", "an" and "in". One step over the first noise level removes the noise."""
     noise = diffusion.sigmas(1)[1][0]
