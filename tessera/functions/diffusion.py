@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.vectors import let
+
 #: Fixed values of the scaled-linear schedule.
 BETA_START, BETA_END, TRAIN_STEPS = 0.00085, 0.012, 1000
 VAE_SCALE = 0.18215
@@ -31,9 +35,25 @@ def schedule(spark: SparkSession, steps: int, start: float = BETA_START, end: fl
     return chosen.join(levels, "t").select("step", F.col("t").cast("int").alias("t"), "sigma")
 
 
+def noise(seed: Column, n: int, sigma: float = 1.0) -> Column:
+    """n numbers of Gaussian noise for a seed, as a column of the JVM; null for a null seed.
+
+    Each number depends on its seed and place alone: two parts of the MD5 of "seed:place", 48 bits each, make a pair of
+    uniform numbers, and those (Box and Muller) one of the bell. Any engine with MD5 gives the same.
+    """
+    part = lambda h, at: F.conv(F.substring(h, at, 12), 16, 10).cast("double")
+    bell = lambda h: F.sqrt(-2 * F.log((part(h, 1) + 0.5) / 2**48)) * F.cos(2 * F.pi() * part(h, 13) / 2**48)
+    one = lambda i: let(F.md5(F.concat(seed.cast("string"), F.lit(":"), i.cast("string")).cast("binary")), bell) * sigma
+    return F.when(seed.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one))
+
+
 def gaussian(shape: tuple[int, ...], seed: int, sigma: float = 1.0) -> np.ndarray:
-    """Seeded noise of a noise level; equal seeds give equal noise."""
-    return np.random.default_rng(seed).standard_normal(shape, dtype=np.float32) * np.float32(sigma)
+    """The numbers of noise() for a seed, in this shape."""
+    n = int(np.prod(shape))
+    hexed = [hashlib.md5(f"{seed}:{i}".encode(), usedforsecurity=False).hexdigest() for i in range(n)]
+    u, v = (np.array([int(h[at : at + 12], 16) for h in hexed], dtype=np.float64) for at in (0, 12))
+    bell = np.sqrt(-2 * np.log((u + 0.5) / 2**48)) * np.cos(2 * np.pi * v / 2**48)
+    return (bell * sigma).astype(np.float32).reshape(shape)
 
 
 def to_pixels(tensor: np.ndarray) -> np.ndarray:

@@ -43,9 +43,12 @@ class ClipTokenizer:
 
     @classmethod
     def load(cls, vocab_path: str, merges_path: str) -> ClipTokenizer:
-        vocab = json.loads(Path(vocab_path).read_text(encoding="utf-8"))
-        lines = Path(merges_path).read_text(encoding="utf-8").splitlines()
-        return cls(vocab, [tuple(x.split()) for x in lines if x.strip() and not x.startswith("#version")])
+        return cls.of(*(Path(p).read_text(encoding="utf-8") for p in (vocab_path, merges_path)))
+
+    @classmethod
+    def of(cls, vocab: str, merges: str) -> ClipTokenizer:
+        """By the contents of both files."""
+        return cls(json.loads(vocab), [tuple(x.split()) for x in merges.splitlines() if x.strip() and not x.startswith("#version")])
 
     def _merge(self, word: str) -> tuple[int, ...]:
         """Pairs merge by rank, the leftmost of equals first; a heap over linked parts, so that long runs stay cheap."""

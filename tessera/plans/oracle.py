@@ -117,6 +117,10 @@ SELECT doc_id, CASE WHEN NOT lost THEN len(ids) END::INT AS pieces, CASE WHEN NO
        CASE WHEN NOT lost THEN md5(array_to_string(ids::VARCHAR[], ' ')) END AS ids FROM v
 """
 
+DETECT = TENSOR.replace("WITH ", "WITH RECURSIVE ", 1) + f""", q AS (SELECT vec_id, pos % 8 AS box, list(value ORDER BY pos) AS v FROM t GROUP BY ALL),
+        d AS (SELECT vec_id, box, CASE WHEN v[6] > v[5] THEN 1 ELSE 0 END AS class_id, v[1] - v[3] / 2 AS x, v[2] - v[4] / 2 AS y, v[3] AS width, v[4] AS height,
+              greatest(v[5], v[6]) AS score FROM q WHERE greatest(v[5], v[6]) > 0.5), {KEPT}"""
+
 SQL = {
     "softmax_topk": SOFT + "SELECT vec_id, rank, i AS class_id, round(p, 6) AS probability FROM p WHERE rank <= 5",
     "label_lookup": SOFT + f"SELECT vec_id, rank, {NAME} AS label FROM p WHERE rank <= 3",
@@ -214,10 +218,15 @@ SQL = {
                floor(200 * (value - low) / CASE WHEN high - low < 1e-8 THEN 1 ELSE high - low END + 0.37::DOUBLE)::INT AS value FROM d WHERE pos // 4 % 3 = 1""",
     "task_embed": TENSOR + """, n AS (SELECT vec_id, sqrt(sum(value * value)) AS n FROM t WHERE pos < 16 GROUP BY vec_id)
         SELECT t.vec_id, pos, round(CASE WHEN n > 0 THEN value / n ELSE value END, 3) + 0.0 AS value FROM t JOIN n ON t.vec_id = n.vec_id WHERE pos < 16""",
-    "task_detect": TENSOR.replace("WITH ", "WITH RECURSIVE ", 1) + f""", q AS (SELECT vec_id, pos % 8 AS box, list(value ORDER BY pos) AS v FROM t GROUP BY ALL),
-        d AS (SELECT vec_id, box, CASE WHEN v[6] > v[5] THEN 1 ELSE 0 END AS class_id, v[1] - v[3] / 2 AS x, v[2] - v[4] / 2 AS y, v[3] AS width, v[4] AS height,
-              greatest(v[5], v[6]) AS score FROM q WHERE greatest(v[5], v[6]) > 0.5), {KEPT}, f AS (SELECT *, count(*) OVER (PARTITION BY vec_id)::INT AS boxes FROM n)
+    "task_detect": DETECT + """, f AS (SELECT *, count(*) OVER (PARTITION BY vec_id)::INT AS boxes FROM n)
         SELECT vec_id, boxes, ((place - 1) * 6 + k)::INT AS pos, round(([x, y, width, height, class_id, score])[k + 1], 3) + 0.0 AS value FROM f, (SELECT unnest(range(6)) AS k)""",
+    "detections_udtf": DETECT + """ SELECT vec_id, (place - 1)::INT AS place, class_id, CASE class_id WHEN 0 THEN 'cat' ELSE 'dog' END AS label, round(x, 3) + 0.0 AS x,
+        round(y, 3) + 0.0 AS y, round(width, 3) + 0.0 AS width, round(height, 3) + 0.0 AS height, round(score, 3) + 0.0 AS score FROM n""",
+    "prompt_noise": """WITH h AS (SELECT item_id, pos, md5(item_id || ':' || pos) AS h FROM benchmark, (SELECT unnest(range(16))::INT AS pos)),
+        u AS (SELECT item_id, pos, (('0x' || substr(h, 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656 AS u, ('0x' || substr(h, 13, 12))::BIGINT::DOUBLE / 281474976710656 AS v FROM h)
+        SELECT item_id, pos, round(sqrt(-2 * ln(u)) * cos(2 * pi() * v), 6) AS value FROM u""",
+    "image_folder": f"""WITH {BYTES} SELECT vec_id, (vec_id % 7) || '/' || vec_id || '.png' AS name, 4::INT AS width, 4::INT AS height,
+        string_agg(printf('%02X', v::INT), '' ORDER BY pixel, ch) AS pixels FROM px GROUP BY vec_id""",
     "task_zero_shot": TENSOR + """SELECT vec_id, list_extract(['first', 'second', 'third'], arg_min(pos, (-value, pos))::INT + 1) AS predicted, 3::INT AS n
         FROM t WHERE pos < 3 GROUP BY vec_id""",
     "task_caption": TENSOR + """SELECT vec_id, CASE WHEN vec_id % 2 <> 0 THEN 'a ' ELSE '' END || CASE WHEN value >= 0 THEN 'cat' ELSE 'dog' END AS caption FROM t WHERE pos = 0""",

@@ -17,8 +17,8 @@ from tessera.config import Preprocess
 from tessera.functions import boxes as B
 from tessera.functions import diffusion, kernels, runs
 from tessera.functions import vectors as V
-from tessera.operators import chat, neighbours, onnx, tasks, tokenize, toy_onnx
-from tessera.sources import images
+from tessera.operators import chat, fanout, neighbours, onnx, tasks, tokenize, toy_onnx
+from tessera.sources import files, images
 from tessera.streaming import stream
 
 LABELS = [f"class_{i}" for i in range(40)]
@@ -692,6 +692,35 @@ def task_generate(spark, sf_dir):
     return d.select("item_id", "Image.width", "Image.height", first.alias("first"), (pixels == F.repeat(first, 256)).alias("plain"))
 
 
+@query
+def prompt_noise(spark, sf_dir):
+    """Starting noise for every prompt, 2 x 2 of 4 channels, by its id: the same in any partitioning, and in SQL."""
+    d = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.posexplode(diffusion.noise(F.col("item_id"), 16)).alias("pos", "value"))
+    return d.withColumn("value", F.round("value", 6))
+
+
+@query
+def detections_udtf(spark, sf_dir):
+    """Detections as a table function, called laterally from SQL: the boxes of task_detect, a row each."""
+    fanout.register(spark)
+    onnx.with_tensor(pictures(spark, sf_dir), "Image", TINY).createOrReplaceTempView("tessera_tensors")
+    digits = ", ".join(f"round({c}, 3) + 0.0 AS {c}" for c in ("x", "y", "width", "height", "score"))
+    call = "detections(PreprocessedTensor, classes => 2, boxes => 8, labels => 'cat,dog')"
+    return spark.sql(f"SELECT vec_id, place, class_id, label, {digits} FROM tessera_tensors, LATERAL {call}")
+
+
+@query
+def image_folder(spark, sf_dir):
+    """Every picture as a file of a folder, and the folder as a table again."""
+    spark.dataSource.register(files.ImageFiles)
+    folder = stream.shared_folder(spark, "pictures")
+    d = pictures(spark, sf_dir).select(F.format_string("%d/%d.png", F.col("vec_id") % 7, F.col("vec_id")).alias("name"), images.encode("Image")["data"].alias("data"))
+    d.write.format("image_files").mode("append").save(folder)
+    back = spark.read.format("image_files").load(folder).withColumn("image", images.decode("data"))
+    vec_id = F.regexp_extract("name", "([0-9]+)[.]png$", 1).cast("long")
+    return back.select(vec_id.alias("vec_id"), "name", "image.width", "image.height", F.hex("image.data").alias("pixels"))
+
+
 @query
 def event_windows(spark, sf_dir):
     """The windowed counts of streams, over a table that is all there."""
