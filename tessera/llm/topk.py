@@ -1,10 +1,10 @@
 """Exact top-k search by inner product over KD-trees, one per shard.
 
 Vectors are dealt to cells, the leaves of a coarse KD-tree over a bounded sample, and each cell to shards of bounded
-size. A shard's tree splits at medians and keeps the tight bounding box of every node; the largest inner product that
-a box allows bounds all of its vectors. Queries go in blocks, cell by cell. Every block first searches one shard of
+size. A shard's tree splits at medians and keeps the tight bounding box of every node, and a ball around its
+vectors' mean; the largest inner product that both allow bounds all of its vectors. Queries go in blocks, cell by cell. Every block first searches one shard of
 its own cell, and the kth score found there is each query's floor. Before any tree is sent to it, a block's queries
-are held against the tight boxes of all cells (a bounded table), and go on to those cells only whose bound reaches
+are held against the tight boxes and balls of all cells (a bounded table), and go on to those cells only whose bound reaches
 their floor, 32 blocks at a time to each shard. Within a tree the box with the highest bound is opened first.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import shared_table, skew_join
 
 K, SHARD, BLOCK, LEAF = 5, 4096, 512, 64
-#: Vectors of the sample that cells are cut from, cells at most, and blocks that visit a shard together.
-SAMPLE, CELLS, TOGETHER = 40_000, 1024, 32
+#: Numbers in the sample of vectors that cells are cut from, cells at most, and blocks that visit a shard together.
+SAMPLE, CELLS, TOGETHER = 2_560_000, 1024, 32
 
 
 def _dump(**arrays: np.ndarray) -> bytes:
@@ -37,15 +37,18 @@ def _load(payload: bytes) -> dict[str, np.ndarray]:
         return {k: f[k] for k in f.files}
 
 
-def build_tree(ids: np.ndarray, vecs: np.ndarray, leaf: int = LEAF) -> dict[str, np.ndarray]:
-    """Rows in leaf order with ids; per node its box, its row range, and its left child (0: a leaf; right is next)."""
-    order = np.argsort(ids, kind="stable")
-    lo, hi, first, last, child = [], [], [], [], []
+def build_tree(ids: np.ndarray, rows: np.ndarray, vecs: np.ndarray, leaf: int = LEAF) -> dict[str, np.ndarray]:
+    """Rows in leaf order with ids; per node its box, its ball (centre and radius), its row range, and its left child
+    (0: a leaf; right is next)."""
+    order = np.lexsort((rows, ids))
+    lo, hi, centre, radius, first, last, child = [], [], [], [], [], [], []
 
     def node(at: int, end: int) -> None:
         part = vecs[order[at:end]]
         lo.append(part.min(axis=0))
         hi.append(part.max(axis=0))
+        centre.append(part.mean(axis=0))
+        radius.append(np.linalg.norm(part - centre[-1], axis=1).max())
         first.append(at)
         last.append(end)
         child.append(0)
@@ -65,20 +68,29 @@ def build_tree(ids: np.ndarray, vecs: np.ndarray, leaf: int = LEAF) -> dict[str,
             node(a + mid, b)
         at += 1
     return {
-        "ids": ids[order], "vecs": vecs[order], "lo": np.array(lo), "hi": np.array(hi),
-        "first": np.array(first), "last": np.array(last), "child": np.array(child),
+        "ids": ids[order], "rows": rows[order], "vecs": vecs[order], "lo": np.array(lo), "hi": np.array(hi),
+        "centre": np.array(centre), "radius": np.array(radius), "first": np.array(first), "last": np.array(last), "child": np.array(child),
     }
 
 
+def upper(queries: np.ndarray, lo: np.ndarray, hi: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """For each query and box the most that an inner product with what is inside can be: what the box allows, and what
+    the ball allows (the product with its centre, and the query's length times its radius), whichever is less."""
+    box = np.maximum(queries, 0) @ hi.T + np.minimum(queries, 0) @ lo.T
+    ball = queries @ centre.T + np.linalg.norm(queries, axis=1)[:, None] * radius
+    return np.minimum(box, ball + 1e-9 * np.abs(ball) + 1e-6)  # widened by what rounding may hide
+
+
 def search_tree(
-    tree: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int
-) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of each query's k best in this tree that reach the query's floor; own id left out."""
-    bounds = np.maximum(queries, 0) @ tree["hi"].T + np.minimum(queries, 0) @ tree["lo"].T
+    tree: dict[str, np.ndarray], qrows: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int
+) -> list[tuple[int, int, int, int]]:
+    """(query row, vector, vector's row, score) of each query's k best in this tree that reach its floor; a row is no
+    candidate of its own."""
+    bounds = upper(queries, tree["lo"], tree["hi"], tree["centre"], tree["radius"])
     out = []
-    for q in range(len(qids)):
+    for q in range(len(qrows)):
         bound, kth = bounds[q], floor[q]
-        best: list[tuple[float, int]] = []  # (score, -id): the smallest goes first
+        best: list[tuple[float, int, int]] = []  # (score, -id, -row): the smallest goes first
         heap = [(-bound[0], 0)]
         while heap:
             up, at = heapq.heappop(heap)
@@ -93,8 +105,8 @@ def search_tree(
             a, b = tree["first"][at], tree["last"][at]
             scores = tree["vecs"][a:b] @ queries[q]
             for i in np.flatnonzero(scores >= kth):
-                entry = (scores[i], -int(tree["ids"][a + i]))
-                if -entry[1] == qids[q]:
+                entry = (scores[i], -int(tree["ids"][a + i]), -int(tree["rows"][a + i]))
+                if -entry[2] == qrows[q]:
                     continue
                 if len(best) < k:
                     heapq.heappush(best, entry)
@@ -102,7 +114,7 @@ def search_tree(
                     heapq.heapreplace(best, entry)
             if len(best) == k:
                 kth = max(kth, best[0][0])
-        out += [(int(qids[q]), -i, int(s)) for s, i in best]
+        out += [(int(qrows[q]), -i, -r, int(s)) for s, i, r in best]
     return out
 
 
@@ -152,15 +164,16 @@ def _vecs(pdf: pd.DataFrame) -> np.ndarray:
 
 
 def _plant(pdf: pd.DataFrame) -> pd.DataFrame:
-    tree = build_tree(pdf["vec_id"].to_numpy(), _vecs(pdf))
+    tree = build_tree(pdf["vec_id"].to_numpy(), pdf["row"].to_numpy(), _vecs(pdf))
     at = {k: [pdf[k].iat[0]] for k in ("dim", "cell", "shard")}
-    return pd.DataFrame(at | {"low": [tree["lo"][0]], "high": [tree["hi"][0]], "tree": [_dump(**tree)]})
+    ball = {"centre": [tree["centre"][0]], "radius": [float(tree["radius"][0])]}
+    return pd.DataFrame(at | {"low": [tree["lo"][0]], "high": [tree["hi"][0]], **ball, "tree": [_dump(**tree)]})
 
 
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("vec_id")
+    pdf = pdf.sort_values("row")
     at = {k: [pdf[k].iat[0]] for k in ("dim", "cell", "block")}
-    return pd.DataFrame(at | {"queries": [_dump(ids=pdf["vec_id"].to_numpy(), vecs=_vecs(pdf))]})
+    return pd.DataFrame(at | {"queries": [_dump(rows=pdf["row"].to_numpy(), vecs=_vecs(pdf))]})
 
 
 def top_k(vectors: DataFrame, query_mod: int = 50, k: int = K, shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
@@ -168,22 +181,24 @@ def top_k(vectors: DataFrame, query_mod: int = 50, k: int = K, shard_rows: int =
 
     vectors holds vec_id and embedding; components become floor(256 x) and scores are exact while they stay below
     2^53. Rows with a null id, and vectors that are null, empty or hold a null or non-finite component, take no
-    part. Vectors of another length than the query's have no inner product with it. Rows that repeat an id and a
-    vector count once. Ties go to the smaller id; a query with fewer candidates returns all.
+    part. Vectors of another length than the query's have no inner product with it. Every row is a query, or a
+    candidate of all queries but itself, of its own, also where ids or whole rows repeat: ranks of rows that share an id
+    stand beside each other. Ties go to the smaller id; a query with fewer candidates returns all.
     """
     x = F.col("embedding")
     number = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & number).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.size(x).alias("dim"),
+        F.col("vec_id").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), F.size(x).alias("dim"),
         F.transform(x, lambda v: F.floor(256 * v.cast("double"))).alias("vec"),
     )
-    rows = shared_table(rows.dropDuplicates(["vec_id", "vec"]), "vectors")
+    rows = shared_table(rows, "vectors")  # where a row has its number once and for all
     spark = rows.sparkSession
-    # The coarse trees: SAMPLE vectors at most reach the driver, those of the smallest id hashes, for each length of
+    # The coarse trees: SAMPLE numbers at most reach the driver, those of the smallest id hashes, for each length of
     # vectors its share; a length that has none is one cell.
     h = F.xxhash64("vec_id")
     taken: dict[int, list] = {}
-    for r in rows.orderBy(h, "vec_id").limit(SAMPLE).select("dim", "vec").collect():
+    longest = rows.agg(F.max("dim")).first()[0] or 1
+    for r in rows.orderBy(h, "vec_id").limit(max(1, SAMPLE // longest)).select("dim", "vec").collect():
         taken.setdefault(r["dim"], []).append(r["vec"])
     # Cells of a quarter of a shard, as far as they go; the cells of a larger table hold many shards each.
     share = rows.count() / max(1, sum(map(len, taken.values())))
@@ -210,22 +225,29 @@ def top_k(vectors: DataFrame, query_mod: int = 50, k: int = K, shard_rows: int =
     dealt = skew_join(placed, shared_table(counts, "counts"), ["dim", "cell"], placed.count())
     trees = shared_table(
         dealt.withColumn("shard", F.pmod(h, F.col("shards")).cast("int"))
-        .groupBy("dim", "cell", "shard").applyInPandas(_plant, "dim int, cell int, shard int, low array<double>, high array<double>, tree binary"), "trees",
+        .groupBy("dim", "cell", "shard").applyInPandas(_plant, "dim int, cell int, shard int, low array<double>, high array<double>, centre array<double>, radius double, tree binary"), "trees",
     )
     blocks = shared_table(
         dealt.where(asks).withColumn("block", F.pmod(h, F.col("blocks")).cast("int"))
         .groupBy("dim", "cell", "block").applyInPandas(_block, "dim int, cell int, block int, queries binary"), "queries",
     )
-    # Tight boxes of the cells, and the shards that hold rows of each: CELLS rows, or one for each length of vectors.
+    # Tight boxes and balls of the cells, and the shards that hold rows of each: CELLS rows, or one for each length of
+    # vectors. A cell's ball is that of its first shard, as wide as all its shards' balls need.
     edges = trees.select("dim", "cell", F.posexplode(F.arrays_zip("low", "high")).alias("pos", "x"))
     edges = edges.groupBy("dim", "cell", "pos").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high")).groupBy("dim", "cell")
     edges = edges.agg(F.sort_array(F.collect_list(F.struct("pos", "low", "high"))).alias("box"))
+    middle = trees.groupBy("dim", "cell").agg(F.min_by("centre", "shard").alias("middle"))
+    away = F.sqrt(F.aggregate(F.zip_with("centre", "middle", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)) + F.col("radius")
+    balls = trees.select("dim", "cell", "centre", "radius").join(F.broadcast(middle), ["dim", "cell"])
+    balls = balls.groupBy("dim", "cell").agg(F.first("middle").alias("middle"), F.max(away).alias("wide"))
     boxes: dict[int, tuple] = {}
-    for r in edges.orderBy("dim", "cell").collect():
-        at, low, high = boxes.setdefault(r["dim"], ([], [], []))
+    for r in edges.join(balls, ["dim", "cell"]).orderBy("dim", "cell").collect():
+        at, low, high, centre, wide = boxes.setdefault(r["dim"], ([], [], [], [], []))
         at.append(r["cell"])
         low.append([x["low"] for x in r["box"]])
         high.append([x["high"] for x in r["box"]])
+        centre.append(r["middle"])
+        wide.append(r["wide"])
     boxed = spark.sparkContext.broadcast({d: tuple(map(np.array, b)) for d, b in boxes.items()})
     shards = shared_table(trees.groupBy("dim", "cell").agg(F.sort_array(F.collect_list("shard")).alias("all")), "shards")
 
@@ -235,15 +257,15 @@ def top_k(vectors: DataFrame, query_mod: int = 50, k: int = K, shard_rows: int =
             for dim, cell, block, t, q in zip(pdf["dim"], pdf["cell"], pdf["block"], pdf["tree"], pdf["queries"], strict=True):
                 q = _load(q)
                 scores: dict[int, list[int]] = {}
-                for query, _, s in search_tree(_load(t), q["ids"], q["vecs"], np.full(len(q["ids"]), -np.inf), k):
+                for query, _, _, s in search_tree(_load(t), q["rows"], q["vecs"], np.full(len(q["rows"]), -np.inf), k):
                     scores.setdefault(query, []).append(s)
-                floor = np.array([min(s) if len(s := scores.get(i, [])) == k else -np.inf for i in q["ids"].tolist()], dtype=np.float64)
-                to, low, high = boxed.value[dim]
-                reach = np.maximum(q["vecs"], 0) @ high.T + np.minimum(q["vecs"], 0) @ low.T >= floor[:, None]
+                floor = np.array([min(s) if len(s := scores.get(i, [])) == k else -np.inf for i in q["rows"].tolist()], dtype=np.float64)
+                to, *sides = boxed.value[dim]
+                reach = upper(q["vecs"], *sides) >= floor[:, None]
                 out = []
                 for c in np.flatnonzero(reach.any(axis=0)):
                     some = reach[:, c]
-                    payload = _dump(ids=q["ids"][some], vecs=q["vecs"][some], floor=floor[some])
+                    payload = _dump(rows=q["rows"][some], vecs=q["vecs"][some], floor=floor[some])
                     out.append((dim, int(to[c]), (int(cell) * 31 + int(block)) % (1 << 30), int(some.sum()), payload))
                 yield pd.DataFrame(out, columns=["dim", "cell", "block", "n", "queries"])
 
@@ -263,10 +285,11 @@ def top_k(vectors: DataFrame, query_mod: int = 50, k: int = K, shard_rows: int =
             for t, group in zip(pdf["tree"], pdf["queries"], strict=True):
                 tree = _load(t)
                 for q in map(_load, group):
-                    yield pd.DataFrame(search_tree(tree, q["ids"], q["vecs"], q["floor"], k), columns=["query_id", "vec_id", "score"])
+                    yield pd.DataFrame(search_tree(tree, q["rows"], q["vecs"], q["floor"], k), columns=["query", "vec_id", "row", "score"])
 
     met = grouped.join(trees.select("dim", "cell", "shard", "tree"), ["dim", "cell", "shard"]).select("tree", "queries")
-    hits = met.mapInPandas(rest, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    hits = met.mapInPandas(rest, "query long, vec_id long, row long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    names = rows.where(asks).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return ranked.join(names, "query").select("query_id", "rank", "vec_id", "score")

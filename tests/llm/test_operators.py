@@ -368,11 +368,12 @@ def test_top_k_brute_force(spark):
     other = [(1500, [1.0, 2.0]), (1501, [2.0, 1.0])]
     d = spark.createDataFrame(rows + bad + other, "vec_id long, embedding array<float>").withColumn("dim", F.lit("clash"))
     got = sorted(map(tuple, topk.top_k(d, shard_rows=100, block_rows=4).collect()))
-    v = {i: np.floor(256 * np.array(x, np.float32).astype(float)).astype(int) for i, x in rows}
+    v = [(i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in [*rows, bad[-1]]]
     want = []
-    for q in range(0, 550, 50):
-        order = sorted((-int(v[q] @ x), i) for i, x in v.items() if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(order)]
+    for at, (q, x) in enumerate(v):  # each row is a query, and no candidate of its own, also the two of id 0
+        if q % 50 == 0:
+            order = sorted((-int(x @ y), i) for k, (i, y) in enumerate(v) if k != at)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(order)]
     want.append((1500, 1, 1501, 256 * 2 * 256 + 512 * 256))
     assert got == sorted(want)
     assert topk.top_k(d.limit(0)).count() == 0
@@ -469,6 +470,20 @@ def test_top_k_of_clusters_and_ties(spark):
     assert got == want
 
 
+def test_bounds_hold_and_tell_clusters_apart():
+    """No product exceeds its bound, and of distant clusters the ball excludes what the box doesn't."""
+    rng = np.random.default_rng(9)
+    for spread in (0.05, 1.0, 30.0):
+        x = np.floor(256 * (rng.normal(size=(3, 64))[rng.integers(0, 3, 300)] + spread * rng.normal(size=(300, 64))))
+        q = np.floor(256 * rng.normal(size=(40, 64)))
+        tree = topk.build_tree(np.arange(300), np.arange(300), x, leaf=8)
+        bounds = topk.upper(q, tree["lo"], tree["hi"], tree["centre"], tree["radius"])
+        for n, (a, b) in enumerate(zip(tree["first"], tree["last"], strict=True)):
+            assert (q @ tree["vecs"][a:b].T <= bounds[:, n][:, None]).all()
+    boxes = np.maximum(q, 0) @ tree["hi"].T + np.minimum(q, 0) @ tree["lo"].T
+    assert (bounds < boxes).mean() > 0.5
+
+
 def test_cells_cover_every_vector():
     rng = np.random.default_rng(4)
     for v in (rng.normal(size=(500, 3)), np.zeros((50, 3)), np.repeat(np.eye(3), 20, axis=0), rng.normal(size=(1, 3))):
