@@ -703,7 +703,8 @@ def prompt_noise(spark, sf_dir):
 def detections_udtf(spark, sf_dir):
     """Detections as a table function, called laterally from SQL: the boxes of task_detect, a row each."""
     fanout.register(spark)
-    onnx.with_tensor(pictures(spark, sf_dir), "Image", TINY).createOrReplaceTempView("tessera_tensors")
+    d = onnx.with_tensor(pictures(spark, sf_dir), "Image", TINY).select("vec_id", "PreprocessedTensor")
+    d.createOrReplaceTempView("tessera_tensors")
     digits = ", ".join(f"round({c}, 3) + 0.0 AS {c}" for c in ("x", "y", "width", "height", "score"))
     call = "detections(PreprocessedTensor, classes => 2, boxes => 8, labels => 'cat,dog')"
     return spark.sql(f"SELECT vec_id, place, class_id, label, {digits} FROM tessera_tensors, LATERAL {call}")
