@@ -10,12 +10,14 @@ and signatures of nothing or of one common feature, which strangers share, go.
 
 Signatures travel packed: a row of bytes for each batch of texts and bucket of signatures, 11 bytes a signature. In a
 bucket equal signatures meet. Every set is first compared with the one partner that has most company in its buckets;
-texts meet once for that. Only blocks that the links leave in several components are looked at again, and the pairs of
-theirs that cross components are verified. All verification is by the shingles themselves.
+texts meet once for that. Only blocks that the links leave in several components are looked at again: of their pairs between components those
+whose sketches (counts of features by hash, which differ in no more than the sets do) allow the similarity are verified.
+All verification is by the shingles themselves.
 """
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import count
@@ -32,8 +34,10 @@ from tessera.llm.common import drop_table, shared_table, skew_join, text_of
 from tessera.llm.graph import component_roots
 
 SHINGLE, PERCENT, SEED = 5, 80, 42
-#: Bands of sets up to this size cut their parts in 3 pieces, others in 2; of all signatures a tenth is spare.
-FINE, SPARE = 64, 10
+#: Bands of sets up to this size cut their parts in 3 pieces, others in 2; for every 3 signatures needed one is spare.
+FINE, SPARE = 64, 3
+#: Counters of a small set's sketch; four times as many for sets of over 4 features a counter, 4 ** WIDER times at most.
+SKETCH, WIDER = 128, 3
 #: Signatures of a bucket, about, and of a batch of packed rows.
 BUCKET, BATCH = 1 << 21, 1 << 21
 #: Words whose hashes a Python worker remembers, and their length in bytes at most.
@@ -83,6 +87,51 @@ def set_hash(found: np.ndarray, seed: int = SEED) -> tuple[int, int]:
     return tuple(int(x) - (1 << 64) if x >> 63 else int(x) for x in (h >> 64, h & ((1 << 64) - 1)))
 
 
+def sketch_of(found: np.ndarray) -> bytes:
+    """How many features fall to each counter, packed. Sketches differ in no more than their sets do, all counters
+    together; a wider sketch folds to a narrower one."""
+    width = SKETCH
+    while len(found) > 4 * width and width < SKETCH << (2 * WIDER):
+        width *= 4
+    counts = np.bincount((found % np.uint64(width)).astype(np.int64), minlength=width)
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
+
+
+class Sketches:
+    """The sketches of many sets, by width: those of a width, and those of the next that are folded to it.
+
+    Sets of similar sizes are of one width or of neighbours. Only at the greatest width may a counter be full, and sets
+    of that width which have narrower partners are too small for that.
+    """
+
+    def __init__(self, packed: list[bytes]) -> None:
+        rows = [np.frombuffer(zlib.decompress(b), np.uint8) for b in packed]
+        self.width = np.array([len(r) for r in rows], dtype=np.int64)
+        self.table: dict[int, np.ndarray] = {}
+        self.place: dict[int, np.ndarray] = {}
+        for width in np.unique(self.width).tolist():
+            parts = []
+            for own in (width, 4 * width):
+                at = np.flatnonzero(self.width == own)
+                if len(at):
+                    parts.append((at, np.stack([rows[i] for i in at]).astype(np.int16).reshape(len(at), -1, width).sum(axis=1, dtype=np.int16)))
+            self.table[width] = np.concatenate([m for _, m in parts])
+            self.place[width] = np.full(len(rows), -1)
+            self.place[width][np.concatenate([at for at, _ in parts])] = np.arange(len(self.table[width]))
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For each pair of sets a number that they differ in no less than."""
+        out, common = np.zeros(len(x), dtype=np.int64), np.minimum(self.width[x], self.width[y])
+        for width in np.unique(common).tolist():
+            these = np.flatnonzero((common == width) & (self.width[x] <= 4 * width) & (self.width[y] <= 4 * width))
+            table, place = self.table[width], self.place[width]
+            step = max(1, (1 << 22) // width)
+            for k in range(0, len(these), step):
+                part = these[k : k + step]
+                out[part] = np.abs(table[place[x[part]]] - table[place[y[part]]]).sum(axis=1)
+        return out
+
+
 class Bands:
     """Size bands of one similarity, in hundredths: the largest size of each, and how its sets are signed."""
 
@@ -114,8 +163,10 @@ def band_signatures(found: np.ndarray, bands: Bands, band: int) -> np.ndarray:
     sums, weight = sums.reshape(parts, pieces), weight.reshape(parts, pieces)
     left, weight = (sums.sum(axis=1, keepdims=True) - sums).ravel(), (weight.sum(axis=1, keepdims=True) - weight).ravel()
     place = np.arange(parts * pieces, dtype=np.uint64) + np.uint64(band << 40)
-    keys = _mixed(_mixed(left) + _mixed(weight.astype(np.uint64) + place * _ODD[2]))
-    return keys[np.lexsort((keys, -weight))[: len(keys) - spare]]
+    keys = _mixed(left + _mixed(weight.astype(np.uint64) + place * _ODD[2]))
+    # Heaviest first: the weight stands above 48 bits of the hash.
+    keys = (np.uint64(0xFFFF) - np.minimum(weight, 0xFFFF).astype(np.uint64)) << np.uint64(48) | keys >> np.uint64(16)
+    return _mixed(np.partition(keys, len(keys) - spare - 1)[: len(keys) - spare])
 
 
 def signatures(found: np.ndarray, bands: Bands) -> np.ndarray:
@@ -206,37 +257,50 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _crossing(members: pd.DataFrame, packed: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The distinct pairs of one bucket's blocks between different components, of sizes that allow the similarity."""
-    done = np.empty((0, 2), dtype=np.int64)
+    """The distinct pairs of one bucket's blocks between different components, as far as sizes and sketches allow."""
+    done = [np.empty((0, 2), dtype=np.int64)]
     if len(members) and len(packed):
+        node, root, size = (members[c].to_numpy(dtype=np.int64) for c in ("node", "root", "size"))
         lengths = np.concatenate([np.frombuffer(b, "<i4") for b in packed["lengths"]])
         short = np.concatenate([np.frombuffer(b, "<i8") for b in packed["blocks"]])
-        rows = pd.DataFrame({"run": np.repeat(np.arange(len(lengths)), lengths), "short": short}).merge(members, on="short")
-        rows = rows[rows.groupby("run")["root"].transform("nunique") > 1].sort_values("run")
+        # A set is known by 48 bits here: each of those that have them is a member.
+        rows = pd.DataFrame({"run": np.repeat(np.arange(len(lengths)), lengths), "short": short})
+        rows = rows.merge(pd.DataFrame({"short": members["short"].to_numpy(), "at": np.arange(len(members))}), on="short").sort_values("run", kind="stable")
+        run, at = rows["run"].to_numpy(), rows["at"].to_numpy()
+        blocks = [b for b in np.split(at, np.flatnonzero(np.diff(run)) + 1) if (root[b] != root[b[0]]).any()] if len(at) else []
+        used = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *blocks]))
+        sketches, among = Sketches([members["sketch"].iat[i] for i in used]), np.full(len(members), -1)
+        among[used] = np.arange(len(used))
         held, n = [], 0
-        for _, block in rows.groupby("run"):
-            node, root, size = (block[c].to_numpy(dtype=np.int64) for c in ("node", "root", "size"))
-            for x in range(len(node) - 1):
-                y = np.arange(x + 1, len(node))
+
+        def settle() -> None:
+            pairs = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *held]))
+            x, y = pairs >> 32, pairs & 0xFFFFFFFF
+            ok = (100 + percent) * sketches.apart(among[x], among[y]) <= (100 - percent) * (size[x] + size[y])
+            done.append(np.stack([np.minimum(node[x], node[y])[ok], np.maximum(node[x], node[y])[ok]], axis=1))
+
+        for block in blocks:
+            for i in range(len(block) - 1):
+                x, y = block[i], block[i + 1 :]
                 y = y[(root[y] != root[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
-                held.append(np.stack([np.minimum(node[y], node[x]), np.maximum(node[y], node[x])], axis=1))
+                held.append(np.minimum(x, y) << 32 | np.maximum(x, y))
                 n += len(y)
             if n >= HELD:
-                done = np.unique(np.concatenate([done, *held]), axis=0)
+                settle()
                 held, n = [], 0
-        done = np.unique(np.concatenate([done, *held]), axis=0)
-    return pd.DataFrame(done, columns=["a", "b"])
+        settle()
+    return pd.DataFrame(np.unique(np.concatenate(done), axis=0), columns=["a", "b"])
 
 
 def _prints(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """(id, t1, t2, node, again, size): a row for each document; t1 and t2 stand for its text, node for its set."""
+    """(id, t1, t2, node, again, size, sketch): a row for each document; t1 and t2 stand for its text, node for its set."""
 
     def one(texts: pd.Series) -> pd.DataFrame:
-        rows = [(*set_hash(found, seed), len(found)) for found in (features(t, size) for t in texts)]
-        return pd.DataFrame(rows, columns=["node", "again", "size"], dtype="int64")
+        rows = [(*set_hash(found, seed), len(found), sketch_of(found)) for found in (features(t, size) for t in texts)]
+        return pd.DataFrame(rows, columns=["node", "again", "size", "sketch"])
 
     text = text_of("text")
-    made = F.pandas_udf(one, "node long, again long, size long")(text)
+    made = F.pandas_udf(one, "node long, again long, size long, sketch binary")(text)
     return docs.select("id", *_text_keys(text), made.alias("p")).select("id", "t1", "t2", "p.*")
 
 
@@ -255,7 +319,7 @@ def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int, seed:
     members = met.where("short is not null").select("bucket", "short", "hub", "weight")
     short = F.shiftrightunsigned("node", 16)
     nodes = shared_table(
-        classes.select("node", "size", "t1", "t2", short.alias("short")).join(members.select("short").distinct(), "short", "left_semi"), "nodes"
+        classes.select("node", "size", "sketch", "t1", "t2", short.alias("short")).join(members.select("short").distinct(), "short", "left_semi"), "nodes"
     )
     # One partner for each set: that of most company in any bucket.
     stars = members.where("hub is not null").groupBy("short").agg(F.max_by("hub", F.struct("weight", -F.col("hub"))).alias("hub"))
@@ -268,8 +332,8 @@ def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int, seed:
     texts = shared_table(whole.join(nodes.select("t1", "t2", "node"), ["t1", "t2"]).select("node", "text"), "texts")
     links = jaccard.verified(stars, texts, size, percent / 100)
     roots = shared_table(component_roots(links), "roots")
-    placed = members.select("bucket", "short").join(nodes.select("short", "node", "size"), "short").join(roots, "node", "left")
-    placed = placed.select("bucket", "short", "node", "size", F.coalesce("root", "node").alias("root"))
+    placed = members.select("bucket", "short").join(nodes.select("short", "node", "size", "sketch").join(roots, "node", "left"), "short")
+    placed = placed.select("bucket", "short", "node", "size", "sketch", F.coalesce("root", "node").alias("root"))
     blocks = met.where("blocks is not null").select(F.col("bucket").alias("at"), "lengths", "blocks")
     crossing = placed.groupBy("bucket").cogroup(blocks.groupBy("at")).applyInPandas(lambda m, p: _crossing(m, p, percent), "a long, b long")
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -299,9 +363,9 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         prints = shared_table(_prints(docs, size, seed), "prints")
         text = F.min(F.struct("t1", "t2")).alias("text")
         classes = prints.where("size > 0").groupBy("node").agg(
-            F.min("id").alias("first_id"), F.count("*").alias("_n"), F.max("size").alias("size"), text, F.min("again").alias("x"), F.max("again").alias("y")
+            F.min("id").alias("first_id"), F.count("*").alias("_n"), F.max("size").alias("size"), F.first("sketch").alias("sketch"), text, F.min("again").alias("x"), F.max("again").alias("y")
         )
-        classes = shared_table(classes.select("node", "first_id", "_n", "size", "text.*", "x", "y"), "classes")
+        classes = shared_table(classes.select("node", "first_id", "_n", "size", "sketch", "text.*", "x", "y"), "classes")
         if not classes.where("x <> y").head(1):  # no two sets share their first hash
             break
         drop_table(prints)

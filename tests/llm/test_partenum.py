@@ -112,3 +112,16 @@ def test_features_are_the_distinct_shingles():
     assert len(partenum.features("x " * 100)) == 1
     assert (partenum.features("A b\tc D\x0be") == partenum.features("a B c d e")).all()
     assert partenum.features("a b c d e")[0] not in partenum.features("e d c b a")
+
+
+def test_sketches_differ_in_no_more_than_their_sets(monkeypatch):
+    monkeypatch.setattr(partenum, "WIDER", 1)
+    rng, sets = np.random.default_rng(2), []
+    for n in (0, 3, 200, 500, 530, 2000, 2100, 8100, 8300, 150_000):  # of the last the counters are full
+        pool = np.unique(rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64))
+        sets += [pool[:n], pool[: n + n // 9], pool[n // 9 : n + n // 9], pool[n // 2 : n // 2 + n], np.concatenate([pool[: n // 2], pool[n : n + n // 2]])]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 4 * max(len(sets[i]), len(sets[j])) <= 5 * min(len(sets[i]), len(sets[j]))]
+    x, y = np.array(pairs).T
+    apart = partenum.Sketches([partenum.sketch_of(s) for s in sets]).apart(x, y)
+    true = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in pairs])
+    assert (apart <= true).all() and (apart[true > 0] > 0).mean() > 0.9 and len(pairs) > 100
