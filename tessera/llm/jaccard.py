@@ -6,9 +6,9 @@ each made of 4 minima of hash permutations: a pair of similarity 0.8 misses all
 candidate pair whose 128 minima agree to less than ``similarity - SLACK`` is discarded (5.6 standard deviations), and
 every other one is verified by its shingles, in the second round by their 64-bit hashes.
 
-A first round verifies the texts of a block as a star, against the node that has most others in all its blocks
-together: the text that edited copies were made from has the keys that they have in common, while two copies may be
-too far apart. Only blocks that this leaves in more than one component go on to a second round, which looks at their
+A block's centre is the node that has most others in all its blocks together: the text that edited copies were made
+from has the keys that they have in common, while two copies may be too far apart. A first round verifies each node
+against one centre, the one that it shares most keys with. Only blocks that this leaves in more than one component go on to a second round, which looks at their
 pairs between components, chunk by chunk. The minima alone show there which texts have a partner at all; only those
 are met by their sets of hashes. Pairs that turn out not to be similar never become rows, and those that are become a
 spanning forest.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import shared_table, skew_join
+from tessera.llm.common import drop_table, shared_table, skew_join
 from tessera.llm.graph import component_roots
 
 SHINGLE, SIMILARITY, SEED, BANDS, ROWS, SLACK, CHUNK = 5, 0.8, 42, 32, 4, 0.2, 512
@@ -184,19 +184,23 @@ def similar_roots(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     keyed = nodes.select("node", "size", F.posexplode(keys).alias("t", "key"))
     blocks = keyed.groupBy("t", "key").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("n", F.col("_n"))
     total = nodes.count()
-    members = shared_table(skew_join(keyed, shared_table(blocks, "blocks"), ["t", "key"], total), "members")
-    near = members.groupBy("node").agg(F.sum("n").alias("near"))
-    hubs = members.join(near, "node").groupBy("t", "key").agg(
+    found = shared_table(skew_join(keyed, shared_table(blocks, "blocks"), ["t", "key"], total), "members")
+    near = found.groupBy("node").agg(F.sum("n").alias("near"))
+    hubs = found.join(near, "node").groupBy("t", "key").agg(
         F.max_by(F.struct("node", "size"), F.struct("near", -F.col("node"))).alias("h"), F.count("*").alias("_n")
     )
     hubs = shared_table(hubs.select("t", "key", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), "_n"), "centres")
-    members = shared_table(skew_join(members.drop("n"), hubs, ["t", "key"], total), "members")
+    members = shared_table(skew_join(found.drop("n"), hubs, ["t", "key"], total), "members")
+    drop_table(found)
     # Sets whose sizes are too far apart can't reach the similarity.
     alike = F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size") - 1e-9
-    stars = members.where("node <> hub").where(alike).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-    stars = shared_table(stars, "stars")
+    # One centre for each node, the one that it shares most keys with: its text meets one other.
+    stars = members.where("node <> hub").where(alike).groupBy("node", "hub").agg(F.count("*").alias("k"))
+    stars = stars.groupBy("node").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub"))
+    stars = shared_table(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")), "stars")
     texts = texts_of(members, docs)
     links = verified(stars, texts, size, similarity)
+    drop_table(stars)
     roots = shared_table(component_roots(links), "roots")
     placed = members.drop("hub", "hub_size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     wide = F.greatest(F.col("n") / chunk, F.col("bytes") / CHUNK_BYTES)
@@ -205,7 +209,9 @@ def similar_roots(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
         .agg(F.count("*").alias("n"), F.sum(8 * F.col("size")).alias("bytes"), F.min("root").alias("x"), F.max("root").alias("y"))
         .where("x <> y").select("t", "key", F.ceil(wide).cast("int").alias("c"), F.col("n").alias("_n"))
     )
-    member = skew_join(shared_table(placed, "placed"), shared_table(open_blocks, "open"), ["t", "key"], total)
+    placed = shared_table(placed, "placed")
+    drop_table(members)
+    member = skew_join(placed, shared_table(open_blocks, "open"), ["t", "key"], total)
     member = member.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
     key = ["t", "key", "i", "j"]
     tasks = (
@@ -223,4 +229,6 @@ def similar_roots(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     tasks = paired.join(nodes.select("node", "sig").join(sets, "node"), "node").repartition(*key).sortWithinPartitions(*key)
     more = tasks.mapInPandas(lambda it: _by_task(it, lambda g: _crossing(g, similarity)), PAIR)
     more = shared_table(more, "more")
+    for table in (nodes, placed, texts, paired, sets):
+        drop_table(table)
     return component_roots(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
