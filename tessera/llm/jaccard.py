@@ -203,14 +203,14 @@ def similar_roots(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     drop_table(stars)
     roots = shared_table(component_roots(links), "roots")
     placed = members.drop("hub", "hub_size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = shared_table(placed, "placed")
+    drop_table(members)
     wide = F.greatest(F.col("n") / chunk, F.col("bytes") / CHUNK_BYTES)
     open_blocks = (
         placed.groupBy("t", "key")
         .agg(F.count("*").alias("n"), F.sum(8 * F.col("size")).alias("bytes"), F.min("root").alias("x"), F.max("root").alias("y"))
         .where("x <> y").select("t", "key", F.ceil(wide).cast("int").alias("c"), F.col("n").alias("_n"))
     )
-    placed = shared_table(placed, "placed")
-    drop_table(members)
     member = skew_join(placed, shared_table(open_blocks, "open"), ["t", "key"], total)
     member = member.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
     key = ["t", "key", "i", "j"]
