@@ -35,6 +35,18 @@ def schedule(spark: SparkSession, steps: int, start: float = BETA_START, end: fl
     return chosen.join(levels, "t").select("step", F.col("t").cast("int").alias("t"), "sigma")
 
 
+def schedule_of(steps: Column, start: float = BETA_START, end: float = BETA_END, train: int = TRAIN_STEPS) -> Column:
+    """array of (step, t, sigma) for a column of numbers of steps, null below one: a schedule for each request.
+
+    The training levels, whose number is fixed, are part of the plan; a row looks its own up.
+    """
+    alive = np.cumprod(1 - np.linspace(np.sqrt(start), np.sqrt(end), train) ** 2)
+    levels = F.lit(np.sqrt((1 - alive) / alive).tolist())
+    place = lambda i: F.floor(train - 1 - i * train / steps).cast("int")
+    one = lambda i: F.struct(i.alias("step"), place(i).alias("t"), F.get(levels, place(i)).alias("sigma"))
+    return F.when(steps > 0, F.transform(F.sequence(F.lit(0), F.greatest(steps, F.lit(1)).cast("int") - 1), one))
+
+
 def noise(seed: Column, n: int, sigma: float = 1.0) -> Column:
     """n numbers of Gaussian noise for a seed, as a column of the JVM; null for a null seed.
 

@@ -193,6 +193,11 @@ SQL = {
         b AS (SELECT i, sqrt(0.00085::DOUBLE) + i / 999 * (sqrt(0.012::DOUBLE) - sqrt(0.00085::DOUBLE)) AS r FROM i),
         a AS (SELECT i, exp(sum(ln(1 - r * r)) OVER (ORDER BY i)) AS a FROM b)
         SELECT s::INT AS step, i AS t, round(sqrt((1 - a) / a), 5) AS sigma FROM (SELECT unnest(range(20)) AS s) JOIN a ON i = 999 - s * 50""",
+    "scheduler_requests": """WITH i AS (SELECT unnest(range(1000))::INT AS i),
+        b AS (SELECT i, sqrt(0.00085::DOUBLE) + i / 999 * (sqrt(0.012::DOUBLE) - sqrt(0.00085::DOUBLE)) AS r FROM i),
+        a AS (SELECT i, exp(sum(ln(1 - r * r)) OVER (ORDER BY i)) AS a FROM b),
+        q AS (SELECT item_id, item_id % 30 AS steps, unnest(range(item_id % 30))::INT AS step FROM benchmark)
+        SELECT item_id, step, i AS t, round(sqrt((1 - a) / a), 5) AS sigma FROM q JOIN a ON i = floor(999 - step * 1000 / steps)::INT""",
     "euler_step": f"""WITH {E}, {ROWS} SELECT x.vec_id, x.i AS pos, round(x.x - 0.5::DOUBLE * n.x, 5) + 0.0 AS value
         FROM r x JOIN r n ON x.vec_id = n.vec_id AND n.i = x.i + 32""",
     "scale_model_input": f"WITH {E}, {ROWS} SELECT vec_id, i AS pos, round(x / sqrt(5.0::DOUBLE), 5) + 0.0 AS value FROM r",

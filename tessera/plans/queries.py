@@ -411,6 +411,13 @@ def scheduler_sigmas(spark, sf_dir):
     return diffusion.schedule(spark, 20).withColumn("sigma", F.round("sigma", 5))
 
 
+@query
+def scheduler_requests(spark, sf_dir):
+    """A schedule for every row of a table of requests, each of its own number of steps."""
+    d = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.inline(diffusion.schedule_of(F.col("item_id") % 30)))
+    return d.withColumn("sigma", F.round("sigma", 5))
+
+
 @query
 def euler_step(spark, sf_dir):
     d = flat(vectors(spark, sf_dir), V.euler_step(F.slice("e", 1, 32), F.slice("e", 33, 32), SIGMA, SIGMA_AFTER))

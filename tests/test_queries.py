@@ -14,7 +14,7 @@ SF = Path("/root/testdata/sf0.001")
 NAMES = ["softmax_topk", "nms", "seg_histogram", "depth_stats", "zero_shot_topk", "greedy_decode", "chat_route", "chat_reply", "cosine_topk_neighbors",
          "image_round_trip", "image_resize_preprocess", "tokenize_clip", "attention_mask", "text_encode", "pixel_bytes", "guided_batch", "vae_scale",
          "task_classify", "task_segment", "task_depth", "task_embed", "task_detect", "task_zero_shot", "task_caption", "task_segment_prompts",
-         "task_generate", "event_windows", "chat_stream", "image_formats", "seg_runs", "nms_together", "wordpiece", "segment_prompt_table", "prompt_noise", "detections_udtf", "image_folder"]
+         "task_generate", "event_windows", "chat_stream", "image_formats", "seg_runs", "nms_together", "wordpiece", "segment_prompt_table", "prompt_noise", "detections_udtf", "image_folder", "scheduler_requests"]
 
 
 @pytest.mark.skipif(not SF.exists(), reason="needs the driver's tables")
