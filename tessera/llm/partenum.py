@@ -36,7 +36,7 @@ from tessera.llm.graph import component_roots
 SHINGLE, PERCENT, SEED = 5, 80, 42
 #: Bands of sets up to this size cut their parts in 3 pieces, others in 2; for every 3 signatures needed one is spare.
 FINE, SPARE = 64, 3
-#: Counters of a small set's sketch; four times as many for sets of over 4 features a counter, 4 ** WIDER times at most.
+#: Counters of a small set's sketch; four times as many for sets of over one feature a counter, 4 ** WIDER times at most.
 SKETCH, WIDER = 128, 3
 #: Signatures of a bucket, about, and of a batch of packed rows.
 BUCKET, BATCH = 1 << 21, 1 << 21
@@ -91,7 +91,7 @@ def sketch_of(found: np.ndarray) -> bytes:
     """How many features fall to each counter, packed. Sketches differ in no more than their sets do, all counters
     together; a wider sketch folds to a narrower one."""
     width = SKETCH
-    while len(found) > 4 * width and width < SKETCH << (2 * WIDER):
+    while len(found) > width and width < SKETCH << (2 * WIDER):
         width *= 4
     counts = np.bincount((found % np.uint64(width)).astype(np.int64), minlength=width)
     return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
