@@ -1,14 +1,15 @@
 """Near-copies by exact Jaccard similarity of word shingles.
 
-Texts whose word shingles agree to four fifths differ in 10 of 64 fingerprint bits on average and in up to about 20,
-and no blocking key is shared by all pairs at that radius. Candidates are therefore texts that share one of 32 keys,
+The caller brings pairs of near texts, by their SimHash fingerprints and pivot tables, which are verified here. Texts
+whose word shingles agree to four fifths differ in 10 of 64 fingerprint bits on average, though, and in up to about 20,
+and no blocking key is shared by all pairs at that radius. Candidates for the rest are texts that share one of 32 keys,
 each made of 4 minima of hash permutations: a pair of similarity 0.8 misses all of them once in 20 million times. A
 candidate pair whose 128 minima agree to less than ``similarity - SLACK`` is discarded (5.6 standard deviations), and
 every other one is verified by its shingles, in the second round by their 64-bit hashes.
 
 A block's centre is the node that has most others in all its blocks together: the text that edited copies were made
 from has the keys that they have in common, while two copies may be too far apart. A first round verifies each node
-against one centre, the one that it shares most keys with. Only blocks that this leaves in more than one component go on to a second round, which looks at their
+against one other: its near text or, where fingerprints show none, the centre that it shares most keys with. Only blocks that this leaves in more than one component go on to a second round, which looks at their
 pairs between components, chunk by chunk. The minima alone show there which texts have a partner at all; only those
 are met by their sets of hashes. Pairs that turn out not to be similar never become rows, and those that are become a
 spanning forest.
@@ -57,9 +58,8 @@ def hashes(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), dtype=np.uint64, count=len(found))
 
 
-def minima(text: str, size: int = SHINGLE) -> tuple[int, bytes]:
-    """The number of distinct shingles, and the 32 bits each of their least hashes under each permutation."""
-    h = hashes(text, size)
+def minima(h: np.ndarray) -> tuple[int, bytes]:
+    """The number of distinct hashes of shingles, and the 32 bits each of the least under each permutation."""
     least = np.full(BANDS * ROWS, np.uint64((1 << 64) - 1))
     for at in range(0, len(h), 2048):
         np.minimum(least, (h[None, at : at + 2048] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1), out=least)
@@ -170,35 +170,35 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     return shared_table(both.mapInPandas(lambda it: _verified(it, size, similarity), PAIR), "links")
 
 
-def similar_roots(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
-    """(node, root) of every node of docs (``node`` and ``text``) that is linked to a smaller one."""
+def similar_roots(
+    docs: DataFrame, nodes: DataFrame, near: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, chunk: int = CHUNK
+) -> DataFrame:
+    """(node, root) of every node of docs (``node`` and ``text``) that is linked to a smaller one.
 
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([minima(t, size) for t in texts], columns=["size", "sig"])
-
-    nodes = docs.select("node", F.pandas_udf(prints, "size long, sig binary")("text").alias("p"))
-    nodes = shared_table(nodes.groupBy("node").agg(F.max("p.size").alias("size"), F.first("p.sig").alias("sig")), "nodes")
+    nodes holds each node once with its minima (``size`` and ``sig``), near at most one pair (a, b) for each node a.
+    """
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.substring("sig", 1 + width * t, width)) for t in range(BANDS)])
     keyed = nodes.select("node", "size", F.posexplode(keys).alias("t", "key"))
     blocks = keyed.groupBy("t", "key").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("n", F.col("_n"))
     total = nodes.count()
     found = shared_table(skew_join(keyed, shared_table(blocks, "blocks"), ["t", "key"], total), "members")
-    near = found.groupBy("node").agg(F.sum("n").alias("near"))
-    hubs = found.join(near, "node").groupBy("t", "key").agg(
-        F.max_by(F.struct("node", "size"), F.struct("near", -F.col("node"))).alias("h"), F.count("*").alias("_n")
+    company = found.groupBy("node").agg(F.sum("n").alias("company"))
+    hubs = found.join(company, "node").groupBy("t", "key").agg(
+        F.max_by(F.struct("node", "size"), F.struct("company", -F.col("node"))).alias("h"), F.count("*").alias("_n")
     )
     hubs = shared_table(hubs.select("t", "key", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), "_n"), "centres")
     members = shared_table(skew_join(found.drop("n"), hubs, ["t", "key"], total), "members")
     drop_table(found)
     # Sets whose sizes are too far apart can't reach the similarity.
     alike = F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size") - 1e-9
-    # One centre for each node, the one that it shares most keys with: its text meets one other.
+    # A node without a near text has one centre, the one that it shares most keys with: each text meets one other.
     stars = members.where("node <> hub").where(alike).groupBy("node", "hub").agg(F.count("*").alias("k"))
     stars = stars.groupBy("node").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub"))
-    stars = shared_table(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")), "stars")
-    texts = texts_of(members, docs)
+    stars = stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).join(near, "a", "left_anti")
+    stars = shared_table(stars.unionByName(near), "stars")
+    met = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node")))
+    texts = texts_of(members.select("node").union(met), docs)
     links = verified(stars, texts, size, similarity)
     drop_table(stars)
     roots = shared_table(component_roots(links), "roots")
@@ -229,6 +229,6 @@ def similar_roots(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     tasks = paired.join(nodes.select("node", "sig").join(sets, "node"), "node").repartition(*key).sortWithinPartitions(*key)
     more = tasks.mapInPandas(lambda it: _by_task(it, lambda g: _crossing(g, similarity)), PAIR)
     more = shared_table(more, "more")
-    for table in (nodes, placed, texts, paired, sets):
+    for table in (placed, texts, paired, sets):
         drop_table(table)
     return component_roots(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))

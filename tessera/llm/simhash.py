@@ -25,24 +25,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import jaccard
-from tessera.llm.common import shared_table, skew_join, text_of, whole_row
+from tessera.llm.common import drop_table, shared_table, skew_join, text_of, whole_row
 from tessera.llm.graph import component_roots
 
 SHINGLE, SEED, LIMIT, PIVOTS, PIECES, CHUNK = 3, 42, 3, 16, 6, 2048
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a whole text; zero without words."""
+def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The 64-bit hashes of the word shingles of a whole text, repeats included; none without words."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.array([], dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], seed) for a, b in spans), dtype="<u8", count=len(words) - k + 1)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), dtype="<u8", count=len(words) - k + 1)
+
+
+def simhash_of(h: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of the hashes of shingles; zero for none."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 15):
         part = h[at : at + (1 << 15)]
@@ -53,6 +57,11 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a whole text; zero without words."""
+    return simhash_of(shingle_hashes(text, shingle, seed))
+
+
 def pivots(n: int = PIVOTS) -> list[int]:
     """n reference fingerprints, as signed longs, from the splitmix64 sequence."""
     out, mask = [], (1 << 64) - 1
@@ -183,6 +192,39 @@ def close_pairs(prints: DataFrame, limit: int = LIMIT, chunk: int = CHUNK, n_piv
     return twos.union(tasks.mapInPandas(lambda it: _links(it, limit), schema))
 
 
+def _text_prints(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, fp, size, sig) of each distinct text (``node`` and ``text``): its fingerprint and its minima, by one pass
+    over its shingles."""
+
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = []
+            for text in part:
+                h = shingle_hashes(text, shingle)
+                rows.append((int(np.uint64(simhash_of(h)).astype(np.int64)), *jaccard.minima(np.unique(h))))
+            yield pd.DataFrame(rows, columns=["fp", "size", "sig"])
+
+    made = texts.select("node", F.pandas_udf(prints, "fp long, size long, sig binary")("text").alias("p"))
+    made = made.groupBy("node").agg(F.max("p.fp").alias("fp"), F.max("p.size").alias("size"), F.first("p.sig").alias("sig"))
+    return shared_table(made, "nodes")
+
+
+def near_texts(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Pairs (a, b) of nodes (``node`` and ``fp``): each with another of its component of fingerprints within limit bits.
+
+    All of a component are paired with the same one, so that a text meets one other when the pairs are verified.
+    """
+    classes = shared_table(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("_n")), "classes")
+    total = nodes.count()
+    roots = shared_table(component_roots(close_pairs(classes.select("fp"), limit)), "near")
+    heads = roots.groupBy("root").agg(F.count("*").alias("_n"))
+    heads = shared_table(heads.join(classes.select(F.col("fp").alias("root"), F.col("first").alias("head")), "root"), "heads")
+    moved = skew_join(roots, heads, ["root"], total).select(F.col("node").alias("fp"), "head")
+    heads = classes.join(moved, "fp", "left").select("fp", F.coalesce("head", "first").alias("head"), "_n")
+    pairs = skew_join(nodes.select("node", "fp"), shared_table(heads, "heads"), ["fp"], total)
+    return pairs.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+
+
 def _linked(prints: DataFrame, docs: DataFrame, text: Column, limit: int, shingle: int, similarity: float | None) -> DataFrame:
     """``fp``, ``component``, the least ``id`` of its component, and ``_n``, its rows, for the distinct fp of prints
     (``id`` and ``fp``)."""
@@ -191,7 +233,11 @@ def _linked(prints: DataFrame, docs: DataFrame, text: Column, limit: int, shingl
     if similarity is None:
         roots = component_roots(close_pairs(classes.select("fp"), limit))
     else:
-        roots = jaccard.similar_roots(docs.select(jaccard.node_of(text).alias("node"), text.alias("text")), shingle, similarity)
+        texts = docs.select(jaccard.node_of(text).alias("node"), text.alias("text"))
+        nodes = _text_prints(texts, shingle)
+        near = shared_table(near_texts(nodes, limit), "near")
+        roots = jaccard.similar_roots(texts, nodes.drop("fp"), near, shingle, similarity)
+        drop_table(nodes)
     linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = shared_table(linked, "linked")
     best = (
@@ -215,8 +261,9 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per input row: id, ``fp`` (signed long), ``component_id`` (smallest id reachable over links).
 
-    Texts are linked within ``limit`` bits of their fingerprints, or, where a similarity is given, by the exact
-    Jaccard similarity of their shingles; fp is then a hash of the text. Null and empty texts have fingerprint zero
+    Texts are linked within ``limit`` bits of their fingerprints. Where a similarity is given, links are those of the
+    exact Jaccard similarity of shingles: those within ``limit`` bits are verified by it, and similar texts that are
+    further apart are found by their minima (``llm/jaccard.py``); fp is then a hash of the text. Null and empty texts have fingerprint zero
     and link like any other. Repeated rows stay repeated. A null id stays null and takes the smallest id of its
     component, or null if that has none.
     """
@@ -227,7 +274,7 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """The documents without near-copies: of each component one row stays, that with the smallest id.
+    """The documents without near-copies, by near_duplicates(): of each component one row stays, that with the smallest id.
 
     The survivor is a row, not an id: rows go by id, those without one last, then by a hash of the text. Of rows
     that agree in both one stays; they are told apart before the shuffle, in which every text takes part once.
