@@ -32,6 +32,9 @@ REMEMBERED = 100_000
 LONGEST = 128
 #: Marks that compose with a letter before them.
 MARK = re.compile("[\u0300-\u036f]")
+#: The tokenizer's pieces of a lower-case word of printable ASCII.
+PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PRINTABLE = re.compile(rb"[!-~]+")
 
 _tokenizers: dict[str, "WordIds"] = {}
 
@@ -41,7 +44,8 @@ class WordIds(dict):
 
     The tokenizer lower-cases, and neither normalization nor merges reach over an ASCII space, so the ids of a text
     are those of its words in order. A word of letters alone is one piece before the merges, so that it can go to
-    the tokenizer's merges directly. Texts that hold a special token's string are encoded whole.
+    the tokenizer's merges directly; a word of printable ASCII is cut into such pieces here, which are remembered as
+    words are. Texts that hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,6 +56,7 @@ class WordIds(dict):
         self.merges = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.symbols = dict(enumerate(byte_symbols()))
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.before: dict[bytes, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
@@ -61,7 +66,7 @@ class WordIds(dict):
     @staticmethod
     def _letters(word: str) -> str | None:
         """The lower case of a word that is letters alone, in lower case too: some capitals become letter and mark."""
-        low = word if word.isascii() else "".join(c.lower() for c in word)
+        low = word.lower() if "Σ" not in word else "".join(c.lower() for c in word)  # no other small letter depends on its place
         return low if low.isalpha() and unicodedata.is_normalized("NFC", word) else None
 
     def _word(self, word: str) -> bytes:
@@ -69,11 +74,18 @@ class WordIds(dict):
         if low is None:
             return self._encode(word)
         mapped = low if low.isascii() else low.encode("utf-8").decode("latin-1").translate(self.symbols)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(mapped)])
+        return self._merged(mapped)
+
+    def _merged(self, mapped: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merges.tokenize(mapped)])
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.before.get(word)
-        if ids is None:
+        if ids is None and PRINTABLE.fullmatch(word):
+            pieces = PIECES.findall(word.lower())
+            ids = b"".join(map(self.__getitem__, pieces)) if len(pieces) > 1 else self._merged(pieces[0].decode("ascii"))
+        elif ids is None:
             last = word[-1:]
             text = word.decode("utf-8")
             if last in b".," and self._letters(text[:-1]) is not None:  # letters and one mark are pieces of their own

@@ -29,3 +29,17 @@ def test_hard_characters_have_the_tokenizers_ids():
     for _ in range(8000):
         word = "".join(rng.choice(hard if rng.random() < 0.4 else "abXYZé") for _ in range(rng.randrange(1, 6))) + rng.choice(["", ",", ".", "..", "'s"])
         assert words.text(word) == words._encode(word), ascii(word)
+
+
+@pytest.mark.parametrize("text", ["NASA cafe\u0301 ABC, K", "e\u0301 Don'T \"SAID's\" X-Y", "\u0301 I'LL 'SAY ΟΔΟΣ, A.\u0301"])
+def test_capitals_in_a_text_with_marks(text):
+    words = packing.WordIds(default_tokenizer())
+    assert words.text(text) == words._encode(text)
+
+
+def test_printable_words_have_the_tokenizers_ids():
+    rng, words = random.Random(4), packing.WordIds(default_tokenizer())
+    some = ["'s", "'LL", "'re", "'d", "'", '"', "abc", "The", "s", "d", "2019", "7", "-", "...", "://", "_", "%", "<|", "~"]
+    for _ in range(8000):
+        word = "".join(rng.choice(some) for _ in range(rng.randrange(1, 6)))
+        assert words.text(word) == words._encode(word), word
