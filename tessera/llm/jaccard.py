@@ -154,22 +154,34 @@ def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return shared_table(docs.groupBy("node").agg(F.first("text").alias("text")).join(need, "node", "left_semi"), "texts")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar; texts holds each node and its text.
-
-    The text of a node with many pairs is dealt to as many tasks as its pairs need.
-    """
+def dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) with a ``salt``, and the nodes b with as many ``salts`` as their pairs need tasks."""
     hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts"), F.count("*").alias("_n"))
     hubs = shared_table(hubs, "hubs")
+    salted = skew_join(pairs, hubs, ["b"], pairs.count()).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    return salted.drop("salts"), hubs
+
+
+def compared(left: DataFrame, texts: DataFrame, hubs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of left (``a``, ``b``, ``salt`` and ``text_a``) whose texts are similar; texts holds each node
+    and its text, and that of a node b is dealt to each of its salts."""
     right = texts.withColumnRenamed("text", "text_b").join(hubs.drop("_n"), F.col("node") == F.col("b")).select(
         "b", "text_b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
     )
-    left = skew_join(pairs, hubs, ["b"], pairs.count()).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
-    left = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b")
     return shared_table(both.mapInPandas(lambda it: _verified(it, size, similarity), PAIR), "links")
 
 
+def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar; texts holds each node and its text.
+
+    The text of a node with many pairs is dealt to as many tasks as its pairs need.
+    """
+    salted, hubs = dealt(pairs)
+    left = salted.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return compared(left, texts, hubs, size, similarity)
+
+
 def similar_roots(
     docs: DataFrame, nodes: DataFrame, near: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, chunk: int = CHUNK
 ) -> DataFrame:

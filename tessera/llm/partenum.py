@@ -329,8 +329,13 @@ def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int, seed:
     stars = shared_table(stars.where(alike).where("a <> b").select("a", "b"), "stars")
     # Copies become one row before texts are sorted or shuffled whole.
     whole = docs.select(*_text_keys(text_of("text")), text_of("text").alias("text")).groupBy("t1", "t2").agg(F.first("text").alias("text"))
-    texts = shared_table(whole.join(nodes.select("t1", "t2", "node"), ["t1", "t2"]).select("node", "text"), "texts")
-    links = jaccard.verified(stars, texts, size, percent / 100)
+    # A text learns its partner before it is written, so that it is shuffled once more only, to meet it.
+    salted, hubs = jaccard.dealt(stars)
+    own = nodes.select("t1", "t2", "node").join(salted.withColumnRenamed("a", "node"), "node", "left")
+    own = shared_table(whole.join(own, ["t1", "t2"]).select("node", "text", "b", "salt"), "texts")
+    texts, left = own.select("node", "text"), own.where("b is not null")
+    left = left.select(F.col("node").alias("a"), "b", "salt", F.col("text").alias("text_a"))
+    links = jaccard.compared(left, texts, hubs, size, percent / 100)
     roots = shared_table(component_roots(links), "roots")
     placed = members.select("bucket", "short").join(nodes.select("short", "node", "size", "sketch").join(roots, "node", "left"), "short")
     placed = placed.select("bucket", "short", "node", "size", "sketch", F.coalesce("root", "node").alias("root"))
@@ -345,7 +350,7 @@ def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int, seed:
     turn = F.col("na") > F.col("nb")
     pairs = pairs.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
     more = jaccard.verified(shared_table(pairs, "turned"), texts, size, percent / 100)
-    drop_table(texts)
+    drop_table(own)
     found = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))
     return shared_table(component_roots(found), "roots")
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tessera.llm import partenum
+from tessera.llm import jaccard, partenum
 
 
 def words(rng, n, of=4000):
@@ -125,3 +125,20 @@ def test_sketches_differ_in_no_more_than_their_sets(monkeypatch):
     apart = partenum.Sketches([partenum.sketch_of(s) for s in sets]).apart(x, y)
     true = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in pairs])
     assert (apart <= true).all() and (apart[true > 0] > 0).mean() > 0.9 and len(pairs) > 100
+
+
+def test_a_text_is_shuffled_once_to_its_partner(spark, monkeypatch):
+    """The texts of the first round know their partners: the comparison joins hubs to texts, and texts to texts."""
+    plans, plain = [], jaccard.shared_table
+
+    def shared_table(df, name):
+        if name == "links":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(jaccard, "shared_table", shared_table)
+    text = [" ".join(f"w{i * k % 97}" for i in range(120)) for k in (1, 2)]
+    rows = [(0, text[0]), (1, text[0] + " more"), (2, text[1]), (3, text[1] + " more"), (4, "alone in the world of words")]
+    got = partenum.linked_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+    assert plans[0].count("Join ") == 2
