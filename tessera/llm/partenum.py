@@ -40,6 +40,8 @@ FINE, SPARE = 64, 3
 SKETCH, WIDER = 128, 3
 #: Signatures of a bucket, about, and of a batch of packed rows.
 BUCKET, BATCH = 1 << 21, 1 << 21
+#: Buckets whose open blocks meet in one place.
+PLACE = 4
 #: Words whose hashes a Python worker remembers, and their length in bytes at most.
 REMEMBERED, LONGEST = 200_000, 64
 #: Candidate pairs of a bucket that are held before repeats are removed.
@@ -256,27 +258,61 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([rows.astype({"short": "Int64", "weight": "Int64"}), pd.DataFrame(packed)], ignore_index=True)
 
 
+OPEN = "place int, node long, lengths binary, blocks binary"
+
+
+def _open(members: pd.DataFrame, packed: pd.DataFrame, percent: int, places: int) -> pd.DataFrame:
+    """Of one bucket: the sets that have a partner of another component and a similar size in some block, and the blocks
+    that these sets form, packed. A block goes to the place of its least set, so that blocks of much the same sets,
+    which meet in many buckets, come together in one place and send each set there once."""
+    none = pd.DataFrame([], columns=[c.split()[0] for c in OPEN.split(", ")])
+    if not len(members) or not len(packed):
+        return none
+    node, root, size = (members[c].to_numpy(dtype=np.int64) for c in ("node", "root", "size"))
+    lengths = np.concatenate([np.frombuffer(b, "<i4") for b in packed["lengths"]])
+    short = np.concatenate([np.frombuffer(b, "<i8") for b in packed["blocks"]])
+    # A set is known by 48 bits here: each of those that have them is a member.
+    rows = pd.DataFrame({"run": np.repeat(np.arange(len(lengths)), lengths), "short": short})
+    rows = rows.merge(pd.DataFrame({"short": members["short"].to_numpy(), "at": np.arange(len(members))}), on="short")
+    run, at = rows["run"].to_numpy(), rows["at"].to_numpy()
+    order = np.lexsort((node[at], size[at], run))
+    run, at = run[order], at[order]
+    # By size, a set's possible partners are a stretch of its block, in which some root follows another or not.
+    spot, least, most = run << 40 | size[at], -(-percent * size[at] // 100), 100 * size[at] // percent
+    first, last = np.searchsorted(spot, run << 40 | least), np.searchsorted(spot, run << 40 | most, "right") - 1
+    turns = np.concatenate(([0], np.cumsum(root[at][1:] != root[at][:-1])))[: len(at)]
+    used = turns[last] > turns[first]
+    run, found = run[used], node[at[used]]
+    if not len(found):
+        return none
+    starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    lengths = np.diff(np.concatenate((starts, [len(run)])))
+    place = (np.minimum.reduceat(found, starts) & 0x7FFFFFFF) % places
+    sent = pd.DataFrame({"place": np.repeat(place, lengths), "node": found}).drop_duplicates()
+    rows = [sent.astype({"node": "Int64"})]
+    for p in np.unique(place).tolist():
+        blocks = dict.fromkeys(found[a : a + n].tobytes() for a, n in zip(starts[place == p].tolist(), lengths[place == p].tolist(), strict=True))
+        rows.append(pd.DataFrame({"place": [p], "lengths": [np.array([len(b) // 8 for b in blocks], dtype="<i4").tobytes()], "blocks": [b"".join(blocks)]}))
+    return pd.concat(rows, ignore_index=True)
+
+
 def _crossing(members: pd.DataFrame, packed: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The distinct pairs of one bucket's blocks between different components, as far as sizes and sketches allow."""
+    """The distinct pairs of one place's blocks between different components, as far as sizes and sketches allow."""
     done = [np.empty((0, 2), dtype=np.int64)]
     if len(members) and len(packed):
+        members = members.sort_values("node")
         node, root, size = (members[c].to_numpy(dtype=np.int64) for c in ("node", "root", "size"))
-        lengths = np.concatenate([np.frombuffer(b, "<i4") for b in packed["lengths"]])
-        short = np.concatenate([np.frombuffer(b, "<i8") for b in packed["blocks"]])
-        # A set is known by 48 bits here: each of those that have them is a member.
-        rows = pd.DataFrame({"run": np.repeat(np.arange(len(lengths)), lengths), "short": short})
-        rows = rows.merge(pd.DataFrame({"short": members["short"].to_numpy(), "at": np.arange(len(members))}), on="short").sort_values("run", kind="stable")
-        run, at = rows["run"].to_numpy(), rows["at"].to_numpy()
-        blocks = [b for b in np.split(at, np.flatnonzero(np.diff(run)) + 1) if (root[b] != root[b[0]]).any()] if len(at) else []
-        used = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *blocks]))
-        sketches, among = Sketches([members["sketch"].iat[i] for i in used]), np.full(len(members), -1)
-        among[used] = np.arange(len(used))
+        sketches, met = Sketches(members["sketch"].to_list()), set()
+        for lengths, blocks in zip(packed["lengths"], packed["blocks"], strict=True):
+            ends = 8 * np.cumsum(np.frombuffer(lengths, "<i4"))
+            met.update(blocks[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        blocks = (np.searchsorted(node, np.frombuffer(b, "<i8")) for b in met)
         held, n = [], 0
 
         def settle() -> None:
             pairs = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *held]))
             x, y = pairs >> 32, pairs & 0xFFFFFFFF
-            ok = (100 + percent) * sketches.apart(among[x], among[y]) <= (100 - percent) * (size[x] + size[y])
+            ok = (100 + percent) * sketches.apart(x, y) <= (100 - percent) * (size[x] + size[y])
             done.append(np.stack([np.minimum(node[x], node[y])[ok], np.maximum(node[x], node[y])[ok]], axis=1))
 
         for block in blocks:
@@ -337,19 +373,30 @@ def _linked(docs: DataFrame, classes: DataFrame, size: int, percent: int, seed:
     left = left.select(F.col("node").alias("a"), "b", "salt", F.col("text").alias("text_a"))
     links = jaccard.compared(left, texts, hubs, size, percent / 100)
     roots = shared_table(component_roots(links), "roots")
-    placed = members.select("bucket", "short").join(nodes.select("short", "node", "size", "sketch").join(roots, "node", "left"), "short")
-    placed = placed.select("bucket", "short", "node", "size", "sketch", F.coalesce("root", "node").alias("root"))
+    # Only the sets of open blocks go on with their sketches, and to fewer places than there are buckets.
+    places = -(-buckets // PLACE)
+    placed = nodes.select("short", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = members.select("bucket", "short").join(placed, "short")
     blocks = met.where("blocks is not null").select(F.col("bucket").alias("at"), "lengths", "blocks")
-    crossing = placed.groupBy("bucket").cogroup(blocks.groupBy("at")).applyInPandas(lambda m, p: _crossing(m, p, percent), "a long, b long")
+    opened = placed.groupBy("bucket").cogroup(blocks.groupBy("at")).applyInPandas(lambda m, p: _open(m, p, percent, places), OPEN)
+    opened = shared_table(opened, "open")
+    drop_table(met)
+    placed = opened.where("node is not null").select("place", "node").distinct().join(nodes.select("node", "size", "sketch"), "node")
+    placed = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    blocks = opened.where("blocks is not null").select(F.col("place").alias("at"), "lengths", "blocks")
+    crossing = placed.groupBy("place").cogroup(blocks.groupBy("at")).applyInPandas(lambda m, p: _crossing(m, p, percent), "a long, b long")
     seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = shared_table(crossing.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-    drop_table(met)
+    drop_table(opened)
     # The node with more pairs is the one whose text is dealt out once for many.
     each = shared_table(pairs.select("a").union(pairs.select("b")).groupBy("a").agg(F.count("*").alias("n")), "each")
     pairs = pairs.join(each.select("a", F.col("n").alias("na")), "a").join(each.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b")
     turn = F.col("na") > F.col("nb")
     pairs = pairs.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
-    more = jaccard.verified(shared_table(pairs, "turned"), texts, size, percent / 100)
+    # A table of its own, whose size is known: few pairs are sent to the texts, not all texts to the pairs.
+    salted, hubs = jaccard.dealt(shared_table(pairs, "turned"))
+    left = shared_table(salted, "salted").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    more = jaccard.compared(left, texts, hubs, size, percent / 100)
     drop_table(own)
     found = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))
     return shared_table(component_roots(found), "roots")

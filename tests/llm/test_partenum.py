@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.llm import jaccard, partenum
@@ -142,3 +143,48 @@ def test_a_text_is_shuffled_once_to_its_partner(spark, monkeypatch):
     got = partenum.linked_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
     assert plans[0].count("Join ") == 2
+
+
+def test_sketches_go_to_few_places(spark, monkeypatch):
+    """Two texts that share a passage meet in many buckets; with their sketches they go to one place for each few blocks."""
+    monkeypatch.setattr(partenum, "BUCKET", 300)
+    tables, plain = {}, partenum.shared_table
+
+    def shared_table(df, name):
+        table = plain(df, name)
+        if name in ("met", "open", "pairs"):
+            tables[name] = table.toPandas()
+        return table
+
+    monkeypatch.setattr(partenum, "shared_table", shared_table)
+    rng = random.Random(9)
+    passages = [words(rng, 120, 10**9) for _ in range(12) for _ in range(2)]
+    passages[1::2] = passages[::2]
+    rows = [(i, " ".join(p + words(rng, 60, 10**9))) for i, p in enumerate(passages)]
+    got = partenum.linked_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+    met, sent = tables["met"]["short"].notna().sum(), tables["open"].dropna(subset="node").drop_duplicates(["place", "node"])
+    assert met >= 5 * len(rows) and sent["node"].nunique() == len(rows) and len(sent) <= 2 * len(rows)
+
+
+def test_open_sets_are_those_with_a_partner():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(1, 30))
+        node = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        short, root = (node.astype(np.uint64) >> np.uint64(16)).astype(np.int64), node[rng.integers(0, min(3, len(node)), len(node))]
+        members = pd.DataFrame({"bucket": 3, "short": short, "node": node, "root": root, "size": rng.integers(1, 40, len(node))})
+        blocks = [np.sort(rng.choice(len(node), int(rng.integers(1, len(node) + 1)), replace=False)) for _ in range(4)]
+        packed = pd.DataFrame({"lengths": [np.array(list(map(len, blocks)), "<i4").tobytes()], "blocks": [short[np.concatenate(blocks)].astype("<i8").tobytes()]})
+        got = partenum._open(members, packed, 80, 5)
+        size = members["size"].to_numpy()
+        want = {(node[x], node[y]) for b in blocks for x in b for y in b if root[x] != root[y] and 5 * min(size[x], size[y]) >= 4 * max(size[x], size[y])}
+        assert set(got["node"].dropna().astype("int64")) == {x for x, _ in want}
+        met = set()
+        for row in got.dropna(subset="blocks").itertuples():
+            ends = np.cumsum(np.frombuffer(row.lengths, "<i4"))
+            there = set(got["node"][(got["place"] == row.place) & got["node"].notna()].astype("int64"))
+            for b in np.split(np.frombuffer(row.blocks, "<i8"), ends[:-1]):
+                assert set(b.tolist()) <= there
+                met |= {(x, y) for x in b for y in b}
+        assert want <= met
