@@ -15,6 +15,7 @@ import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,9 +28,9 @@ from tessera.operators.tokenize import byte_symbols
 
 WINDOW, OPEN, MIN_CUT, END_ID, MERGE = 2048, 64, 64, 1, 4096
 #: Words whose ids one Python worker remembers, twice over: the latest ones and those before them.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 #: Longer words, in bytes, are not remembered.
-LONGEST = 128
+LONGEST = 64
 #: Marks that compose with a letter before them.
 MARK = re.compile("[\u0300-\u036f]")
 #: The tokenizer's pieces of a lower-case word of printable ASCII.
@@ -55,7 +56,7 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.symbols = dict(enumerate(byte_symbols()))
+        self.symbols = "".join(byte_symbols())
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.before: dict[bytes, bytes] = {}
 
@@ -69,29 +70,31 @@ class WordIds(dict):
         low = word.lower() if "Σ" not in word else "".join(c.lower() for c in word)  # no other small letter depends on its place
         return low if low.isalpha() and unicodedata.is_normalized("NFC", word) else None
 
-    def _word(self, word: str) -> bytes:
-        low = self._letters(word)
-        if low is None:
-            return self._encode(word)
-        mapped = low if low.isascii() else low.encode("utf-8").decode("latin-1").translate(self.symbols)
-        return self._merged(mapped)
-
-    def _merged(self, mapped: str) -> bytes:
+    def _merged(self, low: str) -> bytes:
+        """The ids of one piece in lower case."""
         packed = self.packed
+        mapped = low if low.isascii() else charmap_decode(low.encode("utf-8"), "strict", self.symbols)[0]
         return b"".join([packed[t.id] for t in self.merges.tokenize(mapped)])
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.before.get(word)
-        if ids is None and PRINTABLE.fullmatch(word):
+    def _ids(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters, most words
+            return self._merged(word.decode("ascii").lower())
+        stem, last = word[:-1], word[-1:]
+        if last in b".," and stem.isalpha():  # letters and one mark are pieces of their own
+            return self[stem] + self[last]
+        if PRINTABLE.fullmatch(word):
             pieces = PIECES.findall(word.lower())
-            ids = b"".join(map(self.__getitem__, pieces)) if len(pieces) > 1 else self._merged(pieces[0].decode("ascii"))
-        elif ids is None:
-            last = word[-1:]
-            text = word.decode("utf-8")
-            if last in b".," and self._letters(text[:-1]) is not None:  # letters and one mark are pieces of their own
-                ids = self[word[:-1]] + self[last]
-            else:
-                ids = self._word(text)
+            return b"".join(map(self.__getitem__, pieces)) if len(pieces) > 1 else self._merged(pieces[0].decode("ascii"))
+        if last not in b".,":
+            stem, last = word, b""
+        low = self._letters(stem.decode("utf-8"))
+        if low is None:
+            return self._encode(word.decode("utf-8"))
+        ids = self.get(stem) or self._merged(low)
+        return ids + self[last] if last else ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word) or self._ids(word)
         if len(word) > LONGEST:
             return ids
         if len(self) >= REMEMBERED:

@@ -43,3 +43,27 @@ def test_printable_words_have_the_tokenizers_ids():
     for _ in range(8000):
         word = "".join(rng.choice(some) for _ in range(rng.randrange(1, 6)))
         assert words.text(word) == words._encode(word), word
+
+
+def test_rare_words_are_remembered():
+    """Words that come again after a quarter of a million others are not merged again."""
+    words, calls = packing.WordIds(default_tokenizer()), []
+    merges = words.merges
+
+    class Counted:
+        def tokenize(self, text):
+            calls.append(text)
+            return merges.tokenize(text)
+
+    words.merges = Counted()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join(a + b + c + d for a in letters for b in letters for c in letters for d in letters[:14])
+    first = words.text(text)
+    made = len(calls)
+    assert words.text(text) == first and len(calls) == made == 26**3 * 14
+
+
+@pytest.mark.parametrize("text", ["Naïve, CAFÉ. naïve CAFÉ, É. é", "Ünï., ÑU,. ñu.. ., .é", "ABC. abc, Abc., abc,. x. é.É,"])
+def test_words_with_a_mark_have_the_tokenizers_ids(text):
+    words = packing.WordIds(default_tokenizer())
+    assert words.text(text) == words._encode(text) == words.text(text)
