@@ -2,10 +2,14 @@
 
 import hashlib
 import re
+from pathlib import Path
+
+import pytest
 
 from tessera.llm import infill
 from tessera.llm.queries import OP11_SQL, op11_infill
 
+SF = Path("/root/testdata/sf0.001")
 TEXTS = [
     None, "", " ", "\n\t ", "one", " one", "one ", "one two  three\n\nfour ", "é x  y", "has <P> in it", "a <S>", "<M>", "< P> <P < S>",
     "<<P", "x" * 50_000, "w " * 60_000, "a\x1cb \x0bc", "𝒳𝒴 𝒵 q", "<S <P <M> x"[:8],
@@ -69,3 +73,16 @@ def test_query_equals_its_sql(spark, tmp_path):
     same = [tuple(int(v) if isinstance(v, float) else v for v in r) for r in key(want)]
     assert [tuple(int(v) if isinstance(v, float) else v for v in r) for r in key(got)] == same
     assert (got["output_sha256"] != got["restored_sha256"]).sum() == (got["form"] != "plain").sum()
+
+
+@pytest.mark.skipif(not SF.exists(), reason="needs the driver's tables")
+def test_rows_equal_the_sql_without_pandas(spark):
+    """Nulls as nulls and numbers as numbers, whatever data frame a version of DuckDB makes of them."""
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    found = db.execute(OP11_SQL)
+    columns, want = [c[0] for c in found.description], found.fetchall()
+    got = [tuple(r) for r in op11_infill(spark, str(SF)).select(*columns).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(None in r for r in got) and len(got) > 100
