@@ -66,6 +66,11 @@ TENSOR = f"""WITH {BYTES}, t AS (SELECT vec_id, ((2 - ch) * 16 + pixel)::INT AS
   (v / 255 - list_extract([0.485, 0.456, 0.406], (3 - ch)::INT)::DOUBLE) / list_extract([0.229, 0.224, 0.225], (3 - ch)::INT)::DOUBLE AS value
   FROM px WHERE ch < 3)
 """
+#: The tensor as the model gets it: every step in single precision.
+SINGLE = f"""WITH {BYTES}, t AS (SELECT vec_id, ((2 - ch) * 16 + pixel)::INT AS pos,
+  (v::FLOAT * (1 / 255::DOUBLE)::FLOAT - list_extract([0.485, 0.456, 0.406]::FLOAT[], (3 - ch)::INT)) / list_extract([0.229, 0.224, 0.225]::FLOAT[], (3 - ch)::INT) AS value
+  FROM px WHERE ch < 3)
+"""
 BILINEAR = f"""{DEPTH.replace('WITH', 'WITH', 1)},
 g AS (SELECT o, (o + 0.5) * (8 / 12) - 0.5 AS src FROM (SELECT unnest(range(12))::INT AS o)),
 w AS (SELECT o, greatest(floor(src), 0)::INT AS low, least(greatest(floor(src), 0)::INT + 1, 7) AS high, src - floor(src) AS f FROM g),
@@ -218,9 +223,10 @@ SQL = {
     "task_segment": TENSOR + """, c AS (SELECT vec_id, pos % 4 AS cell, arg_min(pos // 4, (-value, pos)) AS best FROM t GROUP BY ALL)
         SELECT vec_id, 4::INT AS "SegmentationMask_Width", 4::INT AS "SegmentationMask_Height", (y * 4 + x)::INT AS pos, best::INT AS class_id
         FROM c, (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x) WHERE cell = (y // 2) * 2 + x // 2""",
-    "task_depth": TENSOR + """, d AS (SELECT *, min(value) OVER (PARTITION BY vec_id) AS low, max(value) OVER (PARTITION BY vec_id) AS high FROM t)
-        SELECT vec_id, round(low, 3) AS low, ((pos // 4 - 1) // 3 * 4 + pos % 4)::INT AS pos,
-               floor(200 * (value - low) / CASE WHEN high - low < 1e-8 THEN 1 ELSE high - low END + 0.37::DOUBLE)::INT AS value FROM d WHERE pos // 4 % 3 = 1""",
+    "task_depth": SINGLE + """, d AS (SELECT *, min(value) OVER (PARTITION BY vec_id) AS low, max(value) OVER (PARTITION BY vec_id) AS high FROM t),
+        v AS (SELECT vec_id, pos, low, (value - low) / CASE WHEN high::DOUBLE - low::DOUBLE < 1e-8 THEN 1::FLOAT ELSE high - low END AS value FROM d)
+        SELECT vec_id, round(low::DOUBLE, 3) AS low, ((pos // 4 - 1) // 3 * 4 + pos % 4)::INT AS pos,
+               floor(200 * value::DOUBLE + 0.37::DOUBLE)::INT AS value FROM v WHERE pos // 4 % 3 = 1""",
     "task_embed": TENSOR + """, n AS (SELECT vec_id, sqrt(sum(value * value)) AS n FROM t WHERE pos < 16 GROUP BY vec_id)
         SELECT t.vec_id, pos, round(CASE WHEN n > 0 THEN value / n ELSE value END, 3) + 0.0 AS value FROM t JOIN n ON t.vec_id = n.vec_id WHERE pos < 16""",
     "task_detect": DETECT + """, f AS (SELECT *, count(*) OVER (PARTITION BY vec_id)::INT AS boxes FROM n)

@@ -549,7 +549,9 @@ def task_segment(spark, sf_dir):
 
 @query
 def task_depth(spark, sf_dir):
-    """Depths of 12 x 4, brought back to the picture's 4 x 4, in steps of a 200th that no simple fraction stands at."""
+    """Depths of 12 x 4, brought back to the picture's 4 x 4, in steps of a 200th that no simple fraction stands at.
+
+    Tensor and depths are of single precision, as the model's input is and the task's depths are."""
     t = tasks.Task(toy_onnx.reshaping([3, 4, 4], [12, 4]), TINY)
     d = tasks.estimate_depth(pictures(spark, sf_dir), t)
     d = d.select("vec_id", F.round(F.col("Depth.min_depth").cast("double"), 3).alias("low"), F.posexplode("DepthMap").alias("pos", "value"))
