@@ -2,8 +2,12 @@
 
 Vectors, made unit vectors, are dealt to cells by the nearest of a bounded number of centres, and each cell to blocks of
 bounded size. A block's products with itself give its rows their first ``k`` neighbours and so a floor. Another block is
-visited only if its centre and both radii allow a product that reaches the lowest floor; a visit is one matrix product,
-of which ``k`` rows a vector leave the task at most. What is exact is kept exact: the bound never excludes a winner.
+visited only if its centre and both radii allow a product that reaches the lowest floor. A visit is one matrix product in
+single precision, and only what reaches a row's own floor, less the error of that, is reckoned again in double. What is
+exact is kept exact: no bound ever excludes a winner.
+
+Blocks meet in a cartesian product of parts: a task takes a part of each side and reads both where they lie, so that what
+is written grows with the blocks and not with their pairs, and of a task ``k`` rows a vector are left at most.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
@@ -21,16 +25,61 @@ BLOCK, CELLS = 2048, 256
 #: Products are compared by so many digits, ties going to the smaller id; a bound is widened by what rounding may hide.
 DIGITS, SLACK = 9, 1e-8
 BEST = "a long, b long, cosine double"
-
-
-def best_of(queries: np.ndarray, ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, other id, product) of each query's k best others, its own id left out; ids of others ascend."""
-    p = np.round(queries @ others.T, DIGITS) + 0.0
-    p[ids[:, None] == other_ids[None, :]] = -np.inf
-    at = np.argsort(-p, axis=1, kind="stable")[:, :k]
-    found = np.take_along_axis(p, at, axis=1)
-    row, col = np.nonzero(found > -np.inf)
-    return ids[row], other_ids[at[row, col]], found[row, col]
+#: The right side's vectors that a task holds at most (64 MB at 64 numbers), and the tasks that a core gets if there are few.
+HELD, TASKS = 1 << 17, 8
+#: Rows of a block that are multiplied at a time, so that their products stay near the processor.
+#: If more numbers than these belong to the pairs that are reckoned again, all rows are, and the best sorted out.
+LINES, MANY = 512, 1 << 22
+
+
+class Best:
+    """The k best others so far of a block's rows: by product, rounded, ties to the smaller id; a row's own id is none."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+        self.ids, self.x, self.k, self.single = ids, x, k, x.astype(np.float32)
+        self.p, self.b = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        #: Twice what a product of unit vectors may be wrong by in single precision.
+        self.error = np.float32((x.shape[1] + 4) * 2.0**-23)
+
+    def meet(self, others: np.ndarray, y: np.ndarray) -> None:
+        """Ids of others ascend."""
+        single = y.astype(np.float32).T
+        parts = [self._found(slice(i, i + LINES), others, y, single) for i in range(0, len(self.ids), LINES)]
+        row, col, p = map(np.concatenate, zip(*parts, strict=True))
+        self._take(row, others[col], p)
+
+    def _found(self, lines: slice, others: np.ndarray, y: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place among the others, product) of what may be among the best of these rows."""
+        m, k, ids, x, floor = len(others), self.k, self.ids[lines], self.x[lines], self.p[lines, -1]
+        s = self.single[lines] @ single
+        if (floor == -np.inf).any():
+            # k others of this block reach its (k + 1)-th product, be one of them the row itself.
+            first = np.partition(s, m - k - 1, axis=1)[:, m - k - 1] if m > k else np.full(len(ids), -np.inf)
+            floor = np.maximum(floor, np.where(np.isnan(first), -np.inf, first - self.error))
+        flat = np.flatnonzero(s >= (floor.astype(np.float32) - self.error)[:, None])
+        if len(flat) > max(4 * k * len(ids), MANY // y.shape[1]):
+            p = np.round(x @ y.T, DIGITS) + 0.0
+            p[ids[:, None] == others[None, :]] = -np.inf
+            col = np.argsort(-p, axis=1, kind="stable")[:, :k]
+            row, col = np.repeat(np.arange(len(ids)), col.shape[1]), col.ravel()
+            p = p[row, col]
+        else:
+            row, col = np.divmod(flat, m)
+            p = np.round(np.einsum("ij,ij->i", x[row], y[col]), DIGITS) + 0.0
+            p[ids[row] == others[col]] = -np.inf
+        keep = p > -np.inf
+        return row[keep] + lines.start, col[keep], p[keep]
+
+    def _take(self, row: np.ndarray, b: np.ndarray, p: np.ndarray) -> None:
+        which = np.unique(row)
+        row, b, p = np.concatenate([row, np.repeat(which, self.k)]), np.concatenate([b, self.b[which].ravel()]), np.concatenate([p, self.p[which].ravel()])
+        order = np.lexsort((b, -p, row))
+        at = order[np.searchsorted(row[order], which)[:, None] + np.arange(self.k)]
+        self.p[which], self.b[which] = p[at], b[at]
+
+    def rows(self) -> pd.DataFrame:
+        row, at = np.nonzero(self.p > -np.inf)
+        return pd.DataFrame({"a": self.ids[row], "b": self.b[row, at], "cosine": self.p[row, at]})
 
 
 def _matrix(data: bytes, n: int) -> np.ndarray:
@@ -42,17 +91,17 @@ def _pack(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     pdf = pdf.sort_values("id")
     ids, x = pdf["id"].to_numpy(dtype=np.int64), np.stack(pdf["v"].to_list()).astype(np.float64)
     centre = x.mean(axis=0)
-    rows, _, products = best_of(x, ids, x, ids, k)
-    best = pd.Series(products).groupby(rows).agg(["size", "min"])
-    full = len(best) == len(set(ids.tolist())) and (best["size"] >= k).all()
+    best = Best(ids, x, k)
+    best.meet(ids, x)
+    lowest = float(best.p.min())
     return pd.DataFrame({
-        "cell": [pdf["cell"].iat[0]], "shard": [pdf["shard"].iat[0]], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "vectors": [x.astype("<f8").tobytes()],
-        "centre": [centre], "radius": [float(np.linalg.norm(x - centre, axis=1).max())], "floor": [float(best["min"].min()) if full else -2.0],
+        "at": [pdf["at"].iat[0]], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "vectors": [x.astype("<f8").tobytes()],
+        "centre": [centre], "radius": [float(np.linalg.norm(x - centre, axis=1).max())], "floor": [lowest if lowest > -np.inf else -2.0],
     })
 
 
 def blocks_of(unit: DataFrame, k: int, block: int) -> DataFrame:
-    """A row for each block of unit vectors (``id`` and ``v``): what _pack makes of it."""
+    """A row for each block of unit vectors (``id`` and ``v``): its number, and what _pack makes of it."""
     few = int(min(CELLS, -(-unit.count() // block)))
     # CELLS vectors at most: those of the smallest hashes.
     centres = np.array([r["v"] for r in unit.orderBy(F.xxhash64("id"), "id").limit(few).collect()], dtype=np.float64)
@@ -65,20 +114,52 @@ def blocks_of(unit: DataFrame, k: int, block: int) -> DataFrame:
 
     placed = unit.mapInPandas(cells, "id long, v array<double>, cell int")
     # CELLS rows at most.
-    sizes = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("shards")))
-    placed = placed.join(sizes, "cell").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
-    packed = "cell int, shard int, n int, ids binary, vectors binary, centre array<double>, radius double, floor double"
-    return placed.groupBy("cell", "shard").applyInPandas(lambda pdf: _pack(pdf, k), packed).persist()
+    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    shards = [-(-counts.get(c, 1) // block) for c in range(max(few, 1))]
+    listed = lambda numbers: F.get(F.array(*map(F.lit, numbers)), F.col("cell"))
+    at = listed([sum(shards[:c]) for c in range(len(shards))]) + F.pmod(F.xxhash64("id"), listed(shards))
+    packed = "at int, n int, ids binary, vectors binary, centre array<double>, radius double, floor double"
+    return placed.withColumn("at", at.cast("int")).groupBy("at").applyInPandas(lambda pdf: _pack(pdf, k), packed).persist()
+
+
+def meetings(blocks: DataFrame, n: int, block: int, on: Column) -> DataFrame:
+    """Every two of n blocks for which ``on`` holds, the columns of one named _a and of the other _b.
+
+    The right side has as few parts as a task can hold, the left side as many as make work for all cores.
+    """
+    right = max(1, -(-n * block // HELD))
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    left = max(1, min(n, max(right, -(-TASKS * cores // right))))
+    side = lambda name, parts: blocks.repartitionById(parts, F.col("at")).select(*[F.col(c).alias(f"{c}_{name}") for c in blocks.columns])
+    return side("a", left).join(side("b", right).hint("shuffle_replicate_nl"), on)
 
 
-def visits_of(blocks: DataFrame) -> DataFrame:
-    """(p, q): the blocks q that block p has to visit. A few numbers for each pair of blocks decide, and no vector is
+def visits_of(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The blocks (_b) that each block (_a) has to visit. A few numbers for each pair of blocks decide, and no vector is
     looked at: a product of unit vectors is that of the centres plus what the radii allow at most."""
-    name = lambda p: F.struct("cell", "shard").alias(p)
-    one = blocks.select(name("p"), F.col("centre").alias("c"), F.col("radius").alias("r"), "floor")
-    two = blocks.select(name("q"), F.col("centre").alias("d"), F.col("radius").alias("s"))
-    reach = V.dot(F.col("c"), F.col("d")) + F.col("r") * V.norm(F.col("d")) + F.col("s")
-    return one.crossJoin(two).where(reach + SLACK >= F.col("floor")).select("p", "q")
+    last = blocks.agg(F.max("at")).first()[0]
+    reach = V.dot(F.col("centre_a"), F.col("centre_b")) + F.col("radius_a") * V.norm(F.col("centre_b")) + F.col("radius_b")
+    return meetings(blocks, 0 if last is None else last + 1, block, reach + SLACK >= F.col("floor_a"))
+
+
+def candidates_of(blocks: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """a, b, cosine: of each vector and each part of the right side the k best others."""
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, best = None, None
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                # A task's visits come block by block of the left side.
+                if r.at_a != at:
+                    if best is not None:
+                        yield best.rows()
+                    at, best = r.at_a, Best(np.frombuffer(r.ids_a, "<i8"), _matrix(r.vectors_a, r.n_a), k)
+                best.meet(np.frombuffer(r.ids_b, "<i8"), _matrix(r.vectors_b, r.n_b))
+        if best is not None:
+            yield best.rows()
+
+    met = visits_of(blocks, block).select(*[f"{c}_{side}" for side in "ab" for c in ("at", "n", "ids", "vectors")])
+    return met.mapInPandas(visit, BEST)
 
 
 def nearest(df: DataFrame, k: int = 3, id_col: str = "vec_id", vector: str = "e", block: int = BLOCK) -> DataFrame:
@@ -89,16 +170,6 @@ def nearest(df: DataFrame, k: int = 3, id_col: str = "vec_id", vector: str = "e"
     """
     rows = df.where(F.col(id_col).isNotNull() & (F.size(vector) > 0))
     blocks = blocks_of(rows.select(F.col(id_col).cast("long").alias("id"), V.l2_normalize(vector).alias("v")), k, block)
-    data = lambda p, n: blocks.select(F.struct("cell", "shard").alias(p), *[F.col(c).alias(f"{c}_{n}") for c in ("n", "ids", "vectors")])
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                mine, others = np.frombuffer(r.ids_a, "<i8"), np.frombuffer(r.ids_b, "<i8")
-                yield pd.DataFrame(dict(zip(("a", "b", "cosine"), best_of(_matrix(r.vectors_a, r.n_a), mine, _matrix(r.vectors_b, r.n_b), others, k), strict=True)))
-
-    met = visits_of(blocks).join(data("p", "a"), "p").join(data("q", "b"), "q").drop("p", "q")
-    # At most k rows for each vector and block that it visits are left.
     order = F.struct((-F.col("cosine")).alias("n"), F.col("b").alias("b"))
-    ranked = met.mapInPandas(visit, BEST).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("m"))
+    ranked = candidates_of(blocks, k, block).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("m"))
     return ranked.select("a", F.posexplode("m").alias("at", "x")).select("a", (F.col("at") + 1).alias("rank"), "x.b", (-F.col("x.n")).alias("cosine"))
