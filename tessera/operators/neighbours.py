@@ -1,4 +1,4 @@
-"""Nearest neighbours by cosine without a row for every pair.
+"""Nearest neighbours by cosine without a row for every pair, and all pairs where they are asked for.
 
 Vectors, made unit vectors, are dealt to cells by the nearest of a bounded number of centres, and each cell to blocks of
 bounded size. A block's products with itself give its rows their first ``k`` neighbours and so a floor. Another block is
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ BLOCK, CELLS = 2048, 256
 #: Products are compared by so many digits, ties going to the smaller id; a bound is widened by what rounding may hide.
 DIGITS, SLACK = 9, 1e-8
 BEST = "a long, b long, cosine double"
+#: All pairs come from blocks of so many vectors, since a visit makes a row for each of its pairs.
+PAIRS_BLOCK = 256
 #: The right side's vectors that a task holds at most (64 MB at 64 numbers), and the tasks that a core gets if there are few.
 HELD, TASKS = 1 << 17, 8
 #: Rows of a block that are multiplied at a time, so that their products stay near the processor.
@@ -173,3 +176,45 @@ def nearest(df: DataFrame, k: int = 3, id_col: str = "vec_id", vector: str = "e"
     order = F.struct((-F.col("cosine")).alias("n"), F.col("b").alias("b"))
     ranked = candidates_of(blocks, k, block).groupBy("a").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("m"))
     return ranked.select("a", F.posexplode("m").alias("at", "x")).select("a", (F.col("at") + 1).alias("rank"), "x.b", (-F.col("x.n")).alias("cosine"))
+
+
+def all_pairs(df: DataFrame, id_col: str = "vec_id", vector: str = "e", block: int = PAIRS_BLOCK) -> DataFrame:
+    """a, b, cosine of all pairs a < b: quadratic by definition, but each visit of two blocks is one matrix product.
+
+    Null ids take no part. The cosine is 0 where either vector is zero or empty, and null where one is null or holds a
+    null. All others have one length.
+    """
+    rows = df.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.when(~F.exists(vector, lambda x: x.isNull()), F.col(vector)).alias("v"))
+    n = max(1, -(-rows.count() // block))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf["v"].notna().to_numpy()
+        found = [np.asarray(v, dtype=np.float64) for v in pdf["v"][known]]
+        width = max(map(len, found), default=0)
+        x = np.zeros((len(pdf), width))
+        if width:
+            x[known] = np.stack([v if len(v) else np.zeros(width) for v in found])
+        ids = pdf["id"].to_numpy(dtype="<i8")
+        return pd.DataFrame({"at": [pdf["at"].iat[0]], "n": [len(ids)], "ids": [ids.tobytes()], "known": [known.tobytes()], "vectors": [x.astype("<f8").tobytes()]})
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                (a, known_a, x), (b, known_b, y) = ((np.frombuffer(r[f"ids_{s}"], "<i8"), np.frombuffer(r[f"known_{s}"], bool), _matrix(r[f"vectors_{s}"], r[f"n_{s}"])) for s in "ab")
+                if 0 in (x.shape[1], y.shape[1]):
+                    x, y = x[:, :0], y[:, :0]
+                over = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    cosine = np.where(over == 0, 0.0, x @ y.T / over)
+                keep = a[:, None] < b[None, :] if r["at_a"] == r["at_b"] else a[:, None] != b[None, :]
+                lost = ~(known_a[:, None] & known_b[None, :])
+                ends = np.minimum(a[:, None], b[None, :])[keep], np.maximum(a[:, None], b[None, :])[keep]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, ends), pa.array(cosine[keep], mask=lost[keep])], names=["a", "b", "cosine"])
+
+    placed = rows.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    blocks = placed.groupBy("at").applyInPandas(pack, "at int, n int, ids binary, known binary, vectors binary")
+    # Of two blocks one visits the other, and each has much the same number of visits to make.
+    ahead = 2 * F.pmod(F.col("at_b") - F.col("at_a"), F.lit(n))
+    once = (ahead < n) | ((ahead == n) & (F.col("at_a") < F.col("at_b")))
+    return meetings(blocks, n, block, once).mapInArrow(visit, BEST)

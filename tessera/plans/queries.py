@@ -434,20 +434,11 @@ def cfg_combine(spark, sf_dir):
     return flat(vectors(spark, sf_dir), V.guided(F.col("e"), GUIDANCE))
 
 
-def pairwise(spark: SparkSession, sf_dir: str, block: int = 256) -> DataFrame:
-    """a, b, cosine of all pairs a < b: blocks of a hash of the ids meet once each, so that no side is sent whole to anybody."""
-    d = vectors(spark, sf_dir).select("vec_id", "e")
-    blocks = F.lit(max(1, -(-d.count() // block)))
-    d = d.withColumn("k", F.pmod(F.xxhash64("vec_id"), blocks))
-    left = d.select(F.col("vec_id").alias("x"), F.col("e").alias("u"), "k", F.explode(F.sequence("k", blocks - 1)).alias("o"))
-    right = d.select(F.col("vec_id").alias("y"), F.col("e").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), "k")).alias("k"), F.col("k").alias("o"))
-    met = left.join(right, ["k", "o"]).where("k < o or x < y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), V.cosine(F.col("u"), F.col("v")).alias("cosine"))
-
-
 @query
 def cosine_pairs(spark, sf_dir):
-    return pairwise(spark, sf_dir).withColumn("cosine", F.round("cosine", 4) + 0.0)
+    """All pairs; the fourth digit is rounded half away from zero in the number's own arithmetic, as SQL does."""
+    c = F.col("cosine")
+    return neighbours.all_pairs(vectors(spark, sf_dir)).withColumn("cosine", F.signum(c) * F.floor(F.abs(c) * 10000 + 0.5) / 10000 + 0.0)
 
 
 @query
