@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
@@ -28,8 +28,8 @@ DIGITS, SLACK = 9, 1e-8
 BEST = "a long, b long, cosine double"
 #: All pairs come from blocks of so many vectors, since a visit makes a row for each of its pairs.
 PAIRS_BLOCK = 256
-#: The right side's vectors that a task holds at most (64 MB at 64 numbers), and the tasks that a core gets if there are few.
-HELD, TASKS = 1 << 17, 8
+#: The right side's numbers that a task holds (64 MB), and the tasks that a core gets if there are few.
+HELD, TASKS = 1 << 23, 8
 #: Rows of a block that are multiplied at a time, so that their products stay near the processor.
 #: If more numbers than these belong to the pairs that are reckoned again, all rows are, and the best sorted out.
 LINES, MANY = 512, 1 << 22
@@ -104,7 +104,8 @@ def _pack(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def blocks_of(unit: DataFrame, k: int, block: int) -> DataFrame:
-    """A row for each block of unit vectors (``id`` and ``v``): its number, and what _pack makes of it."""
+    """A row for each block of unit vectors (``id`` and ``v``): its number, and what _pack makes of it. Blocks are dealt out
+    and kept once, for both sides of their meetings."""
     few = int(min(CELLS, -(-unit.count() // block)))
     # CELLS vectors at most: those of the smallest hashes.
     centres = np.array([r["v"] for r in unit.orderBy(F.xxhash64("id"), "id").limit(few).collect()], dtype=np.float64)
@@ -122,27 +123,32 @@ def blocks_of(unit: DataFrame, k: int, block: int) -> DataFrame:
     listed = lambda numbers: F.get(F.array(*map(F.lit, numbers)), F.col("cell"))
     at = listed([sum(shards[:c]) for c in range(len(shards))]) + F.pmod(F.xxhash64("id"), listed(shards))
     packed = "at int, n int, ids binary, vectors binary, centre array<double>, radius double, floor double"
-    return placed.withColumn("at", at.cast("int")).groupBy("at").applyInPandas(lambda pdf: _pack(pdf, k), packed).persist()
+    blocks = placed.withColumn("at", at.cast("int")).groupBy("at").applyInPandas(lambda pdf: _pack(pdf, k), packed)
+    left, _ = parts_of(unit.sparkSession, sum(shards), block * centres.size // max(few, 1))
+    return blocks.repartitionById(left, F.col("at")).persist()
 
 
-def meetings(blocks: DataFrame, n: int, block: int, on: Column) -> DataFrame:
-    """Every two of n blocks for which ``on`` holds, the columns of one named _a and of the other _b.
+def parts_of(spark: SparkSession, n: int, numbers: int) -> tuple[int, int]:
+    """Parts of the left and of the right side of n blocks of so many numbers: on the right as few as a task can hold, on
+    the left as many as make work for all cores."""
+    right = max(1, min(n, -(-n * numbers // HELD)))
+    return max(1, min(n, max(right, -(-TASKS * spark.sparkContext.defaultParallelism // right)))), right
 
-    The right side has as few parts as a task can hold, the left side as many as make work for all cores.
-    """
-    right = max(1, -(-n * block // HELD))
-    cores = blocks.sparkSession.sparkContext.defaultParallelism
-    left = max(1, min(n, max(right, -(-TASKS * cores // right))))
-    side = lambda name, parts: blocks.repartitionById(parts, F.col("at")).select(*[F.col(c).alias(f"{c}_{name}") for c in blocks.columns])
-    return side("a", left).join(side("b", right).hint("shuffle_replicate_nl"), on)
+
+def meetings(blocks: DataFrame, n: int, numbers: int, on: Column) -> DataFrame:
+    """Every two of n blocks for which ``on`` holds, the columns of one named _a and of the other _b. Blocks lie in the
+    parts of the left side; the right side's are some of these each."""
+    side = lambda name, df: df.select(*[F.col(c).alias(f"{c}_{name}") for c in df.columns])
+    _, right = parts_of(blocks.sparkSession, n, numbers)
+    return side("a", blocks).join(side("b", blocks.coalesce(right)).hint("shuffle_replicate_nl"), on)
 
 
 def visits_of(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
     """The blocks (_b) that each block (_a) has to visit. A few numbers for each pair of blocks decide, and no vector is
     looked at: a product of unit vectors is that of the centres plus what the radii allow at most."""
-    last = blocks.agg(F.max("at")).first()[0]
+    last, width = blocks.agg(F.coalesce(F.max("at"), F.lit(-1)), F.coalesce(F.max(F.size("centre")), F.lit(0))).first()
     reach = V.dot(F.col("centre_a"), F.col("centre_b")) + F.col("radius_a") * V.norm(F.col("centre_b")) + F.col("radius_b")
-    return meetings(blocks, 0 if last is None else last + 1, block, reach + SLACK >= F.col("floor_a"))
+    return meetings(blocks, last + 1, block * width, reach + SLACK >= F.col("floor_a"))
 
 
 def candidates_of(blocks: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
@@ -186,7 +192,8 @@ def all_pairs(df: DataFrame, id_col: str = "vec_id", vector: str = "e", block: i
     """
     rows = df.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.when(~F.exists(vector, lambda x: x.isNull()), F.col(vector)).alias("v"))
-    n = max(1, -(-rows.count() // block))
+    count, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    n, numbers = max(1, -(-count // block)), block * max(width, 0)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf["v"].notna().to_numpy()
@@ -217,4 +224,5 @@ def all_pairs(df: DataFrame, id_col: str = "vec_id", vector: str = "e", block: i
     # Of two blocks one visits the other, and each has much the same number of visits to make.
     ahead = 2 * F.pmod(F.col("at_b") - F.col("at_a"), F.lit(n))
     once = (ahead < n) | ((ahead == n) & (F.col("at_a") < F.col("at_b")))
-    return meetings(blocks, n, block, once).mapInArrow(visit, BEST)
+    left, _ = parts_of(df.sparkSession, n, numbers)
+    return meetings(blocks.repartitionById(left, F.col("at")), n, numbers, once).mapInArrow(visit, BEST)

@@ -76,7 +76,9 @@ def test_visits_write_nothing(spark):
     assert neighbours.candidates_of(blocks, 3, 20).count() == 900
     plan = neighbours.candidates_of(blocks, 3, 20)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert neighbours.meetings(blocks, 15, neighbours.HELD // 4, F.lit(True)).rdd.getNumPartitions() == 4 * 15  # four parts are held
+    n = blocks.agg(F.max("at")).first()[0] + 1
+    assert blocks.rdd.getNumPartitions() == n and neighbours.parts_of(spark, n, neighbours.HELD // 4) == (min(n, -(-64 // -(-n // 4))), -(-n // 4))
+    assert neighbours.meetings(blocks, n, neighbours.HELD // 4, F.lit(True)).rdd.getNumPartitions() == n * -(-n // 4)  # four are held
 
 
 def test_all_pairs(spark):
